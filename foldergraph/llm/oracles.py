@@ -20,6 +20,22 @@ SELECT doc_id, max(n_lines) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) A
 FROM c GROUP BY doc_id
 """
 
+_OP3 = r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(CAST(len(h) // 2 - 49 AS BIGINT))) AS i FROM d)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM p),
+c AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM m WHERE first < doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM c),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, lag(b, 1, 0) OVER w AS last, b, lead(a) OVER w AS next FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+j AS (SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+        string_agg(concat(substr(h, 2 * last + 1, 2 * (a - last)), CASE WHEN next IS NULL THEN substr(h, 2 * b + 1) ELSE '' END), '' ORDER BY a) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
 _OP4 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
@@ -75,4 +91,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op2_line_dedup": _OP2, "op4_mixing": _OP4, "op9_preference": _OP9, "op10_warc": _OP10}
+    return {"op1_exact_dedup": _OP1, "op2_line_dedup": _OP2, "op3_suffix_dedup": _OP3, "op4_mixing": _OP4, "op9_preference": _OP9, "op10_warc": _OP10}

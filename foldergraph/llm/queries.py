@@ -13,6 +13,7 @@ from foldergraph.llm.mixing import mix
 from foldergraph.llm.preference import preference_pairs
 from foldergraph.llm.quality import quality_rules
 from foldergraph.llm.simhash import simhash_groups
+from foldergraph.llm.suffix_dedup import suffix_dedup
 from foldergraph.llm.warc import warc_round_trip
 
 
@@ -29,6 +30,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_documents(spark, sf_dir)).drop("spans")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(_documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
@@ -54,5 +59,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_line_dedup, op4_mixing, op6_quality_rules, op7_simhash, op9_preference, op10_warc)
+    found = (op1_exact_dedup, op2_line_dedup, op3_suffix_dedup, op4_mixing, op6_quality_rules, op7_simhash, op9_preference, op10_warc)
     return {f.__name__: f for f in found}
