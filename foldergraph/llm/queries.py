@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from foldergraph.llm.exact_dedup import exact_dedup
 from foldergraph.llm.line_dedup import line_dedup
 from foldergraph.llm.mixing import mix
+from foldergraph.llm.piece_nbest import encode
 from foldergraph.llm.preference import preference_pairs
 from foldergraph.llm.quality import quality_rules
 from foldergraph.llm.simhash import simhash_groups
 from foldergraph.llm.suffix_dedup import suffix_dedup
+from foldergraph.llm.token_shards import token_shards
 from foldergraph.llm.warc import warc_round_trip
 
 
@@ -39,6 +41,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(_documents(spark, sf_dir)).drop("path")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
@@ -49,6 +55,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(_documents(spark, sf_dir))
+    scores = F.transform("nbest", lambda x: F.round(x["score"], 3))
+    return out.select("doc_id", F.expr("cast(octet_length(ids) div 2 AS long)").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"), scores.alias("scores"), "round_trip")
+
+
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -59,5 +71,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_line_dedup, op3_suffix_dedup, op4_mixing, op6_quality_rules, op7_simhash, op9_preference, op10_warc)
+    found = (op1_exact_dedup, op2_line_dedup, op3_suffix_dedup, op4_mixing, op5_token_shards, op6_quality_rules, op7_simhash, op8_piece_nbest, op9_preference, op10_warc)
     return {f.__name__: f for f in found}
