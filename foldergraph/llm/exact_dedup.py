@@ -13,7 +13,7 @@ BLOCK_CHARS = 8192
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace keys by name: an integer that two rows share only if all keys are equal.
+    """Replace keys by name: an integer that two rows share only if all keys are equal; head: a hash of the row that stands for it.
 
     Rows are dealt to buckets by a hash of the keys, salted by doc_id, and sorted there; one row of each run of equals
     goes on to its bucket, where the runs of all salts are sorted and numbered. A hot block has at most one row a salt there.
@@ -22,9 +22,11 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(16 * slices(spark)))).withColumn("_salt", salt(spark, "doc_id"))
     local = Window.partitionBy("_bucket", "_salt").orderBy(*keys)
     dealt = dealt.withColumn("_run", F.rank().over(local)).withColumn("_at", F.row_number().over(local))
-    heads = dealt.filter("_run = _at").select(*run, *keys)
+    # head marks the row that stands for its equals; with it both sides need the same columns, and texts are shuffled once for both
+    others = [c for c in rows.columns if c not in keys]
+    heads = dealt.filter("_run = _at").select(*run, *keys, F.xxhash64(*others).alias("head"))
     number = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(*keys))
-    names = heads.select(*run, (F.col("_bucket") * F.lit(1 << 36) + number).alias("name"))
+    names = heads.select(*run, "head", (F.col("_bucket") * F.lit(1 << 36) + number).alias("name"))
     return dealt.drop("_at", *keys).join(names, run).drop(*run)
 
 
@@ -39,14 +41,14 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     blocks = norm.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0)).alias("parts"))
     blocks = blocks.select("doc_id", "digest", F.greatest(F.size("parts"), F.lit(1)).alias("n"), F.posexplode_outer("parts").alias("at", "block"))
     blocks = blocks.select("doc_id", "digest", "n", F.coalesce("at", F.lit(0)).alias("at"), (F.col("n") == 1).alias("whole"), F.coalesce("block", F.lit("")).alias("block"))
-    first = level = cut(_named(blocks, ["whole", "block"]).select("doc_id", "digest", "n", "at", "name"), "names")
+    first = level = cut(_named(blocks, ["whole", "block"]).select("doc_id", "digest", "n", "at", "name", "head"), "names")
     most, depth = first.agg(F.max("n")).head()[0] or 1, 0
     whole = first.filter("n = 1").select("doc_id", "digest", F.lit(0).alias("depth"), "name")
     rows = first.filter("n > 1 AND at = 0").select("doc_id", "digest")
     roots = None
     while most > 1:
         most, depth = (most + 1) // 2, depth + 1
-        level = cut(_named(_pairs(level).withColumn("whole", F.col("n") == 1), ["whole", "a", "b"]).select("doc_id", "digest", "n", "at", "name"), "names")
+        level = cut(_named(_pairs(level).withColumn("whole", F.col("n") == 1), ["whole", "a", "b"]).select("doc_id", "digest", "n", "at", "name", "head"), "names")
         done = level.filter("n = 1").select("doc_id", "digest", F.lit(depth).alias("depth"), "name")
         roots = done if roots is None else roots.unionByName(done)
     if roots is not None:
