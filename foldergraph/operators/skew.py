@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from foldergraph.sources.shared import slices
 
 
+def bucket(n: int, *cols: str) -> Column:
+    """A hash of cols from 0 to n - 1, never null: joins on it add no null filter, so that equal shuffles stay equal and are shared."""
+    return F.coalesce(F.pmod(F.xxhash64(*cols), F.lit(n)), F.lit(0).cast("long"))
+
+
 def salt(spark: SparkSession, *cols: str) -> Column:
     """A number under the count of shuffle partitions, so that a hot key is dealt over as many tasks as there are."""
-    return F.pmod(F.xxhash64(*cols), F.lit(slices(spark))).cast("int")
+    return bucket(slices(spark), *cols).cast("int")
 
 
 def group_totals(df: DataFrame, keys: list[str], salt_col: str, **aggs: tuple[str, str]) -> DataFrame:
