@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.llm.common import SPACES, same_row
-from foldergraph.operators.skew import group_totals, salt
+from foldergraph.operators.skew import bucket, group_totals, salt
 from foldergraph.sources.shared import cut, slices
 
 BLOCK_CHARS = 8192
@@ -19,7 +19,7 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     goes on to its bucket, where the runs of all salts are sorted and numbered. A hot block has at most one row a salt there.
     """
     spark, run = rows.sparkSession, ["_bucket", "_salt", "_run"]
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(16 * slices(spark)))).withColumn("_salt", salt(spark, "doc_id"))
+    dealt = rows.withColumn("_bucket", bucket(16 * slices(spark), *keys)).withColumn("_salt", salt(spark, "doc_id"))
     local = Window.partitionBy("_bucket", "_salt").orderBy(*keys)
     dealt = dealt.withColumn("_run", F.rank().over(local)).withColumn("_at", F.row_number().over(local))
     # head marks the row that stands for its equals; with it both sides need the same columns, and texts are shuffled once for both
