@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldergraph.llm.common import NO_ID
-from foldergraph.sources.shared import slices
 
 LENGTH = 50
 GRAM = 18
@@ -27,6 +26,8 @@ GRAM = 18
 HOT = 2048
 MIX = np.uint64(0x9E3779B97F4A7C15)
 GROUP_BYTES = (256 << 10, 32 << 20)
+#: Text for which there is a bucket of keys, and one of pieces.
+BUCKET_BYTES = 4 << 20
 ANSWER = np.dtype([("piece", "<u4"), ("start", "<u2"), ("n", "<u2"), ("doc", "<i8")])
 
 
@@ -233,10 +234,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A text shorter than `length` stays whole. Other columns are not carried. Each group of documents sends a distinct piece of
     text once, so a bucket gets a passage at most as often as there are groups, however many documents have it.
     """
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     size = min(GROUP_BYTES[1], max(GROUP_BYTES[0], total // 2000))
-    groups, buckets = max(1, total // size), 4 * slices(spark)
+    groups, buckets = max(1, total // size), max(1, total // BUCKET_BYTES)
     doc = F.coalesce("doc_id", F.lit(NO_ID))
     rows = docs.select(F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int").alias("g"), doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
 
