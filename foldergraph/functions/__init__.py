@@ -1 +1 @@
-"""Column functions."""
+"""Column functions and fixed values."""

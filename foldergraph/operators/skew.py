@@ -18,7 +18,7 @@ def salt(spark: SparkSession, *cols: str) -> Column:
     return bucket(slices(spark), *cols).cast("int")
 
 
-def group_totals(df: DataFrame, keys: list[str], salt_col: str, **aggs: tuple[str, str]) -> DataFrame:
+def group_totals(df: DataFrame, keys: list[str], salt_col: str, /, **aggs: tuple[str, str]) -> DataFrame:
     """Add totals by keys to every row; no task needs more than a salt's share of a key.
 
     aggs: name=(kind, column) with kind one of count, sum, min, max. Keys must not be null.
