@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import tiktoken
+import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -141,26 +142,35 @@ def token_shards(docs: DataFrame, folder: str | None = None, path: str = VOCABUL
     n = rows.count()
 
     def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What a task has for a shard goes as one compressed row."""
+        packer = zstandard.ZstdCompressor(level=3)
         for frame in frames:
-            slot = feistel(frame["index"].to_numpy(), n, key)
-            yield pd.DataFrame({"shard": slot // per, "slot": slot, "n": frame["n"], "ids": frame["ids"]})
+            slot, count = feistel(frame["index"].to_numpy(), n, key), frame["n"].to_numpy(np.int32)
+            order = np.argsort(slot)
+            slot, count, ids = slot[order], count[order], [frame["ids"].iloc[k] for k in order.tolist()]
+            shard = slot // per
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            out = [(int(shard[i]), slot[i:j].tobytes(), count[i:j].tobytes(), packer.compress(b"".join(ids[i:j]))) for i, j in zip(cuts[:-1], cuts[1:]) if i < j]
+            yield pd.DataFrame(out, columns=["shard", "slots", "n", "data"])
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("slot")
         shard = int(frame["shard"].iloc[0])
+        slot, count = np.frombuffer(b"".join(frame["slots"]), np.int64), np.frombuffer(b"".join(frame["n"]), np.int32)
+        data = b"".join(map(zstandard.ZstdDecompressor().decompress, frame["data"]))
+        order = np.argsort(slot)
+        slot, count, ids = slot[order], count[order], [data[k * stride : (k + 1) * stride] for k in order.tolist()]
         store, top = pafs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
         name = f"{top}/shard-{shard:08d}.bin"
-        data = b"".join(frame["ids"])
         if store.get_file_info(name).size != len(data):
             own = f"{name}.{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(own, compression=None) as out:
-                out.write(data)
+                out.write(b"".join(ids))
             store.move(own, name)
-        return pd.DataFrame({"slot": frame["slot"], "shard": shard, "offset": (frame["slot"] - shard * per) * stride, "n_tokens": frame["n"], "crc32": [zlib.crc32(x) for x in frame["ids"]], "path": f"{folder}/shard-{shard:08d}.bin"})
+        return pd.DataFrame({"slot": slot, "shard": shard, "offset": (slot - shard * per) * stride, "n_tokens": count, "crc32": list(map(zlib.crc32, ids)), "path": f"{folder}/shard-{shard:08d}.bin"})
 
     placed = rows.join(F.broadcast(starts), "part").select((F.col("start") + F.col("at")).alias("index"), "n", "ids")
-    return placed.mapInPandas(slots, "shard long, slot long, n int, ids binary").groupBy("shard").applyInPandas(write, SHARD_ROWS)
+    return placed.mapInPandas(slots, "shard long, slots binary, n binary, data binary").groupBy("shard").applyInPandas(write, SHARD_ROWS)
 
 
 def read_slots(path: str, offset: int, length: int = SEQUENCE, count: int = 1) -> np.ndarray:
