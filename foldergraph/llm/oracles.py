@@ -64,7 +64,9 @@ FROM o
 _OP9 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
 c AS (SELECT conv_id, md5(concat(max(role) FILTER (i = 1), chr(10), max(text) FILTER (i = 1))) AS first, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said FROM t GROUP BY conv_id),
-p AS (SELECT *, (row_number() OVER (ORDER BY first, conv_id) - 1) // 2 AS pair_id FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY first, conv_id) - 1 AS rank, row_number() OVER (PARTITION BY first ORDER BY conv_id) - 1 AS pos, count(*) OVER (PARTITION BY first) AS n FROM c),
+p AS (SELECT conv_id, said, rank - pos % 2 AS pair_id FROM o WHERE NOT (pos = n - 1 AND n % 2 = 1)
+      UNION ALL SELECT conv_id, said, -1 - (row_number() OVER (ORDER BY first, conv_id) - 1) // 2 FROM o WHERE pos = n - 1 AND n % 2 = 1),
 s AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY said DESC, conv_id) AS side FROM p),
 x AS (SELECT s.pair_id, s.side, t.* FROM s JOIN t USING (conv_id)),
 m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i, coalesce(a.role = b.role AND a.text = b.text, false) AS same

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldergraph.llm.common import global_rank
+from foldergraph.operators.skew import group_totals, salt
 
 
 def conversations_by_turn(turns: DataFrame) -> DataFrame:
@@ -35,14 +36,19 @@ def _spans(turns: Column) -> Column:
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """One row per pair of conversations of turns(conv_id, turn, role, text).
 
-    Conversations are ordered by their first turn, then conv_id, so that those that begin alike are neighbours, and taken
-    two by two. The one with more assistant text is chosen, on a tie the smaller conv_id. prompt: the common turns (role
+    Conversations with the same first turn are taken two by two in order of conv_id. What is left over, at most one of each first
+    turn, is taken two by two in order of first turn (by its MD5) and has a negative pair_id. The one with more assistant text is chosen, on a tie the smaller conv_id. prompt: the common turns (role
     and text alike); chosen, rejected: the rest, rendered; chosen_spans, rejected_spans: the assistant parts, which alone
     count in the loss. An odd last conversation is paired with nothing: its prompt is empty, rejected is null. Null role
     or text counts as empty; rows of null conv_id form one conversation; repeated rows are turns of their own.
     """
     whole = conversations_by_turn(turns)
-    ranks = global_rank(whole.select("first", "conv_id"), ["first", "conv_id"]).select(F.expr("rank div 2").alias("pair_id"), F.col("conv_id").alias("_id"))
+    keys = ["first", "conv_id"]
+    ranks = group_totals(global_rank(whole.select(*keys), keys).withColumn("_salt", salt(turns.sparkSession, "conv_id")), ["first"], "_salt", start=("min", "rank"), n=("count", "*"))
+    ranks = ranks.withColumn("at", F.col("rank") - F.col("start")).withColumn("left", (F.col("at") == F.col("n") - 1) & (F.col("n") % 2 == 1))
+    own = ranks.filter("NOT left").select((F.col("rank") - F.col("at") % 2).alias("pair_id"), F.col("conv_id").alias("_id"))
+    left = global_rank(ranks.filter("left").select(*keys), keys).select(F.expr("-1 - rank div 2").alias("pair_id"), F.col("conv_id").alias("_id"))
+    ranks = own.unionByName(left)
     said = F.aggregate(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(0), lambda n, t: n + F.length(t["text"]))
     sides = whole.join(ranks, whole["conv_id"].eqNullSafe(F.col("_id"))).select("pair_id", F.struct((-said).alias("less"), "conv_id", "turns").alias("side"))
     sides = sides.groupBy("pair_id").agg(F.array_sort(F.collect_list("side")).alias("s"))
