@@ -1,5 +1,7 @@
+import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -134,15 +136,81 @@ def test_token_shards(spark, rows, tmp_path):
     assert token_shards.token_shards(docs.limit(0)).count() == 0
 
 
-def test_quality(spark, rows):
+def _perplexities(texts):
+    """Log perplexity per byte of each text by the definition: modified Kneser-Ney with one occurrence of the gram left out."""
+    order = quality.ORDER
+    padded = [b"\xff" * (order - 1) + re.sub(rb"[\t-\r]", b" ", t.encode()) for t in texts]
+    n = {order: collections.Counter(x[k : k + order] for x in padded for k in range(len(x) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        n[k] = collections.Counter(g[1:] for g in n[k + 1])
+    cuts, total, left = {}, {}, collections.Counter()
+    for k, own in n.items():
+        t = [0, *(float(sum(v == c for v in own.values())) for c in (1, 2, 3, 4))]
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else 0.5
+        found = [c - (c + 1) * y * t[c + 1] / t[c] if t[c] else 0.0 for c in (1, 2, 3)]
+        cuts[k] = [0.0, *(d if 0 < d <= c else c / 2 for c, d in zip((1, 2, 3), found))]
+        total[k] = collections.Counter()
+        for g, v in own.items():
+            total[k][g[:-1]] += v
+            left[g[:-1]] += cuts[k][min(v, 3)]
+
+    def prob(g, out):
+        if not g:
+            return 1 / 256
+        k, v = len(g), n[len(g)][g]
+        d, less, of, rest = cuts[k][min(v, 3)], cuts[k][min(v - 1, 3)], total[k][g[:-1]], left[g[:-1]]
+        if not out:
+            return (v - d) / of + rest / of * prob(g[1:], False)
+        if of == 1:
+            return prob(g[1:], True)
+        return (v - 1 - less) / (of - 1) + (rest - d + less) / (of - 1) * prob(g[1:], v == 1)
+
+    return [-sum(math.log(prob(x[k : k + order], True)) for k in range(len(x) - order + 1)) / len(t.encode()) if t else None for t, x in zip(texts, padded)]
+
+
+def test_quality_against_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr(quality, "PART_GRAMS", 200)  # several parts
+    rows = [r for r in rows if r[0] != 106]
+    want = []
+    for lang in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == lang]
+        want += [(i, lang or "", t) for (i, *_), t in zip(own, _perplexities([r[1] or "" for r in own]))]
+    got = quality.quality_rules(_docs(spark, rows)).collect()
+    order = lambda x: (repr(x[0]), x[1], x[2] or 0.0)
+    for a, b in zip(sorted(want, key=order), sorted(((r.doc_id, r.lang, r.log_perplexity) for r in got), key=order), strict=True):
+        assert a[:2] == b[:2] and a[2] == (None if a[2] is None else pytest.approx(b[2], abs=1e-9))
+    bands = {}
+    for lang in {r.lang for r in got}:
+        bins = sorted(round(r.log_perplexity / quality.GRAIN) for r in got if r.lang == lang and not r.base_failed)
+        if bins:
+            mid = bins[(len(bins) - 1) // 2]
+            off = sorted(abs(x - mid) for x in bins)[(len(bins) - 1) // 2]
+            bands[lang] = mid * quality.GRAIN, max(off, 10) * quality.GRAIN * 1.4826 * quality.UPPER
+    for r in got:
+        mid, most = bands.get(r.lang, (0.0, 0.0))
+        assert r.kept == (not r.base_failed and abs(r.log_perplexity - mid) <= most)
+
+
+def test_quality(spark, rows, monkeypatch):
     assert quality.counted(None) == (0, 0, 0, 0, 0)
     assert quality.counted("a b c a b c\na b\n\nx #\nx #") == (12, 12, 2, 1, 8)  # abc, bca and cab occur twice and cover the first eight words
-    counts = quality.gram_counts(_docs(spark, rows))
-    table = quality.kneser_ney(counts).toPandas()
-    model = quality.GramModel(table[table["lang"] == "en"])
-    for context in ((0xFF << 8) | 0xFF, (ord("a") << 8) | ord("l"), (1 << 8) | 2):
-        p = np.exp(model.logp(np.uint32(context << 8) | np.arange(256, dtype=np.uint32)))
+    table = quality.kneser_ney(quality.gram_counts(_docs(spark, rows)), own=False).toPandas()
+    table = table[table["lang"] == "en"]
+    model, parts = quality.GramModel(lambda k: table, 1), quality.GramModel(lambda k: table[table["gram"] % 5 == k], 5)
+    for context in (b"\xff\xff\xff", b"xal", b" be", b"\x01\x01\x02"):
+        grams = (int.from_bytes(context) << 8) + np.arange(256, dtype=np.uint64)
+        p = np.exp(model.logp(grams))
         assert p.sum() == pytest.approx(1.0, abs=1e-6) and (p > 0).all()
+        assert model.logp(grams).tolist() == parts.logp(grams).tolist()
+    texts = [b"", b"some text of a few words", b"x", b"and more"]
+    whole = np.concatenate([quality._grams(run)[0] for run, _ in quality._runs(texts)])
+    monkeypatch.setattr(quality, "STEP", 5)
+    runs = list(quality._runs(texts))
+    assert len(runs) > 4 and np.concatenate([quality._grams(run)[0] for run, _ in runs]).tolist() == whole.tolist()
+    sizes = np.zeros(4, int)
+    for run, owner in runs:
+        np.add.at(sizes, owner, quality._grams(run)[1])
+    assert sizes.tolist() == [len(x) for x in texts]
     got = quality.quality_rules(_docs(spark, rows)).collect()
     assert len(got) == len(rows) and not any(r.kept and r.base_failed for r in got)
     assert [r.base_failed for r in got if r.doc_id in (102, 103, 105)] == [True] * 3
