@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from foldergraph.llm.line_dedup import line_dedup
 from foldergraph.llm.mixing import mixed_documents
+from foldergraph.llm.near_dedup import near_dedup
 from foldergraph.llm.piece_nbest import encode
 from foldergraph.llm.quality import quality_filter
-from foldergraph.llm.simhash import simhash_dedup
 from foldergraph.sources.shared import new_dir
 
 
@@ -28,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
-    return simhash_dedup(docs)
+    """One document, that of the smallest doc_id, of each group of near duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    return near_dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

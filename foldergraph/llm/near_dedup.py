@@ -1,0 +1,250 @@
+"""Near-duplicate removal by the exact Jaccard similarity of word shingles; documents are compared that share one of their rarest shingles."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyarrow import dataset as pads
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foldergraph.llm.common import same_row, text_key
+from foldergraph.operators.components import connected_components
+from foldergraph.operators.skew import group_totals, lookup, salt
+from foldergraph.sources.shared import cut, new_dir
+
+SHINGLE_WORDS = 5
+#: Near duplicates have a Jaccard similarity of MOST_OF[0] / MOST_OF[1] at least.
+MOST_OF = (4, 5)
+SEED = 42
+#: Counters of the sketch of shingle frequencies, and how many of them are in a row. Their number bears on speed only.
+SLOTS = 1 << 20
+PIECE = 1 << 12
+#: Bits of a set's parity marks, and of a filter that tells tasks which keys others need. Their number bears on speed only.
+MARKS = 1 << 10
+FILTER = 1 << 26
+FILTER_PIECE = 1 << 15
+
+
+def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, ascending; fewer words than a shingle are one shingle, no words none."""
+    # bytes.split() without arguments splits at space and \\x09-\\x0D, bytes.lower() changes A-Z only
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    n, joined, digest = max(1, len(parts) - words + 1), b" ".join(parts), xxhash.xxh64_intdigest
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes)[:n].tolist()
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[-n:] - 1).tolist())), np.uint64, n))
+
+
+def marks(found: np.ndarray) -> bytes:
+    """Of MARKS classes of shingles, whether the set has an odd number; sets whose marks differ in k bits differ in k shingles at least."""
+    return np.packbits(np.bincount((found % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1).tobytes()
+
+
+def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, text_key, node (names the set of shingles), n (their number), marks (their parities), shingles (packed) per row of docs."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [shingles(x, words) for x in frame.pop("text")]
+            raw = [x.tobytes() for x in found]
+            node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
+            yield frame.assign(node=node, n=[len(x) for x in found], marks=[marks(x) for x in found], shingles=raw)
+
+    # doc_id as string: pandas would make floats of nullable integers
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key().alias("text_key"), "text")
+    found = rows.mapInPandas(each, "doc_id string, text_key long, node long, n long, marks binary, shingles binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def write_sketch(sets: DataFrame, path: str) -> None:
+    """Write how many shingles fall on each of SLOTS counters, PIECE counters a row."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(SLOTS, np.int64)
+        for frame in frames:
+            for raw in frame["shingles"]:
+                np.add.at(sums, (np.frombuffer(raw, np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        yield pd.DataFrame({"piece": np.arange(SLOTS // PIECE), "sums": [x.tobytes() for x in sums.astype(np.uint32).reshape(-1, PIECE)]})
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        sums = np.zeros(PIECE, np.int64)
+        for raw in frame["sums"]:
+            sums += np.frombuffer(raw, np.uint32)
+        return pd.DataFrame({"piece": frame["piece"][:1], "sums": [sums.tobytes()]})
+
+    sets.select("shingles").mapInPandas(count, "piece long, sums binary").groupBy("piece").applyInPandas(add, "piece long, sums binary").write.parquet(path)
+
+
+def read_sketch(path: str) -> np.ndarray:
+    store, top = pafs.FileSystem.from_uri(path)
+    sums = np.zeros((SLOTS // PIECE, PIECE), np.int64)
+    for row in pads.dataset(top, filesystem=store, format="parquet").to_table().to_pylist():
+        sums[row["piece"]] = np.frombuffer(row["sums"], np.int64)
+    return sums.ravel()
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """Two bits of a filter for each key."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.stack([mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF)]).astype(np.int64) % FILTER
+
+
+def write_filter(keys: DataFrame, path: str) -> None:
+    """Write a Bloom filter of keys(key), which are distinct."""
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            slot = _slots(frame["key"].to_numpy()).ravel()
+            yield pd.DataFrame({"piece": slot // FILTER_PIECE, "at": slot % FILTER_PIECE})
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(FILTER_PIECE, bool)
+        bits[frame["at"]] = True
+        return pd.DataFrame({"piece": frame["piece"][:1], "bits": [np.packbits(bits).tobytes()]})
+
+    keys.mapInPandas(spread, "piece long, at long").groupBy("piece").applyInPandas(pack, "piece long, bits binary").write.parquet(path)
+
+
+def read_filter(path: str) -> np.ndarray:
+    store, top = pafs.FileSystem.from_uri(path)
+    bits = np.zeros((FILTER // FILTER_PIECE, FILTER_PIECE // 8), np.uint8)
+    for row in pads.dataset(top, filesystem=store, format="parquet").to_table().to_pylist():
+        bits[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.ravel()
+
+
+def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that were not written."""
+    slot = _slots(keys)
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).all(axis=0)
+
+
+def prefixes(sets: DataFrame, sketch: str, wanted: str | None = None) -> DataFrame:
+    """shingle, node, n: of each set as many of its rarest shingles that any set similar enough has one of them among its own.
+
+    Two similar sets share at least the MOST_OF share of either, so both have a common shingle before the last that many in any
+    order that all sets keep to. Here that is by the sketch, then by hash; a wrong count makes for more rows, not for other results.
+    wanted: a filter of the shingles that are asked for; a few others come as well.
+    """
+    share, of = MOST_OF
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = bits = None
+        for frame in frames:
+            if often is None:
+                often, bits = read_sketch(sketch), None if wanted is None else read_filter(wanted)
+            frame = frame.drop_duplicates("node")
+            own = []
+            for raw in frame["shingles"]:
+                found = np.frombuffer(raw, np.uint64)
+                first = len(found) + (-len(found) * share) // of + 1 if len(found) else 0
+                own.append(found[np.lexsort((found, often[(found % np.uint64(SLOTS)).astype(np.int64)]))[:first]])
+            sizes = [len(x) for x in own]
+            shingle = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            out = pd.DataFrame({"shingle": shingle, "node": np.repeat(frame["node"].to_numpy(), sizes), "n": np.repeat(frame["n"].to_numpy(), sizes)})
+            yield out if bits is None else out[_held(bits, shingle)]
+
+    return sets.select("node", "n", "shingles").mapInPandas(each, "shingle long, node long, n long")
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """src, dst: those of pairs(src, dst) of nodes whose sets are similar enough; one node may be in any number of pairs.
+
+    Pairs whose sizes or marks differ too much are dropped before the sets are brought together.
+    """
+    share, of = MOST_OF
+    spark = pairs.sparkSession
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            one, two = (np.frombuffer(b"".join(frame[k]), np.uint64).reshape(-1, MARKS // 64) for k in ("marks1", "marks2"))
+            differ = np.maximum(np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64), (frame["n1"] - frame["n2"]).abs())
+            yield frame.loc[(of + share) * differ <= (of - share) * (frame["n1"] + frame["n2"]), ["src", "dst"]]
+
+    def similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(frame["shingles1"], frame["shingles2"])]
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in rows], np.int64)
+            total = np.array([len(x) + len(y) for x, y in rows], np.int64)
+            yield frame.loc[of * both >= share * (total - both), ["src", "dst"]]
+
+    def beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        """pairs with the columns of table(node, ...) for either end."""
+        for k, (end, other) in enumerate((("src", "dst"), ("dst", "src")), 1):
+            own = table.select(F.col("node").alias(end), *[F.col(x).alias(f"{x}{k}") for x in table.columns if x != "node"])
+            pairs = lookup(pairs.withColumn("_salt", salt(spark, other)), own, [end], "_salt").drop("_salt")
+        return pairs
+
+    def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = None
+        for frame in frames:
+            bits = read_filter(wanted) if bits is None else bits
+            yield frame[_held(bits, frame["node"].to_numpy())]
+
+    pairs = cut(pairs.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+    light = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("marks").alias("marks"))
+    close = cut(beside(pairs, light).select("src", "dst", "n1", "n2", "marks1", "marks2").mapInPandas(near, "src long, dst long"), "close")
+    wanted = new_dir(spark, "wanted")
+    write_filter(close.select(F.col("src").alias("key")).union(close.select(F.col("dst").alias("key"))).distinct(), wanted)
+    full = sets.select("node", "shingles").mapInPandas(asked, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return cut(beside(close, cut(full, "full")).select("src", "dst", "shingles1", "shingles2").mapInPandas(similar, "src long, dst long"), "links")
+
+
+def set_links(sets: DataFrame) -> DataFrame:
+    """src, dst: links that connect the nodes of sets as all pairs of similar sets do, without emitting all pairs of a large group.
+
+    First every set is compared with the least and the greatest node that share a shingle with it. What that connects needs no
+    more pairs: then only pairs from different components are compared, and those only where one is not in the least node's.
+    """
+    spark, share, of = sets.sparkSession, *MOST_OF
+    sketch = new_dir(spark, "sketch")
+    write_sketch(sets, sketch)
+    hubs = cut(prefixes(sets, sketch).groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "hubs")
+    wanted = new_dir(spark, "wanted")
+    write_filter(hubs.select(F.col("shingle").alias("key")), wanted)
+    rows = cut(prefixes(sets, sketch, wanted).distinct().withColumn("_salt", salt(spark, "node")), "prefixes")
+    rows = cut(lookup(rows, hubs, ["shingle"], "_salt").drop("_salt"), "shared")
+    links = similar_links(rows.select(F.col("node").alias("src"), F.explode(F.array("low", "high")).alias("dst")), sets)
+    found = cut(connected_components(links).withColumnRenamed("id", "node"), "found")
+    rows = cut(rows.select("shingle", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "rows")
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("shingle")
+    major = hubs.select("shingle", F.col("low").alias("node")).join(found, "node", "left").select("shingle", F.coalesce("component", "node").alias("major"))
+    rows = cut(lookup(rows.withColumn("_salt", salt(spark, "node")), mixed.join(major, "shingle"), ["shingle"], "_salt"), "mixed")
+    minor = rows.filter("component <> major").select("shingle", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    left = lookup(rows, minor, ["shingle"], "_salt").filter("component <> component2")
+    left = left.filter((F.least("n", "n2") * of >= F.greatest("n", "n2") * share) & ((F.col("component") == F.col("major")) | (F.col("node") < F.col("node2"))))
+    return links.unionByName(similar_links(left.select(F.col("node").alias("src"), F.col("node2").alias("dst")), sets))
+
+
+def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, text_key, component_id (smallest doc_id reachable over links of similar texts).
+
+    Texts are linked if the Jaccard similarity of their sets of shingles is 0.8 or more; A-Z count as a-z, words are parted by
+    white space. Texts without words, null among them, are alike. A null doc_id takes part but is never a component_id unless its
+    component has no other.
+    """
+    spark = docs.sparkSession
+    sets = cut(shingle_sets(docs, words), "sets")
+    prints = sets.select("doc_id", "text_key", "node").withColumn("_salt", salt(spark, "doc_id", "text_key"))
+    roots = connected_components(set_links(sets)).withColumnRenamed("id", "node")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = group_totals(nodes.withColumn("_part", salt(spark, "node")), ["component"], "_part", component_id=("min", "least")).select("node", "component_id")
+    return lookup(prints, nodes, ["node"], "_salt").select("doc_id", "text_key", "component_id")
+
+
+def near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component the row of the smallest doc_id.
+
+    A component without any doc_id keeps all its rows, and rows that repeat that doc_id stay with it.
+    """
+    stay = near_groups(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key().alias("text_key"))
+    return same_row(keyed, stay, ["doc_id", "text_key"], "left_semi").select("row.*")

@@ -321,3 +321,55 @@ def test_pipeline(spark, rows, tmp_path):
     _docs(spark, rows).withColumn("doc_id", F.col("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "ids", "nbest", "round_trip"] and out.filter("NOT round_trip").count() == 0
+
+
+def _near_groups(rows):
+    """For each row the smallest doc_id that it is connected to over pairs of 5-word Jaccard similarity 0.8 or more."""
+    sets = []
+    for _, t, *_ in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if (not sets[a] and not sets[b]) or both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+    return [min((rows[j][0] for j in range(len(rows)) if root[j] == root[k] and rows[j][0] is not None), default=None) for k in range(len(rows))]
+
+
+@pytest.fixture(scope="module")
+def near_rows(rows):
+    """rows, and groups of copies with words changed, chains among them: similarities on both sides of 0.8."""
+    rnd, out = random.Random(8), list(rows)
+    words = [f"w{k}" for k in range(400)]
+    for group in range(6):
+        base = [rnd.choice(words) for _ in range(100)]
+        for k in range(8):
+            if k % 3 == 2:
+                base = own
+            own = list(base)
+            for at in rnd.sample(range(100), k % 5):
+                own[at] = rnd.choice(words)
+            out.append((1000 + 10 * group + (7 * k) % 8, " ".join(own), "en", "a"))
+    return out
+
+
+@pytest.mark.parametrize("slots", [1 << 12, 1 << 20])
+def test_near_dedup(spark, near_rows, monkeypatch, slots):
+    from foldergraph.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SLOTS", slots)
+    want = _near_groups(near_rows)
+    got = near_dedup.near_groups(_docs(spark, near_rows)).collect()
+    assert sorted(repr((i, w)) for (i, *_), w in zip(near_rows, want)) == sorted(repr((r.doc_id, r.component_id)) for r in got)
+    assert 1 < len({w for w in want if w and w >= 1000}) < 48
+
+
+def test_near_duplicate_stage(spark, near_rows):
+    import corpus_pipeline
+
+    want = [(i, t) for (i, t, *_), w in zip(near_rows, _near_groups(near_rows)) if i == w]
+    out = corpus_pipeline.near_duplicate_stage(spark, _docs(spark, near_rows), "")
+    assert out.columns == _docs(spark, []).columns and sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text)) for r in out.collect())
+    assert corpus_pipeline.near_duplicate_stage(spark, _docs(spark, []), "").count() == 0
