@@ -373,3 +373,10 @@ def test_near_duplicate_stage(spark, near_rows):
     out = corpus_pipeline.near_duplicate_stage(spark, _docs(spark, near_rows), "")
     assert out.columns == _docs(spark, []).columns and sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text)) for r in out.collect())
     assert corpus_pipeline.near_duplicate_stage(spark, _docs(spark, []), "").count() == 0
+
+
+def test_quality_bounds_of_each_side(spark):
+    bins = [0] * 20 + [-10, 10] * 20 + [k * 15 for k in (-9, -7, -6, -4, 4, 6, 7, 9)]  # a scaled deviation is 14.826 bins
+    rows = spark.createDataFrame([("en", 2 + k * quality.GRAIN, False) for k in bins] + [("en", 9.0, True), ("en", None, False)], "lang string, log_perplexity double, base_failed boolean")
+    band = quality.perplexity_bands(rows).head()
+    assert [k for k in (-9, -7, -6, -4, 4, 6, 7, 9) if not band.low <= 2 + k * 15 * quality.GRAIN <= band.high] == [-9, 6, 7, 9]
