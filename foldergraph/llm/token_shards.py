@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldergraph.sources.shared import cut, new_dir
+from foldergraph.llm.common import NO_ID, text_key
+from foldergraph.sources.shared import cut, new_dir, slices, store_of
 
 #: Public byte-level BPE, ids below 50256; 50256 is free and ends a document here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -88,36 +89,26 @@ def feistel(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str = VOCABULARY, length: int = SEQUENCE) -> DataFrame:
-    """part, at, n, ids: each task's documents, each with its end mark, joined and cut every `length` ids; the last is filled up with end marks."""
+def token_runs(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """part, at, ids: the documents in order of (doc_id, text hash), each with its end mark, as runs of ids.
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks, end = _Chunks(path), np.array([END], IDS).tobytes()
-        part, at, stride = TaskContext.get().partitionId(), 0, length * IDS.itemsize
-        rest: list[bytes] = []
-
-        def rows(data: bytes) -> pd.DataFrame:
-            cuts = range(0, len(data), stride)
-            return pd.DataFrame({"part": part, "at": range(at, at + len(cuts)), "n": [min(stride, len(data) - k) // IDS.itemsize for k in cuts], "ids": [data[k : k + stride] for k in cuts]})
+    part counts the ranges of the order, at the ids of a range before the run; a null doc_id comes first.
+    """
 
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunks, end = _Chunks(path), np.array([END], IDS).tobytes()
+        part, at = TaskContext.get().partitionId(), 0
         for frame in frames:
             run = np.cumsum([len(x) for x in frame["text"]]) // _STEP
             for _, texts in frame["text"].groupby(run, sort=False):
-                rest += [x for own in chunks.texts(texts.tolist()) for x in (*own, end)]
-                data = b"".join(rest)
-                whole = len(data) - len(data) % stride
-                rest = [data[whole:]]
-                if whole:
-                    out = rows(data[:whole])
-                    at += len(out)
-                    yield out
-        data = b"".join(rest)
-        if data:
-            out = rows(data)
-            out["ids"] = [x + end * ((stride - len(x)) // IDS.itemsize) for x in out["ids"]]
-            yield out
-
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(pack, "part int, at long, n int, ids binary")
+                data = b"".join(x for own in chunks.texts(texts.tolist()) for x in (*own, end))
+                yield pd.DataFrame({"part": [part], "at": [at], "ids": [data]})
+                at += len(data) // IDS.itemsize
+
+    order = [F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_key().alias("key")]
+    rows = docs.select(*order, F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartitionByRange(slices(docs.sparkSession), "doc", "key").sortWithinPartitions("doc", "key")
+    return rows.select("text").mapInPandas(encode, "part int, at long, ids binary")
 
 
 SHARD_ROWS = "slot long, shard long, offset long, n_tokens int, crc32 long, path string"
@@ -126,56 +117,81 @@ SHARD_ROWS = "slot long, shard long, offset long, n_tokens int, crc32 long, path
 def token_shards(docs: DataFrame, folder: str | None = None, path: str = VOCABULARY, length: int = SEQUENCE, shard_bytes: int = SHARD_BYTES, key: int = KEY) -> DataFrame:
     """Write the texts of docs as shards below folder; a row per sequence: slot, shard, offset in its file, n_tokens, crc32, path.
 
-    Slot s lies in shard s // (sequences a shard) at a fixed stride, so that training reads shards from front to end and resumes
-    at any slot by its number. A shard is written under another name and moved into place, a repeated task writes the same
-    bytes; a shard that is there whole is left as it is. Null and empty texts give an end mark only, a table without rows gives
-    no shard; repeated rows are written again, other columns are not used. Sequences join documents in the order in which the
-    table's splits hold them.
+    The documents, in order of doc_id (then of a hash of the text) and each with an end mark, are one row of ids, which is cut every
+    `length`; the last sequence is filled up with end marks. The key alone decides a sequence's slot, so that the same table gives the
+    same shards however it is split. Slot s lies in shard s // (sequences a shard) at a fixed stride: training reads shards from front
+    to end and resumes at any slot by its number. A shard is written under another name and put in the place of what is there; a
+    repeated task writes the same bytes. Null and empty texts give an end mark only, a table without rows gives no shard; repeated rows
+    are written again, other columns are not used.
     """
     spark = docs.sparkSession
     stride = length * IDS.itemsize
     per = max(1, shard_bytes // stride)
     folder = folder or new_dir(spark, "shards")
-    rows = cut(sequences(docs, path, length), "sequences")
-    sizes = rows.groupBy("part").agg(F.count("*").alias("k"))  # a row for each task
+    runs = cut(token_runs(docs, path), "runs")
+    sizes = runs.groupBy("part").agg(F.sum(F.expr(f"octet_length(ids) div {IDS.itemsize}")).alias("k"))  # a row for each range
     starts = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("start"))
-    n = rows.count()
+    n = -(-(sizes.agg(F.sum("k")).head()[0] or 0) // length)
+    shards = -(-n // per)
+    tasks = max(1, min(shards, slices(spark)))
 
-    def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """What a task has for a shard goes as one compressed row."""
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What a run has for a shard goes as one compressed row: its pieces of sequences with their slots, places and sizes."""
         packer = zstandard.ZstdCompressor(level=3)
         for frame in frames:
-            slot, count = feistel(frame["index"].to_numpy(), n, key), frame["n"].to_numpy(np.int32)
-            order = np.argsort(slot)
-            slot, count, ids = slot[order], count[order], [frame["ids"].iloc[k] for k in order.tolist()]
-            shard = slot // per
-            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-            out = [(int(shard[i]), slot[i:j].tobytes(), count[i:j].tobytes(), packer.compress(b"".join(ids[i:j]))) for i, j in zip(cuts[:-1], cuts[1:]) if i < j]
-            yield pd.DataFrame(out, columns=["shard", "slots", "n", "data"])
-
-    def write(frame: pd.DataFrame) -> pd.DataFrame:
-        shard = int(frame["shard"].iloc[0])
-        slot, count = np.frombuffer(b"".join(frame["slots"]), np.int64), np.frombuffer(b"".join(frame["n"]), np.int32)
-        data = b"".join(map(zstandard.ZstdDecompressor().decompress, frame["data"]))
-        order = np.argsort(slot)
-        slot, count, ids = slot[order], count[order], [data[k * stride : (k + 1) * stride] for k in order.tolist()]
-        store, top = pafs.FileSystem.from_uri(folder)
+            out = []
+            for first, data in zip(frame["start"], frame["ids"]):
+                last = first + len(data) // IDS.itemsize
+                edge = np.r_[first, np.arange(first // length + 1, -(-last // length)) * length, last]
+                slot = feistel(edge[:-1] // length, n, key)
+                for own in np.split(order := np.argsort(slot), np.flatnonzero(np.diff(slot[order] // per)) + 1):
+                    cuts = ((edge[own] - first) * IDS.itemsize).tolist(), ((edge[own + 1] - first) * IDS.itemsize).tolist()
+                    place = np.stack([slot[own], edge[own] % length, edge[own + 1] - edge[own]]).astype(np.int64)
+                    out.append((int(slot[own[0]]) // per, place.tobytes(), packer.compress(b"".join(data[a:b] for a, b in zip(*cuts)))))
+            yield pd.DataFrame(out, columns=["shard", "places", "data"])
+
+    def put(shard: int, rows: list[tuple[bytes, bytes]]) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor().decompress
+        slots = min(per, n - shard * per)
+        ids, count = np.full(slots * length, END, IDS), np.zeros(slots, np.int32)
+        for places, data in rows:
+            slot, at, k = np.frombuffer(places, np.int64).reshape(3, -1)
+            begin = (slot - shard * per) * length + at
+            np.add.at(count, slot - shard * per, k)
+            ids[np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(k.sum())] = np.frombuffer(unpack(data), IDS)
+        store, top = store_of(folder)
         store.create_dir(top, recursive=True)
-        name = f"{top}/shard-{shard:08d}.bin"
-        if store.get_file_info(name).size != len(data):
-            own = f"{name}.{TaskContext.get().taskAttemptId()}"
-            with store.open_output_stream(own, compression=None) as out:
-                out.write(b"".join(ids))
-            store.move(own, name)
-        return pd.DataFrame({"slot": slot, "shard": shard, "offset": (slot - shard * per) * stride, "n_tokens": count, "crc32": list(map(zlib.crc32, ids)), "path": f"{folder}/shard-{shard:08d}.bin"})
+        name, raw = f"{top}/shard-{shard:08d}.bin", ids.tobytes()
+        own = f"{name}.{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(own, compression=None) as out:
+            out.write(raw)
+        if not isinstance(store, pafs.LocalFileSystem) and store.get_file_info(name).type == pafs.FileType.File:
+            store.delete_file(name)
+        store.move(own, name)
+        slot, crc = np.arange(slots), [zlib.crc32(raw[k * stride : (k + 1) * stride]) for k in range(slots)]
+        return pd.DataFrame({"slot": shard * per + slot, "shard": shard, "offset": slot * stride, "n_tokens": count, "crc32": crc, "path": f"{folder}/shard-{shard:08d}.bin"})
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task holds a range of shards, sorted; the rows of one shard are in memory at a time."""
+        now, rows = None, []
+        for frame in frames:
+            for shard, *row in frame.itertuples(index=False):
+                if rows and shard != now:
+                    yield put(now, rows)
+                    rows = []
+                now = shard
+                rows.append(row)
+        if rows:
+            yield put(now, rows)
 
-    placed = rows.join(F.broadcast(starts), "part").select((F.col("start") + F.col("at")).alias("index"), "n", "ids")
-    return placed.mapInPandas(slots, "shard long, slots binary, n binary, data binary").groupBy("shard").applyInPandas(write, SHARD_ROWS)
+    placed = runs.join(F.broadcast(starts), "part").select((F.col("start") + F.col("at")).alias("start"), "ids")
+    dealt = placed.mapInPandas(pieces, "shard long, places binary, data binary").repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {max(1, shards)} AS int)"))
+    return dealt.sortWithinPartitions("shard").mapInPandas(write, SHARD_ROWS)
 
 
 def read_slots(path: str, offset: int, length: int = SEQUENCE, count: int = 1) -> np.ndarray:
     """`count` sequences of a shard from a byte offset on, as an array of ids."""
-    store, name = pafs.FileSystem.from_uri(path)
+    store, name = store_of(path)
     with store.open_input_file(name) as f:
         f.seek(offset)
         return np.frombuffer(f.read(count * length * IDS.itemsize), IDS).reshape(-1, length)

@@ -9,13 +9,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldergraph.operators.skew import group_totals, salt
-from foldergraph.sources.shared import cut, new_dir
+from foldergraph.sources.shared import cut, new_dir, store_of
 
 LEAST_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -101,7 +100,7 @@ def write_archives(plan: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> D
     """
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, top = pafs.FileSystem.from_uri(folder)
+        store, top = store_of(folder)
         store.create_dir(top, recursive=True)
         part, out, path, n, size = TaskContext.get().partitionId(), None, "", 0, 0
         done = []
@@ -137,7 +136,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in RECORDS.split(", ")]
         for frame in frames:
             for uri in frame["path"]:
-                store, path = pafs.FileSystem.from_uri(uri)
+                store, path = store_of(uri)
                 rows, size = [], 0
                 with store.open_input_stream(path, compression=None) as stream:
                     for member in members(stream):

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from foldergraph.llm import piece_nbest, quality, simhash, suffix_dedup, token_shards, warc
+from foldergraph.llm.common import text_key
 from foldergraph.llm.exact_dedup import exact_dedup
 from foldergraph.llm.line_dedup import line_dedup
 from foldergraph.llm.mixing import mix, mixed_documents, source_targets
@@ -124,15 +126,19 @@ def test_token_shards(spark, rows, tmp_path):
     texts = [t or "" for _, t, *_ in rows] + ["a  b\n \n c　 x", " x", "\u0085 y", "it's 12 é"]
     chunks = token_shards._Chunks(token_shards.VOCABULARY)
     assert [b"".join(x) for x in chunks.texts(texts)] == [np.array(chunks.model.encode_ordinary(t), token_shards.IDS).tobytes() for t in texts]
-    docs = _docs(spark, rows).coalesce(1)
-    out = token_shards.token_shards(docs, str(tmp_path / "s"), length=32, shard_bytes=1024).orderBy("slot").collect()
-    assert [r.slot for r in out] == list(range(len(out)))
-    index = np.empty(len(out), np.int64)
-    index[token_shards.feistel(np.arange(len(out)), len(out))] = np.arange(len(out))
-    found = sorted((int(index[r.slot]), token_shards.read_slots(r.path, r.offset, 32)[0][: r.n_tokens]) for r in out)
-    ids = np.concatenate([x for _, x in sorted(found, key=lambda x: x[0])])
-    want = [np.array([*chunks.model.encode_ordinary(r.text or ""), token_shards.END], token_shards.IDS) for r in docs.select("text").collect()]
-    assert ids.tolist() == np.concatenate(want).tolist()
+    docs, key = _docs(spark, rows), lambda r: (r.doc_id is not None, r.doc_id or 0, r.key)
+    texts = [r.text or "" for r in sorted(docs.select("doc_id", text_key().alias("key"), "text").collect(), key=key)]
+    want = np.concatenate([[*chunks.model.encode_ordinary(t), token_shards.END] for t in texts]).tolist()
+    found = []
+    for splits, secret in ((1, 5), (3, 5), (8, 5), (8, 6)):  # two keys into one folder
+        out = token_shards.token_shards(docs.repartition(splits, "text"), str(tmp_path / f"s{min(splits, 7)}"), length=32, shard_bytes=1024, key=secret).orderBy("slot").collect()
+        assert [r.slot for r in out] == list(range(len(out))) and [(r.shard, r.offset) for r in out] == [(k // 16, k % 16 * 64) for k in range(len(out))]
+        data = [token_shards.read_slots(r.path, r.offset, 32)[0] for r in out]
+        assert [zlib.crc32(x.tobytes()) for x in data] == [r.crc32 for r in out]
+        slot = token_shards.feistel(np.arange(len(out)), len(out), secret).tolist()
+        assert [int(t) for k in slot for t in data[k][: out[k].n_tokens]] == want and all((data[r.slot][r.n_tokens :] == token_shards.END).all() for r in out)
+        found.append([r.crc32 for r in out])
+    assert found[0] == found[1] == found[2] != found[3]
     assert token_shards.token_shards(docs.limit(0)).count() == 0
 
 
