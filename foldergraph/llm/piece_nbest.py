@@ -17,6 +17,9 @@ from foldergraph.llm.common import text_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
+#: The model's own scores are places in the order of merges, not probabilities. A piece is given the log probability of its place in
+#: that order by Zipf's law, shifted by so many places; this is a fixed rule, nothing is counted or trained.
+SHIFT = 1000
 #: Below the lowest piece score by this much: a character without a piece, which is written as its bytes.
 UNKNOWN = 10.0
 IDS = np.dtype("<u2")
@@ -25,6 +28,8 @@ _UNIT = re.compile(r" +[^ ]*")
 _STEP = 4 << 20
 _BLOCK = 1 << 18
 _MOST_CACHED = 1 << 18
+#: Units of so many characters are taken one by one: the steps of a run are as many as its longest unit has characters.
+_LONG = 256
 #: Bits of a hash by which its place is looked up.
 _TOP = 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -40,10 +45,13 @@ class Pieces:
         self.ids = {model.id_to_piece(i).replace("▁", " "): i for i in ids if not special(i)}
         if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece has a space inside; units would not be independent")
-        scores = np.array([model.get_score(i) for i in ids], np.float64)
-        # -1e9 marks pieces that were added to the vocabulary; they stand with characters that have no piece
-        self.unknown = min(scores[i] for i in self.ids.values() if scores[i] > -1e8) - UNKNOWN
-        self.score = np.maximum(scores, self.unknown)
+        # a score of -1e9 marks pieces that were added to the vocabulary; they stand with characters that have no piece
+        ranked = sorted((i for i in self.ids.values() if model.get_score(i) > -1e8), key=lambda i: (-model.get_score(i), i))
+        chance = 1.0 / (np.arange(len(ranked)) + SHIFT)
+        zipf = np.log(chance / chance.sum())
+        self.unknown = float(zipf[-1]) - UNKNOWN
+        self.score = np.full(len(ids), self.unknown)
+        self.score[ranked] = zipf
         self.scores = self.score.tolist()
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
@@ -80,19 +88,9 @@ class Pieces:
             todo = todo[~same & (self.hashes[k[todo]] < h[todo])]
         return there, np.where(there, self.prefix_id[np.minimum(k, len(self.hashes) - 1)], np.int32(-1))
 
-    def best(self, units: list[str]) -> list[tuple[bytes, float, float]]:
-        """For each unit the ids of its best segmentation, its score, and how far the next best is below (inf: there is none).
-
-        Forward Viterbi over all units at once: one step for each place in a unit. Of equal scores the longer last piece stands.
-        """
-        code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        size = np.fromiter(map(len, units), np.int32, len(units))
-        end = np.cumsum(size)
-        begin = end - size
-        unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
-        place = (np.arange(len(code)) - begin[unit]).astype(np.int32)
-        left = size[unit] - place
-        # edges by length: only prefixes of pieces go on
+    def _edges(self, code: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of a lattice: where each starts, its length and id; -1 is a character without a piece. left: characters to the unit's end."""
+        # only prefixes of pieces go on to the next length
         at, h = np.arange(len(code), dtype=np.int32), np.zeros(len(code), np.uint64)
         edges = []
         for n in range(1, self.longest + 1):
@@ -107,7 +105,21 @@ class Pieces:
             if not len(go):
                 break
             at, h = at[go], h[go]
-        start, n, piece = (np.concatenate(x) for x in zip(*edges))
+        return tuple(np.concatenate(x) for x in zip(*edges))
+
+    def best(self, units: list[str]) -> list[tuple[bytes, float, float]]:
+        """For each unit the ids of its best segmentation, its score, and how far the next best is below (inf: there is none).
+
+        Forward Viterbi over all units at once: one step for each place in a unit. Of equal scores the longer last piece stands.
+        """
+        code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, units), np.int32, len(units))
+        end = np.cumsum(size)
+        begin = end - size
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
+        place = (np.arange(len(code)) - begin[unit]).astype(np.int32)
+        left = size[unit] - place
+        start, n, piece = self._edges(code, left)
         order = np.argsort(place[start], kind="stable")
         start, n, piece = start[order], n[order], piece[order]
         gain = np.where(piece >= 0, self.score[piece], self.unknown)
@@ -160,32 +172,55 @@ class Pieces:
         return np.array(out, IDS).tobytes()
 
     def nbest(self, unit: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a unit: (score, ids). The forward score of a place is the best that the part before it can add, so
-        the search from the end completes segmentations in order of their scores."""
-        size, ids, scores = len(unit), self.ids, self.scores
-        forward, into = [0.0] + [-np.inf] * size, [[] for _ in range(size + 1)]
-        for a in range(size):
-            for b in range(a + 1, min(size, a + self.longest) + 1):
-                i = ids.get(unit[a:b], -1)
-                if i >= 0 or b == a + 1:
-                    gain = scores[i] if i >= 0 else self.unknown
-                    into[b].append((a, i, gain))
-                    forward[b] = max(forward[b], forward[a] + gain)
-        agenda, count, found = [(-forward[size], 0, size, 0.0, None)], 1, []
+        """The n best segmentations of a unit: (score, ids), by a backward A* search.
+
+        The forward score of a place is the best that the part before it can add, so a step's loss against it is exact: a partial path
+        costs what its steps lose. Steps without a loss lead on for nothing and are followed at once; the agenda gets the others, the n
+        cheapest of each path taken up, and of equal cost the one nearest to the unit's start.
+        """
+        code, size = np.frombuffer(unit.encode("utf-32-le"), np.uint32), len(unit)
+        start, length, piece = self._edges(code, np.arange(size, 0, -1))
+        order = np.lexsort((start, start + length))
+        start, piece, stop = start[order], piece[order], (start + length)[order]
+        first = np.searchsorted(stop, np.arange(size + 2))
+        gain = np.where(piece >= 0, self.score[piece], self.unknown)
+        sources, gains, bounds = start.tolist(), gain.tolist(), first.tolist()
+        forward, tight = [0.0] * (size + 1), [0] * (size + 1)
+        for b in range(1, size + 1):  # of equal scores the longer last piece stands
+            forward[b], back = max((forward[sources[k]] + gains[k], -k) for k in range(bounds[b], bounds[b + 1]))
+            tight[b] = -back
+        score = np.array(forward)
+        loss = score[stop] - (score[start] + gain)
+
+        def down(place: int) -> list[int]:
+            """The steps that lose nothing from a place to the start."""
+            steps = []
+            while place:
+                steps.append(tight[place])
+                place = sources[steps[-1]]
+            return steps
+
+        agenda, count, found = [(0.0, size, 0, [])], 1, []
         while agenda and len(found) < n:
-            cost, _, at, behind, path = heapq.heappop(agenda)
-            if at == 0:
-                steps = []
-                while path:
-                    steps.append(path[0])
-                    path = path[1]
-                found.append((-cost, self._spelled(unit, steps)))
-                continue
-            for a, i, gain in into[at]:
-                heapq.heappush(agenda, (-(forward[a] + gain + behind), count, a, gain + behind, (i, path)))
+            cost, place, _, behind = heapq.heappop(agenda)
+            free = down(place)
+            found.append((forward[size] - cost, self._spelled(unit, [int(piece[k]) for k in [*free[::-1], *behind[::-1]]])))
+            places = np.array([place, *(sources[k] for k in free)][: len(free)], np.int64)
+            many = first[places + 1] - first[places]
+            other = np.repeat(first[places] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            after = np.repeat(np.arange(len(places)), many)
+            apart = other != np.array(free, np.int64)[after]
+            other, after = other[apart], after[apart]
+            for k in np.lexsort((start[other], loss[other]))[: n - len(found)].tolist():
+                heapq.heappush(agenda, (cost + float(loss[other[k]]), int(start[other[k]]), count, [*behind, *free[: after[k]], int(other[k])]))
                 count += 1
         return found
 
+    def best_two(self, unit: str) -> tuple[bytes, float, float]:
+        """What best gives for a unit, from its two best segmentations."""
+        (score, ids), *other = self.nbest(unit, 2)
+        return ids, score, score - other[0][0] if other else np.inf
+
     def decoded(self, ids: np.ndarray) -> str:
         """The text of ids: pieces and bytes joined, less the space that encoding puts first."""
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:].decode(errors="replace")
@@ -216,14 +251,17 @@ class Encoder:
         own = [[u[1:] for u in _UNIT.findall(" " + x)] if "  " in x or x.startswith(" ") else x.split(" ") for x in texts]
         if len(self.known) > _MOST_CACHED:
             self.forget()
-        new = list({u for x in own for u in x} - self.known.keys())
+        new = sorted({u for x in own for u in x} - self.known.keys(), key=len)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         found: list[tuple[bytes, float, float]] = []
         run, size = [], 0
         for k, u in enumerate(new):
+            if len(u) >= _LONG:
+                found.append(self.pieces.best_two(" " + u))
+                continue
             run.append(" " + u)
             size += len(u) + 1
-            if size >= _BLOCK or k == len(new) - 1:
+            if size >= _BLOCK or k == len(new) - 1 or len(new[k + 1]) >= _LONG:
                 found += self.pieces.best(run)
                 run, size = [], 0
         if new:

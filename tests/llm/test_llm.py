@@ -4,10 +4,12 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
@@ -269,6 +271,21 @@ def test_pieces(spark, rows):
         assert [s for s, _ in model.nbest(unit, 4)] == pytest.approx(every[:4]) and score == pytest.approx(every[0])
         assert gap == pytest.approx(every[0] - every[1]) if len(every) > 1 else gap == np.inf
         assert model.decoded(np.frombuffer(ids, piece_nbest.IDS)) == unit[1:]
+    # long units: ties without end, and characters in no order
+    rnd = random.Random(12)
+    for unit in (" " + "a" * 3000, " " + "".join(rnd.choices("abcdefgh+/XYZ012é", k=3000))):
+        (ids, score, gap), found = model.best([unit])[0], model.nbest(unit, 4)
+        assert model.best_two(unit) == (ids, pytest.approx(score), pytest.approx(gap, abs=1e-6)) and len({x for _, x in found}) == 4
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True) and all(model.decoded(np.frombuffer(x, piece_nbest.IDS)) == unit[1:] for _, x in found)
+    word = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=1_000_000))
+    began = time.monotonic()
+    assert piece_nbest.Encoder(piece_nbest.MODEL, 4).encoded(np.arange(0)) and len(model.nbest(" " + word, 4)) == 4 and time.monotonic() - began < 60
+    # pieces come from the vocabulary's library, so that both decode each other's ids, and no more ids are needed
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_nbest.MODEL)
+    several = [t or "" for _, t, *_ in rows]
+    encoder = piece_nbest.Encoder(piece_nbest.MODEL, 4)
+    own = [np.frombuffer(encoder.encoded(u)[0], piece_nbest.IDS).tolist() for u in encoder.parted(several)]
+    assert all(library.decode(x) == t for x, t in zip(own, several)) and sum(map(len, own)) <= 1.03 * sum(map(len, library.encode(several)))
     text = "a thing of"
     encoder = piece_nbest.Encoder(piece_nbest.MODEL, 4)
     data, best, same = encoder.encoded(encoder.parted([text])[0])
