@@ -62,32 +62,32 @@ FROM o
 """
 
 _OP9 = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
-c AS (SELECT conv_id, md5(concat(max(role) FILTER (i = 1), chr(10), max(text) FILTER (i = 1))) AS first, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said FROM t GROUP BY conv_id),
-o AS (SELECT *, row_number() OVER (ORDER BY first, conv_id) - 1 AS rank, row_number() OVER (PARTITION BY first ORDER BY conv_id) - 1 AS pos, count(*) OVER (PARTITION BY first) AS n FROM c),
-p AS (SELECT conv_id, said, rank - pos % 2 AS pair_id FROM o WHERE NOT (pos = n - 1 AND n % 2 = 1)
-      UNION ALL SELECT conv_id, said, -1 - (row_number() OVER (ORDER BY first, conv_id) - 1) // 2 FROM o WHERE pos = n - 1 AND n % 2 = 1),
-s AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY said DESC, conv_id) AS side FROM p),
-x AS (SELECT s.pair_id, s.side, t.* FROM s JOIN t USING (conv_id)),
-m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i, coalesce(a.role = b.role AND a.text = b.text, false) AS same
-      FROM (FROM x WHERE side = 1) a FULL JOIN (FROM x WHERE side = 2) b ON a.pair_id = b.pair_id AND a.i = b.i),
-n AS (SELECT pair_id, CAST(coalesce(min(i) FILTER (NOT same) - 1, max(i)) AS INTEGER) AS n_common FROM m GROUP BY pair_id),
-r AS (SELECT x.*, n_common, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS said, length(role) + 5 AS head FROM x JOIN n USING (pair_id)),
-q AS (SELECT *, CAST(sum(CASE WHEN i > n_common THEN length(said) ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY i) AS BIGINT) AS stop FROM r)
-SELECT pair_id, max(conv_id) FILTER (side = 1) AS chosen_id, max(conv_id) FILTER (side = 2) AS rejected_id, max(n_common) AS n_common,
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+a AS (SELECT conv_id, coalesce(max(i) FILTER (i > 1 AND role = 'assistant'), max(i)) AS spot FROM t GROUP BY 1),
+k AS (SELECT conv_id, spot, role, text, md5(concat(role, chr(10), text)) AS key FROM a JOIN t USING (conv_id) WHERE i = spot),
+d AS (SELECT key, min(role) AS role, min(text) AS text, min(conv_id) AS donor_id, row_number() OVER (ORDER BY key) - 1 AS rank FROM k GROUP BY key),
+e AS (SELECT x.key, y.role AS other_role, y.text AS other_text, y.donor_id FROM d x JOIN d y ON y.rank = (x.rank + 1) % (SELECT count(*) FROM d) AND y.rank <> x.rank),
+w AS (SELECT conv_id, spot, e.* FROM k LEFT JOIN e USING (key)),
+x AS (SELECT conv_id, 1 AS side, i, role, text FROM t
+      UNION ALL SELECT conv_id, 2, i, CASE WHEN i = spot THEN other_role ELSE role END, CASE WHEN i = spot THEN other_text ELSE text END FROM t JOIN w USING (conv_id) WHERE donor_id IS NOT NULL),
+m AS (SELECT a.conv_id, CAST(coalesce(min(a.i) FILTER (a.role <> b.role OR a.text <> b.text) - 1, CASE WHEN count(b.i) = 0 THEN 0 ELSE max(a.i) END) AS INTEGER) AS n_common
+      FROM (FROM x WHERE side = 1) a LEFT JOIN (FROM x WHERE side = 2) b ON a.conv_id = b.conv_id AND a.i = b.i GROUP BY 1),
+r AS (SELECT x.*, n_common, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS said, length(role) + 5 AS head FROM x JOIN m USING (conv_id)),
+q AS (SELECT *, CAST(sum(CASE WHEN i > n_common THEN length(said) ELSE 0 END) OVER (PARTITION BY conv_id, side ORDER BY i) AS BIGINT) AS stop FROM r)
+SELECT conv_id, max(donor_id) AS donor_id, max(n_common) AS n_common,
   coalesce(string_agg(said, '' ORDER BY i) FILTER (side = 1 AND i <= n_common), '') AS prompt,
   coalesce(string_agg(said, '' ORDER BY i) FILTER (side = 1 AND i > n_common), '') AS chosen,
   CASE WHEN max(side) = 2 THEN coalesce(string_agg(said, '' ORDER BY i) FILTER (side = 2 AND i > n_common), '') END AS rejected,
   coalesce(string_agg(concat(stop - length(said) + head, ':', stop), ',' ORDER BY i) FILTER (side = 1 AND i > n_common AND role = 'assistant'), '') AS chosen_spans,
   CASE WHEN max(side) = 2 THEN coalesce(string_agg(concat(stop - length(said) + head, ':', stop), ',' ORDER BY i) FILTER (side = 2 AND i > n_common AND role = 'assistant'), '') END AS rejected_spans
-FROM q GROUP BY pair_id
+FROM q JOIN w USING (conv_id) GROUP BY conv_id
 """
 
 _OP10 = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 g AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to, true AS verified
 FROM g
 """
 

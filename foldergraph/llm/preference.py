@@ -1,4 +1,4 @@
-"""Preference formatting: the longest common turn prefix of two conversations is rendered once as the prompt, the rest as two masked completions."""
+"""Preference formatting: the longest common turn prefix of a chosen and a rejected conversation is rendered once as the prompt, the rest as two masked completions."""
 
 from __future__ import annotations
 
@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldergraph.llm.common import global_rank
-from foldergraph.operators.skew import group_totals, salt
+from foldergraph.operators.skew import lookup, salt
+from foldergraph.sources.shared import cut
 
 
 def conversations_by_turn(turns: DataFrame) -> DataFrame:
-    """conv_id, first (MD5 of the first turn), turns: array of (turn, role, text) in order."""
-    ordered = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    ordered = ordered.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    first = F.md5(F.concat(F.col("turns")[0]["role"], F.lit("\n"), F.col("turns")[0]["text"]))
-    return ordered.select("conv_id", first.alias("first"), "turns")
+    """conv_id, turns: array of (role, text) in order of (turn, role, text). A row without conv_id is a conversation of its own."""
+    role, text = (F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))
+    rows = turns.select("conv_id", F.struct("turn", role, text).alias("t"), F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).alias("_own"))
+    rows = rows.groupBy("conv_id", "_own").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    return rows.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def _rendered(turn: Column) -> Column:
@@ -33,32 +34,41 @@ def _spans(turns: Column) -> Column:
     return F.array_join(F.aggregate(turns, start, step, lambda s: s["spans"]), ",")
 
 
-def preference_pairs(turns: DataFrame) -> DataFrame:
-    """One row per pair of conversations of turns(conv_id, turn, role, text).
+def formatted(pairs: DataFrame) -> DataFrame:
+    """pairs with c and r (chosen and rejected conversations, arrays of (role, text)) replaced by n_common, prompt, chosen, rejected, chosen_spans,
+    rejected_spans.
 
-    Conversations with the same first turn are taken two by two in order of conv_id. What is left over, at most one of each first
-    turn, is taken two by two in order of first turn (by its MD5) and has a negative pair_id. The one with more assistant text is chosen, on a tie the smaller conv_id. prompt: the common turns (role
-    and text alike); chosen, rejected: the rest, rendered; chosen_spans, rejected_spans: the assistant parts, which alone
-    count in the loss. An odd last conversation is paired with nothing: its prompt is empty, rejected is null. Null role
-    or text counts as empty; rows of null conv_id form one conversation; repeated rows are turns of their own.
+    n_common: length of the longest common prefix of turns, role and text alike; prompt: these, rendered; chosen, rejected: what follows;
+    spans: the assistant parts, which alone count in the loss. A null r gives an empty prompt and no rejected completion.
     """
-    whole = conversations_by_turn(turns)
-    keys = ["first", "conv_id"]
-    ranks = group_totals(global_rank(whole.select(*keys), keys).withColumn("_salt", salt(turns.sparkSession, "conv_id")), ["first"], "_salt", start=("min", "rank"), n=("count", "*"))
-    ranks = ranks.withColumn("at", F.col("rank") - F.col("start")).withColumn("left", (F.col("at") == F.col("n") - 1) & (F.col("n") % 2 == 1))
-    own = ranks.filter("NOT left").select((F.col("rank") - F.col("at") % 2).alias("pair_id"), F.col("conv_id").alias("_id"))
-    left = global_rank(ranks.filter("left").select(*keys), keys).select(F.expr("-1 - rank div 2").alias("pair_id"), F.col("conv_id").alias("_id"))
-    ranks = own.unionByName(left)
-    said = F.aggregate(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(0), lambda n, t: n + F.length(t["text"]))
-    sides = whole.join(ranks, whole["conv_id"].eqNullSafe(F.col("_id"))).select("pair_id", F.struct((-said).alias("less"), "conv_id", "turns").alias("side"))
-    sides = sides.groupBy("pair_id").agg(F.array_sort(F.collect_list("side")).alias("s"))
-    a, b = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    sides = sides.select("pair_id", a["conv_id"].alias("chosen_id"), b["conv_id"].alias("rejected_id"), a["turns"].alias("c"), b["turns"].alias("r"))
     both = F.when(F.col("r").isNull(), 0).otherwise(F.least(F.size("c"), F.size("r")))
-    differs = F.transform(F.sequence(F.lit(1), both), lambda i: (F.get("c", i - 1)["role"] != F.get("r", i - 1)["role"]) | (F.get("c", i - 1)["text"] != F.get("r", i - 1)["text"]))
+    differs = F.transform(F.sequence(F.lit(1), both), lambda i: F.get("c", i - 1) != F.get("r", i - 1))
     at = F.when(both == 0, 0).otherwise(F.array_position(differs, True) - 1)
-    sides = sides.withColumn("n_common", F.when(at < 0, both).otherwise(at).cast("int"))
+    others = [c for c in pairs.columns if c not in ("c", "r")]
+    rows = pairs.withColumn("n_common", F.when(at < 0, both).otherwise(at).cast("int"))
     rest = lambda col: F.slice(col, F.col("n_common") + 1, F.greatest(F.size(col), F.lit(1)))
-    sides = sides.select("pair_id", "chosen_id", "rejected_id", "n_common", F.slice("c", F.lit(1), F.col("n_common")).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
+    rows = rows.select(*others, "n_common", F.slice("c", F.lit(1), F.col("n_common")).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
     text = lambda col: F.array_join(F.transform(col, _rendered), "")
-    return sides.select("pair_id", "chosen_id", "rejected_id", "n_common", text("p").alias("prompt"), text("c").alias("chosen"), text("r").alias("rejected"), _spans(F.col("c")).alias("chosen_spans"), _spans(F.col("r")).alias("rejected_spans"))
+    return rows.select(*others, "n_common", text("p").alias("prompt"), text("c").alias("chosen"), text("r").alias("rejected"), _spans(F.col("c")).alias("chosen_spans"), _spans(F.col("r")).alias("rejected_spans"))
+
+
+def preference_pairs(turns: DataFrame) -> DataFrame:
+    """One row per conversation of turns(conv_id, turn, role, text): conv_id, donor_id, and what formatted() gives.
+
+    The conversation is chosen. Rejected is the same conversation with the answer of another one in it: its last assistant turn after
+    the first turn (its last turn if there is none) is replaced by the next different such turn of all conversations, in order of their
+    MD5; donor_id is the smallest conv_id that has it. Where all conversations have the same answer, rejected is null. Null role or text
+    counts as empty, a row without conv_id is a conversation of its own, repeated rows are turns of their own.
+    """
+    spark, n = turns.sparkSession, F.size("turns")
+    back = F.array_position(F.reverse(F.transform(F.slice("turns", F.lit(2), n), lambda t: t["role"] == "assistant")), True)
+    whole = conversations_by_turn(turns).withColumn("at", F.when(back > 0, n - back + 1).otherwise(n).cast("int")).withColumn("answer", F.element_at("turns", F.col("at")))
+    whole = cut(whole.withColumn("key", F.md5(F.concat("answer.role", F.lit("\n"), "answer.text"))).withColumn("_salt", salt(spark, "conv_id")), "conversations")
+    answers = whole.groupBy("key").agg(F.min("conv_id").alias("donor_id"), F.min("answer").alias("answer"))
+    ranks = global_rank(whole.select("key").distinct(), ["key"])
+    total = ranks.agg(F.count("*").alias("total"))  # one row
+    after = ranks.crossJoin(F.broadcast(total)).filter("total > 1").select("key", ((F.col("rank") + 1) % F.col("total")).alias("rank"))
+    after = after.join(ranks.withColumnRenamed("key", "other"), "rank").join(answers.withColumnRenamed("key", "other"), "other").select("key", "donor_id", F.col("answer").alias("donor"))
+    ways = lookup(whole, after.unionByName(ranks.crossJoin(F.broadcast(total)).filter("total = 1").select("key", F.lit(None).cast(after.schema["donor_id"].dataType).alias("donor_id"), F.lit(None).cast(after.schema["donor"].dataType).alias("donor"))), ["key"], "_salt")
+    other = F.concat(F.slice("turns", F.lit(1), F.col("at") - 1), F.array("donor"), F.slice("turns", F.col("at") + 1, n))
+    return formatted(ways.select("conv_id", "donor_id", F.col("turns").alias("c"), F.when(F.col("donor").isNotNull(), other).alias("r")))

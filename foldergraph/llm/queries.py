@@ -38,7 +38,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(_documents(spark, sf_dir))
-    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,8 @@ def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldergraph.operators.skew import group_totals, salt
+from foldergraph.operators.skew import group_totals, lookup, salt
 from foldergraph.sources.shared import cut, new_dir, store_of
 
 LEAST_REVISIT_BYTES = 1000
@@ -76,7 +76,10 @@ def _head(data: bytes) -> tuple[dict[str, str], int]:
 
 
 def parsed(member: bytes) -> dict:
-    """The record in a member: framed by Content-Length, its block and payload digests checked."""
+    """The record in a member: framed by Content-Length, its block and payload digests checked.
+
+    Of a response, bytes and digest are those of the payload that is there; of a revisit, those that it states.
+    """
     head, start = _head(member)
     block = member[start : start + int(head["content-length"])]
     if len(block) < int(head["content-length"]) or member[start + len(block) :] != b"\r\n\r\n":
@@ -86,10 +89,12 @@ def parsed(member: bytes) -> dict:
     of = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
     number = lambda x: None if x is None or x == "<urn:page:none>" else int(x[len("<urn:page:") : -1])
     url, kind = head.get("warc-target-uri"), head["warc-type"]
-    good = of(block) == head["warc-block-digest"] and (kind == "revisit" or of(payload) == head["warc-payload-digest"] and len(payload) == int(http["content-length"]))
-    digest = base64.b32decode(head["warc-payload-digest"][5:]).hex()
+    good, stated = of(block) == head["warc-block-digest"], (head["warc-payload-digest"], int(http["content-length"]))
+    if kind == "response":
+        good, stated = good and stated == (of(payload), len(payload)), (of(payload), len(payload))
+    digest = base64.b32decode(stated[0][5:]).hex()
     url = None if url is None else url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
-    return {"page_id": number(head["warc-record-id"]), "url": url, "record_type": kind, "refers_to": number(head.get("warc-refers-to")), "payload_bytes": int(http["content-length"]), "payload_digest": digest, "verified": good, "payload": payload if kind == "response" else None}
+    return {"page_id": number(head["warc-record-id"]), "url": url, "record_type": kind, "refers_to": number(head.get("warc-refers-to")), "payload_bytes": stated[1], "payload_digest": digest, "verified": good, "payload": payload if kind == "response" else None}
 
 
 def write_archives(plan: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> DataFrame:
@@ -126,14 +131,17 @@ def write_archives(plan: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> D
     return cut(rows.mapInPandas(put, MANIFEST), "manifest")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
+def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
     """The records of all archives in the manifest, each read from front to end; RECORDS names the columns.
 
-    An archive that ends early or whose framing is wrong is an error; a digest that differs only clears `verified`.
+    An archive that ends early or whose framing is wrong is an error; a digest that differs only clears `verified`. Without
+    payload that column is left out; all else is checked as before.
     """
 
+    columns = RECORDS if payload else RECORDS.rpartition(", ")[0]
+    names = [x.split()[0] for x in columns.split(", ")]
+
     def get(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
         for frame in frames:
             for uri in frame["path"]:
                 store, path = store_of(uri)
@@ -149,7 +157,17 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield _frame(rows, names)
 
     files = manifest.repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4, F.xxhash64("path"))
-    return files.mapInPandas(get, RECORDS)
+    return files.mapInPandas(get, columns)
+
+
+def checked_revisits(records: DataFrame) -> DataFrame:
+    """records with `verified` cleared for revisits without a verified response of the page, digest and size that they name."""
+    keys = ["refers_to", "payload_digest", "payload_bytes"]
+    there = records.filter("record_type = 'response' AND verified").select(F.col("page_id").alias("refers_to"), *keys[1:], F.lit(True).alias("_there")).distinct()
+    again = records.filter("record_type = 'revisit'").withColumn("_salt", salt(records.sparkSession, "page_id"))
+    met = again.select(*keys, "_salt").distinct().join(there, keys, "left")
+    again = again.join(met, [*keys, "_salt"]).withColumn("verified", F.col("verified") & F.col("_there").isNotNull())
+    return records.filter("record_type <> 'revisit'").unionByName(again.select(*records.columns))
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
@@ -157,12 +175,15 @@ def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def warc_round_trip(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
+def warc_round_trip(pages: DataFrame, least: int = LEAST_REVISIT_BYTES, payload: bool = True) -> DataFrame:
     """Write a record per row of pages(page_id, url, html) and read the archives back: RECORDS names the columns.
 
+    verified: digests and sizes are those that were written, and a revisit's response is there with the same.
+
     Null html is an empty payload, null url and null page_id stay null. Of equal payloads of `least` bytes or more the
     largest page_id is the response (if all are null, each is), the others revisit it; repeated rows of that page_id are
     responses too. Other columns are not carried.
     """
     folder = new_dir(pages.sparkSession, "warc")
-    return read_archives(write_archives(planned(pages, least), folder))
+    records = read_archives(write_archives(planned(pages, least), folder), payload)
+    return checked_revisits(records if payload else cut(records, "records"))

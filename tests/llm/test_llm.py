@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -18,7 +19,7 @@ from foldergraph.llm.common import text_key
 from foldergraph.llm.exact_dedup import exact_dedup
 from foldergraph.llm.line_dedup import line_dedup
 from foldergraph.llm.mixing import mix, mixed_documents, source_targets
-from foldergraph.llm.preference import preference_pairs
+from foldergraph.llm.preference import formatted, preference_pairs
 
 # extra columns with names that operators use inside
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, name string, at int, size long, row string, text_key long, _salt int, bin int"
@@ -297,16 +298,46 @@ def test_pieces(spark, rows):
     assert sorted(r.text for r in back.collect()) == sorted(t or "" for _, t, *_ in rows)
 
 
+def _preferences(turns):
+    """(conv_id, donor_id, n_common, prompt, chosen, rejected) by the definition; turns without a conv_id are conversations."""
+    talks = {}
+    for c, turn, role, text in turns:
+        talks.setdefault((c,) if c is not None else (None, turn, role, text), []).append((turn, role or "", text or ""))
+    talks = [(k[0], [x[1:] for x in sorted(v, key=lambda x: ((x[0] is not None, x[0] or 0), *x[1:]))]) for k, v in talks.items()]
+    at = [max((k for k, (role, _) in enumerate(v) if k and role == "assistant"), default=len(v) - 1) for _, v in talks]
+    name = lambda x: hashlib.md5(f"{x[0]}\n{x[1]}".encode()).hexdigest()
+    answers = {}
+    for (c, v), k in zip(talks, at):
+        answers.setdefault(name(v[k]), (v[k], []))[1].append(c)
+    order = sorted(answers)
+    said = lambda v: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in v)
+    for (c, v), k in zip(talks, at):
+        if len(order) == 1:
+            yield c, None, 0, "", said(v), None
+            continue
+        donor, ids = answers[order[(order.index(name(v[k])) + 1) % len(order)]]
+        other = [*v[:k], donor, *v[k + 1 :]]
+        yield c, min((x for x in ids if x is not None), default=None), k, said(v[:k]), said(v[k:]), said(other[k:])
+
+
 def test_preference(spark):
-    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (1, 3, "assistant", "long answer"), (2, 0, "user", "q"), (2, 1, "assistant", "yes"), (2, 2, "user", "more"), (2, 3, "assistant", "no"), (3, 0, None, None)]
-    out = {r.chosen_id: r for r in preference_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
-    r = out[1]
-    assert r.rejected_id == 2 and r.n_common == 3 and r.prompt.count("<|user|>") == 2
-    assert r.chosen == "<|assistant|>\nlong answer<|end|>\n" and r.rejected == "<|assistant|>\nno<|end|>\n"
-    a, b = map(int, r.chosen_spans.split(":"))
-    assert r.chosen[a:b] == "long answer<|end|>\n"
-    assert out[3].rejected_id is None and out[3].rejected is None and out[3].n_common == 0
-    assert preference_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    schema = "conv_id long, turn long, role string, text string, key string, rank int, answer string"
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (1, 3, "assistant", "long answer"), (2, 0, "user", "q"), (2, 1, "assistant", "yes"), (2, 2, "user", "thanks"), (3, 0, None, None), (4, 0, "user", "a"), (4, 1, "user", "b")]
+    turns += [(5, 0, "system", "s"), (5, 1, "user", "u" * 100_000), (5, 2, "assistant", "long answer"), (5, 2, "assistant", "long answer"), (6, 1, "assistant", "first"), (6, 2, "user", "q"), (None, 0, "user", "q"), (None, 0, "user", "lone"), (7, None, "user", "x"), (7, 0, "assistant", "y")]
+    docs = spark.createDataFrame([(*t, "k", 1, "a") for t in turns], schema)
+    got = preference_pairs(docs).collect()
+    assert sorted(map(repr, _preferences(turns))) == sorted(repr((r.conv_id, r.donor_id, r.n_common, r.prompt, r.chosen, r.rejected)) for r in got)
+    for r in got:
+        for text, spans in ((r.chosen, r.chosen_spans), (r.rejected, r.rejected_spans)):
+            own = [text[int(a) : int(b)] for a, b in (x.split(":") for x in spans.split(",") if x)]
+            assert own == [f"{x}<|end|>\n" for x in re.findall(r"<\|assistant\|>\n(.*?)<\|end\|>\n", text, re.S)]
+    one = preference_pairs(docs.filter("conv_id = 1")).collect()
+    assert [(r.n_common, r.prompt, r.rejected, r.rejected_spans) for r in one] == [(0, "", None, None)] and one[0].chosen.startswith("<|user|>\nq")
+    assert preference_pairs(docs.limit(0)).count() == 0
+    # the operator takes any two conversations; the common prefix may be all of one
+    c, r = [("user", "q"), ("assistant", "a"), ("user", "more")], [("user", "q"), ("assistant", "a")]
+    out = formatted(spark.createDataFrame([(9, c, r)], "pair_id int, c array<struct<role string, text string>>, r array<struct<role string, text string>>")).head()
+    assert (out.n_common, out.chosen, out.rejected) == (2, "<|user|>\nmore<|end|>\n", "")
 
 
 def test_warc(spark, tmp_path):
@@ -316,6 +347,27 @@ def test_warc(spark, tmp_path):
     assert {k: (r.record_type, r.refers_to) for k, r in out.items()} == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("revisit", 3)}
     assert all(r.verified for r in out.values()) and out[1].url == "http://a/%0A?\n" and out[2].url is None
     assert bytes(out[3].payload) == big.encode() and out[1].payload_bytes == len(big.encode()) and out[1].payload_digest == hashlib.sha1(big.encode()).hexdigest()
+    # repeated rows and ids, extra columns, a payload of many chunks
+    rnd = random.Random(3)
+    long = "".join(rnd.choices("abcdefgh<>/ é", k=300_000))
+    again = [(1, "u", big), (1, "u", big), (2, "u", long), (3, "u", long), (2, "u", "else" * 300)]
+    out = warc.warc_round_trip(spark.createDataFrame([(*p, "x", 7) for p in again], "page_id long, url string, html string, digest string, size int")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in out) == sorted([(1, "response", 0, len(big.encode())), (1, "response", 0, len(big.encode())), (2, "revisit", 3, len(long.encode())), (3, "response", 0, len(long.encode())), (2, "response", 0, 1200)])
+    assert all(r.verified for r in out) and any(r.payload and bytes(r.payload) == long.encode() for r in out)
+    # a payload that was changed, and a revisit whose response isn't there, are not verified; wrong framing is an error
+    digest = hashlib.sha1(b"payload").hexdigest()
+    good = warc.record(1, "u", b"payload", digest, 7, None)
+    assert warc.parsed(next(warc.members(io.BytesIO(good))))["verified"]
+    bad = warc.parsed(next(warc.members(io.BytesIO(warc.record(1, "u", b"changed", digest, 7, None)))))
+    assert not bad["verified"] and bad["payload_digest"] == hashlib.sha1(b"changed").hexdigest()
+    raw = zlib.decompress(good, 31)
+    with pytest.raises(ValueError, match="as long as it says"):
+        warc.parsed(raw[:-8] + raw[-4:])
+    (tmp_path / "w").mkdir()
+    for name, parts in (("a", [good]), ("b", [warc.record(2, None, b"", digest, 7, 1), warc.record(3, None, b"", digest, 7, 9)])):
+        (tmp_path / "w" / name).write_bytes(b"".join(parts))
+    manifest = spark.createDataFrame([(str(tmp_path / "w" / x), 1, 1) for x in "ab"], warc.MANIFEST)
+    assert {r.page_id: r.verified for r in warc.checked_revisits(warc.read_archives(manifest, payload=False)).collect()} == {1: True, 2: True, 3: False}
     data = warc.record(1, "u", b"p", hashlib.sha1(b"p").hexdigest(), 1, None)
 
     class Slow:
