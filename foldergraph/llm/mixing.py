@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldergraph.llm.common import WORD, same_row, text_key
-from foldergraph.sources.shared import slices
+from foldergraph.llm.common import NO_ID, WORD, text_key
+from foldergraph.sources.shared import cut, slices
 
 #: Weights by a source's place in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -15,10 +15,10 @@ SEED = 7
 
 
 def text_quality() -> Column:
-    """1 for text without markup symbols, less with each of them per character."""
+    """1 for text without markup symbols and repeated lines, less with each symbol per character and each line that was there before."""
     text = F.coalesce("text", F.lit(""))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.lit(1.0) / (F.lit(1.0) + F.lit(20.0) * symbols / F.greatest(F.length(text), F.lit(1)))
+    symbols, lines = F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")), F.split(text, "\n", -1)
+    return F.size(F.array_distinct(lines)) / F.size(lines) / (F.lit(1.0) + F.lit(20.0) * symbols / F.greatest(F.length(text), F.lit(1)))
 
 
 def uniform(seed: int) -> Column:
@@ -41,10 +41,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     rest = fill.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy())
-    caps = caps.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    # the level rises while the next source fills up below it, then falls: the largest is the one at which the rest have room
-    level = F.max("level").over(Window.partitionBy())
-    return caps.withColumn("target", F.least("cap", level * F.col("weight"))).select("source", "source_size", "target")
+    caps = caps.withColumns({"left": total - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "by": F.sum("weight").over(rest)})
+    # left / by rises while the next source fills up below it, then falls: the largest is the level at which the rest have room
+    level = F.max_by(F.struct("left", "by"), F.col("left") / F.col("by")).over(Window.partitionBy())
+    share = level["left"] * F.col("weight") / level["by"]
+    return caps.withColumn("target", F.least("cap", share)).select("source", "source_size", "target")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, quality: Column | None = None, seed: int = SEED) -> DataFrame:
@@ -53,25 +54,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     A source's target holds floor(target / size) complete epochs; for the rest, documents are drawn without replacement
     by ascending -ln(u) / quality, as long as more than half of the next one fits. times counts the copies that the mix takes, taken
     their words. Null text has size 0 and is taken with the epochs only; a null source is a source of its own, put last;
-    u depends on doc_id and text, so reruns agree and repeated rows tie: of these all or none are drawn where they fit.
+    u depends on doc_id and text, so reruns agree; repeated rows follow each other and are drawn as far as they fit.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     key = -F.log(uniform(seed)) / F.greatest(quality if quality is not None else text_quality(), F.lit(1e-6))
-    rows = docs.select("doc_id", text_key().alias("text_key"), "source", size.alias("size"), key.alias("key"))
-    # keys are exponential: 1 - exp(-key) spreads them over (0, 1), and a bin holds a small share of a source
-    bins = 16 * slices(spark)
-    rows = rows.withColumn("bin", F.least((F.lit(float(bins)) * (F.lit(1.0) - F.exp(-F.col("key")))).cast("int"), F.lit(bins - 1)))
-    rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    by_bin = rows.groupBy("_source", "bin").agg(F.first("source").alias("source"), F.sum("size").alias("bin_size"))
-    sizes = by_bin.groupBy("_source").agg(F.first("source").alias("source"), F.sum("bin_size").alias("source_size"))
-    targets = source_targets(sizes.select("source", "source_size"), weights, most)
-    targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"), "source_size", "target")
-    before = Window.partitionBy("_source").orderBy("bin")
-    starts = by_bin.withColumn("bin_start", F.sum("bin_size").over(before) - F.col("bin_size")).select("_source", "bin", "bin_start").join(targets, "_source")
-    placed = rows.join(starts, ["_source", "bin"])
-    within = Window.partitionBy("_source", "bin").orderBy("key", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("start", F.col("bin_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    rows = cut(docs.select("doc_id", text_key().alias("text_key"), "source", source.alias("_source"), size.alias("size"), key.alias("key")), "keys")
+    # ranges of the order hold equal shares of the rows, whatever the keys' distribution is; a source's prefix sums go on from range to range
+    order = ["_source", "key", "doc_id", "text_key"]
+    rows = rows.repartitionByRange(slices(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("_range", F.shiftright("_at", 33)), "ordered")
+    by_range = rows.groupBy("_source", "_range").agg(F.first("source").alias("source"), F.sum("size").alias("range_size"))  # no more rows than ranges and sources
+    sizes = by_range.groupBy("_source").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size"))
+    targets = source_targets(sizes.select("source", "source_size"), weights, most).select(source.alias("_source"), "source_size", "target")
+    before = F.sum("range_size").over(Window.partitionBy("_source").orderBy("_range")) - F.col("range_size")
+    starts = by_range.withColumn("range_start", before).select("_source", "_range", "range_start").join(targets, "_source")
+    placed = rows.join(starts, ["_source", "_range"])
+    within = Window.partitionBy("_range", "_source").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     drawn = (F.col("start") + F.col("size") / 2 <= F.col("target") - epochs * F.col("source_size")) & (F.col("size") > 0)
     placed = placed.withColumn("times", epochs.cast("long") + drawn.cast("long"))
@@ -79,8 +80,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns; documents without words are left out."""
-    times = mix(docs, **options).groupBy("doc_id", "text_key", "source").agg(F.max("times").alias("times")).filter("times > 0")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key().alias("text_key"), "source")
-    found = same_row(keyed, times, ["doc_id", "text_key", "source"])
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
+    """The rows of docs as often as the mix takes them, with all their columns; documents that it doesn't take are left out.
+
+    Of repeated rows each stands for one row of the mix.
+    """
+    keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("text_key"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source")]
+    names = ["_doc", "text_key", "_source"]
+    times = mix(docs, **options).select(*keys, "times").groupBy(*names).agg(F.min("times").alias("least"), (F.sum("times") - F.min("times") * F.count("*")).alias("more")).filter("least + more > 0")  # they differ by one at most
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key().alias("text_key"), "source").select("row", *keys)
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))).join(times, names)
+    own = rows.withColumn("times", F.col("least") + (F.col("_n") <= F.col("more")).cast("long")).filter("times > 0")
+    return own.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")

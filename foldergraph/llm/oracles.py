@@ -52,11 +52,12 @@ t AS (SELECT source, source_size, target FROM r WHERE round = 30),
 k AS (
   SELECT d.doc_id, d.source, d.size, md5(d.text) AS m,
     -ln((('0x' || substr(md5(concat('7/', CAST(d.doc_id AS VARCHAR), '/', md5(d.text))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
-      * (1.0 + 20.0 * (length(d.text) - length(translate(d.text, '#*$%&|<>', ''))) / greatest(length(d.text), 1)) AS key
+      / (CAST(len(list_distinct(string_split(d.text, chr(10)))) AS DOUBLE) / len(string_split(d.text, chr(10)))
+         / (1.0 + 20.0 * (length(d.text) - length(translate(d.text, '#*$%&|<>', ''))) / greatest(length(d.text), 1))) AS key
   FROM d),
 o AS (SELECT k.*, t.source_size, t.target, floor(t.target / t.source_size) AS epochs, coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_
       FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
+SELECT doc_id, size, source_size, target,
   CAST((epochs + CASE WHEN start_ + size / 2.0 <= target - epochs * source_size AND size > 0 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM o
 """

@@ -122,6 +122,26 @@ def test_mixing(spark, rows):
     assert sorted(map(repr, out)) == sorted(map(repr, mix(docs.repartition(7)).collect()))
     made = mixed_documents(docs)
     assert made.columns == docs.columns and made.count() == sum(r.times for r in out)
+    key = lambda r: (repr(r.doc_id), r.text_key)
+    want = collections.Counter()
+    for r in out:
+        want[key(r)] += r.times
+    assert collections.Counter(map(key, made.select("doc_id", text_key().alias("text_key")).collect())) == +want
+
+
+def test_mixing_of_repeated_rows_and_markup(spark):
+    # repeated rows of which some fit: each row of the mix is one document
+    docs = _docs(spark, [(1, "one two three", "en", "a")] * 5 + [(2, "w " * 40, "en", "b"), (3, "v " * 30, "en", "b")])
+    out = mix(docs).collect()
+    assert mixed_documents(docs).groupBy("doc_id").count().orderBy("doc_id").collect() == [(k, n) for k in (1, 2, 3) if (n := sum(r.times for r in out if r.doc_id == k))]
+    # a source of markup: keys are large, but no range of the order holds much more than its share
+    docs = _docs(spark, [(k, "<b>" * 20 + str(k), "en", "html") for k in range(4000)])
+    before = {r.doc_id: (r.target, r.taken) for r in mix(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert {r.doc_id: (r.target, r.taken) for r in mix(docs).collect()} == before  # whatever the number of ranges
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_token_shards(spark, rows, tmp_path):
