@@ -1,4 +1,5 @@
-"""SimHash near-dedup: fingerprints linked at few differing bits, found in a hierarchical index in Gray order."""
+"""SimHash near-dedup: fingerprints linked at few differing bits, found in a hierarchical index in Gray order; and, with a higher bound on the
+bits and an exact check of the pairs found, documents linked by the Jaccard similarity of their shingles."""
 
 from __future__ import annotations
 
@@ -7,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldergraph.llm.common import same_row, text_key
+from foldergraph.llm.common import NO_ID, same_row, text_key
 from foldergraph.operators.components import connected_components
-from foldergraph.operators.skew import group_totals, lookup, salt
+from foldergraph.operators.skew import bucket, group_totals, lookup, salt
 from foldergraph.sources.shared import cut, slices
 
 SHINGLE_WORDS = 3
@@ -22,24 +23,43 @@ FANOUT = 8
 #: Shingles whose bits are added at a time, and pairs of a query and a node that are held at a time.
 STEP = 1 << 16
 FRONTIER = 1 << 21
+#: Fingerprints for which there is a bucket, and words of a part beyond which it is dealt to pairs of blocks.
+BUCKET_ROWS = 1 << 17
+PART_ROWS = 1 << 17
 
+#: Near duplicates: five-word shingles, Jaccard similarity of SHARE[0] / SHARE[1] at least.
+NEAR_WORDS = 5
+SHARE = (4, 5)
+#: Bits that fingerprints of so similar sets may differ in. At the bound a bit differs with probability 0.152, so that 24 of 64 are exceeded
+#: less than once in 10^6 pairs.
+NEAR_BITS = 24
+#: Sets are compared that share one of BANDS keys of ROWS least hashes each; at the bound three pairs in 10^5 share none.
+BANDS, ROWS = 20, 4
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """A bit is 1 if more than half of the shingles' XXH64 have it; 0 for a text without words."""
+
+def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The XXH64 of a text's shingles in order; fewer words than a shingle are one shingle, no words none."""
     # bytes.split() without arguments splits at space and \\x09-\\x0D, bytes.lower() changes A-Z only
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     n, joined, digest = max(1, len(parts) - words + 1), b" ".join(parts), xxhash.xxh64_intdigest
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[:n].tolist()
-    ends = (ends[-n:] - 1).tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[-n:] - 1).tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if more than half of the hashes have it; 0 if there are none."""
     bits = np.zeros(64, np.int64)
-    for k in range(0, n, STEP):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + STEP], ends[k : k + STEP])], ">u8")
-        bits += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
+    for k in range(0, len(hashes), STEP):
+        bits += np.unpackbits(hashes[k : k + STEP].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    return majority(shingles(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -129,18 +149,40 @@ def local_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return root
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows(part, fp, ...) with bucket, and part made finer where it is large, so that all rows of a part meet in a bucket by twos.
+
+    There are as many buckets as the rows need. A part of more than PART_ROWS rows is dealt to blocks by fp, and every row goes to each
+    pair of blocks that its own is in: a task holds two blocks at most.
+    """
+    spark = rows.sparkSession
+    buckets = max(4 * slices(spark), rows.count() // BUCKET_ROWS)
+    large = rows.groupBy("part").agg(F.count("*").alias("k")).filter(F.col("k") > PART_ROWS).select("part", F.ceil(F.col("k") / PART_ROWS).cast("int").alias("blocks"))
+    rows = lookup_some(rows, large, "part").withColumn("_own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("_other", other).withColumn("part", F.when(F.col("blocks").isNull(), F.col("part")).otherwise(F.xxhash64("part", F.least("_own", "_other"), F.greatest("_own", "_other"))))
+    return rows.withColumn("bucket", bucket(buckets, "part")).drop("blocks", "_own", "_other")
+
+
+def lookup_some(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table where it has the key, which any share of rows may have."""
+    salted = rows.withColumn("_salt", salt(rows.sparkSession, "fp"))
+    found = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(found, [key, "_salt"], "left").drop("_salt")
+
+
 def fingerprint_links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """src, dst: links that connect the distinct fingerprints fps(fp) as all pairs within `most` bits do, without emitting all pairs.
 
     Two words that differ in `most` bits are alike in one of most + 1 blocks of bits; each word goes to a bucket for each of its
     blocks, and a bucket's index links the words of equal block there.
     """
-    blocks, buckets = most + 1, 4 * slices(fps.sparkSession)
+    blocks = most + 1
     edges = np.linspace(0, 64, blocks + 1).astype(int).tolist()
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        words, block = frame["fp"].to_numpy().view(np.uint64), frame["block"].to_numpy()
-        part = np.unique(np.stack([block.astype(np.int64), frame["value"].to_numpy()]), axis=1, return_inverse=True)[1].ravel()
+        words = frame["fp"].to_numpy().view(np.uint64)
+        part = np.unique(frame["part"].to_numpy(), return_inverse=True)[1].ravel()
         order = np.argsort(words, kind="stable")
         words, part = words[order], part[order]
         root = local_roots(len(words), GrayIndex(words, part).pairs(most))
@@ -148,9 +190,8 @@ def fingerprint_links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
         return pd.DataFrame({"src": words[away].view(np.int64), "dst": words[root[away]].view(np.int64)})
 
     value = lambda k: F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    routed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), value(k).alias("value")) for k in range(blocks)])).alias("b"))
-    routed = routed.select("fp", "b.block", "b.value").withColumn("bucket", F.pmod(F.xxhash64("block", "value"), F.lit(buckets)))
-    return routed.groupBy("bucket").applyInPandas(link, "src long, dst long")
+    routed = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), value(k)) for k in range(blocks)])).alias("part"))
+    return _dealt(routed).groupBy("bucket").applyInPandas(link, "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
@@ -161,19 +202,142 @@ def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MOST
     unless its component has no other. Other columns are not carried.
     """
     prints = cut(fingerprints(docs, words), "prints").withColumn("_salt", salt(docs.sparkSession, "doc_id", "text_key"))
-    fps = prints.groupBy("fp", "_salt").agg(F.min("doc_id").alias("least")).groupBy("fp").agg(F.min("least").alias("least"))
+    fps = cut(prints.groupBy("fp", "_salt").agg(F.min("doc_id").alias("least")).groupBy("fp").agg(F.min("least").alias("least")), "fps")
     roots = connected_components(fingerprint_links(fps.select("fp"), most)).select(F.col("id").alias("fp"), "component")
     fps = fps.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp")).withColumn("_part", salt(docs.sparkSession, "fp"))
     fps = group_totals(fps, ["component"], "_part", component_id=("min", "least")).select("fp", "component_id", "component")
     return lookup(prints, fps, ["fp"], "_salt").select("doc_id", "text_key", "fp", "component_id", "component")
 
 
-def simhash_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the row of the smallest doc_id.
+def band_keys(found: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A key for each band of ROWS least hashes of a set; sets of Jaccard similarity J share a given key with probability J ** ROWS."""
+    least = np.full(len(seeds), ~np.uint64(0))
+    for k in range(0, len(found), STEP >> 4):
+        part = found[k : k + (STEP >> 4)]
+        np.minimum(least, ((part[None, :] ^ seeds[:, None]) * (seeds[:, None] | np.uint64(1))).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(-1, ROWS))], np.uint64).view(np.int64)
 
-    A component without any doc_id keeps all its rows, and rows that repeat that doc_id stay with it.
+
+def shingle_prints(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """doc_id, text_key, node (names the set of shingles), n (their number), fp (of the set), bands (keys) per row of docs."""
+    seeds = np.array([xxhash.xxh64_intdigest(b"band", k) for k in range(BANDS * ROWS)], np.uint64)
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for text in frame["text"]:
+                found = np.unique(shingles(text, words))
+                out.append((xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), majority(found), band_keys(found, seeds)))
+            node, n, fp, bands = zip(*out) if out else ((),) * 4
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield frame[["doc_id", "text_key"]].assign(node=signed(node), n=np.array(n, np.int64), fp=signed(fp), bands=list(bands))
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key().alias("text_key"), "text")
+    found = rows.mapInPandas(each, "doc_id string, text_key long, node long, n long, fp long, bands array<long>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _alike(n1: Column, n2: Column) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n1, n2) * SHARE[1] >= F.greatest(n1, n2) * SHARE[0]
+
+
+def similar_links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """src, dst: those of pairs(src, dst) whose sets of shingles are similar enough. texts: (node, text), one text of each node that is in a pair."""
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"node": frame["node"], "shingles": [np.unique(shingles(x, words)).tobytes() for x in frame["text"]]})
+
+    def similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            good = []
+            for x, y in zip(frame["s1"], frame["s2"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(SHARE[1] * both >= SHARE[0] * (len(x) + len(y) - both))
+            yield frame.loc[good, ["src", "dst"]]
+
+    found = cut(texts.mapInPandas(sets, "node long, shingles binary"), "sets")
+    for end, other, name in (("src", "dst", "s1"), ("dst", "src", "s2")):
+        pairs = lookup(pairs.withColumn("_salt", salt(pairs.sparkSession, other)), found.select(F.col("node").alias(end), F.col("shingles").alias(name)), [end], "_salt").drop("_salt")
+    return cut(pairs.select("src", "dst", "s1", "s2").mapInPandas(similar, "src long, dst long"), "links")
+
+
+def set_links(docs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """src, dst: links that connect the nodes of prints as all pairs of similar sets do, without emitting all pairs of a large group.
+
+    First each set is compared with the least node that shares a band with it, if their fingerprints are near. What that connects needs
+    no more pairs: then only sets of different components that share a band are compared, those that the band's index in Gray order has
+    within NEAR_BITS.
     """
-    groups = simhash_groups(docs, words, most)
+    spark = docs.sparkSession
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_key")).alias("at"))
+    nodes = cut(nodes, "nodes")
+    rows = nodes.select("node", "n", "fp", F.explode("bands").alias("part")).withColumn("_salt", salt(spark, "node"))
+    hubs = rows.groupBy("part", "_salt").agg(F.min(F.struct("node", "n", "fp")).alias("hub"), F.max("node").alias("last")).groupBy("part").agg(F.min("hub").alias("hub"), F.max("last").alias("last"))
+    rows = cut(lookup(rows, hubs.filter("hub.node < last").drop("last"), ["part"], "_salt").drop("_salt"), "bands")
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= NEAR_BITS) & _alike(F.col("n"), F.col("hub.n"))
+    stars = rows.filter((F.col("node") != F.col("hub.node")) & near).select(F.col("node").alias("src"), F.col("hub.node").alias("dst")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "pairs")
+        ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
+        wanted = nodes.join(ends, "node", "left_semi").select("node", "at.doc", "at.text_key")
+        keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+        return similar_links(pairs, keyed.join(wanted, ["doc", "text_key"]).select("node", "text").dropDuplicates(["node"]), words)
+
+    links = verified(stars)
+    found = connected_components(links).withColumnRenamed("id", "node")
+    rows = rows.select("part", "node", "n", "fp").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("_salt", salt(spark, "node"))
+    rows = cut(rows, "parts")
+    mixed = rows.groupBy("part").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("part", F.lit(True).alias("_mixed"))
+    rows = cut(lookup(rows, mixed, ["part"], "_salt").drop("_salt", "_mixed"), "mixed")
+
+    def across(frame: pd.DataFrame) -> pd.DataFrame:
+        part = np.unique(frame["part"].to_numpy(), return_inverse=True)[1].ravel()
+        node, component, n = (frame[c].to_numpy() for c in ("node", "component", "n"))
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in GrayIndex(frame["fp"].to_numpy().view(np.uint64), part).pairs(NEAR_BITS):
+            apart = (component[a] != component[b]) & (np.minimum(n[a], n[b]) * SHARE[1] >= np.maximum(n[a], n[b]) * SHARE[0])
+            both = np.stack([node[a[apart]], node[b[apart]]], axis=1)
+            out.append(np.unique(np.sort(both, axis=1), axis=0))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["src", "dst"])
+
+    left = _dealt(rows).groupBy("bucket").applyInPandas(across, "src long, dst long").distinct()
+    return links.unionByName(verified(left.join(stars.select("dst", "src"), [left["src"] == stars["src"], left["dst"] == stars["dst"]], "left_anti")))
+
+
+def near_groups(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, text_key, component_id (smallest doc_id reachable over links of similar texts).
+
+    Texts are linked if the Jaccard similarity of their sets of shingles is 0.8 or more; A-Z count as a-z, words are parted by white
+    space. Pairs are found by fingerprints and bands (see NEAR_BITS, BANDS), then checked exactly. Texts without words, null among
+    them, are alike. A null doc_id takes part but is never a component_id unless its component has no other.
+    """
+    spark = docs.sparkSession
+    prints = cut(shingle_prints(docs, words), "prints")
+    roots = connected_components(set_links(docs, prints, words)).withColumnRenamed("id", "node")
+    prints = prints.select("doc_id", "text_key", "node").withColumn("_salt", salt(spark, "doc_id", "text_key"))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = group_totals(nodes.withColumn("_part", salt(spark, "node")), ["component"], "_part", component_id=("min", "least")).select("node", "component_id")
+    return lookup(prints, nodes, ["node"], "_salt").select("doc_id", "text_key", "component_id")
+
+
+def _first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key().alias("text_key"))
     return same_row(keyed, stay, ["doc_id", "text_key"], "left_semi").select("row.*")
+
+
+def simhash_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component of near fingerprints the row of the smallest doc_id.
+
+    A component without any doc_id keeps all its rows, and rows that repeat that doc_id stay with it.
+    """
+    return _first_of_each(docs, simhash_groups(docs, words, most))
+
+
+def near_dedup(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """The same for components of near_groups: links by fingerprints that an exact check of the shingles' similarity confirms."""
+    return _first_of_each(docs, near_groups(docs, words))

@@ -255,7 +255,8 @@ def _print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def test_simhash(spark, rows):
+def test_simhash(spark, rows, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_ROWS", 3)
     prints = {t: _print(t) for _, t, *_ in rows}
     assert all(simhash.fingerprint(t) == p for t, p in prints.items())
     rnd = random.Random(6)
@@ -450,13 +451,11 @@ def near_rows(rows):
     return out
 
 
-@pytest.mark.parametrize("slots", [1 << 12, 1 << 20])
-def test_near_dedup(spark, near_rows, monkeypatch, slots):
-    from foldergraph.llm import near_dedup
-
-    monkeypatch.setattr(near_dedup, "SLOTS", slots)
+@pytest.mark.parametrize("part_rows", [4, 1 << 17])
+def test_near_dedup(spark, near_rows, monkeypatch, part_rows):
+    monkeypatch.setattr(simhash, "PART_ROWS", part_rows)  # parts dealt to pairs of blocks
     want = _near_groups(near_rows)
-    got = near_dedup.near_groups(_docs(spark, near_rows)).collect()
+    got = simhash.near_groups(_docs(spark, near_rows)).collect()
     assert sorted(repr((i, w)) for (i, *_), w in zip(near_rows, want)) == sorted(repr((r.doc_id, r.component_id)) for r in got)
     assert 1 < len({w for w in want if w and w >= 1000}) < 48
 
