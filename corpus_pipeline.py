@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldergraph.llm.line_dedup import line_dedup
 from foldergraph.llm.mixing import mixed_documents
-from foldergraph.llm.near_dedup import near_dedup
+from foldergraph.llm.simhash import near_dedup
 from foldergraph.llm.piece_nbest import encode
 from foldergraph.llm.quality import quality_filter
 from foldergraph.sources.shared import new_dir
@@ -23,12 +23,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines of repeated three-line windows; n_chars follows the text. A document left without text goes."""
-    out = line_dedup(docs).drop("n_lines", "n_removed").filter("text <> ''")
+    own = {c: f"_own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = line_dedup(docs.withColumnsRenamed(own)).drop("n_lines", "n_removed").filter("text <> ''").withColumnsRenamed({v: k for k, v in own.items()})
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document, that of the smallest doc_id, of each group of near duplicates: fingerprints of five-word
+    shingles find the pairs, of which those with a Jaccard similarity of 0.8 or more are links."""
     return near_dedup(docs)
 
 
