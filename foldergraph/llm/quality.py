@@ -1,49 +1,58 @@
-"""Quality rules: counted rules, then the perplexity of a modified Kneser-Ney n-gram model, with an upper and a lower bound for each language."""
+"""Quality rules: counted rules, then the perplexity of a modified Kneser-Ney model of word pairs, with an upper and a lower bound for each language.
+
+What the model counts, the distinct pairs of words, grows with the corpus, so no task holds it. Texts are made into chunks of word
+numbers; a chunk sends its distinct pairs, as sorted hash arrays, to the buckets that add them up, and each bucket answers every chunk
+with the counts of the pairs that it sent. What is left for a chunk to know is a fixed number of word classes: how often each stands
+before another word and after how many different ones.
+"""
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
 from pyarrow import dataset as pads
-from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.llm.common import same_row, text_key
-from foldergraph.sources.shared import cut, new_dir
-
-#: Bytes a gram. Distinct grams grow with the input; tasks hold a bounded number of parts of the model, whatever its size.
-ORDER = 4
-BYTE = 8
-#: Begins a text; no UTF-8 has this byte.
-START = 0xFF
-#: An odd factor: multiplying by it modulo 2 ** 64 gives each gram a hash of its own.
-MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of text that are taken at a time, grams that a task adds up before it sends them, grams in a part of a language's model, parts held.
-STEP = 1 << 20
-MOST_SUMS = 1 << 20
-PART_GRAMS = 1 << 20
-HELD = 8
+from foldergraph.sources.shared import cut, new_dir, store_of
+
+#: Words, A-Z as a-z, are known by so many bits of their XXH64. Words of one class count as one word; the tables of a language have a
+#: place for each class and so a fixed size, whatever the corpus is.
+CLASS_BITS = 22
+CLASSES = 1 << CLASS_BITS
+#: The class of a text's begin and end; no word gets it.
+EDGE = 0
+#: An odd factor: multiplying by it modulo 2 ** (2 * CLASS_BITS) deals pairs evenly and can be undone.
+MIX = 0x9E3779B97F4A7C15
+PAIRS = 1 << 2 * CLASS_BITS
+#: Words in a chunk, words for which there is a bucket of pairs, classes in a row of the tables.
+CHUNK_WORDS = 3 << 20
+BUCKET_WORDS = 1 << 22
+RANGE = 1 << 16
+#: Tables of a language: occurrences of a class before another, pairs it begins that occur once, twice, more often; pairs that it ends.
+TABLES = 5
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-#: Bounds of log perplexity, in median absolute deviations (scaled to standard deviations) below and above the median. Each side is
-#: narrowed from 8 by steps of 1 as long as a step rejects documents of label 0, and at least twice as many as of label 1. They were
-#: fitted once, on the 3 534 labelled documents of sf0.1 that pass the counted rules; no labels are read here.
-LOWER, UPPER = 8.0, 5.0
+#: Bounds of log perplexity, in median absolute deviations (scaled to standard deviations) below and above the median. Each is the narrowest
+#: of the widths 10, 9, ..., 2 at which the documents beyond it are of label 0 at least ten times as often as of label 1, and 10 where there
+#: is none. They were fitted once, on the 3 534 labelled documents of sf0.1 that pass the counted rules; no labels are read here.
+LOWER, UPPER = 10.0, 3.0
 #: Log perplexities are rounded to this before medians are taken, which bounds the bins.
 GRAIN = 0.001
-_BLANKS = bytes(range(9, 14))
-_TO_SPACE = bytes.maketrans(_BLANKS, b" " * len(_BLANKS))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def counted(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; null has none."""
+def counted(text: str | None, words: list[bytes] | None = None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; null has none. words: its words, where they are known."""
     text = text or ""
-    words = text.encode().split()  # at space and \x09-\x0D
+    words = text.encode().split() if words is None else words  # at space and \x09-\x0D
     n, lines = len(words), text.split("\n")
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     dup = 0
@@ -64,218 +73,229 @@ def counted(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, sum(map(text.count, SYMBOLS)), dup, repeated
 
 
-def _tail(order: int) -> int:
-    """Masks the last `order` bytes of a gram."""
-    return (1 << order * BYTE) - 1
-
-
-def _runs(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
-    """Texts in runs of about STEP bytes, with each one's place; longer texts in pieces. A piece begins with the ORDER - 1 bytes before it."""
-    run, owner, size = [], [], 0
-    for k, x in enumerate(texts):
-        x = bytes([START]) * (ORDER - 1) + x.translate(_TO_SPACE)
-        for a in range(0, len(x) - ORDER + 1, STEP):
-            run.append(x[a : a + STEP + ORDER - 1])
-            owner.append(k)
-            size += len(run[-1])
-            if size >= STEP:
-                yield run, owner
-                run, owner, size = [], [], 0
-    if run:
-        yield run, owner
-
-
-def _grams(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed grams of a run's pieces, and how many each piece has."""
-    raw = np.frombuffer(b"".join(run), np.uint8)
-    sizes = np.fromiter(map(len, run), np.int64, len(run))
-    gram = np.zeros(len(raw) - ORDER + 1, np.uint64)
-    for k in range(ORDER):
-        gram = (gram << np.uint64(BYTE)) | raw[k : k + len(gram)]
-    own = np.ones(len(raw), bool)
-    own[np.add.outer(np.cumsum(sizes) - sizes, np.arange(ORDER - 1)).ravel()] = False
-    return gram[own[ORDER - 1 :]], sizes - ORDER + 1
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all texts; tasks add up their own grams first."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+def packed(values: np.ndarray) -> bytes:
+    """Integers as compressed bytes; their lowest bytes come first, then the next ones."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def word_class(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) % (CLASSES - 1) + 1
+
+
+CHUNK = "g long, lang string, doc_id array<string>, text_key array<long>, n array<long>, counts array<long>, classes binary, words binary"
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """CHUNK rows: some documents of one language, their counts, the classes of their distinct words, and the words as numbers of these."""
+
+    class Open:
+        """A chunk that is being filled."""
+
+        def __init__(self) -> None:
+            self.names: dict[bytes, int] = {}
+            self.docs: list[tuple] = []
+            self.words: list[np.ndarray] = []
+            self.size = 0
+
+        def add(self, doc_id: str | None, key: int, text: str) -> None:
+            words = text.encode().split()
+            names = self.names
+            self.words.append(np.fromiter((names.setdefault(w, len(names)) for w in map(bytes.lower, words)), np.int64, len(words)))
+            self.docs.append((doc_id, key, len(words), *counted(text, words)))
+            self.size += len(words)
+
+        def row(self, g: int, lang: str) -> pd.DataFrame:
+            doc_id, key, n, *counts = zip(*self.docs)
+            classes = np.fromiter(map(word_class, self.names), np.int64, len(self.names))
+            return pd.DataFrame({"g": [g], "lang": [lang], "doc_id": [list(doc_id)], "text_key": [list(key)], "n": [list(n)], "counts": [np.array(counts, np.int64).T.ravel()], "classes": [packed(classes)], "words": [packed(np.concatenate(self.words))]})
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, k = TaskContext.get().partitionId() << 32, 0
+        filling: dict[str, Open] = {}
         for frame in frames:
-            for lang, texts in frame.groupby("lang")["text"]:
-                for run, _ in _runs([x.encode() for x in texts]):
-                    found, n = np.unique(_grams(run)[0], return_counts=True)
-                    if lang in sums:
-                        both, place = np.unique(np.r_[sums[lang][0], found], return_inverse=True)
-                        found, n = both, np.bincount(place, np.r_[sums[lang][1], n], len(both)).astype(np.int64)
-                    sums[lang] = (found, n)
-                    if sum(len(x) for x, _ in sums.values()) > MOST_SUMS:
-                        yield from sent(sums)
-        yield from sent(sums)
-
-    def sent(sums: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        while sums:
-            lang, (found, n) = sums.popitem()
-            yield pd.DataFrame({"lang": lang, "gram": found.astype(np.int64), "n": n})
-
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _discounted(counts: DataFrame) -> DataFrame:
-    """counts(lang, order, gram, n) -> lang, order, gram, context, n, p (discounted share of the context), rest (what the context leaves for
-    shorter grams), own_p, own_rest (the same with one of the gram's occurrences left out).
-
-    Modified Kneser-Ney: discounts for counts of 1, 2 and 3 or more, from how many grams of a language and order occur one to four times.
-    """
-    times = [F.sum((F.col("n") == k).cast("double")).alias(f"t{k}") for k in (1, 2, 3, 4)]
-    y = F.col("y")
-    estimate = lambda k: k - (k + 1) * y * F.try_divide(F.col(f"t{k + 1}"), F.col(f"t{k}"))
-    # few grams can give estimates out of range; a discount of zero would leave nothing for grams not seen
-    cut_off = lambda k: F.when((estimate(k) > 0) & (estimate(k) <= k), estimate(k)).otherwise(k / 2)
-    discounts = counts.groupBy("lang", "order").agg(*times).withColumns({"y": F.coalesce(F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2")), F.lit(0.5))})
-    discounts = discounts.select("lang", "order", *[cut_off(k).alias(f"d{k}") for k in (1, 2, 3)])
-    rows = counts.join(discounts, ["lang", "order"]).withColumn("context", F.shiftright("gram", BYTE))
-    d = lambda n: F.when(n == 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = rows.withColumn("d", d(F.col("n"))).withColumn("less", d(F.col("n") - 1))
-    w = Window.partitionBy("lang", "order", "context")  # at most 256 grams each
-    rows = rows.withColumn("total", F.sum("n").over(w)).withColumn("left", F.sum("d").over(w))
-    alone = F.col("total") == 1
-    own_p = F.when(alone, 0.0).otherwise(F.try_divide(F.col("n") - 1 - F.col("less"), F.col("total") - 1))
-    own_rest = F.when(alone, 1.0).otherwise(F.try_divide(F.col("left") - F.col("d") + F.col("less"), F.col("total") - 1))
-    return rows.select("lang", "order", "gram", "context", "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), (F.col("left") / F.col("total")).alias("rest"), own_p.alias("own_p"), own_rest.alias("own_rest"))
-
-
-def kneser_ney(counts: DataFrame, own: bool = True) -> DataFrame:
-    """Model rows lang, order, gram, logp, log_rest from counts(lang, gram, n) of the longest grams.
-
-    logp: interpolated log probability of the gram's last byte after the others; log_rest: for shorter grams, log of what the
-    gram, as a context, leaves to shorter ones (null if it is none). Order 0 has the log probability of an unseen byte.
-    Shorter grams count in how many different contexts they occur. own: the longest grams' logp leaves one occurrence of the gram
-    out of all counts, since the texts that are scored are those that were counted: what a text alone has is not likely for it.
-    A gram that occurs once takes its last byte's probability from the shorter gram, which then has one context less. No key has more than 256 rows in a join or window here.
+            for doc_id, key, lang, text in frame.itertuples(index=False):
+                chunk = filling.setdefault(lang, Open())
+                chunk.add(doc_id, key, text)
+                # many languages share what a task may hold
+                if chunk.size * max(1, len(filling) // 8) >= CHUNK_WORDS or len(chunk.docs) >= CHUNK_WORDS:
+                    yield filling.pop(lang).row(part + k, lang)
+                    k += 1
+        while filling:
+            lang, chunk = filling.popitem()
+            yield chunk.row(part + k, lang)
+            k += 1
+
+    # doc_id as string: pandas would make floats of nullable integers
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key().alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(fill, CHUNK)
+
+
+def chunk_pairs(n: np.ndarray, classes: bytes, words: bytes) -> np.ndarray:
+    """The pairs of neighbouring classes of a chunk, mixed, in order of the texts: a text of k words has k + 1, as edges count. Texts without words have none."""
+    known = np.r_[unpacked(classes), EDGE]
+    words, n = unpacked(words), n[n > 0]
+    ends = np.cumsum(n)
+    row = known[np.insert(words, np.r_[0, ends][: len(n)], len(known) - 1)] if len(n) else np.zeros(0, np.int64)
+    row = np.r_[row, EDGE] if len(n) else row
+    pair = (row[:-1].astype(np.uint64) << np.uint64(CLASS_BITS)) | row[1:].astype(np.uint64)
+    return (pair * np.uint64(MIX)) & np.uint64(PAIRS - 1)
+
+
+def split_pair(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two classes of mixed pairs."""
+    pair = (mixed * np.uint64(pow(MIX, -1, 1 << 64))) & np.uint64(PAIRS - 1)
+    return (pair >> np.uint64(CLASS_BITS)).astype(np.int64), (pair & np.uint64(CLASSES - 1)).astype(np.int64)
+
+
+ANSWER, TABLE, TIMES = 0, 1, 2
+
+
+def counted_pairs(parts: DataFrame, buckets: int) -> DataFrame:
+    """kind, lang, g, k, data from chunks: ANSWER, the counts of the pairs that chunk g sent to bucket k; TABLE, what a bucket adds to the
+    tables of the classes from k * RANGE on; TIMES, how many pairs occur once, twice, three and four times in a bucket."""
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for g, lang, n, classes, words in frame[["g", "lang", "n", "classes", "words"]].itertuples(index=False):
+                mixed, times = np.unique(chunk_pairs(np.asarray(n, np.int64), classes, words), return_counts=True)
+                at = bucket_bounds(mixed, buckets)
+                out = [(lang, k, g, packed(np.diff(mixed[a:b].astype(np.int64), prepend=0)), packed(times[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
+                yield pd.DataFrame(out, columns=["lang", "k", "g", "pairs", "times"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        lang, k = frame["lang"].iloc[0], int(frame["k"].iloc[0])
+        sent = [np.cumsum(unpacked(x)) for x in frame["pairs"]]
+        found, place = np.unique(np.concatenate(sent), return_inverse=True)
+        times = np.bincount(place.ravel(), np.concatenate([unpacked(x) for x in frame["times"]]).astype(np.float64), len(found)).astype(np.int64)
+        ends = np.cumsum([len(x) for x in sent])
+        out = [(ANSWER, lang, g, k, packed(times[place[b - len(x) : b]])) for g, x, b in zip(frame["g"].tolist(), sent, ends.tolist())]
+        first, second = split_pair(found.astype(np.uint64))
+        begun = [times, times == 1, times == 2, times > 2]
+        order, order2 = np.argsort(first, kind="stable"), np.sort(second)
+        edges = np.arange(0, CLASSES + 1, RANGE)
+        for r, (a, b, c, d) in enumerate(zip(*(np.searchsorted(x, e).tolist() for x in (first[order], order2) for e in (edges[:-1], edges[1:])))):
+            if a < b or c < d:
+                own = first[order[a:b]] - r * RANGE
+                table = [np.bincount(own, x[order[a:b]].astype(np.float64), RANGE) for x in begun] + [np.bincount(order2[c:d] - r * RANGE, minlength=RANGE)]
+                out.append((TABLE, lang, k, r, zstandard.compress(np.stack(table).astype(np.int64).tobytes(), 3)))
+        out.append((TIMES, lang, k, 0, packed(np.array([(times == x).sum() for x in (1, 2, 3, 4)], np.int64))))
+        return pd.DataFrame(out, columns=["kind", "lang", "g", "k", "data"])
+
+    rows = parts.mapInPandas(send, "lang string, k int, g long, pairs binary, times binary")
+    return rows.groupBy("lang", "k").applyInPandas(add, "kind int, lang string, g long, k int, data binary")
+
+
+def bucket_bounds(mixed: np.ndarray, buckets: int) -> list[int]:
+    """Where the pairs of each bucket begin in a sorted array, and where the last end."""
+    inner = np.array([k * PAIRS // buckets for k in range(1, buckets)], np.uint64)
+    return [0, *np.searchsorted(mixed, inner).tolist(), len(mixed)]
+
+
+def summed_tables(rows: DataFrame) -> DataFrame:
+    """lang, k, data (compressed int64 of TABLES * RANGE) from TABLE rows; added up in two steps, so that no task gets all buckets' rows."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(TABLES * RANGE, np.int64)
+        for data in frame["data"]:
+            total += np.frombuffer(zstandard.decompress(data), np.int64)
+        return frame[["lang", "g", "k"]].head(1).assign(data=zstandard.compress(total.tobytes(), 3))
+
+    schema = "lang string, g long, k int, data binary"
+    first = rows.select("lang", F.expr("g div 256").alias("g"), "k", "data").groupBy("lang", "g", "k").applyInPandas(add, schema)
+    return first.groupBy("lang", "k").applyInPandas(add, schema).select("lang", "k", "data")
+
+
+def discounts(times: np.ndarray) -> list[float]:
+    """Modified Kneser-Ney: what counts of 0, 1, 2 and 3 or more lose, from how many things occur one to four times.
+
+    Few things can give estimates out of range, which are replaced by half the count; a discount of zero would leave nothing for what was not seen.
     """
-    level = counts.select("lang", "gram", "n")
-    levels = level.withColumn("order", F.lit(ORDER))
-    for order in range(ORDER - 1, 0, -1):
-        level = level.groupBy("lang", F.col("gram").bitwiseAND(F.lit(_tail(order))).alias("gram")).agg(F.count("*").alias("n"))
-        levels = levels.unionByName(level.withColumn("order", F.lit(order)))
-    shares = cut(_discounted(levels), "shares")
-    of = lambda order: shares.filter(F.col("order") == order).drop("order")
-    even = F.col("rest") / 256.0
-    out = of(1).select("lang", F.lit(0).alias("order"), F.lit(0).cast("long").alias("gram"), F.log(even).alias("logp"), F.lit(None).cast("double").alias("log_rest")).distinct()
-    once = F.col("n") == 1
-    shorter = None
-    for order in range(1, ORDER + 1):
-        rows = of(order)
-        if shorter is None:
-            rows = rows.withColumns({"short": F.lit(1 / 256.0), "short_own": F.lit(1 / 256.0)})
-        else:
-            rows = rows.withColumn("tail", F.col("gram").bitwiseAND(F.lit(_tail(order - 1)))).join(shorter, ["lang", "tail"])
-        held = F.col("own_p") + F.col("own_rest") * F.when(once, F.col("short_own")).otherwise(F.col("short"))
-        probs = cut(rows.select("lang", "gram", (F.col("p") + F.col("rest") * F.col("short")).alias("prob"), held.alias("held")), "probs")
-        shorter = probs.select("lang", F.col("gram").alias("tail"), F.col("prob").alias("short"), F.col("held").alias("short_own"))
-        if own and order == ORDER:
-            probs = probs.withColumn("prob", F.col("held"))
-        rests = None if order == ORDER else of(order + 1).groupBy("lang", F.col("context").alias("gram")).agg(F.first("rest").alias("rest"))
-        # a context of START alone is no gram
-        probs = probs.withColumn("rest", F.lit(None).cast("double")) if rests is None else probs.join(rests, ["lang", "gram"], "full")
-        out = out.unionByName(probs.select("lang", F.lit(order).alias("order"), "gram", F.log("prob").alias("logp"), F.log("rest").alias("log_rest")))
-    return out
-
-
-def write_model(counts: DataFrame, path: str) -> int:
-    """Write the model of counts to the shared folder in parts of about PART_GRAMS grams of a language; the number of parts."""
-    most = counts.groupBy("lang").count().agg(F.max("count")).head()[0] or 0
-    parts = 2 * (most // PART_GRAMS) + 1
-    rows = kneser_ney(counts).withColumn("part", F.col("gram") % F.lit(parts))
-    rows.repartition(max(8, min(parts, 4096)), "lang", "part").sortWithinPartitions("lang", "part", "order", "gram").write.parquet(path)
-    return parts
-
-
-class GramModel:
-    """A language's model in parts: for each order a sorted array of gram hashes and the values in that order.
-
-    read: gives a part's rows. A gram lies in the part of its remainder; the HELD parts used last stay in memory.
+    t = [0.0, *map(float, times)]
+    y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else 0.5
+    found = [c - (c + 1) * y * t[c + 1] / t[c] if t[c] else 0.0 for c in (1, 2, 3)]
+    return [0.0, *(d if 0 < d <= c else c / 2 for c, d in zip((1, 2, 3), found))]
+
+
+class PairModel:
+    """A language's tables and discounts.
+
+    of pairs it gives log probabilities with the pair's own occurrence left out of all counts, since the texts that are scored are those
+    that were counted: what a text alone has is not likely for it.
     """
 
-    def __init__(self, read: Callable[[int], pd.DataFrame], parts: int):
-        self.parts, self.part = parts, functools.lru_cache(HELD)(lambda k: _tables(read(k)))
-
-    def _find(self, order: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """logp and log_rest of grams, NaN where the model has none."""
-        out = np.full((2, len(grams)), np.nan)
-        own, hashed = grams % np.uint64(self.parts), grams * MIX
-        for k in np.unique(own).tolist():
-            keys, values = self.part(k)[order]
-            if len(keys):
-                at = np.flatnonzero(own == k)
-                place = np.minimum(np.searchsorted(keys, hashed[at]), len(keys) - 1)
-                there = keys[place] == hashed[at]
-                out[:, at[there]] = values[:, place[there]]
-        return out[0], out[1]
-
-    def logp(self, grams: np.ndarray) -> np.ndarray:
-        """Log probability of each gram's last byte; grams not seen go on to shorter ones."""
-        grams, back = np.unique(grams, return_inverse=True)
-        out, todo = np.zeros(len(grams)), np.arange(len(grams))
-        for order in range(ORDER, 0, -1):
-            value, _ = self._find(order, grams[todo] & np.uint64(_tail(order)))
-            seen = ~np.isnan(value)
-            out[todo[seen]] += value[seen]
-            todo = todo[~seen]
-            if order > 1 and len(todo):
-                _, rest = self._find(order - 1, (grams[todo] >> np.uint64(BYTE)) & np.uint64(_tail(order - 1)))
-                out[todo] += np.nan_to_num(rest)
-        if len(todo):
-            unseen = self._find(0, np.zeros(1, np.uint64))[0][0]
-            out[todo] += unseen if np.isfinite(unseen) else -np.log(256.0)
-        return out[back]
-
-
-def _tables(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    out = {}
-    for order in range(ORDER + 1):
-        own = rows[rows["order"] == order]
-        hashed = own["gram"].to_numpy().astype(np.uint64) * MIX
-        place = np.argsort(hashed)
-        out[order] = (hashed[place], own[["logp", "log_rest"]].to_numpy(np.float64).T[:, place])
-    return out
-
-
-def load_model(path: str, lang: str, parts: int) -> GramModel:
-    """A language's model, read part by part in a task from the shared folder; a language that has none gets an even distribution."""
-    store, top = pafs.FileSystem.from_uri(path)
-    whole = pads.dataset(top, filesystem=store, format="parquet")
-    return GramModel(lambda k: whole.to_table(filter=(pads.field("lang") == lang) & (pads.field("part") == k)).to_pandas(), parts)
-
-
-def scored(docs: DataFrame, model_path: str, parts: int) -> DataFrame:
-    """doc_id, text_key, lang, the five counts, log_perplexity per byte (null for empty texts) for each row of docs."""
+    def __init__(self, tables: np.ndarray, times: np.ndarray):
+        self.total, ones, twos, more, self.after = tables
+        self.d2 = np.array(discounts(times))
+        self.d1 = np.array(discounts([int((self.after == k).sum()) for k in (1, 2, 3, 4)]))
+        self.left = ones * self.d2[1] + twos * self.d2[2] + more * self.d2[3]
+        self.pairs = int(self.after.sum())
+        self.rest = float(self.d1[np.minimum(self.after, 3)].sum())
+
+    def logp(self, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log probability of each second class after the first; n: how often the pair occurs."""
+        d = lambda table, x: table[np.minimum(x, 3)]
+        once = (n == 1).astype(np.int64)
+        seen = self.after[second] - once
+        # a pair that occurs once is not known without itself: its second class then ends one pair less
+        rest = self.rest - once * (d(self.d1, seen + 1) - d(self.d1, seen))
+        short = np.maximum(self.pairs - once, 1)
+        low = np.where(self.pairs - once > 0, (seen - d(self.d1, seen)) / short + rest / short / CLASSES, 1 / CLASSES)
+        total = self.total[first] - 1
+        of = np.maximum(total, 1)
+        left = self.left[first] - d(self.d2, n) + d(self.d2, n - 1)
+        return np.log(np.where(total > 0, (n - 1 - d(self.d2, n - 1)) / of + left / of * low, low))
+
+
+def load_model(path: str, lang: str, times: np.ndarray) -> PairModel:
+    """A language's tables, of fixed size, from the shared folder."""
+    store, top = store_of(path)
+    tables = np.zeros((TABLES, CLASSES), np.int64)
+    for row in pads.dataset(top, filesystem=store, format="parquet").to_table(filter=pads.field("lang") == lang).to_pylist():
+        tables[:, row["k"] * RANGE : (row["k"] + 1) * RANGE] = np.frombuffer(zstandard.decompress(row["data"]), np.int64).reshape(TABLES, RANGE)
+    return PairModel(tables, times)
+
+
+SCORES = "doc_id string, text_key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, lang, the five counts, log_perplexity per word and end of text (null for texts without words) for each row of docs."""
+    spark = docs.sparkSession
+    parts = cut(chunks(docs), "chunks")
+    total = parts.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).head()[0] or 0
+    found = cut(counted_pairs(parts, max(1, -(-total // BUCKET_WORDS))), "pairs")
+    path = new_dir(spark, "tables")
+    summed_tables(found.filter(F.col("kind") == TABLE)).write.parquet(path)
+    # a row for each language
+    times: dict[str, np.ndarray] = {}
+    for lang, data in found.filter(F.col("kind") == TIMES).groupBy("lang").applyInPandas(lambda f: pd.DataFrame({"lang": f["lang"].head(1), "data": [packed(np.sum([unpacked(x) for x in f["data"]], axis=0))]}), "lang string, data binary").collect():
+        times[lang] = unpacked(data)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, held = None, None  # one language's at a time, so that parts of many languages don't add up
+        model, held = None, None  # one language's at a time
         for frame in frames:
-            raw = [x.encode() for x in frame["text"]]
-            sums = np.zeros(len(raw))
-            for lang, rows in frame.groupby("lang").indices.items():
-                if model is None or lang != held:
-                    model, held = load_model(model_path, lang, parts), lang
-                for run, owner in _runs([raw[i] for i in rows]):
-                    grams, sizes = _grams(run)
-                    ends = np.r_[0.0, np.cumsum(model.logp(grams))][np.r_[0, np.cumsum(sizes)]]
-                    np.add.at(sums, rows[owner], np.diff(ends))
-            size = np.fromiter(map(len, raw), np.float64, len(raw))
-            counts = np.array([counted(x) for x in frame["text"]], np.int64).reshape(-1, 5)
-            out = frame[["doc_id", "text_key", "lang"]].copy()
-            for k, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")):
-                out[name] = counts[:, k]
-            yield out.assign(log_perplexity=np.where(size > 0, -sums / np.maximum(size, 1), np.nan))
-
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key().alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.mapInPandas(score, "doc_id string, text_key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("log_perplexity", F.nanvl("log_perplexity", F.lit(None)))
+            for row in frame.itertuples(index=False):
+                n = np.asarray(row.n, np.int64)
+                mixed, place = np.unique(chunk_pairs(n, row.classes, row.words), return_inverse=True)
+                sums = np.zeros(len(n))
+                if len(mixed):
+                    if model is None or row.lang != held:
+                        model, held = load_model(path, row.lang, times[row.lang]), row.lang
+                    times_of = np.concatenate([unpacked(x["data"]) for x in sorted(row.answers, key=lambda x: x["k"])])
+                    logp = model.logp(*split_pair(mixed), times_of)[place.ravel()]
+                    sums[n > 0] = np.add.reduceat(logp, np.r_[0, np.cumsum(n[n > 0] + 1)[:-1]])
+                out = pd.DataFrame({"doc_id": list(row.doc_id), "text_key": np.asarray(row.text_key, np.int64), "lang": row.lang})
+                for name, own in zip(COUNTS, np.asarray(row.counts, np.int64).reshape(-1, len(COUNTS)).T):
+                    out[name] = own
+                yield out.assign(log_perplexity=np.where(n > 0, -sums / (n + 1), np.nan))
+
+    answers = found.filter(F.col("kind") == ANSWER).groupBy("g").agg(F.collect_list(F.struct("k", "data")).alias("answers"))  # a chunk's own pairs, so of bounded size
+    rows = parts.join(answers, "g", "left").sortWithinPartitions("lang").mapInPandas(score, SCORES)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("log_perplexity", F.nanvl("log_perplexity", F.lit(None)))
 
 
 def _median(bins: DataFrame) -> DataFrame:
@@ -303,12 +323,8 @@ def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -
     documents that passed to `upper` above it). The model is counted over all texts. Null text counts as empty, null lang as a language of its
     own; repeated rows count again.
     """
-    spark = docs.sparkSession
-    counts = cut(gram_counts(docs), "grams")
-    path = new_dir(spark, "model")
-    parts = write_model(counts, path)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    rows = cut(scored(docs, path, parts).withColumn("base_failed", failed), "scores")
+    rows = cut(scored(docs).withColumn("base_failed", failed), "scores")
     rows = rows.join(F.broadcast(perplexity_bands(rows, lower, upper)), "lang", "left")  # a row for each language
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return rows.withColumn("kept", ~F.col("base_failed") & inside)

@@ -166,80 +166,92 @@ def test_token_shards(spark, rows, tmp_path):
 
 
 def _perplexities(texts):
-    """Log perplexity per byte of each text by the definition: modified Kneser-Ney with one occurrence of the gram left out."""
-    order = quality.ORDER
-    padded = [b"\xff" * (order - 1) + re.sub(rb"[\t-\r]", b" ", t.encode()) for t in texts]
-    n = {order: collections.Counter(x[k : k + order] for x in padded for k in range(len(x) - order + 1))}
-    for k in range(order - 1, 0, -1):
-        n[k] = collections.Counter(g[1:] for g in n[k + 1])
-    cuts, total, left = {}, {}, collections.Counter()
-    for k, own in n.items():
-        t = [0, *(float(sum(v == c for v in own.values())) for c in (1, 2, 3, 4))]
+    """Log perplexity of each text by the definition: modified Kneser-Ney over pairs of words, one occurrence of the pair left out."""
+    edge = quality.EDGE
+    rows = [[edge, *(quality.word_class(w.lower()) for w in t.encode().split()), edge] for t in texts]
+    pairs = collections.Counter(x for r in rows if len(r) > 2 for x in zip(r, r[1:]))
+
+    def cuts(counts):
+        t = [0, *(float(sum(v == c for v in counts)) for c in (1, 2, 3, 4))]
         y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else 0.5
         found = [c - (c + 1) * y * t[c + 1] / t[c] if t[c] else 0.0 for c in (1, 2, 3)]
-        cuts[k] = [0.0, *(d if 0 < d <= c else c / 2 for c, d in zip((1, 2, 3), found))]
-        total[k] = collections.Counter()
-        for g, v in own.items():
-            total[k][g[:-1]] += v
-            left[g[:-1]] += cuts[k][min(v, 3)]
-
-    def prob(g, out):
-        if not g:
-            return 1 / 256
-        k, v = len(g), n[len(g)][g]
-        d, less, of, rest = cuts[k][min(v, 3)], cuts[k][min(v - 1, 3)], total[k][g[:-1]], left[g[:-1]]
-        if not out:
-            return (v - d) / of + rest / of * prob(g[1:], False)
-        if of == 1:
-            return prob(g[1:], True)
-        return (v - 1 - less) / (of - 1) + (rest - d + less) / (of - 1) * prob(g[1:], v == 1)
-
-    return [-sum(math.log(prob(x[k : k + order], True)) for k in range(len(x) - order + 1)) / len(t.encode()) if t else None for t, x in zip(texts, padded)]
-
-
-def test_quality_against_brute_force(spark, rows, monkeypatch):
-    monkeypatch.setattr(quality, "PART_GRAMS", 200)  # several parts
-    rows = [r for r in rows if r[0] != 106]
+        return [0.0, *(d if 0 < d <= c else c / 2 for c, d in zip((1, 2, 3), found))]
+
+    d2, d1 = cuts(pairs.values()), cuts(collections.Counter(w for _, w in pairs).values())
+    ends = collections.Counter(w for _, w in pairs)
+
+    def prob(c, w):
+        """From the counts without one occurrence of the pair (c, w)."""
+        less = pairs - collections.Counter([(c, w)])
+        own = collections.Counter(ends) - collections.Counter([w] * ((c, w) not in less))
+        total = sum(own.values())
+        low = (own[w] - d1[min(own[w], 3)] + sum(d1[min(v, 3)] for v in own.values()) / quality.CLASSES) / total if total else 1 / quality.CLASSES
+        of = [v for (x, _), v in less.items() if x == c]
+        return (less[c, w] - d2[min(less[c, w], 3)] + sum(d2[min(v, 3)] for v in of) * low) / sum(of) if of else low
+
+    known = {x: math.log(prob(*x)) for x in pairs}
+    return [-sum(known[x] for x in zip(r, r[1:])) / (len(r) - 1) if len(r) > 2 else None for r in rows]
+
+
+def _counted(text):
+    """The counts of the rules by their definition."""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text or ""), (text or "").split("\n")
+    full = [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+    times = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    covered = {k + j for k in range(len(words) - 2) if times[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(lines[k] in lines[:k] for k in full), len(covered)
+
+
+@pytest.mark.parametrize(("bucket_words", "chunk_words"), [(1 << 22, 3 << 20), (500, 300)])
+def test_quality_against_brute_force(spark, rows, monkeypatch, bucket_words, chunk_words):
+    monkeypatch.setattr(quality, "BUCKET_WORDS", bucket_words)  # several buckets and chunks
+    monkeypatch.setattr(quality, "CHUNK_WORDS", chunk_words)
+    rows = [r for r in rows if r[0] not in (105, 106)] + [(200, "a b\n\n#c d\na b\n a b\n#c d | <x>\u00a0y\u2003z\r\nq", "en", "a"), (201, "lone", "xx", "a"), (202, "Alpha BETA " * 30, "en", "b")]
     want = []
     for lang in {r[2] for r in rows}:
         own = [r for r in rows if r[2] == lang]
-        want += [(i, lang or "", t) for (i, *_), t in zip(own, _perplexities([r[1] or "" for r in own]))]
+        want += [(i, lang or "", *_counted(t), p) for (i, t, *_), p in zip(own, _perplexities([r[1] or "" for r in own]))]
     got = quality.quality_rules(_docs(spark, rows)).collect()
-    order = lambda x: (repr(x[0]), x[1], x[2] or 0.0)
-    for a, b in zip(sorted(want, key=order), sorted(((r.doc_id, r.lang, r.log_perplexity) for r in got), key=order), strict=True):
-        assert a[:2] == b[:2] and a[2] == (None if a[2] is None else pytest.approx(b[2], abs=1e-9))
+    order = lambda x: (repr(x[0]), *x[1:-1], x[-1] or 0.0)
+    found = [(r.doc_id, r.lang, *(r[c] for c in quality.COUNTS), r.log_perplexity) for r in got]
+    for a, b in zip(sorted(want, key=order), sorted(found, key=order), strict=True):
+        assert a[:-1] == b[:-1] and a[-1] == (None if a[-1] is None else pytest.approx(b[-1], abs=1e-9))
     bands = {}
     for lang in {r.lang for r in got}:
         bins = sorted(round(r.log_perplexity / quality.GRAIN) for r in got if r.lang == lang and not r.base_failed)
         if bins:
             mid = bins[(len(bins) - 1) // 2]
             off = sorted(abs(x - mid) for x in bins)[(len(bins) - 1) // 2]
-            bands[lang] = mid * quality.GRAIN, max(off, 10) * quality.GRAIN * 1.4826 * quality.UPPER
+            bands[lang] = mid * quality.GRAIN, max(off, 10) * quality.GRAIN * 1.4826
     for r in got:
-        mid, most = bands.get(r.lang, (0.0, 0.0))
-        assert r.kept == (not r.base_failed and abs(r.log_perplexity - mid) <= most)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        mid, spread = bands.get(r.lang, (0.0, 0.0))
+        assert r.kept == (not r.base_failed and mid - quality.LOWER * spread <= r.log_perplexity <= mid + quality.UPPER * spread)
 
 
-def test_quality(spark, rows, monkeypatch):
-    assert quality.counted(None) == (0, 0, 0, 0, 0)
+def test_quality(spark, rows):
+    assert quality.counted(None) == (0, 0, 0, 0, 0) == _counted(None)
     assert quality.counted("a b c a b c\na b\n\nx #\nx #") == (12, 12, 2, 1, 8)  # abc, bca and cab occur twice and cover the first eight words
-    table = quality.kneser_ney(quality.gram_counts(_docs(spark, rows)), own=False).toPandas()
-    table = table[table["lang"] == "en"]
-    model, parts = quality.GramModel(lambda k: table, 1), quality.GramModel(lambda k: table[table["gram"] % 5 == k], 5)
-    for context in (b"\xff\xff\xff", b"xal", b" be", b"\x01\x01\x02"):
-        grams = (int.from_bytes(context) << 8) + np.arange(256, dtype=np.uint64)
-        p = np.exp(model.logp(grams))
-        assert p.sum() == pytest.approx(1.0, abs=1e-6) and (p > 0).all()
-        assert model.logp(grams).tolist() == parts.logp(grams).tolist()
-    texts = [b"", b"some text of a few words", b"x", b"and more"]
-    whole = np.concatenate([quality._grams(run)[0] for run, _ in quality._runs(texts)])
-    monkeypatch.setattr(quality, "STEP", 5)
-    runs = list(quality._runs(texts))
-    assert len(runs) > 4 and np.concatenate([quality._grams(run)[0] for run, _ in runs]).tolist() == whole.tolist()
-    sizes = np.zeros(4, int)
-    for run, owner in runs:
-        np.add.at(sizes, owner, quality._grams(run)[1])
-    assert sizes.tolist() == [len(x) for x in texts]
+    values = np.array([0, 1, 255, 256, 2**43, 5], np.int64)
+    assert quality.unpacked(quality.packed(values)).tolist() == values.tolist() and len(quality.unpacked(quality.packed(values[:0]))) == 0
+    pair = np.array([0, 1, quality.PAIRS - 1, 12345678901], np.uint64)
+    first, second = quality.split_pair((pair * np.uint64(quality.MIX)) & np.uint64(quality.PAIRS - 1))
+    assert ((first.astype(np.uint64) << np.uint64(quality.CLASS_BITS)) | second.astype(np.uint64)).tolist() == pair.tolist()
+    # of a context, the probabilities of all classes sum to one (nothing left out)
+    rnd = np.random.default_rng(1)
+    first, second = rnd.integers(1, 9, 400), rnd.integers(1, 30, 400)
+    found, n = np.unique(np.stack([first, second]), axis=1, return_counts=True)
+    tables = np.zeros((quality.TABLES, quality.CLASSES), np.int64)
+    for k, own in enumerate((n, n == 1, n == 2, n > 2)):
+        np.add.at(tables[k], found[0], own)
+    np.add.at(tables[4], found[1], 1)
+    model = quality.PairModel(tables, np.array([(n == k).sum() for k in (1, 2, 3, 4)]))
+    d = model.d2[np.minimum(n, 3)]
+    for c in range(1, 9):
+        own = found[0] == c
+        assert (n[own] - d[own]).sum() + model.left[c] == pytest.approx(model.total[c])
+    low = model.after - model.d1[np.minimum(model.after, 3)]
+    assert (low.sum() + model.rest) / model.pairs == pytest.approx(1.0)
     got = quality.quality_rules(_docs(spark, rows)).collect()
     assert len(got) == len(rows) and not any(r.kept and r.base_failed for r in got)
     assert [r.base_failed for r in got if r.doc_id in (102, 103, 105)] == [True] * 3
@@ -470,7 +482,7 @@ def test_near_duplicate_stage(spark, near_rows):
 
 
 def test_quality_bounds_of_each_side(spark):
-    bins = [0] * 20 + [-10, 10] * 20 + [k * 15 for k in (-9, -7, -6, -4, 4, 6, 7, 9)]  # a scaled deviation is 14.826 bins
+    bins = [0] * 20 + [-10, 10] * 20 + [k * 15 for k in (-12, -9, -4, -2, 2, 4, 7, 9)]  # a scaled deviation is 14.826 bins
     rows = spark.createDataFrame([("en", 2 + k * quality.GRAIN, False) for k in bins] + [("en", 9.0, True), ("en", None, False)], "lang string, log_perplexity double, base_failed boolean")
     band = quality.perplexity_bands(rows).head()
-    assert [k for k in (-9, -7, -6, -4, 4, 6, 7, 9) if not band.low <= 2 + k * 15 * quality.GRAIN <= band.high] == [-9, 6, 7, 9]
+    assert [k for k in (-12, -9, -4, -2, 2, 4, 7, 9) if not band.low <= 2 + k * 15 * quality.GRAIN <= band.high] == [-12, 4, 7, 9]
