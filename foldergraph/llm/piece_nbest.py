@@ -30,6 +30,8 @@ _BLOCK = 1 << 18
 _MOST_CACHED = 1 << 18
 #: Units of so many characters are taken one by one: the steps of a run are as many as its longest unit has characters.
 _LONG = 256
+#: Steps of a path that are kept before all but the cheapest are dropped.
+_MANY = 1 << 12
 #: Bits of a hash by which its place is looked up.
 _TOP = 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -178,19 +180,11 @@ class Pieces:
         costs what its steps lose. Steps without a loss lead on for nothing and are followed at once; the agenda gets the others, the n
         cheapest of each path taken up, and of equal cost the one nearest to the unit's start.
         """
-        code, size = np.frombuffer(unit.encode("utf-32-le"), np.uint32), len(unit)
-        start, length, piece = self._edges(code, np.arange(size, 0, -1))
-        order = np.lexsort((start, start + length))
-        start, piece, stop = start[order], piece[order], (start + length)[order]
-        first = np.searchsorted(stop, np.arange(size + 2))
-        gain = np.where(piece >= 0, self.score[piece], self.unknown)
-        sources, gains, bounds = start.tolist(), gain.tolist(), first.tolist()
+        size, (sources, ids, gains, bounds) = len(unit), self._into(unit)
         forward, tight = [0.0] * (size + 1), [0] * (size + 1)
         for b in range(1, size + 1):  # of equal scores the longer last piece stands
             forward[b], back = max((forward[sources[k]] + gains[k], -k) for k in range(bounds[b], bounds[b + 1]))
             tight[b] = -back
-        score = np.array(forward)
-        loss = score[stop] - (score[start] + gain)
 
         def down(place: int) -> list[int]:
             """The steps that lose nothing from a place to the start."""
@@ -204,18 +198,38 @@ class Pieces:
         while agenda and len(found) < n:
             cost, place, _, behind = heapq.heappop(agenda)
             free = down(place)
-            found.append((forward[size] - cost, self._spelled(unit, [int(piece[k]) for k in [*free[::-1], *behind[::-1]]])))
-            places = np.array([place, *(sources[k] for k in free)][: len(free)], np.int64)
-            many = first[places + 1] - first[places]
-            other = np.repeat(first[places] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            after = np.repeat(np.arange(len(places)), many)
-            apart = other != np.array(free, np.int64)[after]
-            other, after = other[apart], after[apart]
-            for k in np.lexsort((start[other], loss[other]))[: n - len(found)].tolist():
-                heapq.heappush(agenda, (cost + float(loss[other[k]]), int(start[other[k]]), count, [*behind, *free[: after[k]], int(other[k])]))
+            found.append((forward[size] - cost, self._spelled(unit, [ids[k] for k in [*free[::-1], *behind[::-1]]])))
+            others, at = [], place
+            for after, step in enumerate(free):
+                high = forward[at]
+                others += [(high - (forward[sources[k]] + gains[k]), sources[k], k, after) for k in range(bounds[at], bounds[at + 1]) if k != step]
+                at = sources[step]
+                if len(others) > _MANY:
+                    others = heapq.nsmallest(n, others)
+            for loss, at, k, after in heapq.nsmallest(n - len(found), others):
+                heapq.heappush(agenda, (cost + loss, at, count, [*behind, *free[:after], k]))
                 count += 1
         return found
 
+    def _into(self, unit: str) -> tuple[list[int], list[int], list[float], list[int]]:
+        """The pieces of a unit in order of their ends, longer ones first: starts, ids, scores, and where those that end at a place begin."""
+        if len(unit) < _LONG:
+            known, scores, sources, ids, gains, bounds = self.ids, self.scores, [], [], [], [0]
+            for b in range(len(unit) + 1):
+                for a in range(max(0, b - self.longest), b):
+                    i = known.get(unit[a:b], -1)
+                    if i >= 0 or a == b - 1:
+                        sources.append(a)
+                        ids.append(i)
+                        gains.append(scores[i] if i >= 0 else self.unknown)
+                bounds.append(len(ids))
+            return sources, ids, gains, bounds
+        start, length, piece = self._edges(np.frombuffer(unit.encode("utf-32-le"), np.uint32), np.arange(len(unit), 0, -1))
+        order = np.lexsort((start, start + length))
+        start, piece, stop = start[order], piece[order], (start + length)[order]
+        gain = np.where(piece >= 0, self.score[piece], self.unknown)
+        return start.tolist(), piece.tolist(), gain.tolist(), np.searchsorted(stop, np.arange(len(unit) + 2)).tolist()
+
     def best_two(self, unit: str) -> tuple[bytes, float, float]:
         """What best gives for a unit, from its two best segmentations."""
         (score, ids), *other = self.nbest(unit, 2)
