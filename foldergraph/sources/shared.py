@@ -32,16 +32,22 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back, so that later jobs don't depend on executors' shuffle files; these go."""
-    spark, path = df.sparkSession, new_dir(df.sparkSession, name)
+def write(df: DataFrame, path: str, by: tuple[str, ...] = (), codec: str = "zstd") -> None:
+    """Write df, in folders by the values of `by`. The shuffle files of the job go once the table is there."""
+    spark = df.sparkSession
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it back, so that later jobs don't depend on executors' shuffle files."""
+    path = new_dir(df.sparkSession, name)
+    write(df, path, codec=codec)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(spark: SparkSession) -> int:
