@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.llm.common import same_row, text_key
-from foldergraph.sources.shared import cut, new_dir, store_of
+from foldergraph.sources.shared import cut, new_dir, slices, store_of, write
 
 #: Words, A-Z as a-z, are known by so many bits of their XXH64. Words of one class count as one word; the tables of a language have a
 #: place for each class and so a fixed size, whatever the corpus is.
@@ -32,7 +32,7 @@ EDGE = 0
 MIX = 0x9E3779B97F4A7C15
 PAIRS = 1 << 2 * CLASS_BITS
 #: Words in a chunk, words for which there is a bucket of pairs, classes in a row of the tables.
-CHUNK_WORDS = 3 << 20
+CHUNK_WORDS = 2 << 20
 BUCKET_WORDS = 1 << 22
 RANGE = 1 << 16
 #: Tables of a language: occurrences of a class before another, pairs it begins that occur once, twice, more often; pairs that it ends.
@@ -227,11 +227,15 @@ class PairModel:
     that were counted: what a text alone has is not likely for it.
     """
 
-    def __init__(self, tables: np.ndarray, times: np.ndarray):
-        self.total, ones, twos, more, self.after = tables
+    def __init__(self, tables: Iterator[tuple[int, np.ndarray]], times: np.ndarray):
+        """tables: (k, TABLES * RANGE numbers of the classes from k * RANGE on)."""
         self.d2 = np.array(discounts(times))
+        self.total, self.left, self.after = np.zeros(CLASSES, np.int64), np.zeros(CLASSES), np.zeros(CLASSES, np.int64)
+        for k, data in tables:
+            own = slice(k * RANGE, (k + 1) * RANGE)
+            self.total[own], ones, twos, more, self.after[own] = data.reshape(TABLES, RANGE)
+            self.left[own] = ones * self.d2[1] + twos * self.d2[2] + more * self.d2[3]
         self.d1 = np.array(discounts([int((self.after == k).sum()) for k in (1, 2, 3, 4)]))
-        self.left = ones * self.d2[1] + twos * self.d2[2] + more * self.d2[3]
         self.pairs = int(self.after.sum())
         self.rest = float(self.d1[np.minimum(self.after, 3)].sum())
 
@@ -253,10 +257,15 @@ class PairModel:
 def load_model(path: str, lang: str, times: np.ndarray) -> PairModel:
     """A language's tables, of fixed size, from the shared folder."""
     store, top = store_of(path)
-    tables = np.zeros((TABLES, CLASSES), np.int64)
-    for row in pads.dataset(top, filesystem=store, format="parquet").to_table(filter=pads.field("lang") == lang).to_pylist():
-        tables[:, row["k"] * RANGE : (row["k"] + 1) * RANGE] = np.frombuffer(zstandard.decompress(row["data"]), np.int64).reshape(TABLES, RANGE)
-    return PairModel(tables, times)
+    rows = pads.dataset(top, filesystem=store, format="parquet").to_table(filter=pads.field("lang") == lang).to_pylist()
+    return PairModel(((row["k"], np.frombuffer(zstandard.decompress(row["data"]), np.int64)) for row in rows), times)
+
+
+def load_answers(path: str, g: int, part: int) -> np.ndarray:
+    """How often each of a chunk's distinct pairs occurs in all texts, in the order of the mixed pairs."""
+    store, top = store_of(path)
+    rows = pads.dataset(f"{top}/part={part}", filesystem=store, format="parquet").to_table(columns=["k", "data"], filter=pads.field("g") == g).to_pylist()
+    return np.concatenate([unpacked(x["data"]) for x in sorted(rows, key=lambda x: x["k"])])
 
 
 SCORES = "doc_id string, text_key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
@@ -266,10 +275,14 @@ def scored(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, lang, the five counts, log_perplexity per word and end of text (null for texts without words) for each row of docs."""
     spark = docs.sparkSession
     parts = cut(chunks(docs), "chunks")
-    total = parts.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).head()[0] or 0
+    total, many = parts.agg(F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.count("*")).head()
     found = cut(counted_pairs(parts, max(1, -(-total // BUCKET_WORDS))), "pairs")
-    path = new_dir(spark, "tables")
-    summed_tables(found.filter(F.col("kind") == TABLE)).write.parquet(path)
+    path, answers = new_dir(spark, "tables"), new_dir(spark, "answers")
+    write(summed_tables(found.filter(F.col("kind") == TABLE)), path)
+    # a chunk finds its answers in the folder of its part, so that chunks needn't be shuffled
+    part = F.pmod(F.xxhash64("g"), F.lit(max(1, many // 8))).cast("int").alias("part")
+    told = found.filter(F.col("kind") == ANSWER).select("g", "k", "data", part)
+    write(told.repartition(max(1, min(slices(spark), many // 8)), "part").sortWithinPartitions("part", "g"), answers, ("part",))
     # a row for each language
     times: dict[str, np.ndarray] = {}
     for lang, data in found.filter(F.col("kind") == TIMES).groupBy("lang").applyInPandas(lambda f: pd.DataFrame({"lang": f["lang"].head(1), "data": [packed(np.sum([unpacked(x) for x in f["data"]], axis=0))]}), "lang string, data binary").collect():
@@ -285,16 +298,14 @@ def scored(docs: DataFrame) -> DataFrame:
                 if len(mixed):
                     if model is None or row.lang != held:
                         model, held = load_model(path, row.lang, times[row.lang]), row.lang
-                    times_of = np.concatenate([unpacked(x["data"]) for x in sorted(row.answers, key=lambda x: x["k"])])
-                    logp = model.logp(*split_pair(mixed), times_of)[place.ravel()]
+                    logp = model.logp(*split_pair(mixed), load_answers(answers, row.g, row.part))[place.ravel()]
                     sums[n > 0] = np.add.reduceat(logp, np.r_[0, np.cumsum(n[n > 0] + 1)[:-1]])
                 out = pd.DataFrame({"doc_id": list(row.doc_id), "text_key": np.asarray(row.text_key, np.int64), "lang": row.lang})
                 for name, own in zip(COUNTS, np.asarray(row.counts, np.int64).reshape(-1, len(COUNTS)).T):
                     out[name] = own
                 yield out.assign(log_perplexity=np.where(n > 0, -sums / (n + 1), np.nan))
 
-    answers = found.filter(F.col("kind") == ANSWER).groupBy("g").agg(F.collect_list(F.struct("k", "data")).alias("answers"))  # a chunk's own pairs, so of bounded size
-    rows = parts.join(answers, "g", "left").sortWithinPartitions("lang").mapInPandas(score, SCORES)
+    rows = parts.select("*", part).sortWithinPartitions("lang").mapInPandas(score, SCORES)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("log_perplexity", F.nanvl("log_perplexity", F.lit(None)))
 
 

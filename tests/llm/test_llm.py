@@ -245,7 +245,7 @@ def test_quality(spark, rows):
     for k, own in enumerate((n, n == 1, n == 2, n > 2)):
         np.add.at(tables[k], found[0], own)
     np.add.at(tables[4], found[1], 1)
-    model = quality.PairModel(tables, np.array([(n == k).sum() for k in (1, 2, 3, 4)]))
+    model = quality.PairModel(((k, tables[:, k * quality.RANGE : (k + 1) * quality.RANGE]) for k in range(quality.CLASSES // quality.RANGE)), np.array([(n == k).sum() for k in (1, 2, 3, 4)]))
     d = model.d2[np.minimum(n, 3)]
     for c in range(1, 9):
         own = found[0] == c
