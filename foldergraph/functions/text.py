@@ -63,6 +63,20 @@ def safe_name(name: Column) -> Column:
     return F.trim(F.translate(name, '/\\:*?"<>|', "_________"))
 
 
+#: Fields that file_metadata may have, whatever the kind of file.
+METADATA = "lines long, characters long, words long, pages long, width long, height long, title string, author string, subject string, description string, keywords string, lastModifiedBy string, revision string"
+
+
+def metadata_json(metadata: Column) -> Column:
+    """A struct of METADATA fields, or a map of them, as JSON text; null fields are left out."""
+    return F.to_json(metadata)
+
+
+def parsed_metadata(text: Column) -> Column:
+    """A struct of METADATA; fields that are missing, and all fields of a text that isn't a JSON object, are null."""
+    return F.from_json(text, METADATA)
+
+
 def text_metadata(text: Column) -> Column:
     """lines, characters (bytes) and words of a text."""
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1

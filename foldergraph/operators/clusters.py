@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foldergraph.functions.values import MAX_FILES, MIN_FILES, MIN_SIMILARITY, SUB_STEP
 from foldergraph.operators.components import connected_components
 from foldergraph.operators.keywords import top_terms
-from foldergraph.operators.skew import group_totals, salt
+from foldergraph.operators.skew import global_rank, group_totals, salt
 
 
 def class_clusters(classes: DataFrame, pairs: DataFrame, least_files: int = MIN_FILES) -> DataFrame:
@@ -56,5 +56,6 @@ def cluster_preview(members: DataFrame, files: DataFrame, n: int = 5) -> DataFra
 
 
 def ranked(suggestions: DataFrame) -> DataFrame:
-    """With rank by score, then size, then cluster_id; there is a row for each suggestion."""
-    return suggestions.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("n_files").desc(), "cluster_id")))
+    """With rank from 1 by score, then size, then cluster_id."""
+    rows = global_rank(suggestions, [F.col("score").desc(), F.col("n_files").desc(), "cluster_id"])
+    return rows.withColumn("rank", (F.col("rank") + 1).cast("int"))

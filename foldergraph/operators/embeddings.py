@@ -12,9 +12,9 @@ BATCH = 20
 MOST_CHARS = 2000
 
 
-def embedding_text(files: DataFrame) -> DataFrame:
-    """file_id, text: name, extension, folder and the first 2000 characters of the content, parted by spaces."""
-    head = F.nullif(F.substring("content", 1, MOST_CHARS), F.lit(""))
+def embedding_text(files: DataFrame, most: int | None = MOST_CHARS) -> DataFrame:
+    """file_id, text: name, extension, folder and the first `most` characters of the content (None: all of it), parted by spaces."""
+    head = F.nullif(F.col("content") if most is None else F.substring("content", 1, most), F.lit(""))
     return files.select("file_id", F.concat_ws(" ", "name", "extension", "parent_dir", head).alias("text"))
 
 
@@ -38,17 +38,33 @@ def hashed_vector(texts: list[str], size: int = 64) -> list[list[float]]:
 
 
 def embed_batches(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]] = hashed_vector, batch: int = BATCH) -> DataFrame:
-    """file_id, embedding of texts(file_id, text), `batch` a call. A call that fails, or returns another number, leaves its files without."""
+    """file_id, embedding, error of texts(file_id, text), `batch` a call. A call that fails, or returns another number, leaves its files with
+    a null embedding and says why."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
                 try:
-                    vectors = embed(part["text"].tolist())
-                except Exception:  # noqa: BLE001, S112
-                    continue
-                if len(vectors) == len(part):
-                    yield pd.DataFrame({"file_id": part["file_id"].to_numpy(), "embedding": vectors})
+                    vectors, error = embed(part["text"].tolist()), None
+                    if len(vectors) != len(part):
+                        error = f"{len(vectors)} vectors for {len(part)} texts"
+                except Exception as e:  # noqa: BLE001  an injected function may raise anything; its files get the message
+                    error = str(e)[:500] or type(e).__name__
+                yield pd.DataFrame({"file_id": part["file_id"].to_numpy(), "embedding": [None] * len(part) if error else vectors, "error": error})
 
-    return texts.mapInPandas(run, "file_id long, embedding array<float>")
+    return texts.mapInPandas(run, "file_id long, embedding array<float>, error string")
+
+
+def put_vectors(cache: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """The next snapshot of cache(file_id, model, embedding): vectors(file_id, embedding) of a model replace those it has, null ones don't."""
+    new = vectors.filter("embedding IS NOT NULL").select("file_id", F.lit(model).alias("model"), "embedding").dropDuplicates(["file_id"])
+    rest = cache.select("file_id", "model", "embedding").join(new.select("file_id", "model"), ["file_id", "model"], "left_anti")
+    return rest.unionByName(new)
+
+
+def all_vectors(files: DataFrame, cache: DataFrame, model: str, embed: Callable[[list[str]], list[list[float]]] = hashed_vector) -> DataFrame:
+    """file_id, embedding, error, cached of all files: what the cache has under the model, the rest from their texts."""
+    cached, rest = split_cached(files, cache, model)
+    known = cached.select("file_id", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
+    return known.unionByName(embed_batches(embedding_text(rest), embed).withColumn("cached", F.lit(False)))

@@ -25,6 +25,17 @@ def folder_tree(files: DataFrame, root: str) -> DataFrame:
     return tree
 
 
+def folder_trees(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, path, name, parent, depth, file_count: the trees of all roots(path) in one plan; a folder below two roots is in both trees."""
+    counts = folder_counts(files)
+    above = counts.select("path", F.explode(ancestors(F.col("path"))).alias("root"))
+    own = above.join(roots.select(normal_path(F.col("path")).alias("root")).distinct(), "root")
+    paths = own.select("root", F.explode(ancestors(F.col("path"))).alias("path")).filter((F.col("path") == F.col("root")) | F.col("path").startswith(F.concat("root", F.lit("/")))).distinct()
+    depth = F.size(F.split("path", "/")) - F.size(F.split("root", "/"))
+    parent = F.when(F.col("path") != F.col("root"), parent_path(F.col("path")))
+    return paths.join(counts, "path", "left").select("root", "path", base_name(F.col("path")).alias("name"), parent.alias("parent"), depth.alias("depth"), F.coalesce("file_count", F.lit(0)).cast("long").alias("file_count"))
+
+
 def subtree_counts(tree: DataFrame) -> DataFrame:
     """path, n_folders: folders at and below each folder of the tree."""
     up = tree.select(F.explode(ancestors(F.col("path"))).alias("path")).groupBy("path").agg(F.count("*").alias("n_folders"))
@@ -89,6 +100,15 @@ def propagate_guards(tree: DataFrame, known: DataFrame, classify: Column, depth:
     return out
 
 
+def stored_guards(known: DataFrame, walked: DataFrame) -> DataFrame:
+    """The next snapshot of guards(path, guarded, reason, source) after propagate_guards(): what was classified is stored, rows strictly
+    below a guarded folder go; folders that are only too deep are not stored."""
+    new = walked.filter("reason = 'classified'").select("path", "guarded", "reason", F.lit("llm").alias("source"))
+    rest = known.select("path", "guarded", "reason", "source").join(new.select("path"), "path", "left_anti")
+    ends = walked.filter("guarded AND reason <> 'too deep'").select("path", "guarded")
+    return under_guard(rest.unionByName(new), ends, "path", below=True)
+
+
 def decide_guards(guards: DataFrame, decisions: DataFrame) -> DataFrame:
     """guards(path, guarded, reason, source) after the user's decisions(path, guarded, decided_at): the newest wins; a guarded folder's
     rows below it go."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldergraph.functions.text import normal_path
 from foldergraph.operators.folders import under_guard
+from foldergraph.operators.skew import global_rank
 
 SCANNED = ("name", "extension", "size", "parent_dir", "watched_dir_id")
 
@@ -34,8 +35,8 @@ def upsert_scan(files: DataFrame, scan: DataFrame, as_of: Column) -> DataFrame:
     )
     fresh = rows.filter("file_id IS NULL")
     largest = files.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("largest"))  # one row
-    number = F.row_number().over(Window.orderBy("path"))
-    fresh = fresh.crossJoin(F.broadcast(largest)).withColumn("file_id", (F.col("largest") + number).cast("long")).drop("largest")
+    fresh = global_rank(fresh, ["path"], "_rank").crossJoin(F.broadcast(largest))
+    fresh = fresh.withColumn("file_id", (F.col("largest") + F.col("_rank") + 1).cast("long")).drop("largest", "_rank")
     return rows.filter("file_id IS NOT NULL").unionByName(fresh)
 
 
@@ -78,11 +79,15 @@ def apply_changes(table: DataFrame, changes: DataFrame, keys: list[str], keep: t
 
 
 def merge_extracted(files: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
-    """files after extraction results(file_id, error): processed at as_of, or failed with the error's first 500 characters."""
-    done = results.select("file_id", F.substring("error", 1, 500).alias("_error"), F.lit(True).alias("_done"))
+    """files after extraction results(file_id, error, file_metadata): processed at as_of, or failed with the error's first 500 characters.
+
+    file_metadata, where both tables have it, replaces what was known of files that were processed.
+    """
+    told = ["file_metadata"] if "file_metadata" in results.columns and "file_metadata" in files.columns else []
+    done = results.select("file_id", F.substring("error", 1, 500).alias("_error"), F.lit(True).alias("_done"), *[F.col(c).alias(f"_{c}") for c in told])
     rows = files.join(done, "file_id", "left")
     ok = F.col("_done") & F.col("_error").isNull()
-    new = {"processing_status": F.when(ok, "processed").when(F.col("_done"), "failed"), "content_indexed_at": F.when(ok, as_of)}
+    new = {"processing_status": F.when(ok, "processed").when(F.col("_done"), "failed"), "content_indexed_at": F.when(ok, as_of)} | {c: F.when(ok, F.col(f"_{c}")) for c in told}
     rows = rows.withColumns({c: F.coalesce(v, F.col(c)) for c, v in new.items()} | {"processing_error": F.when(F.col("_done"), F.col("_error")).otherwise(F.col("processing_error"))})
     return rows.select(*files.columns)
 

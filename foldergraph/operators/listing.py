@@ -37,10 +37,12 @@ def lookup_rows(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def files_in_folders(files: DataFrame, folders: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """Active files directly in the folders(path), newest ids first, at most `limit` a folder."""
+def files_in_folders(files: DataFrame, folders: DataFrame, limit: int | None = LIST_LIMIT) -> DataFrame:
+    """Active files directly in the folders(path), newest ids first, at most `limit` a folder (None: all, without places)."""
     own = files.filter(F.col("status") == "active").withColumn("folder", normal_path(F.col("parent_dir")))
     own = own.join(folders.select(normal_path(F.col("path")).alias("folder")).distinct(), "folder", "left_semi")
+    if limit is None:
+        return own
     newest = Window.partitionBy("folder").orderBy(F.col("file_id").desc())
     return own.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= limit)
 

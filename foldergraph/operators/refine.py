@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.functions.text import safe_name, stem
+from foldergraph.functions.values import TOP_PROFILE
+from foldergraph.operators.keywords import content_entries
 
 REPLY = "related boolean, removed array<int>, name string, description string, reason string"
 
@@ -44,39 +48,91 @@ def apply_refinements(suggestions: DataFrame, members: DataFrame, replies: DataF
     return rows.select(*suggestions.columns), kept.select("suggestion_id", "file_id")
 
 
-def folder_prompts(tree: DataFrame, files: DataFrame) -> DataFrame:
-    """path, prompt: a folder's name, its subfolders and files."""
+def folder_prompts(tree: DataFrame, files: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """path, prompt: a folder's name, its subfolders and files, and what hints(path, hint) say of the folder above."""
     subs = tree.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("subs"))
     own = files.groupBy(F.col("parent_dir").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("name")), "\n- ").alias("names"))
-    rows = tree.select("path", "name").join(subs, "path", "left").join(own, "path", "left")
+    rows = tree.select("path", "name", "parent").join(subs, "path", "left").join(own, "path", "left")
+    told = F.lit("")
+    if hints is not None:
+        rows = rows.join(hints.select(F.col("path").alias("parent"), "hint"), "parent", "left")
+        told = F.coalesce(F.concat(F.lit("\nAbove it: "), "hint"), F.lit(""))
     none = F.lit("(none)")
-    return rows.select("path", F.concat(F.lit('Folder: "'), "name", F.lit('"\nSubfolders: '), F.coalesce("subs", none), F.lit("\nFiles:\n- "), F.coalesce("names", none), F.lit('\nDo they belong together? Answer with JSON only: {"related": true, "reason": ""}')).alias("prompt"))
-
-
-def move_plan(members: DataFrame, files: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """suggestion_id, file_id, folder, new_name: the first file of a name keeps it, later ones get _1, _2, ... before the extension, the
-    first number that no name before has. Names of a suggestion are settled in one task where a number is itself taken, else by rank."""
+    return rows.select("path", F.concat(F.lit('Folder: "'), "name", F.lit('"\nSubfolders: '), F.coalesce("subs", none), F.lit("\nFiles:\n- "), F.coalesce("names", none), told, F.lit('\nDo they belong together? Answer with JSON only: {"related": true, "reason": ""}')).alias("prompt"))
+
+
+def classify_folders(prompts: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+    """path, guarded, reason of prompts(path, prompt): ask gives a model's reply to a prompt; a folder whose reply can't be read, or whose
+    call fails, is open."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for prompt in frame["prompt"]:
+                try:
+                    out.append((ask(prompt), None))
+                except Exception as e:  # noqa: BLE001  an injected function may raise anything; the folder stays open and says why
+                    out.append((None, str(e)[:500] or type(e).__name__))
+            yield frame[["path"]].assign(raw=[x for x, _ in out], failed=[x for _, x in out])
+
+    rows = prompts.select("path", "prompt").mapInPandas(run, "path string, raw string, failed string").withColumn("r", parsed_reply(F.col("raw")))
+    unread = F.when(F.col("r").isNull(), F.lit("reply not understood"))
+    return rows.select("path", F.coalesce("r.related", F.lit(False)).alias("guarded"), F.coalesce("failed", "r.reason", unread, F.lit("")).alias("reason"))
+
+
+def own_keywords(members: DataFrame, files: DataFrame, n: int = TOP_PROFILE) -> DataFrame:
+    """suggestion_id, file_id, term, score, place: TF-IDF of each suggestion's files within the suggestion alone, from their contents."""
+    entries = content_entries(files).join(members.select("suggestion_id", "file_id"), "file_id")
+    df = entries.groupBy("suggestion_id", "term").agg(F.sum("dup").alias("df"))
+    sizes = members.groupBy("suggestion_id").agg(F.count("*").alias("n_files"))
+    rows = entries.join(df, ["suggestion_id", "term"]).join(sizes, "suggestion_id")
+    rows = rows.select("suggestion_id", "file_id", "term", (F.col("tf") * F.log(F.col("n_files") / F.col("df"))).alias("score"))
+    best = Window.partitionBy("suggestion_id", "file_id").orderBy(F.col("score").desc(), "term")
+    return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
+
+
+def move_plan(members: DataFrame, files: DataFrame, suggestions: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """suggestion_id, file_id, folder, new_name: the first file of a name, in order of (name, file_id), keeps it, later ones get _1, _2, ...
+    before the extension, the first number that no name before has. present(folder, name): names that are in a folder already.
+
+    Where a number made or a name present is itself taken, names are settled one after the other: those of a suggestion that are alike
+    but for their numbers, which no other name can meet. All others go by rank.
+    """
     rows = members.join(files.select("file_id", "name"), "file_id").join(suggestions.select("suggestion_id", safe_name(F.col("name")).alias("folder")), "suggestion_id")
     same = Window.partitionBy("suggestion_id", "name").orderBy("file_id")
     rows = rows.withColumn("k", F.row_number().over(same) - 1)
     ext = F.regexp_extract("name", r"(\.[^./]*)$", 1)
     rows = rows.withColumn("made", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(stem(F.col("name")), F.lit("_"), F.col("k").cast("string"), ext)))
-    clash = rows.groupBy("suggestion_id", "made").agg(F.count("*").alias("n")).filter("n > 1").select("suggestion_id").distinct()
+    rows = rows.withColumn("family", F.concat(F.regexp_replace(stem(F.col("name")), r"(_\d+)+$", ""), ext))
+    taken = rows.select("suggestion_id", "family", "made")
+    if present is not None:
+        there = rows.select("suggestion_id", "folder").distinct().join(present.select("folder", F.col("name").alias("made")).distinct(), "folder")
+        there = there.select("suggestion_id", F.concat(F.regexp_replace(stem(F.col("made")), r"(_\d+)+$", ""), F.regexp_extract("made", r"(\.[^./]*)$", 1)).alias("family"), "made")
+        taken = taken.unionByName(there)
+    clash = taken.groupBy("suggestion_id", "family", "made").agg(F.count("*").alias("n")).filter("n > 1").select("suggestion_id", "family").distinct()
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        names = []
-        for name in frame.sort_values(["name", "file_id"])["name"]:
+        taken = set(frame.loc[frame["file_id"].isna(), "name"])
+        frame = frame[frame["file_id"].notna()]
+        frame = frame.assign(at=frame["file_id"].astype("int64")).sort_values(["name", "at"])
+        names, last = [], {}
+        for name in frame["name"]:
             base, dot, ext = name.rpartition(".")
             base, ext = (base, dot + ext) if dot else (name, "")
-            new, k = name, 0
+            new, k = name, last.get(name, 0)
             while new in taken:
                 k += 1
                 new = f"{base}_{k}{ext}"
             taken.add(new)
+            last[name] = k
             names.append(new)
-        return frame.sort_values(["name", "file_id"])[["suggestion_id", "file_id", "folder"]].assign(new_name=names)
-
-    plain = rows.join(clash, "suggestion_id", "left_anti").select("suggestion_id", "file_id", "folder", F.col("made").alias("new_name"))
-    hard = rows.join(clash, "suggestion_id", "left_semi").select("suggestion_id", "file_id", "folder", "name")
-    return plain.unionByName(hard.groupBy("suggestion_id").applyInPandas(settle, "suggestion_id long, file_id long, folder string, new_name string"))
+        return frame[["suggestion_id", "file_id", "folder"]].assign(new_name=names)
+
+    keys = ["suggestion_id", "family"]
+    plain = rows.join(clash, keys, "left_anti").select("suggestion_id", "file_id", "folder", F.col("made").alias("new_name"))
+    hard = rows.join(clash, keys, "left_semi").select(*keys, F.col("file_id").cast("string").alias("file_id"), "folder", "name")
+    if present is not None:
+        hard = hard.unionByName(there.join(clash, keys, "left_semi").select(*keys, F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("string").alias("folder"), F.col("made").alias("name")))
+    # ids as strings: pandas would make floats of longs beside nulls
+    done = hard.groupBy(*keys).applyInPandas(settle, "suggestion_id long, file_id string, folder string, new_name string")
+    return plain.unionByName(done.withColumn("file_id", F.col("file_id").cast("long")))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.functions.values import COHERENT, MIN_FILES, MIN_SIMILARITY
-from foldergraph.operators.skew import group_totals, salt
+from foldergraph.operators.skew import group_totals, lookup, salt
+from foldergraph.sources.shared import cut
 
 
 def unit_terms(keywords: DataFrame) -> DataFrame:
@@ -27,28 +28,50 @@ def similar_pairs(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFram
     """id1, id2, sim, n1, n2: pairs of classes with cosine of at least `least`; files of one class are alike and need no pair.
 
     Two profiles this close share a term so rare in the common order of terms that in both of them the terms from there on hold at
-    least `least` of the length: only such terms of a profile are matched, then each candidate pair is measured.
+    least `least` of the length: only such terms of a profile are matched. What the matched terms add to the cosine, and what the terms
+    behind the last of them can add at most, drops most pairs; the others are measured.
     """
-    heads = classes.filter("file_id = class_id").select("file_id", "class_size", "profile")
+    spark = classes.sparkSession
+    heads = cut(classes.filter("file_id = class_id").select("file_id", "class_size", "profile"), "heads")
     units = unit_terms(heads.select("file_id", F.explode("profile").alias("p")).select("file_id", "p.term", "p.score"))
-    units = group_totals(units.withColumn("_salt", salt(classes.sparkSession, "file_id")), ["term"], "_salt", df=("count", "*"))
-    rest = F.sqrt(F.sum(F.col("u") * F.col("u")).over(Window.partitionBy("file_id").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)))
-    rare = units.withColumn("rest", rest).filter(F.col("rest") >= least - 1e-9).select("file_id", "term")
-    pairs = rare.select(F.col("file_id").alias("id1"), "term").join(rare.select(F.col("file_id").alias("id2"), "term"), "term").filter("id1 < id2").select("id1", "id2").distinct()
-    profile = units.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m")).join(heads.select("file_id", "class_size"), "file_id")
-    side = lambda k: profile.select(F.col("file_id").alias(f"id{k}"), F.col("m").alias(f"m{k}"), F.col("class_size").alias(f"n{k}"))
+    units = group_totals(units.withColumn("_salt", salt(spark, "file_id")), ["term"], "_salt", df=("count", "*")).drop("_salt")
+    own = Window.partitionBy("file_id").orderBy("df", "term")
+    rest = F.sqrt(F.sum(F.col("u") * F.col("u")).over(own.rowsBetween(0, Window.unboundedFollowing)))
+    after = F.sqrt(F.coalesce(F.sum(F.col("u") * F.col("u")).over(own.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
+    units = units.withColumns({"rest": rest, "after": after})
+    # tail: what the terms hold that are not matched
+    tail = F.coalesce(F.max(F.when(F.col("rest") < least - 1e-9, F.col("rest"))).over(Window.partitionBy("file_id")), F.lit(0.0))
+    rare = cut(units.withColumn("tail", tail).filter(F.col("rest") >= least - 1e-9).select("file_id", "term", "u", "after", "tail"), "rare")
+    side = lambda k: rare.select("term", *[F.col(c).alias(f"{c}{k}") for c in ("file_id", "u", "after", "tail")])
+    met = side(1).join(side(2), "term").filter("file_id1 < file_id2").groupBy(F.col("file_id1").alias("id1"), F.col("file_id2").alias("id2"))
+    met = met.agg(F.sum(F.col("u1") * F.col("u2")).alias("have"), F.min("after1").alias("a1"), F.min("after2").alias("a2"), F.first("tail1").alias("t1"), F.first("tail2").alias("t2"))
+    more = F.least(F.col("a1") * F.col("a2"), F.greatest(F.col("t1") * F.col("a2"), F.col("a1") * F.col("t2")))
+    pairs = met.filter(F.col("have") + more >= least - 1e-9).select("id1", "id2")
+    unit = units.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m")).join(heads.select("file_id", "class_size"), "file_id")
+    unit = cut(unit, "units")
+    side = lambda k: unit.select(F.col("file_id").alias(f"id{k}"), F.col("m").alias(f"m{k}"), F.col("class_size").alias(f"n{k}"))
     measured = pairs.join(side(1), "id1").join(side(2), "id2")
     dot = F.aggregate(F.map_entries("m1"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(F.col("m2"), e["key"]), F.lit(0.0)))
     return measured.select("id1", "id2", dot.alias("sim"), "n1", "n2").filter(F.round("sim", 9) >= least)
 
 
+def file_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """file_id, class_id, n_links of every file: links to files of its own class and to those of near classes."""
+    ends = pairs.select(F.col("id1").alias("class_id"), F.col("n2").alias("n")).unionByName(pairs.select(F.col("id2").alias("class_id"), F.col("n1").alias("n")))
+    far = ends.groupBy("class_id").agg(F.sum("n").alias("far"))
+    rows = classes.select("file_id", "class_id", "class_size").withColumn("_salt", salt(classes.sparkSession, "file_id"))
+    heads = classes.filter("file_id = class_id").select("class_id").join(far, "class_id", "left")
+    return lookup(rows, heads, ["class_id"], "_salt").select("file_id", "class_id", (F.col("class_size") - 1 + F.coalesce("far", F.lit(0))).cast("long").alias("n_links"))
+
+
 def folder_coherence(files: DataFrame, keywords: DataFrame, coherent: float = COHERENT, least: int = MIN_FILES) -> DataFrame:
     """folder, n_files, coherence, coherent for folders of at least `least` files(file_id, folder).
 
     The mean cosine of all pairs comes from the sum of the unit profiles: |sum|^2 holds each pair twice, and each profile once.
     """
     sizes = files.groupBy("folder").agg(F.count("*").alias("n_files")).filter(F.col("n_files") >= least)
-    own = unit_terms(keywords).join(files.select("file_id", "folder"), "file_id").join(sizes.select("folder"), "folder", "left_semi")
+    members = lookup(files.select("file_id", "folder").withColumn("_salt", salt(files.sparkSession, "file_id")), sizes.select("folder"), ["folder"], "_salt").drop("_salt")
+    own = unit_terms(keywords).join(members, "file_id")
     full = own.groupBy("folder", "file_id").agg(F.count("*").alias("k")).groupBy("folder").agg(F.count("*").alias("m"))
     sums = own.groupBy("folder", "term").agg(F.sum("u").alias("s")).groupBy("folder").agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
     rows = sizes.join(sums, "folder", "left").join(full, "folder", "left")
@@ -59,10 +82,9 @@ def folder_coherence(files: DataFrame, keywords: DataFrame, coherent: float = CO
 def folder_outliers(files: DataFrame, keywords: DataFrame, folders: DataFrame, coherent: float = COHERENT) -> DataFrame:
     """folder, file_id, mean_sim of files in incoherent folders whose mean cosine with the folder's other files is too low."""
     bad = folders.filter("NOT coherent").select("folder", "n_files")
-    members = files.select("file_id", "folder").join(bad, "folder")
-    own = unit_terms(keywords).join(members, "file_id")
-    sums = own.groupBy("folder", "term").agg(F.sum("u").alias("s"))
-    near = own.join(sums, ["folder", "term"]).groupBy("file_id").agg((F.sum(F.col("u") * F.col("s")) - 1).alias("others"))
+    members = lookup(files.select("file_id", "folder").withColumn("_salt", salt(files.sparkSession, "file_id")), bad, ["folder"], "_salt").drop("_salt")
+    own = unit_terms(keywords).join(members, "file_id").withColumn("_salt", salt(files.sparkSession, "file_id"))
+    near = group_totals(own, ["folder", "term"], "_salt", s=("sum", "u")).groupBy("file_id").agg((F.sum(F.col("u") * F.col("s")) - 1).alias("others"))
     mean = F.coalesce("others", F.lit(0.0)) / (F.col("n_files") - 1)
     return members.join(near, "file_id", "left").select("folder", "file_id", mean.alias("mean_sim")).filter(F.round("mean_sim", 9) < coherent)
 

@@ -1,11 +1,11 @@
-"""Totals and lookups for keys of which one may hold a third of all rows."""
+"""Totals and lookups for keys of which one may hold a third of all rows, and numbers for all rows of an order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldergraph.sources.shared import slices
+from foldergraph.sources.shared import cut, slices
 
 
 def bucket(n: int, *cols: str) -> Column:
@@ -35,3 +35,16 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], salt_col: str) -> D
     """Join table, which has a row for each key, to df, where a key may hold any share of the rows."""
     present = df.select(*keys, salt_col).distinct()
     return df.join(present.join(table, keys), [*keys, salt_col])
+
+
+def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank") -> DataFrame:
+    """Number all rows from 0 in the given order: a range sort, then an offset for each range.
+
+    The numbered rows are written once, so that both readers see the same ranges.
+    """
+    spark = df.sparkSession
+    placed = df.repartitionByRange(slices(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")

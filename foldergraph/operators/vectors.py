@@ -11,13 +11,27 @@ from pyspark.sql import functions as F
 
 from foldergraph.functions.values import MIN_FILES
 from foldergraph.operators.components import connected_components
+from foldergraph.operators.skew import global_rank, group_totals, lookup, salt
 from foldergraph.sources.shared import cut
 
 BLOCK_ROWS = 4096
 
 
+def vector_classes(vectors: DataFrame) -> DataFrame:
+    """id, class_id, vec (of the class's first row only), n: rows of equal vectors are a class, named by its smallest id; n counts them.
+
+    Rows without id, vector or values are left out. Of rows of one id the one with the smallest vector counts.
+    """
+    rows = vectors.filter("id IS NOT NULL AND vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL OR isnan(x))").groupBy("id").agg(F.min("vec").alias("vec"))
+    rows = group_totals(rows.withColumn("_salt", salt(vectors.sparkSession, "id")), ["vec"], "_salt", class_id=("min", "id"), n=("count", "*"))
+    return rows.select("id", "class_id", F.when(F.col("id") == F.col("class_id"), F.col("vec")).alias("vec"), "n")
+
+
 def near_pairs(vectors: DataFrame, eps: float) -> DataFrame:
-    """id1, id2: pairs of vectors(id, vec) at most eps apart. Rows are dealt to blocks; each pair of blocks is one matrix product."""
+    """id1, id2: pairs of vectors(id, vec) at most eps apart. Rows are dealt to blocks; each pair of blocks is one matrix product.
+
+    ids are distinct, no vector is null; where many are equal, vector_classes() keeps one of them.
+    """
     blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     dealt = vectors.select("id", "vec", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
@@ -50,21 +64,25 @@ def dbscan(vectors: DataFrame, eps: float, min_pts: int = 3, least: int = MIN_FI
     """id, cluster_no: clusters of core points (min_pts within eps, themselves counted) with the border points next to them.
 
     Clusters are numbered by their smallest core id; a border point goes to the lowest number near it; clusters of fewer than
-    `least` points go, noise has no row.
+    `least` points go, noise has no row. See vector_classes() for null vectors and repeated ids.
     """
-    pairs = cut(near_pairs(vectors, eps), "near")
+    classes = cut(vector_classes(vectors), "classes")
+    heads = classes.filter("id = class_id").select("id", "vec", "n")
+    pairs = cut(near_pairs(heads.select("id", "vec"), eps), "near")
     both = pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).unionByName(pairs.select(F.col("id2").alias("a"), F.col("id1").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("n"))
-    core = vectors.select(F.col("id").alias("a")).join(degree, "a", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= min_pts).select("a")
-    core = cut(core, "core")
+    degree = both.join(heads.select(F.col("id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("around"))
+    empty = F.size("vec") == 0  # near nothing, not even its like
+    core = heads.select(F.col("id").alias("a"), F.when(empty, 1).otherwise(F.col("n")).alias("n")).join(degree, "a", "left")
+    core = cut(core.filter(F.coalesce("around", F.lit(0)) + F.col("n") >= min_pts).select("a"), "core")
     links = pairs.join(core.select(F.col("a").alias("id1")), "id1", "left_semi").join(core.select(F.col("a").alias("id2")), "id2", "left_semi")
     roots = connected_components(links.select(F.col("id1").alias("src"), F.col("id2").alias("dst"))).select(F.col("id").alias("a"), "component")
     cores = core.join(roots, "a", "left").select(F.col("a").alias("id"), F.coalesce("component", "a").alias("first_core"))
     border = both.join(core.select(F.col("a").alias("b")), "b", "left_semi").join(core, "a", "left_anti").join(cores.select(F.col("id").alias("b"), "first_core"), "b").groupBy(F.col("a").alias("id")).agg(F.min("first_core").alias("first_core"))
-    members = cores.unionByName(border)
-    sizes = members.groupBy("first_core").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    numbers = sizes.select("first_core", F.row_number().over(Window.orderBy("first_core")).alias("cluster_no"))  # a row for each cluster
-    return members.join(numbers, "first_core").select("id", "cluster_no")
+    members = cores.unionByName(border).join(heads.select("id", "n"), "id")
+    sizes = members.groupBy("first_core").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    numbers = global_rank(sizes.select("first_core"), ["first_core"]).select("first_core", (F.col("rank") + 1).cast("int").alias("cluster_no"))
+    members = members.join(numbers, "first_core").select(F.col("id").alias("class_id"), "cluster_no")
+    return lookup(classes.select("id", "class_id").withColumn("_salt", salt(vectors.sparkSession, "id")), members, ["class_id"], "_salt").select("id", "cluster_no")
 
 
 def cluster_cohesion(members: DataFrame, vectors: DataFrame) -> DataFrame:

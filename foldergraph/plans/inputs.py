@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FILES_SQL = """
 SELECT file_id, concat(parent_dir, '/', name) AS path, name, extension, size, parent_dir,
@@ -17,13 +18,15 @@ FROM (
     CASE doc_id % 6 WHEN 0 THEN 'stale' WHEN 1 THEN 'failed' WHEN 2 THEN 'queued' WHEN 3 THEN 'unprocessed' ELSE 'processed' END AS processing_status,
     text AS content
   FROM (
-    SELECT *, count(*) OVER (PARTITION BY head) AS copies,
-      CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' WHEN 3 THEN '.py' WHEN 4 THEN '.csv' WHEN 5 THEN '.jpg' ELSE '.docx' END AS ext
-    FROM (SELECT *, substr(md5(substr(text, 1, 24)), 1, 8) AS head FROM {documents}) d0
+    SELECT *, CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' WHEN 3 THEN '.py' WHEN 4 THEN '.csv' WHEN 5 THEN '.jpg' ELSE '.docx' END AS ext
+    FROM {documents} d0
   ) d1
 ) d2
 """
 
+#: documents with head, a hash of the text's begin, and copies, how many texts have it; the SQL is DuckDB's alone.
+HEADS_SQL = "(SELECT *, count(*) OVER (PARTITION BY head) AS copies FROM (SELECT *, substr(md5(substr(text, 1, 24)), 1, 8) AS head FROM documents) h0)"
+
 PAGES_SQL = """
 SELECT page_id AS file_id, regexp_extract(p, '[^/]+$', 0) AS name,
        concat('/web/', replace(regexp_replace(p, '/[^/]*$', ''), '.', '/')) AS parent_dir, html AS content
@@ -36,7 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FILES_SQL, documents=table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").withColumn("head", F.substring(F.md5(F.substring("text", 1, 24)), 1, 8))
+    # counted apart, so that only the texts of frequent heads meet a join, and none a window
+    heads = docs.groupBy("head").agg(F.count("*").alias("copies")).filter("copies >= 3")
+    return spark.sql(FILES_SQL, documents=docs.join(heads, "head", "left"))
 
 
 def pages_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from foldergraph.operators import listing as li
 from foldergraph.operators import refine as re_
 from foldergraph.operators import similarity as si
 from foldergraph.operators import vectors as ve
-from foldergraph.plans.inputs import FILES_SQL, PAGES_SQL, files_view, pages_view, table
+from foldergraph.plans.inputs import FILES_SQL, HEADS_SQL, PAGES_SQL, files_view, pages_view, table
 from foldergraph.plans.suggest import suggest_by_vectors, suggest_folders
 from foldergraph.sources.shared import cut
 
@@ -45,7 +45,7 @@ def _quoted(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_F = f"f AS ({FILES_SQL.format(documents='documents')})"
+_F = f"f AS ({FILES_SQL.format(documents=HEADS_SQL)})"
 _T = f"t AS ({PAGES_SQL.format(pages='pages')})"
 _EXT = _quoted(v.SUPPORTED_EXTENSIONS)
 _TAGS = "tags(ext, tag) AS (VALUES " + ", ".join(f"('{e}', '{t}')" for t, es in v.EXTENSION_TAGS.items() for e in es.split()) + ")"

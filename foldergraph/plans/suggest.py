@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldergraph.functions.values import MAX_FILES, MIN_FILES, MIN_SIMILARITY
@@ -14,25 +14,29 @@ from foldergraph.operators.vectors import cluster_cohesion, dbscan
 from foldergraph.sources.shared import cut
 
 
-def orphaned(files: DataFrame, guards: DataFrame, roots: list[str], least_files: int = MIN_FILES) -> tuple[DataFrame, DataFrame]:
-    """(orphan files, keyword profiles of all unguarded files): what a suggestion run starts from."""
+def orphaned(files: DataFrame, guards: DataFrame, roots: list[str], least_files: int = MIN_FILES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(orphan files, keyword profiles and list entries of all unguarded files): what a suggestion run starts from.
+
+    Contents are read once, for the entries; all else goes on without them.
+    """
     open_files = under_guard(files, guards).withColumn("folder", F.col("parent_dir"))
-    keywords = cut(tfidf(merged_entries(open_files), open_files), "keywords")
-    folders = folder_coherence(open_files.select("file_id", "folder"), keywords, least=least_files)
-    ids = orphan_files(open_files.select("file_id", "folder"), folders, roots)
-    return open_files.join(ids, "file_id", "left_semi"), keywords
+    entries = cut(merged_entries(open_files), "entries")
+    narrow = cut(open_files.drop("content"), "files")
+    keywords = cut(tfidf(entries, narrow), "keywords")
+    folders = folder_coherence(narrow.select("file_id", "folder"), keywords, least=least_files)
+    ids = orphan_files(narrow.select("file_id", "folder"), folders, roots)
+    return cut(narrow.join(ids, "file_id", "left_semi"), "orphans"), keywords, entries
 
 
 def suggest_folders(files: DataFrame, guards: DataFrame, roots: list[str], min_similarity: float = MIN_SIMILARITY, min_files: int = MIN_FILES, max_files: int = MAX_FILES) -> DataFrame:
     """rank, cluster_id, name, terms, preview, n_files, score of suggested folders over active files(file_id, name, extension, parent_dir, content)."""
-    orphans, keywords = orphaned(files, guards, roots, min_files)
-    orphans = cut(orphans, "orphans")
+    orphans, keywords, entries = orphaned(files, guards, roots, min_files)
     classes = cut(profile_classes(keywords.join(orphans.select("file_id"), "file_id", "left_semi")), "classes")
     pairs = cut(similar_pairs(classes, min_similarity), "pairs")
     found = cl.class_clusters(classes, pairs, min_files)
     found = cut(cl.subclusters(classes, pairs, found, max_files, min_similarity + 0.15, min_files), "clusters")
     members = cut(classes.select("file_id", "class_id").join(found.select("class_id", "cluster_id"), "class_id").select("cluster_id", "file_id"), "members")
-    names = tfidf(merged_entries(orphans), orphans)
+    names = tfidf(entries.join(orphans.select("file_id"), "file_id", "left_semi"), orphans)
     sizes = found.select("cluster_id", "n_files").distinct()
     out = sizes.join(cl.cluster_scores(found, pairs), "cluster_id").join(cl.cluster_terms(members, names), "cluster_id", "left").join(cl.cluster_preview(members, orphans), "cluster_id", "left")
     out = out.select("cluster_id", F.coalesce("name", F.lit("group")).alias("name"), F.coalesce("terms", F.lit("")).alias("terms"), "preview", "n_files", F.round("score", 6).alias("score"))
@@ -46,8 +50,14 @@ def suggest_by_vectors(vectors: DataFrame, eps: float, min_pts: int = 3) -> Data
     return cl.ranked(out)
 
 
+def saved_suggestions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(suggestions, members) as save_suggestions() left them."""
+    return spark.read.parquet(f"{folder}/suggestions"), spark.read.parquet(f"{folder}/suggestion_files")
+
+
 def save_suggestions(suggestions: DataFrame, members: DataFrame, folder: str, min_files: int = MIN_FILES) -> None:
-    """Replace the saved suggestions and their members by those of at least min_files files."""
+    """Replace the saved suggestions(cluster_id, n_files, ...) and their members(cluster_id, file_id) by those of at least min_files files;
+    a file that is in a suggestion more than once is saved once."""
     keep = suggestions.filter(F.col("n_files") >= min_files)
     keep.write.mode("overwrite").parquet(f"{folder}/suggestions")
     members.join(keep.select("cluster_id"), "cluster_id", "left_semi").dropDuplicates(["cluster_id", "file_id"]).write.mode("overwrite").parquet(f"{folder}/suggestion_files")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -17,17 +18,27 @@ from foldergraph.functions.values import MAX_FILE_BYTES, MAX_TEXT_BYTES, TEXT_EX
 
 
 def scan_directory(spark: SparkSession, directory: str, watched_dir_id: int) -> DataFrame:
-    """The inventory of a directory, contents not read. Names that begin with . are left out, as are, by Spark's reader, those with _."""
+    """The inventory of a directory, contents not read. Names below it that begin with . are left out, as are, by Spark's reader, those with _."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    root = re.sub("^file:/*", "/", directory).rstrip("/")
     path = F.regexp_replace("path", "^file:/*", "/")
-    rows = found.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at")).filter(~F.col("path").rlike(r"/\.") | F.lit("/." in directory))
+    rows = found.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+    rows = rows.filter(~F.substring_index("path", root, -1).rlike(r"/\."))
     name = base_name(F.col("path"))
     return rows.select("path", name.alias("name"), file_extension(name).alias("extension"), mime_type(file_extension(name)).alias("mime_type"), "size", parent_path(F.col("path")).alias("parent_dir"), F.lit(watched_dir_id).cast("long").alias("watched_dir_id"), F.lit("active").alias("status"), "modified_at")
 
 
+#: Noncharacters, which no text has; they stand for a replacement character while invalid bytes are taken out.
+_OWN_MARK = "﷐﷑"
+#: What a package may hold when unpacked, and what a file that can't be opened raises.
+MAX_UNPACKED_BYTES = 8 * MAX_FILE_BYTES
+_UNREADABLE = (zipfile.BadZipFile, ElementTree.ParseError, zlib.error, KeyError, ValueError, RuntimeError, NotImplementedError, OSError, EOFError)
+
+
 def cut_text(content):  # noqa: ANN001, ANN201
-    """The first 500 KiB of a binary column as text, bytes that aren't UTF-8 left out."""
-    return F.replace(F.make_valid_utf8(F.substring(content, 1, MAX_TEXT_BYTES).cast("string")), F.lit("�"), F.lit(""))
+    """The first 500 KiB of a binary column as text, bytes that aren't UTF-8 left out; a replacement character that the text has stays."""
+    raw = F.replace(F.substring(content, 1, MAX_TEXT_BYTES).cast("string"), F.lit("�"), F.lit(_OWN_MARK))
+    return F.replace(F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit("")), F.lit(_OWN_MARK), F.lit("�"))
 
 
 def _texts(data: bytes, tag: str) -> Iterator[str]:
@@ -52,6 +63,8 @@ def office_text(data: bytes, extension: str) -> tuple[str, dict[str, str]]:
     """Text and core properties of a docx, pptx or xlsx package; a slide or sheet that can't be read is left out."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = sorted(z.namelist())
+        if sum(x.file_size for x in z.infolist()) > MAX_UNPACKED_BYTES:
+            raise ValueError("package too large when unpacked")
         runs: list[str] = []
         if extension == ".docx":
             runs += _texts(z.read("word/document.xml"), "t")
@@ -64,7 +77,7 @@ def office_text(data: bytes, extension: str) -> tuple[str, dict[str, str]]:
             if re.fullmatch(parts, name):
                 try:
                     runs += list(_texts(z.read(name), "t") if extension == ".pptx" else _cells(z.read(name), shared))
-                except ElementTree.ParseError:
+                except (ElementTree.ParseError, zlib.error):
                     continue
         meta = {}
         if "docProps/core.xml" in names:
@@ -76,9 +89,9 @@ def office_text(data: bytes, extension: str) -> tuple[str, dict[str, str]]:
 
 
 def extract_directory(spark: SparkSession, directory: str) -> DataFrame:
-    """path, extension, content, metadata, error for every supported file: texts as they are, office documents opened in the tasks.
+    """path, extension, content, metadata, error for every file: texts as they are, office documents opened in the tasks.
 
-    A file beyond 50 MiB isn't read and fails; PDF has no reader here and gives no content.
+    A file beyond 50 MiB isn't read and fails, as does a PDF, for which there is no reader here; files of other kinds have an empty content.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     found = found.withColumn("extension", file_extension(base_name(F.col("path"))))
@@ -93,9 +106,12 @@ def extract_directory(spark: SparkSession, directory: str) -> DataFrame:
                 try:
                     content, meta = office_text(row.content, row.extension)
                     out.append((row.path, row.extension, content, meta, None))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                except _UNREADABLE as e:
                     out.append((row.path, row.extension, None, None, str(e)[:500]))
             yield pd.DataFrame(out, columns=["path", "extension", "content", "metadata", "error"])
 
     office = small.filter(F.col("extension").isin(".docx", ".pptx", ".xlsx")).select("path", "extension", "content").mapInPandas(opened, "path string, extension string, content string, metadata map<string,string>, error string")
-    return large.unionByName(text).unionByName(office)
+    none = lambda kind: F.lit(None).cast(kind)
+    other = small.filter(~F.col("extension").isin(*TEXT_EXTENSIONS, ".docx", ".pptx", ".xlsx"))
+    other = other.select("path", "extension", F.when(F.col("extension") != ".pdf", "").alias("content"), none("map<string,string>").alias("metadata"), F.when(F.col("extension") == ".pdf", "no reader for PDF").alias("error"))
+    return large.unionByName(text).unionByName(office).unionByName(other)
