@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.functions.text import is_supported, normal_path
@@ -18,10 +18,14 @@ def filter_files(files: DataFrame, supported: bool | None = None, **equal) -> Da
     return files
 
 
-def sort_files(files: DataFrame, by: str | None = None, direction: str = "desc") -> DataFrame:
+def sort_order(by: str | None = None, direction: str = "desc") -> list[Column | str]:
     """By one of SORT_COLUMNS, any other counts as indexed_at; descending unless direction is asc; then by file_id."""
     column = F.col(by if by in SORT_COLUMNS else "indexed_at")
-    return files.orderBy(column.asc() if direction.lower() == "asc" else column.desc(), "file_id")
+    return [column.asc() if direction.lower() == "asc" else column.desc(), "file_id"]
+
+
+def sort_files(files: DataFrame, by: str | None = None, direction: str = "desc") -> DataFrame:
+    return files.orderBy(*sort_order(by, direction))
 
 
 def page(files: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -87,7 +87,7 @@ def own_keywords(members: DataFrame, files: DataFrame, n: int = TOP_PROFILE) ->
     sizes = members.groupBy("suggestion_id").agg(F.count("*").alias("n_files"))
     rows = entries.join(df, ["suggestion_id", "term"]).join(sizes, "suggestion_id")
     rows = rows.select("suggestion_id", "file_id", "term", (F.col("tf") * F.log(F.col("n_files") / F.col("df"))).alias("score"))
-    best = Window.partitionBy("suggestion_id", "file_id").orderBy(F.col("score").desc(), "term")
+    best = Window.partitionBy("suggestion_id", "file_id").orderBy(F.round("score", 9).desc(), "term")
     return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
 
 

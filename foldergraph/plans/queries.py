@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ from foldergraph.operators import refine as re_
 from foldergraph.operators import similarity as si
 from foldergraph.operators import vectors as ve
 from foldergraph.plans.inputs import FILES_SQL, HEADS_SQL, PAGES_SQL, files_view, pages_view, table
-from foldergraph.plans.suggest import suggest_by_vectors, suggest_folders
-from foldergraph.sources.shared import cut
+from foldergraph.operators.skew import global_rank
+from foldergraph.plans.suggest import save_suggestions, saved_suggestions, suggest_by_vectors, suggest_folders
+from foldergraph.sources.files import extract_directory, scan_directory
+from foldergraph.sources.shared import cut, new_dir, store_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,22 +120,22 @@ def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.files_in_folders(files, files.select(F.col("parent_dir").alias("path"))).select("folder", "file_id", "place")
 
 
-@query(f"WITH {_F} SELECT file_id, name FROM f WHERE file_id % 10 = 3")
+@query(f"WITH {_F} SELECT file_id, name FROM f WHERE file_id % 20 = 0")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "documents").filter("doc_id % 10 = 3").select(F.col("doc_id").alias("file_id"))
+    keys = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("file_id"))
     return li.lookup_rows(files_view(spark, sf_dir).select("file_id", "name"), keys, "file_id")
 
 
-def _folder_guards(files: DataFrame) -> DataFrame:
-    """Guards that a hash of the path decides, for every folder below the root."""
+def _folder_guards(files: DataFrame, depth: int = 1, share: str = "6") -> DataFrame:
+    """Guards that a hash of the path decides, for every folder at least so deep below the root."""
     paths = files.select(F.explode(tx.ancestors(F.col("parent_dir"))).alias("path")).distinct()
-    paths = paths.filter(F.size(F.split("path", "/")) > 2)
-    return paths.select("path", (F.substring(F.md5("path"), 1, 1) < "6").alias("guarded"), F.lit("by hash").alias("reason"), F.lit("llm").alias("source"))
+    paths = paths.filter(F.size(F.split("path", "/")) > depth + 1)
+    return paths.select("path", (F.substring(F.md5("path"), 1, 1) < share).alias("guarded"), F.lit("by hash").alias("reason"), F.lit("llm").alias("source"))
 
 
-def _guards_sql(source: str) -> str:
-    return f"""up AS (SELECT DISTINCT array_to_string(string_split(parent_dir, '/')[1:n], '/') AS path FROM (SELECT parent_dir, unnest(range(3, len(string_split(parent_dir, '/')) + 1)) AS n FROM {source})),
-guards AS (SELECT path, substr(md5(path), 1, 1) < '6' AS guarded FROM up)"""
+def _guards_sql(source: str, depth: int = 1, share: str = "6") -> str:
+    return f"""up AS (SELECT DISTINCT array_to_string(string_split(parent_dir, '/')[1:n], '/') AS path FROM (SELECT parent_dir, unnest(range({depth} + 2, len(string_split(parent_dir, '/')) + 1)) AS n FROM {source})),
+guards AS (SELECT path, substr(md5(path), 1, 1) < '{share}' AS guarded FROM up)"""
 
 
 @query(f"""WITH {_F}, {_guards_sql('f')}, a AS (SELECT * FROM f WHERE status = 'active')
@@ -213,6 +216,43 @@ def guard_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fo.propagate_guards(tree, _tree_guards(tree).limit(0), F.substring(F.md5("path"), 1, 1) < "3")
 
 
+_KNOWN = f"""{_TREE}, known AS (SELECT path, substr(md5(path), 2, 1) < '8' AS guarded, CASE WHEN substr(md5(path), 3, 1) < '8' THEN 'user' ELSE 'llm' END AS source FROM tree WHERE depth > 0 AND substr(md5(path), 4, 1) < '6'),
+w AS (
+  SELECT c.path, c.depth, CASE WHEN source = 'user' OR k.guarded THEN k.guarded ELSE substr(md5(c.path), 1, 1) < '3' END AS guarded, CASE WHEN source = 'user' OR k.guarded THEN 'known' ELSE 'classified' END AS reason FROM tree c LEFT JOIN known k USING (path) WHERE depth = 1 UNION ALL
+  SELECT c.path, c.depth, CASE WHEN c.depth = 4 THEN true WHEN source = 'user' OR k.guarded THEN k.guarded ELSE substr(md5(c.path), 1, 1) < '3' END, CASE WHEN c.depth = 4 THEN 'too deep' WHEN source = 'user' OR k.guarded THEN 'known' ELSE 'classified' END
+  FROM w JOIN tree c ON c.parent = w.path LEFT JOIN known k ON k.path = c.path WHERE NOT w.guarded AND c.depth <= 4)"""
+
+
+def _known_walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(guards known before, some of them the user's, and the walk that meets them)"""
+    tree = cut(fo.folder_tree(pages_view(spark, sf_dir), "/web"), "tree")
+    digit = lambda k: F.substring(F.md5("path"), k, 1)
+    known = tree.filter((F.col("depth") > 0) & (digit(4) < "6")).select("path", (digit(2) < "8").alias("guarded"), F.lit("before").alias("reason"), F.when(digit(3) < "8", "user").otherwise("llm").alias("source"))
+    return known, fo.propagate_guards(tree, known, digit(1) < "3")
+
+
+@query(f"WITH RECURSIVE {_KNOWN} SELECT path, guarded, reason FROM w")
+def guard_propagation_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _known_walk(spark, sf_dir)[1]
+
+
+@query(f"""WITH RECURSIVE {_KNOWN}, a AS (SELECT path, guarded, 'before' AS reason, source FROM known WHERE path NOT IN (SELECT path FROM w WHERE reason = 'classified')
+  UNION ALL SELECT path, guarded, reason, 'llm' FROM w WHERE reason = 'classified')
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.guarded AND w.reason <> 'too deep' AND starts_with(a.path, w.path || '/'))""")
+def guards_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, walked = _known_walk(spark, sf_dir)
+    return fo.stored_guards(known, cut(walked, "walked"))
+
+
+@query(f"""WITH {_TREE}, roots AS (SELECT path FROM tree WHERE depth IN (0, 1, 2)), x AS (SELECT r.path AS root, t.path, name, CASE WHEN t.path <> r.path THEN parent END AS parent,
+  CAST(len(string_split(t.path, '/')) - len(string_split(r.path, '/')) AS INTEGER) AS depth, file_count FROM roots r JOIN tree t ON t.path = r.path OR starts_with(t.path, r.path || '/'))
+SELECT * FROM x""")
+def folder_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees of many roots, some of them below others, in one plan."""
+    files = pages_view(spark, sf_dir)
+    return fo.folder_trees(files, fo.folder_tree(files, "/web").filter("depth <= 2").select("path"))
+
+
 @query(f"""WITH {_TREE_GUARDS}, d AS (SELECT path, substr(md5(path), 2, 1) < '8' AS guarded FROM tree WHERE depth IN (2, 3) AND substr(md5(path), 3, 1) < '4'),
 r AS (SELECT path, guarded, 'by hash' AS reason, 'llm' AS source FROM guards g WHERE path NOT IN (SELECT path FROM d) AND NOT EXISTS (SELECT 1 FROM d WHERE d.guarded AND starts_with(g.path, d.path || '/')))
 SELECT * FROM r UNION ALL SELECT path, guarded, 'user decision', 'user' FROM d""")
@@ -286,9 +326,16 @@ def _content_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(si.profile_classes(cut(kw.tfidf(kw.content_entries(contents), contents), "keywords")), "classes")
 
 
-@query(f"WITH {_PAIRS} SELECT a AS id1, b AS id2, round(sim, 6) AS sim, n1, n2 FROM e45")
+@query(f"""WITH {_PAIRS}, x AS (SELECT a AS class_id, n2 AS n FROM e45 UNION ALL SELECT b, n1 FROM e45), y AS (SELECT class_id, sum(n) AS n FROM x GROUP BY 1)
+SELECT 'pair' AS kind, a AS id1, b AS id2, round(sim, 6) AS sim, n1 AS n1, n2 AS n2 FROM e45
+UNION ALL SELECT 'member', file_id, q.class_id, 1.0, class_size, CAST(class_size - 1 + coalesce(y.n, 0) AS BIGINT) FROM q LEFT JOIN y USING (class_id)""")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return si.similar_pairs(_content_classes(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
+    """Rows of kind pair: two classes, their similarity and sizes; of kind member: a file, its class, the class's size, the file's links."""
+    classes = _content_classes(spark, sf_dir)
+    pairs = cut(si.similar_pairs(classes), "pairs")
+    sizes = classes.select("file_id", F.col("class_size").alias("n1"))
+    members = si.file_links(classes, pairs).join(sizes, "file_id").select(F.lit("member").alias("kind"), F.col("file_id").alias("id1"), F.col("class_id").alias("id2"), F.lit(1.0).alias("sim"), "n1", F.col("n_links").alias("n2"))
+    return pairs.select(F.lit("pair").alias("kind"), "id1", "id2", F.round("sim", 6).alias("sim"), "n1", "n2").unionByName(members)
 
 
 _CLUSTERS = f"{_PAIRS}, nodes AS (SELECT file_id AS id FROM h), {_components('e45', 'nodes', 'w')}, sized AS (SELECT id AS class_id, class_size, comp AS cluster_id, sum(class_size) OVER (PARTITION BY comp) AS n_files FROM w JOIN h ON h.file_id = id)"
@@ -313,11 +360,12 @@ again AS (SELECT id AS class_id, class_size, comp AS cluster_id, sum(class_size)
 last AS (SELECT * FROM sized WHERE n_files BETWEEN 3 AND 50 UNION ALL SELECT * FROM again WHERE n_files >= 3)"""
 
 
-@query(f"WITH RECURSIVE {_SUB} SELECT class_id, cluster_id, CAST(n_files AS BIGINT) AS n_files FROM last")
+@query(f"WITH RECURSIVE {_SUB} SELECT q.file_id, class_id, cluster_id, CAST(n_files AS BIGINT) AS n_files FROM last JOIN q USING (class_id)")
 def subclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = _content_classes(spark, sf_dir)
     pairs = cut(si.similar_pairs(classes), "pairs")
-    return cl.subclusters(classes, pairs, cl.class_clusters(classes, pairs)).select("class_id", "cluster_id", "n_files")
+    found = cl.subclusters(classes, pairs, cl.class_clusters(classes, pairs)).select("class_id", "cluster_id", "n_files")
+    return classes.select("file_id", "class_id").join(found, "class_id").select("file_id", "class_id", "cluster_id", "n_files")
 
 
 _COHERENT = f"""{_unit('k', 'u')}, g AS (SELECT file_id, parent_dir AS folder FROM f WHERE status = 'active'), z AS (SELECT folder, count(*) AS n_files FROM g GROUP BY 1 HAVING n_files >= 3),
@@ -349,13 +397,13 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return si.orphan_files(files, si.folder_coherence(files, keywords), [ROOT])
 
 
-_SUGGEST = f"""{_F}, {_TAGS}, {_guards_sql('f')},
+_SUGGEST = f"""{_F}, {_TAGS}, {_guards_sql('f', 2, '3')},
 a AS (SELECT * FROM f WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM guards g WHERE g.guarded AND (f.parent_dir = g.path OR starts_with(f.parent_dir, g.path || '/')))),
 {_merged('a', 'm')}, {_profile('m', 'a', 'k0')}, {_COHERENT.replace("FROM f WHERE status = 'active'", "FROM a").replace("FROM k ", "FROM k0 ")},
 orph AS (SELECT * FROM a WHERE parent_dir = '/watch' OR parent_dir IN (SELECT folder FROM fc WHERE round(coherence, 9) < 0.15)),
 k AS (SELECT k0.* FROM k0 WHERE file_id IN (SELECT file_id FROM orph)), {_CLASSES}, {_unit('kh', 'uh')}, {_sims('uh', 's')},
 e45 AS (SELECT a, b, sim, x.class_size AS n1, y.class_size AS n2 FROM s JOIN h x ON x.file_id = a JOIN h y ON y.file_id = b WHERE round(sim, 9) >= 0.45)"""
-_SUGGEST += _SUB[len(_PAIRS) :]
+_SUGGEST = (_SUGGEST + _SUB[len(_PAIRS) :]).replace("HAVING n_files >= 3", "HAVING n_files >= 2").replace("n_files BETWEEN 3 AND", "n_files BETWEEN 2 AND").replace("FROM again WHERE n_files >= 3", "FROM again WHERE n_files >= 2")
 _SUGGEST += f""", mem AS (SELECT q.file_id, q.class_id, cluster_id FROM last JOIN q USING (class_id)),
 fe AS (SELECT x.cluster_id, x.file_id AS fa, y.file_id AS fb, CASE WHEN x.class_id = y.class_id THEN 1.0 ELSE e.sim END AS sim FROM mem x JOIN mem y ON x.cluster_id = y.cluster_id AND x.file_id < y.file_id LEFT JOIN e45 e ON e.a = least(x.class_id, y.class_id) AND e.b = greatest(x.class_id, y.class_id) WHERE x.class_id = y.class_id OR e.sim IS NOT NULL),
 sc AS (SELECT cluster_id, avg(sim) AS score FROM fe GROUP BY 1),
@@ -369,7 +417,7 @@ res AS (SELECT DISTINCT l.cluster_id, coalesce(nm.name, 'group') AS name, coales
 @query(f"WITH RECURSIVE {_SUGGEST} SELECT *, CAST(row_number() OVER (ORDER BY score DESC, n_files DESC, cluster_id) AS INTEGER) AS rank FROM res")
 def suggestions_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files_view(spark, sf_dir)
-    return suggest_folders(files.filter("status = 'active'"), _folder_guards(files), [ROOT])
+    return suggest_folders(files.filter("status = 'active'"), _folder_guards(files, 2, "3"), [ROOT], min_files=2)
 
 
 # ---- vectors ----
@@ -434,6 +482,36 @@ def embedding_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached.select("file_id", F.lit("cached").alias("state")).unionByName(rest.select("file_id", F.lit("to compute").alias("state")))
 
 
+def _letters(texts: list[str]) -> list[list[float]]:
+    """Stands for a model: how often some letters occur."""
+    return [[float(t.count(x)) for x in "aeio"] for t in texts]
+
+
+_CACHE = f"""{_F}, old AS (SELECT vec_id AS file_id, CASE WHEN vec_id % 5 = 0 THEN 'other' ELSE 'm' END AS model, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings),
+t AS (SELECT file_id, concat_ws(' ', name, extension, parent_dir, nullif(substr(content, 1, 2000), '')) AS text FROM f WHERE file_id NOT IN (SELECT file_id FROM old WHERE model = 'm')),
+made AS (SELECT file_id, CAST(length(text) - length(replace(text, 'a', '')) AS DOUBLE) AS first FROM t)"""
+
+
+def _vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), F.when(F.col("vec_id") % 5 == 0, "other").otherwise("m").alias("model"), "embedding")
+
+
+@query(f"WITH {_CACHE} SELECT file_id, round(first, 6) AS first, true AS cached FROM old JOIN f USING (file_id) WHERE model = 'm' UNION ALL SELECT file_id, first, false FROM made")
+def embedding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached and computed vectors of all files."""
+    out = em.all_vectors(files_view(spark, sf_dir), _vector_cache(spark, sf_dir), "m", _letters)
+    return out.select("file_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), "cached")
+
+
+@query(f"WITH {_CACHE} SELECT file_id, model, round(first, 6) AS first FROM old UNION ALL SELECT file_id, 'm', first FROM made")
+def embedding_cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after the computed vectors were put into it."""
+    cache = _vector_cache(spark, sf_dir)
+    made = em.all_vectors(files_view(spark, sf_dir), cache, "m", _letters).filter("NOT cached")
+    out = em.put_vectors(cache.withColumn("embedding", F.col("embedding").cast("array<float>")), made, "m")
+    return out.select("file_id", "model", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
 @query()
 def embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return em.embed_batches(em.embedding_text(files_view(spark, sf_dir)))
@@ -483,6 +561,29 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["files"].select(F.lit("files").alias("kind"), key).unionByName(out["embeddings"].select(F.lit("embeddings").alias("kind"), key))
 
 
+@query("""WITH k AS (SELECT doc_id AS file_id, doc_id % 3 AS dir FROM documents WHERE doc_id % 3 <> 1)
+SELECT 'files' AS kind, CAST(file_id AS VARCHAR) AS key FROM k UNION ALL SELECT 'contents', CAST(file_id AS VARCHAR) FROM k UNION ALL SELECT 'comments', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id % 3 <> 1
+UNION ALL SELECT 'suggestion_files', CAST(file_id AS VARCHAR) FROM k WHERE file_id % 2 = 0 UNION ALL SELECT 'watched_dirs', CAST(dir AS VARCHAR) FROM k GROUP BY dir
+UNION ALL SELECT 'guards', concat('/d', doc_id % 3, CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('/', doc_id) END) FROM documents WHERE doc_id % 3 <> 1""")
+def cascade_delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every dependent table after a watched directory went."""
+    docs = table(spark, sf_dir, "documents").withColumn("dir", F.col("doc_id") % 3)
+    files = docs.select(F.col("doc_id").alias("file_id"), F.col("dir").alias("watched_dir_id"))
+    tables = {
+        "watched_dirs": files.select(F.col("watched_dir_id").alias("id")).distinct().withColumn("path", F.concat(F.lit("/d"), F.col("id").cast("string"), F.lit("/"))),
+        "files": files,
+        "contents": docs.select(F.col("doc_id").alias("file_id"), "text"),
+        "comments": table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id")),
+        "suggestion_files": files.filter("file_id % 2 = 0").select("file_id"),
+        "guards": docs.select(F.concat(F.lit("/d"), F.col("dir").cast("string"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("/"), F.col("doc_id").cast("string")))).alias("path"), F.lit(True).alias("guarded")),
+    }
+    left, out = inv.cascade_delete(tables, 1), None
+    for kind, key in (("files", "file_id"), ("contents", "file_id"), ("comments", "file_id"), ("suggestion_files", "file_id"), ("watched_dirs", "id"), ("guards", "path")):
+        rows = left[kind].select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("""WITH t AS (SELECT doc_id AS file_id, lang AS name, source AS note FROM documents WHERE doc_id % 2 = 0),
 c AS (SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'upsert' END AS op, CASE WHEN doc_id % 5 <> 0 THEN 'new' END AS name, 'changed' AS note FROM documents WHERE doc_id % 4 < 2)
 SELECT coalesce(t.file_id, c.file_id) AS file_id, CASE WHEN op IS NULL OR (t.file_id IS NOT NULL AND op = 'insert') THEN t.name ELSE coalesce(c.name, t.name) END AS name,
@@ -504,6 +605,58 @@ def extract_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.merge_extracted(files, results, F.expr("TIMESTAMP '2025-01-01 00:00:00'")).select("file_id", "processing_status", "processing_error")
 
 
+@query("""SELECT doc_id AS file_id, concat('{"lines":', length(text) - length(replace(text, chr(10), '')) + 1, ',"characters":', strlen(text), ',"words":', len(regexp_extract_all(text, '\\S+')), '}') AS file_metadata,
+ CAST(strlen(text) AS BIGINT) AS characters, CAST(NULL AS VARCHAR) AS title FROM documents""")
+def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata as JSON, and fields read from it."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), tx.metadata_json(tx.text_metadata(F.col("text"))).alias("file_metadata"))
+    return rows.withColumn("m", tx.parsed_metadata(F.col("file_metadata"))).select("file_id", "file_metadata", "m.characters", "m.title")
+
+
+@query(f"""WITH {_F} SELECT file_id, CASE WHEN file_id % 8 = 0 THEN 'failed' WHEN file_id % 4 = 0 THEN 'processed' ELSE processing_status END AS processing_status,
+ CASE WHEN file_id % 4 = 0 AND file_id % 8 <> 0 THEN concat('{{"lines":', length(content) - length(replace(content, chr(10), '')) + 1, ',"characters":', strlen(content), ',"words":', len(regexp_extract_all(content, '\\S+')), '}}') ELSE '{{}}' END AS file_metadata FROM f""")
+def metadata_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction results with metadata merged into the inventory."""
+    files = _inventory(spark, sf_dir).withColumn("file_metadata", F.lit("{}"))
+    results = files_view(spark, sf_dir).filter("file_id % 4 = 0").select("file_id", F.when(F.col("file_id") % 8 == 0, "no text").alias("error"), tx.metadata_json(tx.text_metadata(F.col("content"))).alias("file_metadata"))
+    return inv.merge_extracted(files, results, F.expr("TIMESTAMP '2025-01-01 00:00:00'")).select("file_id", "processing_status", "file_metadata")
+
+
+def _page_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of one file for each page, as tasks write them: every eighth as .dat, every ninth under a hidden name."""
+    top = new_dir(spark, "files")
+    kind = F.when(F.col("page_id") % 8 == 0, ".dat").otherwise(".html")
+    name = F.concat(F.when(F.col("page_id") % 9 == 0, ".").otherwise(""), F.lit("page-"), F.col("page_id").cast("string"), kind)
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = store_of(top)
+        for frame in frames:
+            for folder, own, html in frame.itertuples(index=False):
+                store.create_dir(f"{path}/{folder}", recursive=True)
+                with store.open_output_stream(f"{path}/{folder}/{own}", compression=None) as out:
+                    out.write(html.encode())
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).cast("string").alias("folder"), name.alias("name"), F.coalesce("html", F.lit("")).alias("html"))
+    rows.mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    return top
+
+
+_PAGE_NAME = "concat(CASE WHEN page_id % 9 = 0 THEN '.' ELSE '' END, 'page-', page_id, CASE WHEN page_id % 8 = 0 THEN '.dat' ELSE '.html' END)"
+
+
+@query(f"SELECT {_PAGE_NAME} AS name, CASE WHEN page_id % 8 = 0 THEN '.dat' ELSE '.html' END AS extension, CASE WHEN page_id % 8 = 0 THEN 'application/octet-stream' ELSE 'text/html' END AS mime_type, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size, CAST(page_id % 7 AS VARCHAR) AS folder, 'active' AS status FROM pages WHERE page_id % 9 <> 0")
+def scan_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_directory(spark, _page_files(spark, sf_dir), 1)
+    return found.select("name", "extension", "mime_type", "size", tx.base_name(F.col("parent_dir")).alias("folder"), "status")
+
+
+@query(f"SELECT {_PAGE_NAME} AS name, sha256(CASE WHEN page_id % 8 = 0 THEN '' ELSE coalesce(html, '') END) AS content, CAST(NULL AS VARCHAR) AS error FROM pages WHERE page_id % 9 <> 0")
+def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_directory(spark, _page_files(spark, sf_dir))
+    return found.select(tx.base_name(F.col("path")).alias("name"), F.sha2("content", 256).alias("content"), "error")
+
+
 @query("SELECT page_id AS file_id, sha256(CASE WHEN page_id % 5 = 0 THEN html ELSE 'old' END) AS content FROM pages")
 def contents_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("html").alias("content"))
@@ -517,7 +670,7 @@ _SUG = f"{_F}, ids AS (SELECT parent_dir, row_number() OVER (ORDER BY parent_dir
 
 
 def _suggestions(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ids = files.select("parent_dir").distinct().withColumn("suggestion_id", F.row_number().over(Window.orderBy("parent_dir")).cast("long"))
+    ids = global_rank(files.select("parent_dir").distinct(), ["parent_dir"]).select("parent_dir", (F.col("rank") + 1).alias("suggestion_id"))
     return ids.select("suggestion_id", F.col("parent_dir").alias("name"), F.lit("d").alias("description")), files.join(ids, "parent_dir").select("suggestion_id", "file_id")
 
 
@@ -536,6 +689,43 @@ def suggestion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("suggestion_id").agg(F.count("*").alias("file_count"), F.array_join(F.transform(first, lambda x: x["name"]), ", ").alias("preview"))
 
 
+@query(f"""WITH {_SUG}, n AS (SELECT suggestion_id, count(*) AS n_files FROM mem GROUP BY 1)
+SELECT suggestion_id AS cluster_id, name, n_files, file_id FROM sug JOIN n USING (suggestion_id) JOIN mem USING (suggestion_id) WHERE n_files >= 3""")
+def suggestion_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions of three files or more saved, and read back with their members; memberships given twice are saved once."""
+    suggestions, members = _suggestions(files_view(spark, sf_dir))
+    members = members.withColumnRenamed("suggestion_id", "cluster_id")
+    heads = suggestions.withColumnRenamed("suggestion_id", "cluster_id").join(members.groupBy("cluster_id").agg(F.count("*").alias("n_files")), "cluster_id")
+    top = new_dir(spark, "saved")
+    save_suggestions(heads, members.union(members), top)
+    heads, members = saved_suggestions(spark, top)
+    return heads.join(members, "cluster_id").select("cluster_id", "name", "n_files", "file_id")
+
+
+_DATED = f"{_SUG}, dated AS (SELECT suggestion_id, name, TIMESTAMP '2024-01-01 00:00:00' + (suggestion_id % 7) * INTERVAL '1' DAY AS created_at FROM sug)"
+
+
+@query(f"WITH {_DATED} SELECT suggestion_id, name, created_at, CAST(row_number() OVER (ORDER BY created_at DESC, suggestion_id) AS BIGINT) AS place FROM dated")
+def suggestions_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions in order of creation, the newest first."""
+    rows = _suggestions(files_view(spark, sf_dir))[0].select("suggestion_id", "name", F.expr("TIMESTAMP '2024-01-01 00:00:00' + (suggestion_id % 7) * INTERVAL '1' DAY").alias("created_at"))
+    return global_rank(rows, [F.col("created_at").desc(), "suggestion_id"], "place").withColumn("place", F.col("place") + 1)
+
+
+@query(f"""WITH {_F}, i AS (SELECT *, CASE WHEN file_id % 2 = 0 THEN modified_at END AS indexed_at FROM f),
+r AS (SELECT 'name' AS column_name, file_id, row_number() OVER (ORDER BY name DESC NULLS LAST, file_id) AS place FROM i UNION ALL SELECT 'extension', file_id, row_number() OVER (ORDER BY extension NULLS FIRST, file_id) FROM i
+  UNION ALL SELECT 'size', file_id, row_number() OVER (ORDER BY size NULLS FIRST, file_id) FROM i UNION ALL SELECT 'modified_at', file_id, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, file_id) FROM i
+  UNION ALL SELECT 'processing_status', file_id, row_number() OVER (ORDER BY processing_status NULLS FIRST, file_id) FROM i UNION ALL SELECT 'no such column', file_id, row_number() OVER (ORDER BY indexed_at DESC NULLS LAST, file_id) FROM i)
+SELECT column_name, file_id, CAST(place AS BIGINT) AS place FROM r""")
+def files_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every file in each of the orders that a list can have, nulls among the values."""
+    files, out = cut(_inventory(spark, sf_dir), "inventory"), None
+    for by, way in (("name", "desc"), ("extension", "ASC"), ("size", "asc"), ("modified_at", "down"), ("processing_status", "asc"), ("no such column", "desc")):
+        rows = global_rank(files, li.sort_order(by, way), "place").select(F.lit(by).alias("column_name"), "file_id", (F.col("place") + 1).alias("place"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(f"WITH {_F} SELECT file_id, f.name, l.quality AS comment, sha256(nullif(content, '')) AS content FROM f LEFT JOIN (SELECT doc_id AS file_id, CAST(max(quality) AS VARCHAR) AS quality FROM labels GROUP BY 1) l USING (file_id)")
 def file_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files_view(spark, sf_dir)
@@ -566,12 +756,24 @@ def refine_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.cluster_prompts(members, files, keywords).withColumn("prompt", F.md5("prompt"))
 
 
+@query(f"""WITH {_SUG}, e AS (SELECT * FROM (SELECT file_id, lower(unnest(regexp_extract_all(coalesce(content, ''), '[a-zA-Z0-9]+'))) AS term FROM f) WHERE {_KEEP}),
+c AS (SELECT file_id, term, CAST(count(*) AS DOUBLE) AS tf, row_number() OVER (PARTITION BY file_id ORDER BY count(*) DESC, term) AS r FROM e GROUP BY file_id, term QUALIFY r <= 100),
+m AS (SELECT suggestion_id, c.* FROM c JOIN mem USING (file_id)), d AS (SELECT suggestion_id, term, count(*) AS df FROM m GROUP BY ALL), z AS (SELECT suggestion_id, count(*) AS n FROM mem GROUP BY 1),
+k AS (SELECT suggestion_id, file_id, term, round(tf * ln(n / CAST(df AS DOUBLE)), 9) AS s FROM m JOIN d USING (suggestion_id, term) JOIN z USING (suggestion_id))
+SELECT suggestion_id, file_id, term, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY suggestion_id, file_id ORDER BY s DESC, term) AS INTEGER) AS place FROM k QUALIFY place <= 20""")
+def refine_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of each suggestion's files within the suggestion alone."""
+    files = files_view(spark, sf_dir)
+    return re_.own_keywords(_suggestions(files)[1], files).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {_TREE}, s AS (SELECT parent AS path, string_agg(name, ', ' ORDER BY name) AS subs FROM tree WHERE parent IS NOT NULL GROUP BY 1), o AS (SELECT parent_dir AS path, string_agg(name, chr(10) || '- ' ORDER BY name) AS names FROM t GROUP BY 1)
-SELECT path, md5(concat('Folder: "', name, '"', chr(10), 'Subfolders: ', coalesce(subs, '(none)'), chr(10), 'Files:', chr(10), '- ', coalesce(names, '(none)'), chr(10), 'Do they belong together? Answer with JSON only: {{"related": true, "reason": ""}}')) AS prompt, substr(md5(path), 1, 1) < '8' AS guarded
+SELECT path, md5(concat('Folder: "', name, '"', chr(10), 'Subfolders: ', coalesce(subs, '(none)'), chr(10), 'Files:', chr(10), '- ', coalesce(names, '(none)'), coalesce(chr(10) || 'Above it: depth ' || CASE WHEN parent IS NOT NULL THEN CAST(depth - 1 AS VARCHAR) END, ''), chr(10), 'Do they belong together? Answer with JSON only: {{"related": true, "reason": ""}}')) AS prompt, substr(md5(path), 1, 1) < '8' AS guarded
 FROM tree LEFT JOIN s USING (path) LEFT JOIN o USING (path)""")
 def guard_prompt_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = pages_view(spark, sf_dir)
-    prompts = re_.folder_prompts(fo.folder_tree(files, "/web"), files)
+    tree = fo.folder_tree(files, "/web")
+    prompts = re_.folder_prompts(tree, files, tree.select("path", F.concat(F.lit("depth "), F.col("depth").cast("string")).alias("hint")))
     raw = F.when(F.substring(F.md5("path"), 1, 1) < "8", '```json\n{"related": true, "reason": "r"}\n```').otherwise('{"related": false}')
     return prompts.select("path", F.md5("prompt").alias("prompt"), F.coalesce(re_.parsed_reply(raw)["related"], F.lit(False)).alias("guarded"))
 
@@ -584,3 +786,18 @@ def move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     suggestions, members = _suggestions(files)
     short = F.concat(F.when(F.col("file_id") % 3 == 0, "document_").otherwise("note-"), "extension")
     return re_.move_plan(members, files.withColumn("name", short), suggestions)
+
+
+@query(f"""WITH RECURSIVE {_SUG}, x AS (SELECT suggestion_id, file_id, concat(CASE WHEN file_id % 3 = 0 THEN 'document_' ELSE 'note-' END, extension) AS name, regexp_replace(s.name, '[/\\\\:*?"<>|]', '_', 'g') AS folder FROM mem JOIN f USING (file_id) JOIN (SELECT suggestion_id, name FROM sug) s USING (suggestion_id)),
+p AS (SELECT DISTINCT folder, concat('note-', k, ext) AS name FROM x, (VALUES ('', '.txt'), ('_1', '.txt'), ('_3', '.md')) v(k, ext)),
+k AS (SELECT *, row_number() OVER (PARTITION BY suggestion_id, name ORDER BY file_id) - 1 AS k FROM x),
+free AS (SELECT folder, name, n, row_number() OVER (PARTITION BY folder, name ORDER BY n) - 1 AS k FROM (SELECT DISTINCT folder, name FROM x) d, (SELECT unnest(range(100000)) AS n) r
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.folder = d.folder AND p.name = CASE WHEN n = 0 THEN d.name ELSE concat(regexp_replace(d.name, '\\.[^./]*$', ''), '_', n, regexp_extract(d.name, '(\\.[^./]*)$', 1)) END) AND n < (SELECT count(*) + 4 FROM x))
+SELECT suggestion_id, file_id, folder, CASE WHEN n = 0 THEN name ELSE concat(regexp_replace(name, '\\.[^./]*$', ''), '_', n, regexp_extract(name, '(\\.[^./]*)$', 1)) END AS new_name FROM k JOIN free USING (folder, name, k)""")
+def move_plan_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every destination has some of the names already."""
+    files = files_view(spark, sf_dir)
+    suggestions, members = _suggestions(files)
+    short = F.concat(F.when(F.col("file_id") % 3 == 0, "document_").otherwise("note-"), "extension")
+    there = suggestions.select(tx.safe_name(F.col("name")).alias("folder"), F.explode(F.array(*map(F.lit, ("note-.txt", "note-_1.txt", "note-_3.md")))).alias("name"))
+    return re_.move_plan(members, files.withColumn("name", short), suggestions, there)
