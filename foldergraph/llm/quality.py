@@ -75,7 +75,7 @@ def counted(text: str | None, words: list[bytes] | None = None) -> tuple[int, in
 
 def packed(values: np.ndarray) -> bytes:
     """Integers as compressed bytes; their lowest bytes come first, then the next ones."""
-    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 9)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -319,6 +319,7 @@ def _median(bins: DataFrame) -> DataFrame:
 def perplexity_bands(rows: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
     """lang, low, high: bounds of log perplexity from all rows(lang, log_perplexity, base_failed) that pass the counted rules."""
     bins = rows.filter("NOT base_failed AND log_perplexity IS NOT NULL").groupBy("lang", F.round(F.col("log_perplexity") / GRAIN).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    bins = cut(bins, "bins")  # few rows a language, however many documents
     mid = _median(bins)
     off = bins.join(mid, "lang").groupBy("lang", F.abs(F.col("bin") - F.col("mid")).alias("bin")).agg(F.sum("n").alias("n"))
     spread = _median(off).select("lang", (F.greatest(F.col("mid"), F.lit(10)) * GRAIN * 1.4826).alias("spread"))
