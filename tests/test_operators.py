@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldergraph.functions import text as tx
 from foldergraph.functions import vectors as vec
-from foldergraph.operators import clusters, folders, inventory, keywords, refine, similarity
+from foldergraph.operators import clusters, embeddings, folders, inventory, keywords, refine, similarity
 from foldergraph.operators.components import connected_components
 from foldergraph.operators.vectors import dbscan
 from foldergraph.sources.files import extract_directory, scan_directory
@@ -154,3 +154,149 @@ def test_files_and_office(spark, tmp_path):
     assert out["d.docx"].content == "hello there " and out["d.docx"].metadata == {"author": "me"}
     assert out["s.xlsx"].content == "one 7 " and out["bad.pptx"].error and out["n.txt"].content == "plain  text"
     assert {r.name for r in scan_directory(spark, str(tmp_path), 1).collect()} == {"n.txt", "d.docx", "s.xlsx", "bad.pptx"}
+    # packages that can't be unpacked, names below a hidden root, kinds without a reader, a replacement character of the text's own
+    top = tmp_path / ".root" / "in"
+    top.mkdir(parents=True)
+    with zipfile.ZipFile(top / "z.docx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<d><t>" + "text " * 500 + "</t></d>")
+    raw = bytearray((top / "z.docx").read_bytes())
+    at = raw.index(b"word/document.xml") + len(b"word/document.xml")
+    raw[at : at + 6] = b"\xff" * 6
+    (top / "corrupt.docx").write_bytes(raw)
+    raw = bytearray((top / "z.docx").read_bytes())
+    raw[6] |= 1
+    raw[raw.index(b"PK\x01\x02") + 8] |= 1
+    (top / "locked.docx").write_bytes(raw)
+    (top / "x.pdf").write_bytes(b"%PDF")
+    (top / "y.bin").write_bytes(b"1")
+    (top / ".no.txt").write_text("x")
+    (top / "own.txt").write_bytes("a\ufffdb".encode() + b"\xff")
+    out = {r.path.rpartition("/")[2]: r for r in extract_directory(spark, str(top)).collect()}
+    assert out["corrupt.docx"].error and out["locked.docx"].error and out["x.pdf"].error and (out["y.bin"].content, out["y.bin"].error) == ("", None)
+    assert out["own.txt"].content == "a\ufffdb" and out["z.docx"].content.startswith("text text")
+    assert {r.name for r in scan_directory(spark, str(top), 1).collect()} == {"z.docx", "corrupt.docx", "locked.docx", "x.pdf", "y.bin", "own.txt"}
+
+
+def test_dbscan_nulls_repeats_and_copies(spark):
+    schema = "id long, vec array<float>, extra string"
+    rows = [(1, [0.0, 0.0], "a"), (1, [0.0, 0.0], "b"), (2, [0.0, 0.5], "a"), (3, [0.5, 0.0], "a"), (4, None, "a"), (None, [0.0, 0.0], "a"), (5, [9.0], "a"), (6, [], "a"), (7, [], "a"), (8, [], "a"), (9, [float("nan"), 0.0], "a")]
+    rows += [(20 + k, [7.0, 7.0], "copy") for k in range(4)] + [(30, [7.0, 8.0], "border")]
+    got = {r.id: r.cluster_no for r in dbscan(spark.createDataFrame(rows, schema), 1.0, 3).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 20: 2, 21: 2, 22: 2, 23: 2, 30: 2}
+    assert dbscan(spark.createDataFrame([], schema), 1.0, 3).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("points", "least", "sizes"),
+    [
+        ([(0, 0), (0.1, 0), (0, 0.1)], 3, [3]),  # one cluster
+        ([(0, 0), (0.1, 0), (0, 0.1), (10, 10), (10.1, 10), (10, 10.1), (50, 50)], 3, [3, 3]),  # two and noise
+        ([(0, 0), (5, 5), (10, 10)], 2, []),  # noise alone
+        ([(0, 0), (0.9, 0), (1.8, 0), (2.7, 0)], 2, [4]),  # a dense chain
+        ([(0, 0), (1, 0), (0, 1)], 3, [3]),  # exactly eps apart
+    ],
+)
+def test_dbscan_cases(spark, points, least, sizes):
+    rows = spark.createDataFrame([(k, list(map(float, p))) for k, p in enumerate(points)], "id long, vec array<double>")
+    got = {}
+    for r in dbscan(rows, 1.0, least).collect():
+        got.setdefault(r.cluster_no, []).append(r.id)
+    assert sorted(map(len, got.values())) == sizes
+
+
+@pytest.mark.parametrize(
+    ("edges", "nodes", "want"),
+    [
+        ([(1, 2, 0.8), (2, 3, 0.7), (1, 3, 0.6)], 3, [{1, 2, 3}]),  # triangle
+        ([(1, 2, 0.8), (2, 3, 0.7), (1, 3, 0.9), (4, 5, 0.8), (5, 6, 0.7), (4, 6, 0.6)], 6, [{1, 2, 3}, {4, 5, 6}]),
+        ([(1, 2, 0.8), (2, 3, 0.7)], 3, [{1, 2, 3}]),  # a chain links its ends
+        ([(1, 2, 0.8)], 3, []),  # too small
+        ([], 3, []),
+    ],
+)
+def test_component_cases(spark, edges, nodes, want):
+    classes = spark.createDataFrame([(k, k, 1) for k in range(1, nodes + 1)], "file_id long, class_id long, class_size long")
+    pairs = spark.createDataFrame([(a, b, s, 1, 1) for a, b, s in edges], "id1 long, id2 long, sim double, n1 long, n2 long")
+    got = {}
+    for r in clusters.class_clusters(classes, pairs).collect():
+        got.setdefault(r.cluster_id, set()).add(r.class_id)
+    assert sorted(got.values(), key=min) == want
+
+
+def test_similar_pairs_bound_keeps_all(spark):
+    """Profiles with long tails of small scores, near the threshold on both sides."""
+    rnd = random.Random(9)
+    rows = [(d, f"t{t}", 1.0 + 5 * rnd.random() ** 4) for d in range(60) for t in rnd.sample(range(40), 18)]
+    by = {}
+    for d, t, s in rows:
+        by.setdefault(d, {})[t] = s
+    norm = {d: sum(x * x for x in v.values()) ** 0.5 for d, v in by.items()}
+    sims = {(a, b): sum(x * by[b].get(t, 0) for t, x in by[a].items()) / norm[a] / norm[b] for a in by for b in by if a < b}
+    classes = similarity.profile_classes(spark.createDataFrame(rows, "file_id long, term string, score double"))
+    pairs = similarity.similar_pairs(classes)
+    got = {(r.id1, r.id2): r.sim for r in pairs.collect()}
+    assert set(got) == {k for k, v in sims.items() if v >= 0.45} and len(got) > 50 and all(v == pytest.approx(sims[k]) for k, v in got.items())
+    links = {r.file_id: r.n_links for r in similarity.file_links(classes, pairs).collect()}
+    assert links == {d: sum(d in k for k in got) for d in by}
+
+
+def test_move_plan_against_sequential(spark):
+    rnd = random.Random(11)
+    names = ["a.txt", "a_1.txt", "a_2.txt", "a_1_1.txt", "b", "b_1", ".x", "c.tar.gz"]
+    rows = [(k, rnd.choice(names), rnd.randrange(3)) for k in range(80)]
+    there = [("f0", "a.txt"), ("f0", "b_1"), ("f1", "a_3.txt"), ("f1", "zzz"), ("f9", "a.txt")]
+    want = set()
+    for s in range(3):
+        taken = {n for f, n in there if f == f"f{s}"}
+        for name, k in sorted((n, k) for k, n, own in rows if own == s):
+            base, dot, ext = name.rpartition(".")
+            base, ext = (base, dot + ext) if dot else (name, "")
+            new, i = name, 0
+            while new in taken:
+                i += 1
+                new = f"{base}_{i}{ext}"
+            taken.add(new)
+            want.add((s, k, new))
+    files = spark.createDataFrame([(k, n) for k, n, _ in rows], "file_id long, name string")
+    members = spark.createDataFrame([(s, k) for k, _, s in rows], "suggestion_id long, file_id long")
+    heads = spark.createDataFrame([(s, f"f{s}") for s in range(3)], "suggestion_id long, name string")
+    out = refine.move_plan(members, files, heads, spark.createDataFrame(there, "folder string, name string"))
+    assert {(r.suggestion_id, r.file_id, r.new_name) for r in out.collect()} == want
+
+
+def test_embedding_failures_and_cache(spark):
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[float(len(t))] for t in texts][: 1 if "short" in texts else None]
+
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "bb", "bad", "c", "short", "d"])], "file_id long, text string").coalesce(1)
+    out = {r.file_id: (r.embedding, r.error) for r in embeddings.embed_batches(texts, embed, 2).collect()}
+    assert out == {0: ([1.0], None), 1: ([2.0], None), 2: (None, "no"), 3: (None, "no"), 4: (None, "1 vectors for 2 texts"), 5: (None, "1 vectors for 2 texts")}
+    cache = spark.createDataFrame([(0, "m", [9.0]), (0, "n", [8.0]), (7, "m", [7.0])], "file_id long, model string, embedding array<float>")
+    new = embeddings.put_vectors(cache, spark.createDataFrame([(0, [1.0]), (2, None)], "file_id long, embedding array<float>"), "m")
+    assert {(r.file_id, r.model, r.embedding[0]) for r in new.collect()} == {(0, "m", 1.0), (0, "n", 8.0), (7, "m", 7.0)}
+
+
+def test_guards_known_before(spark):
+    files = spark.createDataFrame([(k, p) for k, p in enumerate(["/r/a/x", "/r/b/y/z", "/r/c/w/v/u"])], "file_id long, parent_dir string")
+    tree = folders.folder_tree(files, "/r")
+    known = spark.createDataFrame([("/r/a", True, "m", "llm"), ("/r/a/x", True, "m", "llm"), ("/r/b", False, "m", "user"), ("/r/c", False, "m", "llm")], "path string, guarded boolean, reason string, source string")
+    walked = folders.propagate_guards(tree, known, F.col("path").endswith("b") | F.col("path").endswith("/y"))
+    assert {(r.path, r.guarded, r.reason) for r in walked.collect()} == {("/r/a", True, "known"), ("/r/b", False, "known"), ("/r/c", False, "classified"), ("/r/b/y", True, "classified"), ("/r/c/w", False, "classified"), ("/r/c/w/v", False, "classified"), ("/r/c/w/v/u", True, "too deep")}
+    assert {r.path for r in folders.stored_guards(known, walked).collect()} == {"/r/a", "/r/b", "/r/c", "/r/b/y", "/r/c/w", "/r/c/w/v"}
+    trees = folders.folder_trees(files, spark.createDataFrame([("/r",), ("/r/b/",)], "path string")).collect()
+    assert {(r.root, r.path, r.parent, r.depth) for r in trees if r.root == "/r/b"} == {("/r/b", "/r/b", None, 0), ("/r/b", "/r/b/y", "/r/b", 1), ("/r/b", "/r/b/y/z", "/r/b/y", 2)}
+    assert {(r.path, r.name, r.parent, r.depth, r.file_count) for r in trees if r.root == "/r"} == {tuple(r) for r in tree.select("path", "name", "parent", "depth", "file_count").collect()}
+
+
+def test_folder_replies(spark):
+    prompts = spark.createDataFrame([(f"/{k}", p) for k, p in enumerate(["yes", "no", "odd", "fail"])], "path string, prompt string")
+
+    def ask(prompt):
+        if prompt == "fail":
+            raise OSError("gone")
+        return {"yes": '{"related": true, "reason": "r"}', "no": '```json\n{"related": false}\n```', "odd": "sure!"}[prompt]
+
+    out = {r.path: (r.guarded, r.reason) for r in refine.classify_folders(prompts, ask).collect()}
+    assert out == {"/0": (True, "r"), "/1": (False, ""), "/2": (False, "reply not understood"), "/3": (False, "gone")}
