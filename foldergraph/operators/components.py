@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldergraph.operators.skew import group_totals, salt
-from foldergraph.sources.shared import cut
+from foldergraph.sources.shared import cut, recut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges(src, dst) -> (id, component): the smallest id reachable, for every id that has an edge to another id.
 
     Null ends and self loops are left out, repeated and reversed edges do no harm; without edges the result is empty.
-    Each round writes its edges to the shared folder; rounds end when a round leaves the edges as they were.
+    Each round writes its edges to the shared folder in place of the last one's; rounds end when a round leaves the edges as they were.
     """
     edges = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     edges, before = cut(edges, "edges"), None
@@ -36,4 +36,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             return edges.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(edges.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())
         before = state
-        edges = cut(_small_star(_large_star(edges)), "edges")
+        edges = recut(_small_star(_large_star(edges)), edges, "edges")

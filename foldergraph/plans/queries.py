@@ -512,9 +512,12 @@ def embedding_cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file_id", "model", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
-@query()
+@query(f"""WITH {_F}, t AS (SELECT file_id, concat_ws(' ', name, extension, parent_dir, nullif(content, '')) AS text FROM f)
+SELECT file_id, {', '.join(f"CAST(length(text) - length(replace(text, '{x}', '')) AS DOUBLE) AS n_{x}" for x in 'aeio')}, CAST(NULL AS VARCHAR) AS error FROM t""")
 def embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return em.embed_batches(em.embedding_text(files_view(spark, sf_dir)))
+    """Vectors of whole texts, a batch a call."""
+    out = em.embed_batches(em.embedding_text(files_view(spark, sf_dir), None), _letters)
+    return out.select("file_id", *[F.col("embedding")[k].cast("double").alias(f"n_{x}") for k, x in enumerate("aeio")], "error")
 
 
 # ---- snapshots ----

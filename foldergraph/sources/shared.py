@@ -50,5 +50,14 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def recut(df: DataFrame, old: DataFrame, name: str) -> DataFrame:
+    """cut(df), and then the table of old, which cut() wrote and nothing else reads, goes."""
+    out, spark = cut(df, name), df.sparkSession
+    if files := old.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def slices(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
