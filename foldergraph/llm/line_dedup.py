@@ -12,11 +12,14 @@ WINDOW_LINES = 3
 
 
 def line_windows(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
-    """doc (doc_id, or the least number for null), text_key, at, a, b: two 64-bit hashes of the lines from at on."""
-    hashed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_key().alias("text_key"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.xxhash64(x)).alias("h"))
-    hashed = hashed.filter(F.size("h") >= lines).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - lines)))
-    window = F.array(*[F.col("h")[F.col("at") + k] for k in range(lines)])
-    return hashed.select("doc", "text_key", "at", F.xxhash64(window).alias("a"), F.xxhash64(F.lit(1), window).alias("b"))
+    """doc (doc_id, or the least number for null), text_key, at, a, b: the lines from at on by two 64-bit hashes, each of other hashes of the lines,
+    so that unlike windows share both about once in 2 ** 128 pairs."""
+    split = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_key().alias("text_key"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("parts"))
+    split = split.filter(F.size("parts") >= lines)
+    hashed = split.select("doc", "text_key", F.transform("parts", lambda x: F.xxhash64(x)).alias("h"), F.transform("parts", lambda x: F.xxhash64(F.lit(1), x)).alias("k"))
+    hashed = hashed.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - lines)))
+    window = lambda col: F.xxhash64(*[F.col(col)[F.col("at") + k] for k in range(lines)])
+    return hashed.select("doc", "text_key", "at", window("h").alias("a"), window("k").alias("b"))
 
 
 def repeated_windows(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:

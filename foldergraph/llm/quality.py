@@ -32,9 +32,11 @@ EDGE = 0
 MIX = 0x9E3779B97F4A7C15
 PAIRS = 1 << 2 * CLASS_BITS
 #: Words in a chunk, words for which there is a bucket of pairs, classes in a row of the tables.
-CHUNK_WORDS = 2 << 20
-BUCKET_WORDS = 1 << 22
+CHUNK_WORDS = 3 << 19
+BUCKET_WORDS = 3 << 20
 RANGE = 1 << 16
+#: Pairs whose probabilities are taken at a time.
+STEP = 1 << 18
 #: Tables of a language: occurrences of a class before another, pairs it begins that occur once, twice, more often; pairs that it ends.
 TABLES = 5
 LEAST_WORDS = 50
@@ -139,7 +141,7 @@ def chunk_pairs(n: np.ndarray, classes: bytes, words: bytes) -> np.ndarray:
     known = np.r_[unpacked(classes), EDGE]
     words, n = unpacked(words), n[n > 0]
     ends = np.cumsum(n)
-    row = known[np.insert(words, np.r_[0, ends][: len(n)], len(known) - 1)] if len(n) else np.zeros(0, np.int64)
+    row = known[np.insert(words.astype(np.int32), np.r_[0, ends][: len(n)], len(known) - 1)] if len(n) else np.zeros(0, np.int64)
     row = np.r_[row, EDGE] if len(n) else row
     pair = (row[:-1].astype(np.uint64) << np.uint64(CLASS_BITS)) | row[1:].astype(np.uint64)
     return (pair * np.uint64(MIX)) & np.uint64(PAIRS - 1)
@@ -230,20 +232,23 @@ class PairModel:
     def __init__(self, tables: Iterator[tuple[int, np.ndarray]], times: np.ndarray):
         """tables: (k, TABLES * RANGE numbers of the classes from k * RANGE on)."""
         self.d2 = np.array(discounts(times))
-        self.total, self.left, self.after = np.zeros(CLASSES, np.int64), np.zeros(CLASSES), np.zeros(CLASSES, np.int64)
+        self.total, self.left, self.after = np.zeros(CLASSES, np.int64), np.zeros(CLASSES), np.zeros(CLASSES, np.int32)
         for k, data in tables:
             own = slice(k * RANGE, (k + 1) * RANGE)
             self.total[own], ones, twos, more, self.after[own] = data.reshape(TABLES, RANGE)
             self.left[own] = ones * self.d2[1] + twos * self.d2[2] + more * self.d2[3]
         self.d1 = np.array(discounts([int((self.after == k).sum()) for k in (1, 2, 3, 4)]))
-        self.pairs = int(self.after.sum())
+        self.pairs = int(self.after.sum(dtype=np.int64))
         self.rest = float(self.d1[np.minimum(self.after, 3)].sum())
 
-    def logp(self, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log probability of each second class after the first; n: how often the pair occurs."""
+    def logp(self, mixed: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log probability of the second class of each mixed pair after the first; n: how often the pair occurs."""
+        return np.concatenate([np.zeros(0), *(self._logp(*split_pair(mixed[k : k + STEP]), n[k : k + STEP]) for k in range(0, len(mixed), STEP))])
+
+    def _logp(self, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> np.ndarray:
         d = lambda table, x: table[np.minimum(x, 3)]
         once = (n == 1).astype(np.int64)
-        seen = self.after[second] - once
+        seen = self.after[second].astype(np.int64) - once
         # a pair that occurs once is not known without itself: its second class then ends one pair less
         rest = self.rest - once * (d(self.d1, seen + 1) - d(self.d1, seen))
         short = np.maximum(self.pairs - once, 1)
@@ -298,7 +303,7 @@ def scored(docs: DataFrame) -> DataFrame:
                 if len(mixed):
                     if model is None or row.lang != held:
                         model, held = load_model(path, row.lang, times[row.lang]), row.lang
-                    logp = model.logp(*split_pair(mixed), load_answers(answers, row.g, row.part))[place.ravel()]
+                    logp = model.logp(mixed, load_answers(answers, row.g, row.part))[place.ravel()]
                     sums[n > 0] = np.add.reduceat(logp, np.r_[0, np.cumsum(n[n > 0] + 1)[:-1]])
                 out = pd.DataFrame({"doc_id": list(row.doc_id), "text_key": np.asarray(row.text_key, np.int64), "lang": row.lang})
                 for name, own in zip(COUNTS, np.asarray(row.counts, np.int64).reshape(-1, len(COUNTS)).T):

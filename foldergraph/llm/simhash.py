@@ -35,6 +35,9 @@ SHARE = (4, 5)
 NEAR_BITS = 24
 #: Sets are compared that share one of BANDS keys of ROWS least hashes each; at the bound three pairs in 10^5 share none.
 BANDS, ROWS = 20, 4
+#: Classes of shingles of which a set's parities are kept; and the sets of other components that a set is compared with first.
+MARKS = 512
+PICKS = 3
 
 
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -219,7 +222,10 @@ def band_keys(found: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def shingle_prints(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
-    """doc_id, text_key, node (names the set of shingles), n (their number), fp (of the set), bands (keys) per row of docs."""
+    """doc_id, text_key, node (names the set of shingles), n (their number), fp (of the set), marks, bands (keys) per row of docs.
+
+    marks: of MARKS classes of shingles, whether the set has an odd number; sets whose marks differ in k bits differ in k shingles at least.
+    """
     seeds = np.array([xxhash.xxh64_intdigest(b"band", k) for k in range(BANDS * ROWS)], np.uint64)
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,13 +233,14 @@ def shingle_prints(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
             out = []
             for text in frame["text"]:
                 found = np.unique(shingles(text, words))
-                out.append((xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), majority(found), band_keys(found, seeds)))
-            node, n, fp, bands = zip(*out) if out else ((),) * 4
+                odd = np.packbits(np.bincount((found % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1).tobytes()
+                out.append((xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), majority(found), odd, band_keys(found, seeds)))
+            node, n, fp, marks, bands = zip(*out) if out else ((),) * 5
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield frame[["doc_id", "text_key"]].assign(node=signed(node), n=np.array(n, np.int64), fp=signed(fp), bands=list(bands))
+            yield frame[["doc_id", "text_key"]].assign(node=signed(node), n=np.array(n, np.int64), fp=signed(fp), marks=list(marks), bands=list(bands))
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key().alias("text_key"), "text")
-    found = rows.mapInPandas(each, "doc_id string, text_key long, node long, n long, fp long, bands array<long>")
+    found = rows.mapInPandas(each, "doc_id string, text_key long, node long, n long, fp long, marks binary, bands array<long>")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -269,10 +276,11 @@ def set_links(docs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
 
     First each set is compared with the least node that shares a band with it, if their fingerprints are near. What that connects needs
     no more pairs: then only sets of different components that share a band are compared, those that the band's index in Gray order has
-    within NEAR_BITS.
+    within NEAR_BITS and whose marks don't rule similarity out. Of these each set first takes PICKS at random, which connects nearly all
+    of a large group; then all that are still in different components are compared.
     """
     spark = docs.sparkSession
-    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_key")).alias("at"))
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("marks").alias("marks"), F.first("bands").alias("bands"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_key")).alias("at"))
     nodes = cut(nodes, "nodes")
     rows = nodes.select("node", "n", "fp", F.explode("bands").alias("part")).withColumn("_salt", salt(spark, "node"))
     hubs = rows.groupBy("part", "_salt").agg(F.min(F.struct("node", "n", "fp")).alias("hub"), F.max("node").alias("last")).groupBy("part").agg(F.min("hub").alias("hub"), F.max("last").alias("last"))
@@ -287,25 +295,49 @@ def set_links(docs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
         keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
         return similar_links(pairs, keyed.join(wanted, ["doc", "text_key"]).select("node", "text").dropDuplicates(["node"]), words)
 
+    def across(rows: DataFrame, links: DataFrame, picks: int | None) -> DataFrame:
+        """src, dst: pairs that may be similar and that links don't connect; at most `picks` for a set and bucket."""
+        found = cut(connected_components(links).withColumnRenamed("id", "node"), "found")
+        rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("_salt", salt(spark, "node"))
+        mixed = rows.groupBy("part").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("part", F.lit(True).alias("_mixed"))
+        rows = cut(lookup(rows, mixed, ["part"], "_salt").drop("_salt", "_mixed"), "mixed")
+        rows = rows.join(nodes.select("node", "marks"), "node")
+
+        def search(frame: pd.DataFrame) -> pd.DataFrame:
+            part = np.unique(frame["part"].to_numpy(), return_inverse=True)[1].ravel()
+            node, component, n = (frame[c].to_numpy() for c in ("node", "component", "n"))
+            marks = np.frombuffer(b"".join(frame["marks"]), np.uint64).reshape(len(frame), -1)
+            out = np.zeros((0, 2), np.int64)
+            for a, b in GrayIndex(frame["fp"].to_numpy().view(np.uint64), part).pairs(NEAR_BITS):
+                apart = (component[a] != component[b]) & (np.minimum(n[a], n[b]) * SHARE[1] >= np.maximum(n[a], n[b]) * SHARE[0])
+                a, b = a[apart], b[apart]
+                differ = np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1, dtype=np.int64)
+                good = (SHARE[1] + SHARE[0]) * differ <= (SHARE[1] - SHARE[0]) * (n[a] + n[b])
+                both = np.unique(np.sort(np.stack([node[a[good]], node[b[good]]], axis=1), axis=1), axis=0)
+                out = np.unique(np.concatenate([out, both]), axis=0)
+                if picks is not None:
+                    out = _picked(out, picks)
+            return pd.DataFrame(out, columns=["src", "dst"])
+
+        return _dealt(rows).groupBy("bucket").applyInPandas(search, "src long, dst long").distinct()
+
+    rows = rows.select("part", "node", "n", "fp")
     links = verified(stars)
-    found = connected_components(links).withColumnRenamed("id", "node")
-    rows = rows.select("part", "node", "n", "fp").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("_salt", salt(spark, "node"))
-    rows = cut(rows, "parts")
-    mixed = rows.groupBy("part").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("part", F.lit(True).alias("_mixed"))
-    rows = cut(lookup(rows, mixed, ["part"], "_salt").drop("_salt", "_mixed"), "mixed")
-
-    def across(frame: pd.DataFrame) -> pd.DataFrame:
-        part = np.unique(frame["part"].to_numpy(), return_inverse=True)[1].ravel()
-        node, component, n = (frame[c].to_numpy() for c in ("node", "component", "n"))
-        out = [np.zeros((0, 2), np.int64)]
-        for a, b in GrayIndex(frame["fp"].to_numpy().view(np.uint64), part).pairs(NEAR_BITS):
-            apart = (component[a] != component[b]) & (np.minimum(n[a], n[b]) * SHARE[1] >= np.maximum(n[a], n[b]) * SHARE[0])
-            both = np.stack([node[a[apart]], node[b[apart]]], axis=1)
-            out.append(np.unique(np.sort(both, axis=1), axis=0))
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["src", "dst"])
-
-    left = _dealt(rows).groupBy("bucket").applyInPandas(across, "src long, dst long").distinct()
-    return links.unionByName(verified(left.join(stars.select("dst", "src"), [left["src"] == stars["src"], left["dst"] == stars["dst"]], "left_anti")))
+    links = links.unionByName(verified(across(rows, links, PICKS)))
+    return links.unionByName(verified(across(rows, links, None)))
+
+
+def _picked(pairs: np.ndarray, picks: int) -> np.ndarray:
+    """Of pairs of nodes those that are among the first `picks` of either node, in an order that a hash of the pair decides."""
+    mixed = (pairs[:, 0] ^ pairs[:, 1]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keep = np.zeros(len(pairs), bool)
+    for side in (0, 1):
+        order = np.lexsort((mixed, pairs[:, side]))
+        own = pairs[order, side]
+        first = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1] if len(own) else np.zeros(0, np.int64)
+        place = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+        keep[order[place < picks]] = True
+    return pairs[keep]
 
 
 def near_groups(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldergraph.llm.common import NO_ID
+from foldergraph.sources.shared import cut
 
 LENGTH = 50
 GRAM = 18
@@ -338,8 +339,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     told = "g int, kind int, b int, data binary"
-    flags = rows.groupBy("g").applyInPandas(group_keys, "b int, g int, keys binary, info binary").groupBy("b").applyInPandas(bucket_flags, told)
+    flags = cut(rows.groupBy("g").applyInPandas(group_keys, "b int, g int, keys binary, info binary").groupBy("b").applyInPandas(bucket_flags, told), "flags")
     pieces = rows.groupBy("g").cogroup(flags.groupBy("g")).applyInPandas(group_pieces, "b int, g int, sizes binary, low binary, high binary, data binary")
-    answers = pieces.groupBy("b").applyInPandas(bucket_answers, told)
+    answers = cut(pieces.groupBy("b").applyInPandas(bucket_answers, told), "answers")
     result = rows.groupBy("g").cogroup(flags.unionByName(answers).groupBy("g")).applyInPandas(group_result, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return result.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")

@@ -424,11 +424,85 @@ def test_empty_tables(spark):
 
 
 def test_pipeline(spark, rows, tmp_path):
+    """Every stage's rows against its brute-force version over what the stage before left, and run()'s rows against the last one's."""
     import corpus_pipeline
 
-    _docs(spark, rows).withColumn("doc_id", F.col("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "ids", "nbest", "round_trip"] and out.filter("NOT round_trip").count() == 0
+    rnd = random.Random(21)
+    words = [f"word{k}" for k in range(60)]
+    said = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    base = [said(90) + "\n" + said(8) + "\nx1\nx2\nx3\n" + said(6) for _ in range(14)]
+    docs = [(k, t, ["en", "de", None][k % 3], ["a", "b", None][k % 3]) for k, t in enumerate(base)]
+    docs += [(50 + k, t.replace("x1", said(1)), docs[k][2], "b") for k, t in enumerate(base[:6])] + [(70 + k, base[k], docs[k][2], "a") for k in range(3)]
+    docs += [(90, None, "en", "a"), (91, "", None, None), (None, said(80), "en", "a"), docs[2], (92, "###$$$ " * 70, "en", "b")]
+    table = _docs(spark, docs).withColumn("n_lines", F.lit(-5))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = [r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    columns, now = table.columns, table
+    key = lambda i: (i is not None, i or 0)
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text, r.lang, r.source) for r in now.collect()]
+        now = stage(spark, now, str(tmp_path))
+        if name != "pieces":
+            assert now.columns == columns and {r.n_lines for r in now.collect()} <= {-5}
+            after = sorted(repr((r.doc_id, r.text)) for r in now.collect())
+        if name == "quality rules":
+            want = []
+            for lang in {r[2] for r in before}:
+                own = [r for r in before if r[2] == lang]
+                good = [n >= 50 and 100 * rep <= 50 * n for n, _, _, _, rep in map(_counted, (r[1] for r in own))]
+                scores = _perplexities([r[1] or "" for r in own])
+                bins = sorted(round(s / quality.GRAIN) for s, g in zip(scores, good) if g)
+                if bins:
+                    mid = bins[(len(bins) - 1) // 2]
+                    spread = max(sorted(abs(x - mid) for x in bins)[(len(bins) - 1) // 2], 10) * 1.4826
+                    want += [r[:2] for r, s, g in zip(own, scores, good) if g and mid - quality.LOWER * spread <= s / quality.GRAIN <= mid + quality.UPPER * spread]
+            assert after == sorted(map(repr, want)) and 10 < len(want) < len(before)
+        elif name == "line dedup":
+            first, want = {}, []
+            for i, t, *_ in sorted(set(before), key=lambda r: (key(r[0]), r[1])):
+                lines = t.split("\n")
+                for k in range(len(lines) - 2):
+                    first.setdefault(tuple(lines[k : k + 3]), (key(i), k))
+            for i, t, *_ in before:
+                lines = t.split("\n")
+                gone = {j for k in range(len(lines) - 2) if first[tuple(lines[k : k + 3])] < (key(i), k) and first[tuple(lines[k : k + 3])] != (key(i), k) for j in (k, k + 1, k + 2)}
+                text = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+                want += [(i, text)] * bool(text)
+            assert after == sorted(map(repr, want)) and want != [r[:2] for r in before]
+        elif name == "near duplicates":
+            want = [r[:2] for r, w in zip(before, _near_groups(before)) if r[0] == w]
+            assert after == sorted(map(repr, want))
+        elif name == "mixing":
+            taken = [r.times for r in mix(spark.createDataFrame(before, "doc_id long, text string, lang string, source string")).collect()]
+            sizes = collections.Counter()
+            for r in before:
+                sizes[r[3]] += len(r[1].split())
+            got = collections.Counter()
+            for r in now.collect():
+                got[r.source] += len(r.text.split())
+            order = sorted(sizes, key=lambda x: (x is None, x or ""))
+            weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(order)}
+            target, full = {}, set()
+            while True:
+                left = sum(sizes.values()) - sum(3 * sizes[x] for x in full)
+                target = {x: 3 * sizes[x] if x in full else left * weight[x] / sum(weight[y] for y in order if y not in full) for x in order}
+                if not (over := {x for x in order if x not in full and target[x] > 3 * sizes[x]}):
+                    break
+                full |= over
+            assert all(abs(got[x] - target[x]) <= max(len(r[1].split()) for r in before if r[3] == x) for x in order)
+            assert sum(taken) == now.count() and set(after) <= {repr(r[:2]) for r in before}
+        else:
+            model = piece_nbest.Encoder(piece_nbest.MODEL, piece_nbest.NBEST)
+            want = sorted(repr((i, model.encoded(model.parted([t])[0])[0])) for i, t, *_ in before)
+            assert now.columns == ["doc_id", "ids", "nbest", "round_trip"] and want == sorted(repr((r.doc_id, bytes(r.ids))) for r in now.collect())
+            assert want == sorted(repr((r["doc_id"], bytes(r["ids"]))) for r in kept) and all(r["round_trip"] for r in kept)
+
+
+def test_stages_of_empty_tables(spark):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, _docs(spark, []), "").count() == 0
 
 
 def _near_groups(rows):
