@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyarrow import fs as pafs
@@ -35,8 +37,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 _BEFORE_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　] ")
 #: Parts the chunks that are encoded in one call; a Unicode noncharacter, and an id that no vocabulary here has.
 _PART, _PART_ID = "﷐part﷐", 65535
-_MOST_CACHED = 1 << 18
-_STEP = 4 << 20
+_STEP = 16 << 20
 
 
 @functools.cache
@@ -46,27 +47,30 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={_PART: _PART_ID})
 
 
-class _Chunks(dict):
-    """Ids, as bytes, of words with the space before them; frequent ones are found again."""
+def encoded(texts: list[str], path: str = VOCABULARY, end: list[int] | None = None) -> np.ndarray:
+    """The ids of the texts, each followed by `end`.
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.model = encoding(path)
-
-    def alone(self, text: str) -> bytes:
-        return np.array(self.model.encode_ordinary(text), IDS).tobytes()
-
-    def texts(self, texts: list[str]) -> list[list[bytes]]:
-        """The ids of each text in parts. Where no white space stands before a space, words part as pre-tokens do."""
-        parted = [None if _BEFORE_SPACE.search(x) or _PART in x else x.split(" ") for x in texts]
-        if len(self) > _MOST_CACHED:
-            self.clear()
-        new = list({w for own in parted if own for w in own[1:]} - self.keys())
-        if new:
-            ids = np.array(self.model.encode(_PART.join(" " + w for w in new), allowed_special={_PART}), IDS)
-            data, ends = ids.tobytes(), (np.r_[np.flatnonzero(ids == _PART_ID), len(ids)] * IDS.itemsize).tolist()
-            self.update((w, data[a:b]) for w, a, b in zip(new, [0, *(e + IDS.itemsize for e in ends[:-1])], ends))
-        return [[self.alone(x)] if own is None else [self.alone(own[0]), *map(self.__getitem__, own[1:])] for x, own in zip(texts, parted)]
+    Where no white space stands before a space, words part as pre-tokens do: distinct words are encoded once, each with the space before
+    it, and their ids put together by their places. Other texts, and each text's first word, are encoded by themselves.
+    """
+    model = encoding(path)
+    whole = [_BEFORE_SPACE.search(x) is not None or _PART in x for x in texts]
+    parts = pc.split_pattern(pa.array(["" if alone else x for x, alone in zip(texts, whole)], pa.large_string()), " ")
+    found = parts.flatten().dictionary_encode()
+    ids = model.encode_to_numpy(_PART.join(" " + w for w in found.dictionary.to_pylist()), allowed_special={_PART}).astype(IDS)
+    stop = np.r_[np.flatnonzero(ids == _PART_ID), len(ids)]
+    start = np.r_[0, stop[:-1] + 1]
+    heads = [model.encode_ordinary(x if alone else x.partition(" ")[0]) for x, alone in zip(texts, whole)]
+    lone = np.fromiter(map(len, heads), np.int64, len(heads))
+    # entries: distinct words, then each text's head, then the end; a text is a row of entries
+    size = np.r_[stop - start, lone, len(end or ())]
+    begin = np.r_[start, len(ids) + np.cumsum(lone) - lone, len(ids) + lone.sum()]
+    flat = np.concatenate([ids, np.fromiter((i for x in heads for i in x), IDS, int(lone.sum())), np.array(end or [], IDS)])
+    row, edge = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), parts.offsets.to_numpy().astype(np.int64)
+    row[edge[:-1]] = len(start) + np.arange(len(texts))
+    row = np.insert(row, edge[1:], len(size) - 1)
+    n = size[row]
+    return flat[np.repeat(begin[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def feistel(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -96,12 +100,11 @@ def token_runs(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks, end = _Chunks(path), np.array([END], IDS).tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for frame in frames:
             run = np.cumsum([len(x) for x in frame["text"]]) // _STEP
             for _, texts in frame["text"].groupby(run, sort=False):
-                data = b"".join(x for own in chunks.texts(texts.tolist()) for x in (*own, end))
+                data = encoded(texts.tolist(), path, [END]).tobytes()
                 yield pd.DataFrame({"part": [part], "at": [at], "ids": [data]})
                 at += len(data) // IDS.itemsize
 

@@ -147,11 +147,13 @@ def test_mixing_of_repeated_rows_and_markup(spark):
 def test_token_shards(spark, rows, tmp_path):
     assert sorted(token_shards.feistel(np.arange(1000), 1000).tolist()) == list(range(1000))
     texts = [t or "" for _, t, *_ in rows] + ["a  b\n \n c　 x", " x", "\u0085 y", "it's 12 é"]
-    chunks = token_shards._Chunks(token_shards.VOCABULARY)
-    assert [b"".join(x) for x in chunks.texts(texts)] == [np.array(chunks.model.encode_ordinary(t), token_shards.IDS).tobytes() for t in texts]
+    model = token_shards.encoding(token_shards.VOCABULARY)
+    alone = [model.encode_ordinary(t) for t in texts]
+    assert [token_shards.encoded([t]).tolist() for t in texts] == alone
+    assert token_shards.encoded(texts, end=[7, 8]).tolist() == [i for x in alone for i in (*x, 7, 8)] and len(token_shards.encoded([])) == 0
     docs, key = _docs(spark, rows), lambda r: (r.doc_id is not None, r.doc_id or 0, r.key)
     texts = [r.text or "" for r in sorted(docs.select("doc_id", text_key().alias("key"), "text").collect(), key=key)]
-    want = np.concatenate([[*chunks.model.encode_ordinary(t), token_shards.END] for t in texts]).tolist()
+    want = np.concatenate([[*model.encode_ordinary(t), token_shards.END] for t in texts]).tolist()
     found = []
     for splits, secret in ((1, 5), (3, 5), (8, 5), (8, 6)):  # two keys into one folder
         out = token_shards.token_shards(docs.repartition(splits, "text"), str(tmp_path / f"s{min(splits, 7)}"), length=32, shard_bytes=1024, key=secret).orderBy("slot").collect()
