@@ -19,7 +19,7 @@ def top_terms(rows: DataFrame, n: int, key: str = "file_id") -> DataFrame:
 def term_frequency(contents: DataFrame, n: int = TOP_TERMS) -> DataFrame:
     """file_id, term, score (count), place: the n most frequent terms of each content.
 
-    Contents are dealt by file_id once; counts, places and what follows by file go on without another shuffle.
+    Contents are dealt by file_id once; counts and places go on without another shuffle.
     """
     found = contents.select("file_id", "content").repartition("file_id").select("file_id", F.explode(terms(F.col("content"))).alias("term"))
     return top_terms(found.groupBy("file_id", "term").agg(F.count("*").cast("double").alias("score")), n)
@@ -37,10 +37,10 @@ def merged_entries(files: DataFrame, n: int = TOP_TERMS) -> DataFrame:
     gives tf; beyond, the n highest remain, in their order, and the last and so lowest of a term's gives it. dup: its entries.
     """
     content = term_frequency(files).select("file_id", "term", "score", F.lit(0).alias("section"), F.col("place").alias("pos"))
-    short = files.select("file_id", "name", "extension").repartition("file_id")
-    names = short.select("file_id", F.posexplode(terms(stem(F.col("name")))).alias("pos", "term"))
+    # names and tags are not dealt by file_id before the union: its parts would be coalesced apart from those of the contents
+    names = files.select("file_id", F.posexplode(terms(stem(F.col("name")))).alias("pos", "term"))
     names = names.select("file_id", "term", F.lit(1.0).alias("score"), F.lit(1).alias("section"), "pos")
-    tags = short.select("file_id", extension_tag(F.col("extension")).alias("term"), F.lit(TAG_SCORE).alias("score"), F.lit(2).alias("section"), F.lit(0).alias("pos")).filter("term IS NOT NULL")
+    tags = files.select("file_id", extension_tag(F.col("extension")).alias("term"), F.lit(TAG_SCORE).alias("score"), F.lit(2).alias("section"), F.lit(0).alias("pos")).filter("term IS NOT NULL")
     both = content.unionByName(names).unionByName(tags)
     w = Window.partitionBy("file_id")
     both = both.withColumn("total", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.col("score").desc(), "section", "pos", "term")))

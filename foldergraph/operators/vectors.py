@@ -78,7 +78,8 @@ def dbscan(vectors: DataFrame, eps: float, min_pts: int = 3, least: int = MIN_FI
     roots = connected_components(links.select(F.col("id1").alias("src"), F.col("id2").alias("dst"))).select(F.col("id").alias("a"), "component")
     cores = core.join(roots, "a", "left").select(F.col("a").alias("id"), F.coalesce("component", "a").alias("first_core"))
     border = both.join(core.select(F.col("a").alias("b")), "b", "left_semi").join(core, "a", "left_anti").join(cores.select(F.col("id").alias("b"), "first_core"), "b").groupBy(F.col("a").alias("id")).agg(F.min("first_core").alias("first_core"))
-    members = cores.unionByName(border).join(heads.select("id", "n"), "id")
+    # written, as a union of two tables that are dealt by id may be taken for one that is dealt by id, though each was coalesced by itself
+    members = cut(cores.unionByName(border), "members").join(heads.select("id", "n"), "id")
     sizes = members.groupBy("first_core").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     numbers = global_rank(sizes.select("first_core"), ["first_core"]).select("first_core", (F.col("rank") + 1).cast("int").alias("cluster_no"))
     members = members.join(numbers, "first_core").select(F.col("id").alias("class_id"), "cluster_no")
