@@ -93,5 +93,48 @@ FROM g
 """
 
 
+
+
+def _op11() -> str:
+    """Six rounds and the last assignment as a chain of tables."""
+    near = """a{k} AS MATERIALIZED (SELECT part, vec_id, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d FROM (
+  SELECT p.part, vec_id, entry, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d FROM p JOIN b{k} b ON b.part = p.part) GROUP BY ALL)"""
+    mean = """s{k} AS (SELECT part, entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.part, a.entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{k} a JOIN p USING (part, vec_id)) GROUP BY ALL),
+m{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY ALL),
+b{next} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"""
+    rounds = ", ".join(f"{near.format(k=k)}, {mean.format(k=k, next=k + 1)}" for k in range(6))
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, e[part * len(e) // 8 + 1 : (part + 1) * len(e) // 8] AS x FROM (SELECT *, unnest(range(8)) AS part FROM v)),
+b0 AS MATERIALIZED (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS BIGINT) AS entry, x AS c FROM p QUALIFY entry < 16),
+{rounds}, {near.format(k=6)},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6),
+r AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (vec_id), h
+"""
+
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o, 4294967295 - list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS h FROM documents),
+g AS (SELECT *, h // 10 AS g, len(o) AS n, (h // 10) % greatest(len(o), 1) AS a FROM d),
+q AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+w AS MATERIALIZED (SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE o END AS w FROM q),
+f AS (SELECT doc_id, n, i, md5(array_to_string(w[i + 1 : i + 5], ' ')) AS k FROM (SELECT *, unnest(range(n - 4)) AS i FROM w WHERE n >= 6)),
+m AS (SELECT y.doc_id, y.i - x.i AS lag, y.i AS i FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= y.n),
+s AS (SELECT doc_id, lag, min(i) AS a, max(i) + 4 AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM m) GROUP BY doc_id, lag, island),
+r0 AS (SELECT doc_id, a - lag AS start, b - a + lag + 1 AS length, lag AS period FROM s WHERE b - a + lag + 1 >= greatest(6, 4 * lag)),
+r AS MATERIALIZED (SELECT * FROM r0 x WHERE NOT EXISTS (SELECT 1 FROM r0 y WHERE y.doc_id = x.doc_id AND y.period < x.period AND y.start <= x.start AND y.start + y.length >= x.start + x.length)),
+t AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period), [-length, start, period]) AS best, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs FROM r GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS c FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM w) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM w LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op2_line_dedup": _OP2, "op3_suffix_dedup": _OP3, "op4_mixing": _OP4, "op9_preference": _OP9, "op10_warc": _OP10}
+    return {"op1_exact_dedup": _OP1, "op2_line_dedup": _OP2, "op3_suffix_dedup": _OP3, "op4_mixing": _OP4, "op9_preference": _OP9, "op10_warc": _OP10, "op11_vector_codes": _op11(), "op12_periodic_runs": _OP12}

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from foldergraph.llm.exact_dedup import exact_dedup
 from foldergraph.llm.line_dedup import line_dedup
 from foldergraph.llm.mixing import mix
+from foldergraph.llm.periodic import longest_run, periodic_runs, with_echo
 from foldergraph.llm.piece_nbest import encode
 from foldergraph.llm.preference import preference_pairs
 from foldergraph.llm.quality import quality_rules
 from foldergraph.llm.simhash import simhash_groups
 from foldergraph.llm.suffix_dedup import suffix_dedup
 from foldergraph.llm.token_shards import token_shards
+from foldergraph.llm.vector_codes import books_sha256, vector_codes
 from foldergraph.llm.warc import warc_round_trip
 
 
@@ -70,6 +72,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.col("best")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    out = periodic_runs(with_echo(_documents(spark, sf_dir))).withColumn("best", longest_run(F.col("runs")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_line_dedup, op3_suffix_dedup, op4_mixing, op5_token_shards, op6_quality_rules, op7_simhash, op8_piece_nbest, op9_preference, op10_warc)
+    found = (op1_exact_dedup, op2_line_dedup, op3_suffix_dedup, op4_mixing, op5_token_shards, op6_quality_rules, op7_simhash, op8_piece_nbest, op9_preference, op10_warc, op11_vector_codes, op12_periodic_runs)
     return {f.__name__: f for f in found}
