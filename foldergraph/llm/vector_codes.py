@@ -36,8 +36,10 @@ def scaled(vectors: pa.Array, dims: int) -> np.ndarray:
 
 def distinct(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows in lexicographic order, which of them each row is)"""
+    if not parts.size:
+        return parts[:1], np.zeros(len(parts), np.int64)
     order = np.lexsort(parts.T[::-1])
-    new = np.r_[True, (parts[order[1:]] != parts[order[:-1]]).any(1)] if len(parts) else np.zeros(0, bool)
+    new = np.r_[True, (parts[order[1:]] != parts[order[:-1]]).any(1)]
     place = np.empty(len(parts), np.int64)
     place[order] = np.cumsum(new) - 1
     return parts[order[new]], place
@@ -128,7 +130,7 @@ def fitted(parts: DataFrame, books: list[np.ndarray], rounds: int = ROUNDS) -> l
                 position, weight = np.asarray(batch.column("part")), np.asarray(batch.column("n"), np.int64)
                 for k in np.unique(position).tolist():
                     own = position == k
-                    values = np.asarray(batch.column("value").filter(pa.array(own)).flatten(), np.int64).reshape(int(own.sum()), -1)
+                    values = np.asarray(batch.column("value").filter(pa.array(own)).flatten(), np.int64).reshape(int(own.sum()), books[k].shape[1])
                     code, _ = walked(values, books[k])
                     np.add.at(total[k], code, values * weight[own][:, None])
                     np.add.at(count[k], code, weight[own])

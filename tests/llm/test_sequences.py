@@ -64,6 +64,8 @@ def test_vector_codes_empty_and_far(spark):
     assert got.count() == 0 and all(b.size == 0 for b in books)
     got, _ = vector_codes.vector_codes(spark.createDataFrame([(k, [3e38, -3e38][k % 2 :], k, 1, "x", 2, 3) for k in range(40)], VECTORS))
     assert {(r.code, r.error) for r in got.collect()} == {("0000" + "00" * 6, 0), ("0101" + "00" * 6, 0)}
+    got, _ = vector_codes.vector_codes(spark.createDataFrame([(1, [], 1, 1, "x", 2, 3)], VECTORS))
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "00" * 8, 0, 0)]
 
 
 def test_walk_equals_all_distances(monkeypatch):
