@@ -17,6 +17,7 @@ from foldergraph.llm.quality import quality_rules
 from foldergraph.llm.simhash import simhash_groups
 from foldergraph.llm.suffix_dedup import suffix_dedup
 from foldergraph.llm.token_shards import token_shards
+from foldergraph.llm.toxicity import fit, toxicity
 from foldergraph.llm.vector_codes import books_sha256, vector_codes
 from foldergraph.llm.warc import warc_round_trip
 
@@ -93,6 +94,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_line_dedup, op3_suffix_dedup, op4_mixing, op5_token_shards, op6_quality_rules, op7_simhash, op8_piece_nbest, op9_preference, op10_warc, op11_vector_codes, op12_periodic_runs)
+    found = (op1_exact_dedup, op2_line_dedup, op3_suffix_dedup, op4_mixing, op5_token_shards, op6_quality_rules, op7_simhash, op8_piece_nbest, op9_preference, op10_warc, op11_vector_codes, op12_periodic_runs, op13_toxicity)
     return {f.__name__: f for f in found}
