@@ -3,12 +3,15 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
-from foldergraph.llm import periodic, vector_codes
+from foldergraph.llm import periodic, toxicity, vector_codes
 from foldergraph.llm.periodic import periodic_runs, runs_of, with_echo
 from foldergraph.llm.queries import op12_periodic_runs
 
@@ -125,7 +128,7 @@ def test_periodic_runs(spark, monkeypatch):
     frame = spark.createDataFrame([(i, t, 1, "x", 3) for i, t in rows], "doc_id long, text string, n_words int, runs string, words int").repartition(3)
     want = []
     for i, t in rows:
-        w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if x]
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
         runs = _plain_runs(w) if len(w) < 5000 else [(0, len(w) - (w[-1] == "e"), 1 if w[0] == "long" else 4)]
         gone = {k for s, n, q in runs for k in range(s + q, s + n)}
         want.append((i, len(w), runs, " ".join(x for k, x in enumerate(w) if k not in gone)))
@@ -157,3 +160,98 @@ def test_echo(spark, tmp_path):
         assert full[i].exponent_milli == (None if best[0] is None else 1000 * best[1] // best[2])
         assert full[i].runs_sha256 == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in runs).encode()).hexdigest()
     assert changed > 10 and periodic.TIMES == 4
+
+
+_MASK = (1 << 64) - 1
+
+
+def _features(text):
+    """The set of a text's features, word by word."""
+    words = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    h = [xxhash.xxh64_intdigest(re.sub(r"^\W+|\W+$", "", w).lower() or w) * 0x9E3779B97F4A7C15 & _MASK for w in words]
+    found = {x >> 32 for x in h}
+    for gap in toxicity.GAPS:
+        found |= {((a ^ (b * 0xD6E8FEB86659FD93 + gap & _MASK)) * 0xBF58476D1CE4E5B9 & _MASK) >> 32 for a, b in zip(h, h[gap:])}
+    return found
+
+
+def test_features_equal_word_by_word():
+    texts = ["You idiot, YOU!", None, "", " \n", "### $$ a", "one", "eins zwei drei vier fünf\x0bsechs", "a " * 50]
+    got = [set() for _ in texts]
+    for f, row in toxicity.hashed(pa.array(texts)):
+        for x, r in zip(f.tolist(), row.tolist()):
+            got[r].add(x)
+    assert got == [_features(t) for t in texts]
+
+
+def test_ftrl_equals_coordinate_by_coordinate():
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(2), np.array(sorted(rnd.sample(range(12), rnd.randrange(1, 6))))) for _ in range(80)]
+    least = np.r_[np.full(11, 0.7), 0.0]
+    z, n = np.zeros(12), np.zeros(12)
+    for _ in range(3):
+        toxicity.went_through(rows, z, n, least, -1.0)
+    zs, ns = [0.0] * 12, [0.0] * 12
+
+    def weight(k):
+        return 0.0 if abs(zs[k]) <= least[k] else (math.copysign(least[k], zs[k]) - zs[k]) / ((toxicity.BETA + math.sqrt(ns[k])) / toxicity.ALPHA)
+
+    for y, at in rows * 3:
+        w = {k: weight(k) for k in at.tolist()}
+        slope = 1 / (1 + math.exp(1.0 - sum(w.values()))) - y
+        for k in w:
+            zs[k] += slope - (math.sqrt(ns[k] + slope**2) - math.sqrt(ns[k])) / toxicity.ALPHA * w[k]
+            ns[k] += slope**2
+    assert np.allclose(z, zs) and np.allclose(n, ns)
+    assert np.allclose(toxicity.weights(z, n, least), [weight(k) for k in range(12)]) and 0 < (toxicity.weights(z, n, least) == 0).sum() < 12
+
+
+LABELLED = "doc_id long, text string, toxic int, score int, held_out string, y int, at int"
+
+
+@pytest.mark.parametrize("shard_rows", [100, 4096])
+def test_toxicity(spark, monkeypatch, shard_rows):
+    """Held-out texts with the words that make a text toxic are found, others are left alone."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", shard_rows)
+    rnd = random.Random(9)
+    vile, words = ["skrell", "vurg", "mopf"], [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(500):
+        said, toxic = [rnd.choice(words) for _ in range(rnd.randrange(5, 60))], k % 5 == 0
+        for _ in range(rnd.randrange(2, 5) * toxic):
+            said[rnd.randrange(len(said))] = rnd.choice(vile).upper() + ","
+        rows.append((k, " ".join(said), int(toxic)))
+    odd = [(600, None), (601, ""), (None, "skrell vurg mopf"), (602, "w1 " * 30_000 + "skrell vurg mopf"), (603, "w1 " * 30_000), (7, rows[7][1])]
+    docs = spark.createDataFrame([(i, t, 9, 9, "x", 9, 9) for i, t, *_ in rows + odd], LABELLED).repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, None), (None, 1), (9999, 1), (600, 0), (10, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.toxicity(docs, model).collect()
+    assert len(got) == len(rows) + len(odd)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in by if i is not None) and not by[None].held_out
+    held = [(by[i].predicted, y) for i, _, y in rows if by[i].held_out]
+    assert len(held) > 60 and sum(p == y for p, y in held) >= 0.97 * len(held)
+    assert by[None].predicted == 1 and by[602].predicted == 1 and by[603].predicted == 0
+    assert by[600].score == by[601].score < 0.5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert len(model.features) < 60 and (np.diff(model.features.astype(np.int64)) > 0).all()
+    again = toxicity.fit(docs.repartition(2), labels.repartition(4))
+    assert (again.features == model.features).all() and (again.weights == model.weights).all()
+
+
+def test_toxicity_learns_nothing_from_held_out_rows(spark):
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 0]
+    docs = spark.createDataFrame([(k, "skrell " * (k % 2 + 1), 0, 0, "x", 0, 0) for k in ids], LABELLED)
+    labels = spark.createDataFrame([(k, 1) for k in ids], "doc_id long, toxic int")
+    for told in (labels, labels.limit(0)):
+        model = toxicity.fit(docs, told)
+        assert len(model.features) == 0 and {r.predicted for r in toxicity.toxicity(docs, model).collect()} == {0}
+    assert toxicity.toxicity(docs.limit(0), model).count() == 0
+
+
+def test_frequent_features_and_sample(spark):
+    rows = [np.array(x, "<u4").tobytes() for x in ([1, 2, 3], [2, 3], [3, 4_000_000_000], [4_000_000_000, 2], [4_000_000_000])]
+    frame = spark.createDataFrame([(k, 0, bytearray(x)) for k, x in enumerate(rows)], "at long, y int, features binary")
+    assert toxicity.frequent(frame, 2).tolist() == [2, 3, 4_000_000_000] and toxicity.frequent(frame, 2, 2).tolist() == [2, 3]
+    docs = spark.createDataFrame([(k, f"w{k}", 0, 0, "x", 0, 0) for k in range(300)], LABELLED)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    assert toxicity.sample(docs, labels, 20).count() == 20
