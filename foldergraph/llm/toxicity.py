@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldergraph.llm.words import split_words, steps
-from foldergraph.sources.shared import cut
+from foldergraph.sources.shared import cut, new_dir, write
 
 #: Labelled rows that a fit takes at most: those of the least hashes of doc_id.
 SAMPLE = 8192
@@ -73,7 +73,7 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """y, at, features of labelled rows of docs that aren't held out. `most` doc_ids at most, so that they can be broadcast: texts are
-    not shuffled. at: their order."""
+    not shuffled. at: their order. Of rows of one doc_id the one with the least features (as bytes) counts."""
     told = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     told = told.filter(~held_out(F.col("doc_id"))).withColumn("at", F.xxhash64("doc_id"))
     share = min(1.0, 2 * most / max(1, labels.count()))  # else each task would send as many rows as are taken in the end
@@ -89,7 +89,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
                 features = [bits[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("at"), part.column("y"), pa.array(features, pa.binary())], ["at", "y", "features"])
 
-    return cut(rows.mapInArrow(run, "at long, y int, features binary"), "examples")
+    return cut(rows.mapInArrow(run, "at long, y int, features binary").groupBy("at").agg(F.max("y").alias("y"), F.min("features").alias("features")), "examples")
 
 
 def frequent(examples: DataFrame, least: int = LEAST, most: int = MOST) -> np.ndarray:
@@ -101,10 +101,32 @@ def frequent(examples: DataFrame, least: int = LEAST, most: int = MOST) -> np.nd
                 own, n = np.unique(np.frombuffer(b"".join(frame["features"].iloc[at : at + 256]), "<u4"), return_counts=True)
                 yield pd.DataFrame({"f": own.astype(np.int64), "n": n})
 
-    rows = examples.select("features").mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rows = cut(examples.select("features").mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent")
     return np.sort(rows.orderBy(F.desc("n"), "f").limit(most).select("f").toPandas()["f"].to_numpy(np.uint32))
 
 
+def shards_of(examples: DataFrame, features: np.ndarray, shards: int) -> DataFrame:
+    """y, coordinates (places among features) of all examples, a shard a partition, in order. Written once; no pass shuffles."""
+    spark = examples.sparkSession
+    known = spark.sparkContext.broadcast(features)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for data in frame["features"]:
+                f = np.frombuffer(data, "<u4")
+                at = np.minimum(np.searchsorted(known.value, f), max(0, len(known.value) - 1))
+                out.append((at[known.value[at] == f] if len(known.value) else at[:0]).astype("<i4").tobytes())
+            yield frame[["shard", "at", "y"]].assign(coordinates=out)
+
+    path = new_dir(spark, "shards")
+    dealt = examples.withColumn("shard", F.pmod(F.col("at"), F.lit(shards)).cast("int"))
+    write(dealt.mapInPandas(place, "shard int, at long, y int, coordinates binary"), path, ("shard",))
+    rows = spark.read.schema("at long, y int, coordinates binary, shard int").parquet(path)
+    parts = [rows.filter(F.col("shard") == k).drop("shard").coalesce(1).sortWithinPartitions("at") for k in range(shards)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def weights(z: np.ndarray, n: np.ndarray, l1: np.ndarray | float) -> np.ndarray:
     return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA))
 
@@ -125,8 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, passes: int = PA
 
     A sample of `most` labelled doc_ids is taken. Rows go to shards of SHARD_ROWS, each gone through in a task of its own from what the
     pass before left; a pass ends with the mean of the shards. Each coordinate has its own rate, and none gets a weight before its
-    gradients exceed l1(). A doc_id with several labels is toxic if one says so, rows of one doc_id are an example each, a null label is
-    none. Without examples the model holds a low bias only.
+    gradients exceed l1(). A doc_id with several labels is toxic if one says so, one row of a doc_id counts, a null label is none. Without examples the model holds a low bias only.
     """
     examples = sample(docs, labels, most)
     rows, positive = examples.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
@@ -135,30 +156,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, passes: int = PA
     if not positive:
         return Model(np.zeros(0, np.uint32), np.zeros(0), start)
     features = frequent(examples)
-    shards = -(-rows // SHARD_ROWS)
-    bias = len(features)
+    shards, bias = -(-rows // SHARD_ROWS), len(features)
+    dealt = shards_of(examples, features, shards)
     least = np.r_[np.full(bias, l1(rows)), 0.0]
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
-    dealt = examples.withColumn("shard", F.pmod(F.col("at"), F.lit(shards)).cast("int"))
-    spark = docs.sparkSession
     for _ in range(passes):
-        state = spark.sparkContext.broadcast((features, z, n))
+        state = docs.sparkSession.sparkContext.broadcast((z, n))
 
-        def shard(frame: pd.DataFrame) -> pd.DataFrame:
-            features, z, n = state.value
+        def shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            z, n = state.value
             own_z, own_n = z.copy(), n.copy()
-            rows = []
-            for y, data in frame.sort_values(["at", "features"])[["y", "features"]].itertuples(index=False):
-                f = np.frombuffer(data, "<u4")
-                at = np.minimum(np.searchsorted(features, f), max(0, bias - 1))
-                rows.append((y, np.append(at[features[at] == f] if bias else at[:0], bias)))
-            went_through(rows, own_z, own_n, least, start)
+            for frame in frames:
+                went_through([(y, np.append(np.frombuffer(at, "<i4"), bias)) for y, at in zip(frame["y"], frame["coordinates"])], own_z, own_n, least, start)
             moved = np.flatnonzero(own_n != n)
-            return pd.DataFrame({"shard": frame["shard"].head(1), "at": [moved.astype("<i4").tobytes()], "z": [(own_z - z)[moved].tobytes()], "n": [(own_n - n)[moved].tobytes()]})
+            yield pd.DataFrame({"at": [moved.astype("<i4").tobytes()], "z": [(own_z - z)[moved].tobytes()], "n": [(own_n - n)[moved].tobytes()]})
 
-        done = dealt.groupBy("shard").applyInPandas(shard, "shard int, at binary, z binary, n binary").collect()  # a row for each shard
         z, n = z.copy(), n.copy()
-        for r in sorted(done, key=lambda r: r["shard"]):
+        for r in dealt.mapInPandas(shard, "at binary, z binary, n binary").collect():  # a row for each shard
             at = np.frombuffer(r["at"], "<i4")
             z[at] += np.frombuffer(r["z"]) / shards
             n[at] += np.frombuffer(r["n"]) / shards
