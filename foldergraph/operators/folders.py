@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.functions.text import ancestors, base_name, is_supported, normal_path, parent_path
-from foldergraph.functions.values import GUARD_DEPTH
+from foldergraph.functions.values import GUARD_DEPTH, MIN_FILES
+from foldergraph.operators.similarity import folder_coherence
+from foldergraph.sources.shared import cut
 
 
 def folder_counts(files: DataFrame) -> DataFrame:
@@ -77,35 +82,61 @@ def escalate_guards(tree: DataFrame, guards: DataFrame) -> DataFrame:
     return out.select("path", F.lit("All subfolders are guarded").alias("reason"))
 
 
-def propagate_guards(tree: DataFrame, known: DataFrame, classify: Column, depth: int = GUARD_DEPTH) -> DataFrame:
-    """path, guarded, reason for each folder that the walk from the root's children down meets.
+Classifier = Callable[[DataFrame], DataFrame]
+
 
-    A folder known as guarded ends its branch, as does one that `classify` (a boolean column over the tree) guards; rows marked
-    user win. Folders at the level below `depth` are guarded without being classified.
+def walk_guards(tree: DataFrame, known: DataFrame, classify: Classifier, depth: int = GUARD_DEPTH) -> DataFrame:
+    """path, guarded, how, reason for each folder that the walk from the root's children down meets, a level at a time.
+
+    how: known (told by known(path, guarded, source): guarded, or the user's decision), classified, failed (the classifier gave no
+    verdict, the folder is open) or too deep (the level below `depth`: guarded, without being asked about). classify gets the folders
+    of a level that must be judged, with the tree's columns, and returns path, guarded, and reason and failed where it has them; a
+    guarded folder ends its branch, so nothing below one is classified. Every level is written before the next begins, so that no folder
+    is asked about twice. Repeated paths count once; of a path known twice the user's row counts, then a guarded one.
     """
-    told = known.select("path", F.col("guarded").alias("told"), (F.col("source") == "user").alias("by_user"))
-    frontier, out = tree.filter("depth = 1"), None
-    for level in range(1, depth + 2):
-        if level > depth:
-            step = frontier.select("path", F.lit(True).alias("guarded"), F.lit("too deep").alias("reason"))
-        else:
-            judged = frontier.join(told, "path", "left")
-            fixed = F.col("by_user") | F.col("told")
-            verdict = F.when(F.coalesce(fixed, F.lit(False)), F.col("told")).otherwise(classify)
-            step = judged.select("path", verdict.alias("guarded"), F.when(F.coalesce(fixed, F.lit(False)), "known").otherwise("classified").alias("reason"))
-        out = step if out is None else out.unionByName(step)
-        if level <= depth:
-            still = step.filter("NOT guarded").select(F.col("path").alias("parent"))
-            frontier = tree.filter(F.col("depth") == level + 1).join(still, "parent", "left_semi")
-    return out
+    best = F.max_by(F.struct("guarded", F.col("source").eqNullSafe("user").alias("by_user")), F.struct(F.col("source").eqNullSafe("user"), "guarded"))
+    told = known.filter("path IS NOT NULL").groupBy("path").agg(best.alias("k")).filter("k.by_user OR k.guarded").select("path", F.col("k.guarded").alias("told"))
+    tree = tree.dropDuplicates(["path"])
+    frontier, out = tree.filter("depth = 1"), []
+    for level in range(1, depth + 1):
+        met = cut(frontier.join(told, "path", "left"), "frontier")
+        judged = classify(met.filter("told IS NULL").drop("told")).dropDuplicates(["path"])
+        verdict = {c: F.col(c) if c in judged.columns else F.lit(None).cast(kind) for c, kind in (("reason", "string"), ("failed", "boolean"))}
+        judged = judged.select("path", F.coalesce("guarded", F.lit(False)).alias("guarded"), verdict["reason"].alias("reason"), (F.coalesce(verdict["failed"], F.lit(False)) | F.col("guarded").isNull()).alias("failed"))
+        rows = met.select("path", "told").join(judged, "path", "left")
+        how = F.when(F.col("told").isNotNull(), "known").when(F.coalesce("failed", F.lit(True)), "failed").otherwise("classified")
+        step = cut(rows.select("path", F.coalesce("told", "guarded", F.lit(False)).alias("guarded"), how.alias("how"), F.when(F.col("told").isNull(), F.coalesce("reason", F.lit(""))).alias("reason")), "level")
+        out.append(step)
+        frontier = tree.filter(F.col("depth") == level + 1).join(step.filter("NOT guarded").select(F.col("path").alias("parent")), "parent", "left_semi")
+    out.append(frontier.select("path", F.lit(True).alias("guarded"), F.lit("too deep").alias("how"), F.lit(None).cast("string").alias("reason")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def propagate_guards(tree: DataFrame, known: DataFrame, classify: Column, depth: int = GUARD_DEPTH) -> DataFrame:
+    """path, guarded, reason (known, classified or too deep) of walk_guards() where a boolean column over the tree is the classifier."""
+    walked = walk_guards(tree, known, lambda folders: folders.select("path", F.coalesce(classify, F.lit(False)).alias("guarded")), depth)
+    return walked.select("path", "guarded", F.col("how").alias("reason"))
+
+
+def coherent_folders(files: DataFrame, keywords: DataFrame, least: int = MIN_FILES) -> Classifier:
+    """A classifier that asks no model: a folder is guarded if its own files(file_id, folder) are coherent; one of fewer than `least` isn't."""
+
+    def classify(folders: DataFrame) -> DataFrame:
+        own = files.withColumn("folder", normal_path(F.col("folder"))).join(folders.select(F.col("path").alias("folder")), "folder", "left_semi")
+        found = folder_coherence(own, keywords, least=least).select(F.col("folder").alias("path"), "coherent", "coherence")
+        said = F.coalesce(F.concat(F.lit("coherence "), F.round("coherence", 3).cast("string")), F.lit("few files"))
+        return folders.select("path").join(found, "path", "left").select("path", F.coalesce("coherent", F.lit(False)).alias("guarded"), said.alias("reason"))
+
+    return classify
 
 
 def stored_guards(known: DataFrame, walked: DataFrame) -> DataFrame:
-    """The next snapshot of guards(path, guarded, reason, source) after propagate_guards(): what was classified is stored, rows strictly
-    below a guarded folder go; folders that are only too deep are not stored."""
-    new = walked.filter("reason = 'classified'").select("path", "guarded", "reason", F.lit("llm").alias("source"))
+    """The next snapshot of guards(path, guarded, reason, source) after walk_guards() or propagate_guards(): what was classified is stored,
+    rows strictly below a guarded folder go; folders that are only too deep, or whose classification failed, are not stored."""
+    how = "how" if "how" in walked.columns else "reason"
+    new = walked.filter(F.col(how) == "classified").select("path", "guarded", "reason", F.lit("llm").alias("source"))
     rest = known.select("path", "guarded", "reason", "source").join(new.select("path"), "path", "left_anti")
-    ends = walked.filter("guarded AND reason <> 'too deep'").select("path", "guarded")
+    ends = walked.filter(F.col("guarded") & (F.col(how) != "too deep")).select("path", "guarded")
     return under_guard(rest.unionByName(new), ends, "path", below=True)
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldergraph.functions.text import normal_path
 from foldergraph.operators.folders import under_guard
-from foldergraph.operators.skew import global_rank
+from foldergraph.operators.skew import global_rank, group_totals, salt
+from foldergraph.sources.shared import cut
 
 SCANNED = ("name", "extension", "size", "parent_dir", "watched_dir_id")
 
@@ -63,19 +67,44 @@ def cascade_delete(tables: dict[str, DataFrame], watched_dir_id: int) -> dict[st
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """The next snapshot of table after changes(keys, columns, op, changed_at): the newest change of a key counts.
+    """The next snapshot of table after changes(keys, columns, op, changed_at, and sequence if it is there), as if applied one by one.
+
+    Order: changed_at, then sequence, then op by name, then a hash of the columns; nulls first. op delete: the row goes. insert: a row
+    where there is none at that moment. update: a row that is there; upsert: either. A column that an update or upsert leaves null stays
+    as it is; those in `keep` only take the first value that an insert or upsert gives while they are null. Other ops and changes with
+    a null key do nothing; rows of table with a null key stay; where a key has several rows in table each of them is changed.
 
-    op delete: the row goes. insert: only where there is none. upsert: a column that the change leaves null, and those in `keep`, stay
-    as they are.
+    A fold would walk a key's changes in one task. Here a last delete cuts what was before, and of what follows only the first insert
+    or upsert and, for each column, the newest value that isn't null count: aggregates that tasks begin before the shuffle, so that a
+    key may have any share of the changes.
     """
-    newest = Window.partitionBy(*keys).orderBy(F.col("changed_at").desc(), "op")
-    last = changes.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "changed_at")
-    others = [c for c in table.columns if c not in keys]
-    old = table.select(*keys, F.struct(*others).alias("_old"), F.lit(True).alias("_there"))
-    new = last.select(*keys, F.struct(*others).alias("_new"), "op")
-    both = old.join(new, keys, "full").filter("op IS NULL OR op <> 'delete'")
-    take = lambda c: (F.when(F.col("op").isNull() | (F.col("_there") & (F.col("op") == "insert")), F.col("_old")[c]).otherwise(F.coalesce(F.col("_old")[c], F.col("_new")[c]) if c in keep else F.coalesce(F.col("_new")[c], F.col("_old")[c]))).alias(c)
-    return both.select(*keys, *map(take, others))
+    spark, others = table.sparkSession, [c for c in table.columns if c not in keys]
+    at = F.struct("changed_at", *(["sequence"] if "sequence" in changes.columns else []), "op", F.xxhash64(*others))
+    ops = F.col("op").isin("delete", "insert", "update", "upsert")
+    made = changes.filter(ops).dropna(subset=keys).select(*keys, F.struct(*others).alias("_new"), "op", at.alias("_at"))
+    made = made.withColumn("_salt", salt(spark, "_at"))
+    made = group_totals(made.withColumn("_gone", F.when(F.col("op") == "delete", F.col("_at"))), keys, "_salt", _cut=("max", "_gone"))
+    live = (F.col("op") != "delete") & (F.col("_cut").isNull() | (F.col("_at") > F.col("_cut")))
+    when = lambda test: F.when(live & test, F.col("_at"))
+    sums = [F.max(F.col("_cut").isNotNull()).alias("_deleted"), F.min(when(F.col("op") != "update")).alias("_made_at"), F.min_by("_new", when(F.col("op") != "update")).alias("_made")]
+    for c in others:
+        given = F.col("_new")[c].isNotNull()
+        newest, oldest = when((F.col("op") != "insert") & given), when((F.col("op") == "upsert") & given)
+        sums += [F.max(newest).alias(f"_at_{c}"), (F.min_by(F.col("_new")[c], oldest) if c in keep else F.max_by(F.col("_new")[c], newest)).alias(f"_set_{c}")]
+    told = cut(made.groupBy(*keys).agg(*sums), "changes")
+    there = table.select(*keys, F.struct(*others).alias("_old")).join(told, keys, "left").filter("_deleted IS NULL OR NOT _deleted").withColumn("_there", F.lit(True))
+    old = table.select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)])
+    same = functools.reduce(operator.and_, [F.col(k) == F.col(f"_{n}") for n, k in enumerate(keys)])
+    new = told.filter("_made_at IS NOT NULL").join(old, same & ~F.col("_deleted"), "left_anti").withColumn("_there", F.lit(False))
+    rows = there.unionByName(new, allowMissingColumns=True)
+
+    def column(c: str) -> Column:
+        old, new, told = F.col("_old")[c], F.col("_made")[c], F.col(f"_set_{c}")
+        if c in keep:
+            return F.when(F.col("_there"), F.coalesce(old, told)).otherwise(F.coalesce(new, told)).alias(c)
+        return F.when(F.col("_there"), F.coalesce(told, old)).otherwise(F.coalesce(F.when(F.col(f"_at_{c}") >= F.col("_made_at"), told), new)).alias(c)
+
+    return rows.select(*keys, *map(column, others))
 
 
 def merge_extracted(files: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:

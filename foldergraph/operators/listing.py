@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foldergraph.functions.text import is_supported, normal_path
 from foldergraph.functions.values import LIST_LIMIT, SORT_COLUMNS
+from foldergraph.operators.skew import rank_in_key
+from foldergraph.sources.shared import new_dir, slices, write
 
 
 def filter_files(files: DataFrame, supported: bool | None = None, **equal) -> DataFrame:
@@ -28,8 +30,39 @@ def sort_files(files: DataFrame, by: str | None = None, direction: str = "desc")
     return files.orderBy(*sort_order(by, direction))
 
 
-def page(files: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    return files.offset(offset).limit(limit)
+def page(files: DataFrame, order: list[Column | str], limit: int = 50, offset: int = 0, direct: int = 1000) -> DataFrame:
+    """The rows from number offset on, at most limit, in an order that is total.
+
+    Up to `direct` rows from the first on, every task sends its first ones. Further on, rows are written in ranges of the order, a
+    folder each; from the ranges' sizes follows which of them the page meets, and only those are read.
+    """
+    if offset + limit <= direct:
+        return files.orderBy(*order).offset(offset).limit(limit)
+    spark, path = files.sparkSession, new_dir(files.sparkSession, "pages")
+    placed = files.repartitionByRange(slices(spark), *order).withColumn("_range", F.spark_partition_id())
+    write(placed, path, ("_range",))
+    sizes = spark.read.schema(placed.select("_range").schema).parquet(path)
+    begin, met, before = 0, [], None
+    for r in sizes.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():  # a row for each range
+        if begin < offset + limit and begin + r["n"] > offset:
+            met.append(r["_range"])
+            before = begin if before is None else before
+        begin += r["n"]
+    rows = spark.read.schema(files.schema).parquet(*[f"{path}/_range={k}" for k in met]) if met else files.limit(0)
+    return rows.orderBy(*order).offset(offset - (before or 0)).limit(limit)
+
+
+def suggestion_summary(members: DataFrame, files: DataFrame, n: int = 5) -> DataFrame:
+    """suggestion_id, file_count, preview: the first n names in order of name, joined; null names are left out of the preview.
+
+    Tasks send counts and their own first names only, so a suggestion may have any share of the files.
+    """
+    rows = members.select("suggestion_id", "file_id").join(files.select("file_id", "name"), "file_id")
+    counts = rows.groupBy("suggestion_id").agg(F.count("*").alias("file_count"))
+    first = rows.filter("name IS NOT NULL").withColumn("i", F.row_number().over(Window.partitionBy("suggestion_id").orderBy("name"))).filter(F.col("i") <= n)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"])
+    shown = first.groupBy("suggestion_id").agg(F.array_join(names, ", ").alias("preview"))
+    return counts.join(shown, "suggestion_id", "left").select("suggestion_id", "file_count", F.coalesce("preview", F.lit("")).alias("preview"))
 
 
 def with_processable(files: DataFrame) -> DataFrame:
@@ -47,8 +80,8 @@ def files_in_folders(files: DataFrame, folders: DataFrame, limit: int | None = L
     own = own.join(folders.select(normal_path(F.col("path")).alias("folder")).distinct(), "folder", "left_semi")
     if limit is None:
         return own
-    newest = Window.partitionBy("folder").orderBy(F.col("file_id").desc())
-    return own.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= limit)
+    placed = rank_in_key(own, ["folder"], [F.col("file_id").desc()], "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int")).filter(F.col("place") <= limit)
 
 
 def processing_stats(files: DataFrame, guards: DataFrame) -> DataFrame:

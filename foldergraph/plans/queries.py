@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -104,10 +105,17 @@ def _components(edges: str, nodes: str, out: str) -> str:
 FROM f WHERE status = 'active' AND lower(extension) IN ({_EXT}) ORDER BY size DESC NULLS LAST, file_id LIMIT 50 OFFSET 100""")
 def files_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = li.filter_files(files_view(spark, sf_dir), supported=True, status="active")
-    out = li.with_processable(li.page(li.sort_files(files, "size"), 50, 100))
+    out = li.with_processable(li.page(files, li.sort_order("size"), 50, 100))
     return out.select("file_id", "name", "extension", "size", "processing_status", "processable")
 
 
+@query(f"WITH {_F} SELECT file_id, name, size FROM f WHERE status = 'active' ORDER BY name ASC NULLS FIRST, file_id LIMIT 100 OFFSET 600")
+def files_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far down, of which only the ranges of the order that hold it are read."""
+    files = li.filter_files(files_view(spark, sf_dir), status="active").select("file_id", "name", "size")
+    return li.page(files, li.sort_order("name", "asc"), 100, 600, direct=0)
+
+
 @query(f"WITH {_F} SELECT file_id, path, size FROM f WHERE file_id % 20 = 0")
 def files_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("file_id"))
@@ -117,7 +125,8 @@ def files_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_F} SELECT parent_dir AS folder, file_id, CAST(row_number() OVER (PARTITION BY parent_dir ORDER BY file_id DESC) AS INTEGER) AS place FROM f WHERE status = 'active' QUALIFY place <= 10000")
 def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files_view(spark, sf_dir)
-    return li.files_in_folders(files, files.select(F.col("parent_dir").alias("path"))).select("folder", "file_id", "place")
+    narrow = files.select("file_id", "parent_dir", "status")
+    return li.files_in_folders(narrow, narrow.select(F.col("parent_dir").alias("path"))).select("folder", "file_id", "place")
 
 
 @query(f"WITH {_F} SELECT file_id, name FROM f WHERE file_id % 20 = 0")
@@ -587,18 +596,27 @@ def cascade_delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""WITH t AS (SELECT doc_id AS file_id, lang AS name, source AS note FROM documents WHERE doc_id % 2 = 0),
-c AS (SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'upsert' END AS op, CASE WHEN doc_id % 5 <> 0 THEN 'new' END AS name, 'changed' AS note FROM documents WHERE doc_id % 4 < 2)
-SELECT coalesce(t.file_id, c.file_id) AS file_id, CASE WHEN op IS NULL OR (t.file_id IS NOT NULL AND op = 'insert') THEN t.name ELSE coalesce(c.name, t.name) END AS name,
- CASE WHEN op IS NULL OR (t.file_id IS NOT NULL AND op = 'insert') THEN t.note ELSE coalesce(t.note, c.note) END AS note
-FROM t FULL JOIN c ON t.file_id = c.file_id WHERE op IS NULL OR op <> 'delete'""")
+#: Five changes a document, every third of them aimed at one row; times repeat, so that the sequence decides.
+_EDITS = """SELECT CASE WHEN (doc_id + e) % 3 = 0 THEN -1 ELSE doc_id END AS file_id, (doc_id + e) % 4 AS changed_at, doc_id * 8 + e AS sequence,
+  CASE (doc_id * 5 + e * e) % 7 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' WHEN 2 THEN 'insert' WHEN 3 THEN 'update' WHEN 4 THEN 'update' ELSE 'upsert' END AS op,
+  CASE WHEN (doc_id + e) % 5 < 3 THEN concat('name ', doc_id, ' ', e) END AS name, CASE WHEN (doc_id + 2 * e) % 3 = 0 THEN concat('note ', e) END AS note, CASE WHEN (doc_id * 3 + e) % 4 = 0 THEN doc_id + e END AS seen"""
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY changed_at, sequence) AS k FROM ({_EDITS} FROM (SELECT doc_id, unnest(range(5)) AS e FROM documents))),
+s AS (SELECT file_id, 0 AS k, t.doc_id IS NOT NULL AS there, lang AS name, source AS note, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS seen
+    FROM (SELECT file_id FROM x UNION SELECT doc_id FROM documents WHERE doc_id % 2 = 0) LEFT JOIN (FROM documents WHERE doc_id % 2 = 0) t ON t.doc_id = file_id
+  UNION ALL SELECT s.file_id, x.k, CASE op WHEN 'delete' THEN false WHEN 'update' THEN there ELSE true END,
+    CASE WHEN op = 'delete' THEN NULL WHEN op = 'insert' AND NOT there OR op = 'upsert' AND NOT there THEN x.name WHEN op IN ('update', 'upsert') AND there THEN coalesce(x.name, s.name) ELSE s.name END,
+    CASE WHEN op = 'delete' THEN NULL WHEN op = 'insert' AND NOT there OR op = 'upsert' AND NOT there THEN x.note WHEN op IN ('update', 'upsert') AND there THEN coalesce(x.note, s.note) ELSE s.note END,
+    CASE WHEN op = 'delete' THEN NULL WHEN op = 'insert' AND NOT there OR op = 'upsert' AND NOT there THEN x.seen WHEN op = 'upsert' AND there THEN coalesce(s.seen, x.seen) ELSE s.seen END
+  FROM s JOIN x ON x.file_id = s.file_id AND x.k = s.k + 1)
+SELECT file_id, name, note, seen FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY k DESC) = 1) WHERE there""")
 def change_set_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "file_id")
-    rows = docs.filter("file_id % 2 = 0").select("file_id", F.col("lang").alias("name"), F.col("source").alias("note"))
-    op = F.when(F.col("file_id") % 3 == 0, "delete").when(F.col("file_id") % 3 == 1, "insert").otherwise("upsert")
-    new = docs.filter("file_id % 4 < 2").select("file_id", op.alias("op"), F.when(F.col("file_id") % 5 != 0, "new").alias("name"), F.lit("changed").alias("note"), F.lit(1).alias("changed_at"))
-    old_ones = new.withColumns({"changed_at": F.lit(0), "op": F.lit("delete")})
-    return inv.apply_changes(rows, new.unionByName(old_ones), ["file_id"], keep=("note",))
+    """Half of the documents after five changes a document, a third of them of one row."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("file_id"), F.col("lang").alias("name"), F.col("source").alias("note"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).alias("seen"))
+    edits = spark.sql(f"{_EDITS} FROM {{docs}} LATERAL VIEW explode(sequence(0, 4)) AS e", docs=docs)
+    return inv.apply_changes(rows, edits, ["file_id"], keep=("seen",))
 
 
 @query(f"WITH {_F} SELECT file_id, CASE WHEN file_id % 4 = 0 THEN CASE WHEN file_id % 8 = 0 THEN 'failed' ELSE 'processed' END ELSE processing_status END AS processing_status, CASE WHEN file_id % 8 = 0 THEN 'no text' END AS processing_error FROM f")
@@ -686,10 +704,7 @@ def suggestion_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SUG}, r AS (SELECT suggestion_id, name, row_number() OVER (PARTITION BY suggestion_id ORDER BY name) AS i FROM mem JOIN f USING (file_id)) SELECT suggestion_id, count(*) AS file_count, string_agg(name, ', ' ORDER BY i) FILTER (i <= 5) AS preview FROM r GROUP BY 1")
 def suggestion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files_view(spark, sf_dir)
-    rows = _suggestions(files)[1].join(files.select("file_id", "name"), "file_id")
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("suggestion_id").orderBy("name")))
-    first = F.array_sort(F.collect_list(F.when(F.col("i") <= 5, F.struct("i", "name"))))
-    return rows.groupBy("suggestion_id").agg(F.count("*").alias("file_count"), F.array_join(F.transform(first, lambda x: x["name"]), ", ").alias("preview"))
+    return li.suggestion_summary(_suggestions(files)[1], files)
 
 
 @query(f"""WITH {_SUG}, n AS (SELECT suggestion_id, count(*) AS n_files FROM mem GROUP BY 1)
@@ -736,16 +751,41 @@ def file_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.file_detail(files, comments, files.select("file_id", "content")).select("file_id", "name", "comment", F.sha2("content", 256).alias("content"))
 
 
-_RAW = """CASE suggestion_id % 6 WHEN 0 THEN '{"related": true, "removed": [1, 99], "name": "New", "description": "n"}' WHEN 1 THEN concat('```json', chr(10), '{"related": true, "removed": [2]}', chr(10), '```')
- WHEN 2 THEN '{"related": false}' WHEN 3 THEN '{"related": tru' WHEN 4 THEN '{"related": true} trailing' ELSE '{"related": true, "name": "", "description": "x"}' END"""
+#: (reply, whether it can be read, related, removed, name, description) by turns; what can't be read changes nothing.
+_REPLIES = (
+    ('{"related": true, "removed": [1, 99, -1, null], "name": "New", "description": "n"}', True, True, [1, 99, -1], "New", "n"),
+    ('```json\n{"related": true, "removed": [2], "other": {"x": [1]}}\n```', True, True, [2], "", ""),
+    ('{"related": false}', True, False, [], "", ""),
+    ('{"related": tru', False, False, [], "", ""),
+    ('{"related": true} trailing', False, False, [], "", ""),
+    ('{"related": true, "name": "", "description": "x"}', True, True, [], "", "x"),
+    ('{"related": "yes"}', False, False, [], "", ""),
+    ('{"related": true, "removed": [1.5]}', False, False, [], "", ""),
+    ('{"related": true, "removed": "1"}', False, False, [], "", ""),
+    ('{"related": true} {"related": false}', False, False, [], "", ""),
+    ('[{"related": false}]', False, False, [], "", ""),
+    ('{"related": true, "name": 7}', False, False, [], "", ""),
+)
+_REPLY_SQL = "replies(turn, readable, related, removed, new_name, new_description) AS (VALUES " + ", ".join(f"({k}, {ok}, {rel}, {list(gone)}::BIGINT[], '{name}', '{about}')" for k, (_, ok, rel, gone, name, about) in enumerate(_REPLIES)) + f"), told AS (SELECT suggestion_id, replies.* FROM sug JOIN replies ON turn = suggestion_id % {len(_REPLIES)})"
+
+
+def _replies(suggestions: DataFrame) -> DataFrame:
+    return suggestions.select("suggestion_id", F.element_at(F.array(*[F.lit(r[0]) for r in _REPLIES]), (F.col("suggestion_id") % len(_REPLIES) + 1).cast("int")).alias("raw"))
+
 
+@query(f"WITH {_SUG}, {_REPLY_SQL} SELECT suggestion_id, NOT readable AS unread, related, array_to_string(removed, ',') AS removed, new_name AS name, new_description AS description FROM told")
+def refine_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the replies say; mistyped fields, joined objects and arrays are unread."""
+    told = re_.read_replies(_replies(_suggestions(files_view(spark, sf_dir))[0]))
+    return told.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
-@query(f"""WITH {_SUG}, r AS (SELECT suggestion_id, file_id, row_number() OVER (PARTITION BY suggestion_id ORDER BY file_id) AS i FROM mem)
-SELECT suggestion_id, CASE suggestion_id % 6 WHEN 0 THEN 'New' ELSE name END AS name, CASE suggestion_id % 6 WHEN 0 THEN 'n' ELSE 'd' END AS description, file_id
-FROM sug JOIN r USING (suggestion_id) WHERE suggestion_id % 6 <> 2 AND NOT (suggestion_id % 6 = 0 AND i = 1) AND NOT (suggestion_id % 6 = 1 AND i = 2)""")
+
+@query(f"""WITH {_SUG}, {_REPLY_SQL}, r AS (SELECT suggestion_id, file_id, row_number() OVER (PARTITION BY suggestion_id ORDER BY file_id) AS i FROM mem)
+SELECT suggestion_id, CASE WHEN readable AND new_name <> '' THEN new_name ELSE name END AS name, CASE WHEN readable AND new_name <> '' THEN new_description ELSE description END AS description, file_id
+FROM sug JOIN r USING (suggestion_id) JOIN told USING (suggestion_id) WHERE NOT readable OR (related AND NOT list_contains(removed, i))""")
 def refine_parse_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     suggestions, members = _suggestions(files_view(spark, sf_dir))
-    new, left = re_.apply_refinements(suggestions, members, suggestions.select("suggestion_id", F.expr(_RAW).alias("raw")))
+    new, left = re_.apply_refinements(suggestions, members, _replies(suggestions))
     return new.join(left, "suggestion_id")
 
 
@@ -770,17 +810,62 @@ def refine_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.own_keywords(_suggestions(files)[1], files).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_TREE}, s AS (SELECT parent AS path, string_agg(name, ', ' ORDER BY name) AS subs FROM tree WHERE parent IS NOT NULL GROUP BY 1), o AS (SELECT parent_dir AS path, string_agg(name, chr(10) || '- ' ORDER BY name) AS names FROM t GROUP BY 1)
-SELECT path, md5(concat('Folder: "', name, '"', chr(10), 'Subfolders: ', coalesce(subs, '(none)'), chr(10), 'Files:', chr(10), '- ', coalesce(names, '(none)'), coalesce(chr(10) || 'Above it: depth ' || CASE WHEN parent IS NOT NULL THEN CAST(depth - 1 AS VARCHAR) END, ''), chr(10), 'Do they belong together? Answer with JSON only: {{"related": true, "reason": ""}}')) AS prompt, substr(md5(path), 1, 1) < '8' AS guarded
-FROM tree LEFT JOIN s USING (path) LEFT JOIN o USING (path)""")
+_PROMPTS = f"""{_TREE}, s AS (SELECT parent AS path, string_agg(name, '; ' ORDER BY name) AS subs FROM tree WHERE parent IS NOT NULL GROUP BY 1), o AS (SELECT parent_dir AS path, string_agg(name, chr(10) ORDER BY name) AS names FROM t GROUP BY 1),
+asked AS (SELECT path, parent, depth, file_count, concat('There is a folder named ', name, '.', chr(10), CASE WHEN parent IS NOT NULL THEN concat('The folder above it, ', regexp_extract(parent, '[^/]*$', 0), ', holds a mixture.', chr(10)) ELSE '' END,
+  'Folders in it: ', coalesce(subs, 'none'), chr(10), 'Its files, one a line:', chr(10), coalesce(names, 'none'), chr(10), 'Is what it holds one thing, such as the parts of a program or a project? Answer with JSON only: {{"related": true, "reason": ""}}') AS prompt FROM tree LEFT JOIN s USING (path) LEFT JOIN o USING (path))"""
+
+
+@query(f"WITH {_PROMPTS} SELECT path, md5(prompt) AS prompt, substr(md5(path), 1, 1) < '8' AS guarded FROM asked")
 def guard_prompt_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = pages_view(spark, sf_dir)
     tree = fo.folder_tree(files, "/web")
-    prompts = re_.folder_prompts(tree, files, tree.select("path", F.concat(F.lit("depth "), F.col("depth").cast("string")).alias("hint")))
+    prompts = re_.folder_prompts(tree, tree, files)
     raw = F.when(F.substring(F.md5("path"), 1, 1) < "8", '```json\n{"related": true, "reason": "r"}\n```').otherwise('{"related": false}')
     return prompts.select("path", F.md5("prompt").alias("prompt"), F.coalesce(re_.parsed_reply(raw)["related"], F.lit(False)).alias("guarded"))
 
 
+def _model(prompt: str) -> str:
+    """Stands for a model: its reply follows from a hash of the prompt; now and then it can't be read, or there is none."""
+    digit = hashlib.md5(prompt.encode()).hexdigest()[0]
+    if digit == "f":
+        raise TimeoutError("no reply")
+    return '{"related": "yes"}' if digit == "e" else f'```json\n{{"related": {"true" if digit < "4" else "false"}, "reason": "digit {digit}"}}\n```'
+
+
+def _walk_sql(related: str, how: str, reason: str, more: str = "") -> str:
+    return f"""{_PROMPTS}, known AS (SELECT path, substr(md5(path), 2, 1) < '8' AS guarded, CASE WHEN substr(md5(path), 3, 1) < '8' THEN 'user' ELSE 'llm' END AS source FROM tree WHERE depth > 0 AND substr(md5(path), 4, 1) < '3'),
+told AS (SELECT path, guarded AS told FROM known WHERE source = 'user' OR guarded), said AS (SELECT asked.*, substr(md5(prompt), 1, 1) AS digit, {related} AS related FROM asked {more}),
+w AS (SELECT path, depth, coalesce(told, related) AS guarded, {how} AS how, {reason} AS reason FROM said LEFT JOIN told USING (path) WHERE depth = 1 UNION ALL
+  SELECT path, depth, depth = 4 OR coalesce(told, related), CASE WHEN depth = 4 THEN 'too deep' ELSE {how} END, CASE WHEN depth < 4 THEN {reason} END
+  FROM (SELECT c.* FROM w JOIN said c ON c.parent = w.path WHERE NOT w.guarded AND c.depth <= 4) LEFT JOIN told USING (path))"""
+
+
+_ASKED = _walk_sql("digit < '4'", "CASE WHEN told IS NOT NULL THEN 'known' WHEN digit >= 'e' THEN 'failed' ELSE 'classified' END", "CASE WHEN told IS NULL THEN CASE digit WHEN 'f' THEN 'no reply' WHEN 'e' THEN 'reply not understood' ELSE 'digit ' || digit END END")
+
+
+def _known_guards(tree: DataFrame) -> DataFrame:
+    digit = lambda k: F.substring(F.md5("path"), k, 1)
+    return tree.filter((F.col("depth") > 0) & (digit(4) < "3")).select("path", (digit(2) < "8").alias("guarded"), F.lit("before").alias("reason"), F.when(digit(3) < "8", "user").otherwise("llm").alias("source"))
+
+
+@query(f"WITH RECURSIVE {_ASKED} SELECT path, guarded, how, reason FROM w")
+def guard_walk_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk with a model: prompts for the folders of each level that are still open, replies read, verdicts followed."""
+    files = pages_view(spark, sf_dir)
+    tree = cut(fo.folder_tree(files, "/web"), "tree")
+    return fo.walk_guards(tree, _known_guards(tree), re_.prompted(tree, files, _model))
+
+
+@query(f"""WITH RECURSIVE {_ASKED}, a AS (SELECT path, guarded, 'before' AS reason, source FROM known WHERE path NOT IN (SELECT path FROM w WHERE how = 'classified')
+  UNION ALL SELECT path, guarded, reason, 'llm' FROM w WHERE how = 'classified')
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.guarded AND w.how <> 'too deep' AND starts_with(a.path, w.path || '/'))""")
+def guard_walk_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guards as they are stored after that walk."""
+    files = pages_view(spark, sf_dir)
+    tree = cut(fo.folder_tree(files, "/web"), "tree")
+    return fo.stored_guards(_known_guards(tree), cut(fo.walk_guards(tree, _known_guards(tree), re_.prompted(tree, files, _model)), "walked"))
+
+
 @query(f"""WITH {_SUG}, x AS (SELECT suggestion_id, file_id, concat(CASE WHEN file_id % 3 = 0 THEN 'document_' ELSE 'note-' END, extension) AS name, regexp_replace(s.name, '[/\\\\:*?"<>|]', '_', 'g') AS folder FROM mem JOIN f USING (file_id) JOIN (SELECT suggestion_id, name FROM sug) s USING (suggestion_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY suggestion_id, name ORDER BY file_id) - 1 AS k FROM x)
 SELECT suggestion_id, file_id, folder, CASE WHEN k = 0 THEN name ELSE concat(regexp_replace(name, '\\.[^./]*$', ''), '_', k, regexp_extract(name, '(\\.[^./]*)$', 1)) END AS new_name FROM k""")
@@ -804,3 +889,23 @@ def move_plan_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.concat(F.when(F.col("file_id") % 3 == 0, "document_").otherwise("note-"), "extension")
     there = suggestions.select(tx.safe_name(F.col("name")).alias("folder"), F.explode(F.array(*map(F.lit, ("note-.txt", "note-_1.txt", "note-_3.md")))).alias("name"))
     return re_.move_plan(members, files.withColumn("name", short), suggestions, there)
+
+
+_CHAIN = "CASE file_id % 7 WHEN 0 THEN 'a.txt' WHEN 1 THEN 'a_1.txt' WHEN 2 THEN concat('a_', file_id % 40, '.txt') WHEN 3 THEN 'a_1_2.txt' WHEN 4 THEN 'b' WHEN 5 THEN concat('b_', file_id % 25) ELSE concat('b_', file_id % 5, '_1') END"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT doc_id AS file_id, {_CHAIN.replace('file_id', 'doc_id')} AS name, doc_id % 3 AS suggestion_id FROM documents),
+p AS (SELECT DISTINCT suggestion_id, name FROM f WHERE file_id % 11 = 0 UNION SELECT DISTINCT suggestion_id, 'a_' || (file_id % 90) || '.txt' FROM f WHERE file_id % 3 <> 1 AND file_id % 8 = 0),
+x AS (SELECT *, row_number() OVER (PARTITION BY suggestion_id ORDER BY name, file_id) AS k, regexp_replace(name, '\\.[^./]*$', '') AS own, regexp_extract(name, '(\\.[^./]*)$', 1) AS ext FROM f),
+w AS (SELECT suggestion_id, 0::BIGINT AS k, (SELECT list(name) FROM p WHERE p.suggestion_id = s.suggestion_id) AS taken, NULL::BIGINT AS file_id, NULL::VARCHAR AS new_name FROM (SELECT DISTINCT suggestion_id FROM f) s
+  UNION ALL SELECT suggestion_id, k, list_append(taken, new_name), file_id, new_name FROM (
+    SELECT x.suggestion_id, x.k, w.taken, x.file_id, list_filter(list_transform(range((SELECT count(*) + 100 FROM f)), lambda n: CASE WHEN n = 0 THEN x.name ELSE concat(x.own, '_', n, x.ext) END), lambda y: NOT list_contains(w.taken, y))[1] AS new_name
+    FROM w JOIN x ON x.suggestion_id = w.suggestion_id AND x.k = w.k + 1))
+SELECT suggestion_id, file_id, new_name FROM w WHERE file_id IS NOT NULL""")
+def move_plan_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are the numbered form of others, some of them present: what is given to one name is taken from the next."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id")).withColumns({"name": F.expr(_CHAIN), "suggestion_id": F.col("file_id") % 3})
+    there = files.filter("file_id % 11 = 0").select("suggestion_id", "name").union(files.filter("file_id % 3 <> 1 AND file_id % 8 = 0").select("suggestion_id", F.expr("concat('a_', file_id % 90, '.txt')")))
+    present = there.select(F.concat(F.lit("s"), F.col("suggestion_id").cast("string")).alias("folder"), "name")
+    heads = files.select("suggestion_id", F.concat(F.lit("s"), F.col("suggestion_id").cast("string")).alias("name")).distinct()
+    return re_.move_plan(files.select("suggestion_id", "file_id"), files.select("file_id", "name"), heads, present).select("suggestion_id", "file_id", "new_name")
