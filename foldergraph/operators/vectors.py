@@ -1,4 +1,4 @@
-"""Near vectors in blocks, and DBSCAN over them."""
+"""Near vectors by cells around pivots, and DBSCAN over them."""
 
 from __future__ import annotations
 
@@ -14,7 +14,12 @@ from foldergraph.operators.components import connected_components
 from foldergraph.operators.skew import global_rank, group_totals, lookup, salt
 from foldergraph.sources.shared import cut
 
+#: Rows that a task compares with as many others.
 BLOCK_ROWS = 4096
+#: Cells have about so many rows, as long as that takes no more pivots than are sent to all tasks.
+CELL_ROWS, PIVOTS = 1024, 1024
+#: Distances by matrix products are this exact; what they let pass is measured.
+TOLERANCE = 1e-6
 
 
 def vector_classes(vectors: DataFrame) -> DataFrame:
@@ -27,29 +32,124 @@ def vector_classes(vectors: DataFrame) -> DataFrame:
     return rows.select("id", "class_id", F.when(F.col("id") == F.col("class_id"), F.col("vec")).alias("vec"), "n")
 
 
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x to all of y, as exact as a product allows."""
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
+
+
+def _rows(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def pivots_of(vectors: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """By vector length: distinct vectors, one for CELL_ROWS rows and PIVOTS at most, those of the least hashes of their ids."""
+    first = vectors.filter(F.size("vec") > 0).orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, rows // CELL_ROWS + 1)).select("vec").collect()
+    own: dict[int, list] = {}
+    for r in first:
+        own.setdefault(len(r["vec"]), []).append(r["vec"])
+    return {n: np.unique(np.array(v, np.float64), axis=0) for n, v in own.items()}
+
+
+def in_cells(vectors: DataFrame, eps: float) -> DataFrame:
+    """cell, home, and the columns of vectors(id, vec, ...): every row in the cell of its nearest pivot, its home, and as a guest in each
+    cell of a smaller number that may hold a row within eps of it. So a near pair meets in exactly one cell, where one of it is at home.
+
+    Rows whose nearest pivot is p lie on p's side of the middle between p and any other. What is further than eps from that middle, or
+    further from p than eps and p's farthest row, has no near row there. Pivots are sent to all tasks: at most PIVOTS of them. A length
+    of vectors that no pivot has is a cell by itself; empty vectors are in none.
+    """
+    pivots = pivots_of(vectors, vectors.count())
+    first = dict(zip(pivots, np.cumsum([0, *map(len, pivots.values())])))  # a length's first cell
+    others = [c for c in vectors.columns if c != "vec"]
+
+    def homes(frame: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, np.ndarray | None]]:
+        for n, own in frame.groupby(frame["vec"].map(len)):
+            if n:
+                yield n, own, _far(_rows(own["vec"]), pivots[n]) if n in pivots else None
+
+    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for n, _, far in homes(frame):
+                if far is not None:
+                    yield pd.DataFrame({"cell": first[n] + far.argmin(1), "far": np.sqrt(far.min(1))})
+
+    found = vectors.select("vec").mapInPandas(reach, "cell long, far double").groupBy("cell").agg(F.max("far").alias("far")).collect()  # a row for each pivot
+    reached = np.zeros(sum(map(len, pivots.values())))
+    for r in found:
+        reached[r["cell"]] = r["far"]
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for n, own, far in homes(frame):
+                if far is None:
+                    yield own.assign(cell=-n, home=True)
+                    continue
+                home = far.argmin(1)
+                yield own.assign(cell=first[n] + home, home=True)
+                apart = np.sqrt(_far(pivots[n], pivots[n]))[home]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    middle = (far - far[np.arange(len(far)), home][:, None]) / (2 * apart)
+                near = (middle <= eps + TOLERANCE) & (np.sqrt(far) <= reached[first[n] : first[n] + far.shape[1]] + eps + TOLERANCE)
+                i, k = np.nonzero(near & (np.arange(far.shape[1]) < home[:, None]))
+                yield own.iloc[i].assign(cell=first[n] + k, home=False)
+
+    schema = f"cell long, home boolean, {', '.join(f'{c} {t}' for c, t in vectors.dtypes)}"
+    rows = vectors.select("vec", *others).mapInPandas(deal, schema)
+    return cut(rows, "cells")
+
+
+def in_blocks(cells: DataFrame) -> DataFrame:
+    """cells with kind, b1, b2, first, second: all rows that are to be compared with each other meet in a group of (cell, kind, b1, b2).
+
+    A cell's homes and its guests are each cut to blocks of about BLOCK_ROWS rows: a group compares two blocks of homes (kind 0), or
+    one of homes with one of guests (kind 1); first and second say on which side a row is. However full a cell is, no task holds more
+    than two blocks.
+    """
+    sizes = cells.groupBy("cell", "home").agg(F.count("*").alias("n")).groupBy("cell")
+    blocks = lambda home: F.greatest(F.lit(1), F.ceil(F.max(F.when(F.col("home") == home, F.col("n"))) / BLOCK_ROWS)).cast("int")
+    sizes = sizes.agg(blocks(True).alias("h"), blocks(False).alias("g"))  # a row for each cell
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("h")).otherwise(F.col("g"))).cast("int")
+    rows = cells.join(F.broadcast(sizes), "cell").withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = rows.filter("home").withColumn("other", F.explode(upto("h"))).withColumns({"kind": F.lit(0), "b1": F.least("own", "other"), "b2": F.greatest("own", "other")})
+    among = among.withColumns({"first": F.col("own") == F.col("b1"), "second": F.col("own") == F.col("b2")})
+    guests = cells.filter("NOT home").select("cell").distinct()
+    hosts = rows.filter("home").join(F.broadcast(guests), "cell", "left_semi").withColumn("other", F.explode(upto("g"))).withColumns({"kind": F.lit(1), "b1": F.col("own"), "b2": F.col("other"), "first": F.lit(True), "second": F.lit(False)})
+    met = rows.filter("NOT home").withColumn("other", F.explode(upto("h"))).withColumns({"kind": F.lit(1), "b1": F.col("other"), "b2": F.col("own"), "first": F.lit(False), "second": F.lit(True)})
+    return among.unionByName(hosts).unionByName(met).drop("h", "g", "own", "other")
+
+
+def _near(frame: pd.DataFrame, eps: float) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
+    """(rows of the first side, of the second, which are near) of a group of in_blocks(); a row isn't near itself, a pair of one block is
+    there both ways."""
+    first, second = frame[frame["first"]], frame[frame["second"]]
+    for a, b in _by_length(first, second):
+        x, y = _rows(a["vec"]), _rows(b["vec"])
+        near = _far(x, y) <= eps * eps + TOLERANCE
+        i, j = np.nonzero(near)
+        near[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum(1)) <= eps
+        yield a, b, near & (a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :])
+
+
+_GROUP = ("cell", "kind", "b1", "b2")
+
+
 def near_pairs(vectors: DataFrame, eps: float) -> DataFrame:
-    """id1, id2: pairs of vectors(id, vec) at most eps apart. Rows are dealt to blocks; each pair of blocks is one matrix product.
+    """id1, id2: pairs of vectors(id, vec) at most eps apart, found in the cells of in_cells().
 
     ids are distinct, no vector is null; where many are equal, vector_classes() keeps one of them.
     """
-    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = vectors.select("id", "vec", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    dealt = dealt.select("id", "vec", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
-
-    def near(frame: pd.DataFrame) -> pd.DataFrame:
-        first, second = frame[frame["own"] == frame["b1"].iloc[0]], frame[frame["own"] == frame["b2"].iloc[0]]
-        out: list[np.ndarray] = []
-        for a, b in _by_length(first, second):
-            x, y = (np.stack(f["vec"].to_numpy()).astype(np.float64) for f in (a, b))
-            apart = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-            i, j = np.nonzero(apart <= eps * eps + 1e-6)
-            good = np.sqrt(((x[i] - y[j]) ** 2).sum(1)) <= eps
-            ids = np.stack([a["id"].to_numpy()[i[good]], b["id"].to_numpy()[j[good]]])
-            out.append(ids[:, ids[0] < ids[1]] if frame["b1"].iloc[0] == frame["b2"].iloc[0] else np.sort(ids, axis=0))
-        return pd.DataFrame(np.concatenate(out, axis=1).T if out else np.zeros((0, 2), np.int64), columns=["id1", "id2"])
-
-    return dealt.groupBy("b1", "b2").applyInPandas(near, "id1 long, id2 long")
+
+    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((2, 0), np.int64)]
+        one = frame["first"].eq(frame["second"]).all()  # a block with itself has each pair twice
+        for a, b, near in _near(frame, eps):
+            i, j = np.nonzero(near)
+            ids = np.stack([a["id"].to_numpy()[i], b["id"].to_numpy()[j]])
+            out.append(ids[:, ids[0] < ids[1]] if one else np.sort(ids, axis=0))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["id1", "id2"])
+
+    return in_blocks(in_cells(vectors.select("id", "vec"), eps)).groupBy(*_GROUP).applyInPandas(pairs, "id1 long, id2 long")
 
 
 def _by_length(first: pd.DataFrame, second: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
@@ -60,24 +160,85 @@ def _by_length(first: pd.DataFrame, second: pd.DataFrame) -> Iterator[tuple[pd.D
             yield a, b[n]
 
 
+def _pieces(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece of each row, of each column) of a matrix that says which rows and columns are linked: what hangs together is a piece; a row
+    or column without links is one by itself. Every row and column is gone through once."""
+    rows, columns = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    piece = 0
+    for start in range(len(rows)):
+        if rows[start] >= 0:
+            continue
+        rows[start], todo = piece, np.array([start])
+        while len(todo):
+            new = np.flatnonzero(near[todo].any(0) & (columns < 0))
+            columns[new] = piece
+            todo = np.flatnonzero(near[:, new].any(1) & (rows < 0))
+            rows[todo] = piece
+        piece += 1
+    alone = columns < 0
+    columns[alone] = np.arange(piece, piece + alone.sum())
+    return rows, columns
+
+
+def near_counts(blocks: DataFrame, eps: float) -> DataFrame:
+    """id, around: how many other rows (by their n) are within eps. A group sends a sum for each of its rows, not its pairs."""
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "around": np.zeros(0, np.int64)})]
+        one = frame["first"].eq(frame["second"]).all()
+        for a, b, near in _near(frame, eps):
+            out.append(pd.DataFrame({"id": a["id"], "around": near @ b["n"].to_numpy()}))
+            if not one:
+                out.append(pd.DataFrame({"id": b["id"], "around": near.T @ a["n"].to_numpy()}))
+        found = pd.concat(out)
+        return found[found["around"] > 0]
+
+    return blocks.groupBy(*_GROUP).applyInPandas(count, "id long, around long").groupBy("id").agg(F.sum("around").alias("around"))
+
+
+def core_links(blocks: DataFrame, eps: float) -> DataFrame:
+    """id, core, rep: what a group knows of its rows(id, core): for each core row the least core id of its piece within the group, for
+    each other row the least ids of the pieces that it is near to. A few rows for each row of a group, not its pairs."""
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "core": np.zeros(0, bool), "rep": np.zeros(0, np.int64)})]
+        for a, b, near in _near(frame, eps):
+            ca, cb = a["core"].to_numpy(), b["core"].to_numpy()
+            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+            pa, pb = _pieces(near[np.ix_(ca, cb)])
+            ids, piece = np.r_[ia[ca], ib[cb]], np.r_[pa, pb]
+            least = np.full(piece.max(initial=-1) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, piece, ids)
+            out.append(pd.DataFrame({"id": ids, "core": True, "rep": least[piece]}))
+            for own, other, seen in ((ia[~ca], least[pb], near[np.ix_(~ca, cb)]), (ib[~cb], least[pa], near[np.ix_(ca, ~cb)].T)):
+                i, j = np.nonzero(seen)
+                out.append(pd.DataFrame({"id": own[i], "core": False, "rep": other[j]}).drop_duplicates())
+        found = pd.concat(out)
+        return found[~found["core"] | (found["id"] != found["rep"])].drop_duplicates()
+
+    return blocks.groupBy(*_GROUP).applyInPandas(link, "id long, core boolean, rep long")
+
+
 def dbscan(vectors: DataFrame, eps: float, min_pts: int = 3, least: int = MIN_FILES) -> DataFrame:
     """id, cluster_no: clusters of core points (min_pts within eps, themselves counted) with the border points next to them.
 
     Clusters are numbered by their smallest core id; a border point goes to the lowest number near it; clusters of fewer than
-    `least` points go, noise has no row. See vector_classes() for null vectors and repeated ids.
+    `least` points go, noise has no row. See vector_classes() for null vectors and repeated ids. Near pairs are not written: cells count
+    neighbours, then give each core point one link to its piece of the cell; the pieces of all cells are joined by the points that
+    they share.
     """
     classes = cut(vector_classes(vectors), "classes")
     heads = classes.filter("id = class_id").select("id", "vec", "n")
-    pairs = cut(near_pairs(heads.select("id", "vec"), eps), "near")
-    both = pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).unionByName(pairs.select(F.col("id2").alias("a"), F.col("id1").alias("b")))
-    degree = both.join(heads.select(F.col("id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("around"))
+    cells = in_cells(heads, eps)
+    degree = near_counts(in_blocks(cells), eps)
     empty = F.size("vec") == 0  # near nothing, not even its like
-    core = heads.select(F.col("id").alias("a"), F.when(empty, 1).otherwise(F.col("n")).alias("n")).join(degree, "a", "left")
-    core = cut(core.filter(F.coalesce("around", F.lit(0)) + F.col("n") >= min_pts).select("a"), "core")
-    links = pairs.join(core.select(F.col("a").alias("id1")), "id1", "left_semi").join(core.select(F.col("a").alias("id2")), "id2", "left_semi")
-    roots = connected_components(links.select(F.col("id1").alias("src"), F.col("id2").alias("dst"))).select(F.col("id").alias("a"), "component")
-    cores = core.join(roots, "a", "left").select(F.col("a").alias("id"), F.coalesce("component", "a").alias("first_core"))
-    border = both.join(core.select(F.col("a").alias("b")), "b", "left_semi").join(core, "a", "left_anti").join(cores.select(F.col("id").alias("b"), "first_core"), "b").groupBy(F.col("a").alias("id")).agg(F.min("first_core").alias("first_core"))
+    core = heads.select("id", F.when(empty, 1).otherwise(F.col("n")).alias("n")).join(degree, "id", "left")
+    core = cut(core.filter(F.coalesce("around", F.lit(0)) + F.col("n") >= min_pts).select("id"), "core")
+    marked = cells.join(core.withColumn("core", F.lit(True)), "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    links = cut(core_links(in_blocks(cut(marked, "marked")), eps), "links")
+    roots = connected_components(links.filter("core").select(F.col("id").alias("src"), F.col("rep").alias("dst")))
+    cores = cut(core.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("first_core")), "cores")
+    border = links.filter("NOT core").join(cores.withColumnRenamed("id", "rep"), "rep").groupBy("id").agg(F.min("first_core").alias("first_core"))
     # written, as a union of two tables that are dealt by id may be taken for one that is dealt by id, though each was coalesced by itself
     members = cut(cores.unionByName(border), "members").join(heads.select("id", "n"), "id")
     sizes = members.groupBy("first_core").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)

@@ -466,6 +466,15 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
+NEAR = 1.12
+
+
+@query(f"WITH {_V} SELECT a.id AS id1, b.id AS id2 FROM v a JOIN v b ON a.id < b.id AND list_distance(a.e, b.e) <= {NEAR}")
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors at most NEAR apart."""
+    return ve.near_pairs(_vectors(spark, sf_dir), NEAR)
+
+
 @query(f"WITH RECURSIVE {_DBSCAN} SELECT id, cluster_no FROM mem JOIN num USING (comp)")
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ve.dbscan(_vectors(spark, sf_dir), EPS)
