@@ -157,7 +157,7 @@ ANSWER, TABLE, TIMES = 0, 1, 2
 
 
 def counted_pairs(parts: DataFrame, buckets: int) -> DataFrame:
-    """kind, lang, g, k, data from chunks: ANSWER, the counts of the pairs that chunk g sent to bucket k; TABLE, what a bucket adds to the
+    """kind, lang, g, k, data from chunks: ANSWER, how often other chunks have the pairs that chunk g sent to bucket k; TABLE, what a bucket adds to the
     tables of the classes from k * RANGE on; TIMES, how many pairs occur once, twice, three and four times in a bucket."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,9 +172,12 @@ def counted_pairs(parts: DataFrame, buckets: int) -> DataFrame:
         lang, k = frame["lang"].iloc[0], int(frame["k"].iloc[0])
         sent = [np.cumsum(unpacked(x)) for x in frame["pairs"]]
         found, place = np.unique(np.concatenate(sent), return_inverse=True)
-        times = np.bincount(place.ravel(), np.concatenate([unpacked(x) for x in frame["times"]]).astype(np.float64), len(found)).astype(np.int64)
+        own_times = np.concatenate([unpacked(x) for x in frame["times"]])
+        times = np.bincount(place.ravel(), own_times.astype(np.float64), len(found)).astype(np.int64)
         ends = np.cumsum([len(x) for x in sent])
-        out = [(ANSWER, lang, g, k, packed(times[place[b - len(x) : b]])) for g, x, b in zip(frame["g"].tolist(), sent, ends.tolist())]
+        # a chunk knows its own counts; what others have is mostly none, which takes little room
+        others = times[place.ravel()] - own_times
+        out = [(ANSWER, lang, g, k, packed(others[b - len(x) : b])) for g, x, b in zip(frame["g"].tolist(), sent, ends.tolist())]
         first, second = split_pair(found.astype(np.uint64))
         begun = [times, times == 1, times == 2, times > 2]
         order, order2 = np.argsort(first, kind="stable"), np.sort(second)
@@ -267,7 +270,7 @@ def load_model(path: str, lang: str, times: np.ndarray) -> PairModel:
 
 
 def load_answers(path: str, g: int, part: int) -> np.ndarray:
-    """How often each of a chunk's distinct pairs occurs in all texts, in the order of the mixed pairs."""
+    """How often each of a chunk's distinct pairs occurs in other chunks, in the order of the mixed pairs."""
     store, top = store_of(path)
     rows = pads.dataset(f"{top}/part={part}", filesystem=store, format="parquet").to_table(columns=["k", "data"], filter=pads.field("g") == g).to_pylist()
     return np.concatenate([unpacked(x["data"]) for x in sorted(rows, key=lambda x: x["k"])])
@@ -298,16 +301,16 @@ def scored(docs: DataFrame) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 n = np.asarray(row.n, np.int64)
-                mixed, place = np.unique(chunk_pairs(n, row.classes, row.words), return_inverse=True)
+                mixed, place, own = np.unique(chunk_pairs(n, row.classes, row.words), return_inverse=True, return_counts=True)
                 sums = np.zeros(len(n))
                 if len(mixed):
                     if model is None or row.lang != held:
                         model, held = load_model(path, row.lang, times[row.lang]), row.lang
-                    logp = model.logp(mixed, load_answers(answers, row.g, row.part))[place.ravel()]
+                    logp = model.logp(mixed, own + load_answers(answers, row.g, row.part))[place.ravel()]
                     sums[n > 0] = np.add.reduceat(logp, np.r_[0, np.cumsum(n[n > 0] + 1)[:-1]])
                 out = pd.DataFrame({"doc_id": list(row.doc_id), "text_key": np.asarray(row.text_key, np.int64), "lang": row.lang})
-                for name, own in zip(COUNTS, np.asarray(row.counts, np.int64).reshape(-1, len(COUNTS)).T):
-                    out[name] = own
+                for name, values in zip(COUNTS, np.asarray(row.counts, np.int64).reshape(-1, len(COUNTS)).T):
+                    out[name] = values
                 yield out.assign(log_perplexity=np.where(n > 0, -sums / (n + 1), np.nan))
 
     rows = parts.select("*", part).sortWithinPartitions("lang").mapInPandas(score, SCORES)
