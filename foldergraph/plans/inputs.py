@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldergraph.sources.shared import new_dir, store_of
+
 FILES_SQL = """
 SELECT file_id, concat(parent_dir, '/', name) AS path, name, extension, size, parent_dir,
        CAST(1 AS BIGINT) AS watched_dir_id, status, modified_at, processing_status, content
@@ -47,3 +52,25 @@ def files_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PAGES_SQL, pages=table(spark, sf_dir, "pages"))
+
+
+def page_files(spark: SparkSession, sf_dir: str, underscores: bool = False) -> str:
+    """A folder of one file for each page, as tasks write them: every eighth as .dat, every ninth under a hidden name;
+    with `underscores`, every tenth under a name that begins with _."""
+    top = new_dir(spark, "files")
+    kind = F.when(F.col("page_id") % 8 == 0, ".dat").otherwise(".html")
+    mark = F.when(F.lit(underscores) & (F.col("page_id") % 10 == 3), "_").otherwise("")
+    name = F.concat(mark, F.when(F.col("page_id") % 9 == 0, ".").otherwise(""), F.lit("page-"), F.col("page_id").cast("string"), kind)
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = store_of(top)
+        for frame in frames:
+            for folder, own, html in frame.itertuples(index=False):
+                store.create_dir(f"{path}/{folder}", recursive=True)
+                with store.open_output_stream(f"{path}/{folder}/{own}", compression=None) as out:
+                    out.write(html.encode())
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).cast("string").alias("folder"), name.alias("name"), F.coalesce("html", F.lit("")).alias("html"))
+    rows.mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    return top

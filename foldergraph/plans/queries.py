@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldergraph.functions import text as tx
@@ -21,11 +20,12 @@ from foldergraph.operators import listing as li
 from foldergraph.operators import refine as re_
 from foldergraph.operators import similarity as si
 from foldergraph.operators import vectors as ve
-from foldergraph.plans.inputs import FILES_SQL, HEADS_SQL, PAGES_SQL, files_view, pages_view, table
+from foldergraph.plans.inputs import FILES_SQL, HEADS_SQL, PAGES_SQL, files_view, page_files, pages_view, table
 from foldergraph.operators.skew import global_rank
 from foldergraph.plans.suggest import save_suggestions, saved_suggestions, suggest_by_vectors, suggest_folders
 from foldergraph.sources.files import extract_directory, scan_directory
-from foldergraph.sources.shared import cut, new_dir, store_of
+from foldergraph.sources.shared import cut, new_dir
+from foldergraph.sources.snapshots import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -652,38 +652,18 @@ def metadata_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.merge_extracted(files, results, F.expr("TIMESTAMP '2025-01-01 00:00:00'")).select("file_id", "processing_status", "file_metadata")
 
 
-def _page_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of one file for each page, as tasks write them: every eighth as .dat, every ninth under a hidden name."""
-    top = new_dir(spark, "files")
-    kind = F.when(F.col("page_id") % 8 == 0, ".dat").otherwise(".html")
-    name = F.concat(F.when(F.col("page_id") % 9 == 0, ".").otherwise(""), F.lit("page-"), F.col("page_id").cast("string"), kind)
-
-    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, path = store_of(top)
-        for frame in frames:
-            for folder, own, html in frame.itertuples(index=False):
-                store.create_dir(f"{path}/{folder}", recursive=True)
-                with store.open_output_stream(f"{path}/{folder}/{own}", compression=None) as out:
-                    out.write(html.encode())
-            yield pd.DataFrame({"n": [len(frame)]})
-
-    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).cast("string").alias("folder"), name.alias("name"), F.coalesce("html", F.lit("")).alias("html"))
-    rows.mapInPandas(put, "n long").agg(F.sum("n")).collect()
-    return top
-
-
 _PAGE_NAME = "concat(CASE WHEN page_id % 9 = 0 THEN '.' ELSE '' END, 'page-', page_id, CASE WHEN page_id % 8 = 0 THEN '.dat' ELSE '.html' END)"
 
 
-@query(f"SELECT {_PAGE_NAME} AS name, CASE WHEN page_id % 8 = 0 THEN '.dat' ELSE '.html' END AS extension, CASE WHEN page_id % 8 = 0 THEN 'application/octet-stream' ELSE 'text/html' END AS mime_type, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size, CAST(page_id % 7 AS VARCHAR) AS folder, 'active' AS status FROM pages WHERE page_id % 9 <> 0")
+@query(f"SELECT CASE WHEN page_id % 10 = 3 THEN '_' ELSE '' END || {_PAGE_NAME} AS name, CASE WHEN page_id % 8 = 0 THEN '.dat' ELSE '.html' END AS extension, CASE WHEN page_id % 8 = 0 THEN 'application/octet-stream' ELSE 'text/html' END AS mime_type, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size, CAST(page_id % 7 AS VARCHAR) AS folder, 'active' AS status FROM pages WHERE page_id % 9 <> 0 OR page_id % 10 = 3")
 def scan_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_directory(spark, _page_files(spark, sf_dir), 1)
+    found = scan_directory(spark, page_files(spark, sf_dir, True), 1)
     return found.select("name", "extension", "mime_type", "size", tx.base_name(F.col("parent_dir")).alias("folder"), "status")
 
 
 @query(f"SELECT {_PAGE_NAME} AS name, sha256(CASE WHEN page_id % 8 = 0 THEN '' ELSE coalesce(html, '') END) AS content, CAST(NULL AS VARCHAR) AS error FROM pages WHERE page_id % 9 <> 0")
 def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract_directory(spark, _page_files(spark, sf_dir))
+    found = extract_directory(spark, page_files(spark, sf_dir))
     return found.select(tx.base_name(F.col("path")).alias("name"), F.sha2("content", 256).alias("content"), "error")
 
 
@@ -694,6 +674,31 @@ def contents_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file_id", F.sha2("content", 256).alias("content"))
 
 
+# ---- tables kept as versions ----
+
+
+@query(f"WITH {_F} SELECT file_id, CAST(file_id % 16 AS VARCHAR) AS folder, CASE WHEN file_id % 100 = 7 THEN 'queued' ELSE processing_status END AS processing_status, file_id % 16 IN (SELECT file_id % 16 FROM f WHERE file_id % 100 = 7) AS written FROM f")
+def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory after a hundredth of its rows was changed, and whether a row's folder was written for that."""
+    saved, folder = Snapshots(spark, new_dir(spark, "inventory")), F.col("file_id") % 16
+    files = files_view(spark, sf_dir).select("file_id", "path", "processing_status")
+    saved.commit({"files": (files, folder)})
+    edits = files.filter("file_id % 100 = 7").select("file_id", F.lit(None).cast("string").alias("path"), F.lit("queued").alias("processing_status"), F.lit("update").alias("op"), F.lit(1).alias("changed_at"))
+    wrote = saved.update("files", edits, folder, lambda rows, changes: inv.apply_changes(rows, changes, ["file_id"]))
+    name = folder.cast("string")
+    return saved.read("files").select("file_id", name.alias("folder"), "processing_status", name.isin(wrote).alias("written"))
+
+
+@query(f"WITH {_CACHE} SELECT file_id, model, round(first, 6) AS first, model = 'm' AS written FROM old UNION ALL SELECT file_id, 'm', first, true FROM made")
+def embedding_cache_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache kept in a folder for each model; only the folder of the model that computed vectors is written, and only it is read for that."""
+    saved, folder = Snapshots(spark, new_dir(spark, "cache")), F.col("model")
+    saved.commit({"vectors": (_vector_cache(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<float>")), folder)})
+    made = em.all_vectors(files_view(spark, sf_dir), saved.read("vectors", ["m"]), "m", _letters).filter("NOT cached").withColumn("model", F.lit("m"))
+    wrote = saved.update("vectors", made, folder, lambda rows, new: em.put_vectors(rows, new, "m"))
+    return saved.read("vectors").select("file_id", "model", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.col("model").isin(wrote).alias("written"))
+
+
 # ---- suggestions seen and refined: folders of the files stand for suggestions ----
 
 _SUG = f"{_F}, ids AS (SELECT parent_dir, row_number() OVER (ORDER BY parent_dir) AS suggestion_id FROM (SELECT DISTINCT parent_dir FROM f)), mem AS (SELECT suggestion_id, file_id FROM f JOIN ids USING (parent_dir)), sug AS (SELECT suggestion_id, parent_dir AS name, 'd' AS description FROM ids)"

@@ -12,6 +12,7 @@ from foldergraph.operators.keywords import merged_entries, tfidf
 from foldergraph.operators.similarity import folder_coherence, orphan_files, profile_classes, similar_pairs
 from foldergraph.operators.vectors import cluster_cohesion, dbscan
 from foldergraph.sources.shared import cut
+from foldergraph.sources.snapshots import Snapshots, dealt_by
 
 
 def orphaned(files: DataFrame, guards: DataFrame, roots: list[str], least_files: int = MIN_FILES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,12 +53,14 @@ def suggest_by_vectors(vectors: DataFrame, eps: float, min_pts: int = 3) -> Data
 
 def saved_suggestions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(suggestions, members) as save_suggestions() left them."""
-    return spark.read.parquet(f"{folder}/suggestions"), spark.read.parquet(f"{folder}/suggestion_files")
+    saved = Snapshots(spark, folder)
+    return saved.read("suggestions"), saved.read("suggestion_files")
 
 
 def save_suggestions(suggestions: DataFrame, members: DataFrame, folder: str, min_files: int = MIN_FILES) -> None:
     """Replace the saved suggestions(cluster_id, n_files, ...) and their members(cluster_id, file_id) by those of at least min_files files;
-    a file that is in a suggestion more than once is saved once."""
-    keep = suggestions.filter(F.col("n_files") >= min_files)
-    keep.write.mode("overwrite").parquet(f"{folder}/suggestions")
-    members.join(keep.select("cluster_id"), "cluster_id", "left_semi").dropDuplicates(["cluster_id", "file_id"]).write.mode("overwrite").parquet(f"{folder}/suggestion_files")
+    a file that is in a suggestion more than once is saved once. Both are replaced at once: a run that stops before its end leaves
+    what was saved before."""
+    keep = cut(suggestions.filter(F.col("n_files") >= min_files), "keep")
+    own = members.join(keep.select("cluster_id"), "cluster_id", "left_semi").dropDuplicates(["cluster_id", "file_id"])
+    Snapshots(keep.sparkSession, folder).commit({"suggestions": (keep, dealt_by("cluster_id")), "suggestion_files": (own, dealt_by("cluster_id"))})

@@ -2,28 +2,74 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldergraph.functions.text import base_name, file_extension, mime_type, parent_path
 from foldergraph.functions.values import MAX_FILE_BYTES, MAX_TEXT_BYTES, TEXT_EXTENSIONS
+from foldergraph.sources.shared import cut, slices, store_of
 
 
-def scan_directory(spark: SparkSession, directory: str, watched_dir_id: int) -> DataFrame:
-    """The inventory of a directory, contents not read. Names below it that begin with . are left out, as are, by Spark's reader, those with _."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+LISTED = "path string, folder boolean, size long, micros long"
+
+
+def list_files(spark: SparkSession, directory: str) -> DataFrame:
+    """path, size, modified_at of all files below a directory; names that begin with . are left out, with what is below them.
+
+    A level of folders is listed at a time, each folder by the task that it was dealt to, and written before the next; so the driver
+    lists nothing, and a lost executor costs a level. A folder that can't be listed has no files. One folder's names are held by a task.
+    """
+    store, top = store_of(directory)
+    scheme = directory.partition("://")[0] + "://" if "://" in directory else ""
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, _ = store_of(directory)
+        for frame in frames:
+            for folder in frame["path"]:
+                try:
+                    found = own.get_file_info(pafs.FileSelector(folder))
+                except OSError:
+                    continue
+                rows = [(x.path, x.type == pafs.FileType.Directory, x.size or 0, (x.mtime_ns or 0) // 1000) for x in found if not x.base_name.startswith(".")]
+                yield pd.DataFrame(rows, columns=["path", "folder", "size", "micros"])
+
+    level, files = spark.createDataFrame([(top.rstrip("/") or "/",)], "path string"), []
+    while True:
+        rows = cut(level.repartition(slices(spark), "path").mapInPandas(listed, LISTED), "listed")
+        files.append(rows.filter("NOT folder"))
+        level = rows.filter("folder").select("path")
+        if level.isEmpty():
+            break
+    path = F.col("path") if scheme in ("", "file://") else F.concat(F.lit(scheme), "path")
+    return functools.reduce(DataFrame.unionByName, files).select(path.alias("path"), "size", F.timestamp_micros("micros").alias("modified_at"))
+
+
+def scan_directory(spark: SparkSession, directory: str, watched_dir_id: int, since: datetime | None = None) -> DataFrame:
+    """The inventory of a directory, contents not read; with `since`, of the files modified after it only.
+
+    Names below the directory that begin with . are left out. A store that only Spark can list is listed by its reader, on the driver,
+    which also leaves out names that begin with _.
+    """
     root = re.sub("^file:/*", "/", directory).rstrip("/")
-    path = F.regexp_replace("path", "^file:/*", "/")
-    rows = found.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
-    rows = rows.filter(~F.substring_index("path", root, -1).rlike(r"/\."))
+    try:
+        found = list_files(spark, directory)
+    except (pa.ArrowInvalid, NotImplementedError):
+        binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+        found = binary.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+        found = found.filter(~F.substring_index("path", root, -1).rlike(r"/\."))
+    rows = found if since is None else found.filter(F.col("modified_at") > F.lit(since))
     name = base_name(F.col("path"))
     return rows.select("path", name.alias("name"), file_extension(name).alias("extension"), mime_type(file_extension(name)).alias("mime_type"), "size", parent_path(F.col("path")).alias("parent_dir"), F.lit(watched_dir_id).cast("long").alias("watched_dir_id"), F.lit("active").alias("status"), "modified_at")
 
