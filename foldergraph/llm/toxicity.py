@@ -23,8 +23,8 @@ SAMPLE = 8192
 #: Rows that one task goes through in order; of several tasks the changes are averaged after each pass.
 SHARD_ROWS = 4096
 PASSES = 12
-#: A feature is in at least so many of the sample's rows; the most frequent ones are taken where there are more than MOST of them.
-LEAST, MOST = 3, 1 << 20
+#: A feature is in at least LEAST of the sample's rows, and in so many more that there are at most MOST features.
+LEAST, MOST = 3, 1 << 18
 #: Rates are ALPHA / (BETA + the root of the coordinate's squared gradients so far).
 ALPHA, BETA = 3.0, 1.0
 #: Pairs of words this far apart are features: 1 is a bigram, more a skip-gram.
@@ -93,7 +93,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def frequent(examples: DataFrame, least: int = LEAST, most: int = MOST) -> np.ndarray:
-    """Features of at least `least` examples, ascending; the most frequent ones (ties to the smaller) where there are more than `most`."""
+    """Features of at least `least` examples, ascending; of so many more that there are at most `most` of them."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -101,8 +101,20 @@ def frequent(examples: DataFrame, least: int = LEAST, most: int = MOST) -> np.nd
                 own, n = np.unique(np.frombuffer(b"".join(frame["features"].iloc[at : at + 256]), "<u4"), return_counts=True)
                 yield pd.DataFrame({"f": own.astype(np.int64), "n": n})
 
-    rows = cut(examples.select("features").mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent")
-    return np.sort(rows.orderBy(F.desc("n"), "f").limit(most).select("f").toPandas()["f"].to_numpy(np.uint32))
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"data": [frame["f"].to_numpy(np.uint32).tobytes()]})
+
+    counted = examples.select("features").mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    counted = cut(counted.filter(F.col("n") >= least), "frequent")
+    total = 0
+    for n, k in sorted(map(tuple, counted.groupBy("n").agg(F.count("*")).collect()), reverse=True):  # a row for each count, SAMPLE at most
+        total += k
+        if total > most:
+            least = n + 1
+            break
+    data = counted.filter(F.col("n") >= least).select("f").mapInPandas(pack, "data binary").collect()  # four bytes a feature, MOST at most
+    return np.sort(np.frombuffer(b"".join(r["data"] for r in data), np.uint32))
 
 
 def shards_of(examples: DataFrame, features: np.ndarray, shards: int) -> DataFrame:

@@ -251,7 +251,7 @@ def test_toxicity_learns_nothing_from_held_out_rows(spark):
 def test_frequent_features_and_sample(spark):
     rows = [np.array(x, "<u4").tobytes() for x in ([1, 2, 3], [2, 3], [3, 4_000_000_000], [4_000_000_000, 2], [4_000_000_000])]
     frame = spark.createDataFrame([(k, 0, bytearray(x)) for k, x in enumerate(rows)], "at long, y int, features binary")
-    assert toxicity.frequent(frame, 2).tolist() == [2, 3, 4_000_000_000] and toxicity.frequent(frame, 2, 2).tolist() == [2, 3]
+    assert toxicity.frequent(frame, 2).tolist() == [2, 3, 4_000_000_000] and toxicity.frequent(frame, 1, 3).tolist() == [2, 3, 4_000_000_000] and toxicity.frequent(frame, 2, 2).tolist() == []
     docs = spark.createDataFrame([(k, f"w{k}", 0, 0, "x", 0, 0) for k in range(300)], LABELLED)
     labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
     assert toxicity.sample(docs, labels, 20).count() == 20
