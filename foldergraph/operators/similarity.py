@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.functions.values import COHERENT, MIN_FILES, MIN_SIMILARITY
+from foldergraph.operators.components import connected_components
 from foldergraph.operators.skew import group_totals, lookup, salt
 from foldergraph.sources.shared import cut
 
+#: Profiles of a term that are joined with as many others under one key; profiles that a product compares with as many others.
+POSTING, PRODUCT = 2048, 512
+
 
 def unit_terms(keywords: DataFrame) -> DataFrame:
     """file_id, term, u: scores that aren't 0, divided by the length of the file's profile."""
@@ -24,13 +32,20 @@ def profile_classes(keywords: DataFrame) -> DataFrame:
     return group_totals(rows, ["profile"], "_salt", class_id=("min", "file_id"), class_size=("count", "*")).drop("_salt")
 
 
-def similar_pairs(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """id1, id2, sim, n1, n2: pairs of classes with cosine of at least `least`; files of one class are alike and need no pair.
+class _Profiles(NamedTuple):
+    """Classes' profiles made ready for matching at a threshold, all of them written once.
 
-    Two profiles this close share a term so rare in the common order of terms that in both of them the terms from there on hold at
-    least `least` of the length: only such terms of a profile are matched. What the matched terms add to the cosine, and what the terms
-    behind the last of them can add at most, drops most pairs; the others are measured.
+    rare(file_id, term, u, after, tail, df): the terms of a profile that are matched. Two profiles with a cosine of at least the threshold
+    share a term so rare in the common order of terms that in both of them the terms from there on hold at least as much of the
+    length. after: what the terms behind a term hold; tail: what those hold that are not matched. units(file_id, m, class_size): all terms.
     """
+
+    rare: DataFrame
+    units: DataFrame
+    least: float
+
+
+def _profiles(classes: DataFrame, least: float) -> _Profiles:
     spark = classes.sparkSession
     heads = cut(classes.filter("file_id = class_id").select("file_id", "class_size", "profile"), "heads")
     units = unit_terms(heads.select("file_id", F.explode("profile").alias("p")).select("file_id", "p.term", "p.score"))
@@ -39,20 +54,92 @@ def similar_pairs(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFram
     rest = F.sqrt(F.sum(F.col("u") * F.col("u")).over(own.rowsBetween(0, Window.unboundedFollowing)))
     after = F.sqrt(F.coalesce(F.sum(F.col("u") * F.col("u")).over(own.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
     units = units.withColumns({"rest": rest, "after": after})
-    # tail: what the terms hold that are not matched
     tail = F.coalesce(F.max(F.when(F.col("rest") < least - 1e-9, F.col("rest"))).over(Window.partitionBy("file_id")), F.lit(0.0))
-    rare = cut(units.withColumn("tail", tail).filter(F.col("rest") >= least - 1e-9).select("file_id", "term", "u", "after", "tail"), "rare")
-    side = lambda k: rare.select("term", *[F.col(c).alias(f"{c}{k}") for c in ("file_id", "u", "after", "tail")])
-    met = side(1).join(side(2), "term").filter("file_id1 < file_id2").groupBy(F.col("file_id1").alias("id1"), F.col("file_id2").alias("id2"))
+    rare = cut(units.withColumn("tail", tail).filter(F.col("rest") >= least - 1e-9).select("file_id", "term", "u", "after", "tail", "df"), "rare")
+    unit = units.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m")).join(heads.select("file_id", "class_size"), "file_id")
+    return _Profiles(rare, cut(unit, "units"), least)
+
+
+def _met(rare: DataFrame, least: float, apart: str | None = None) -> DataFrame:
+    """id1, id2 of profiles that share a rare term and may reach the threshold; with `apart`, only of those that differ in that column.
+
+    What the matched terms add to the cosine, and what the terms behind the last of them can add at most, drops most pairs. A term of
+    many profiles is dealt to blocks of about POSTING of them, and each pair of blocks is a key of its own.
+    """
+    blocks = F.ceil(F.col("df") / POSTING).cast("int")
+    dealt = rare.withColumn("own", F.pmod(F.xxhash64("file_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")})
+    columns = ["file_id", "u", "after", "tail", "own", *([apart] if apart else [])]
+    side = lambda k: dealt.select("term", "b1", "b2", *[F.col(c).alias(f"{c}{k}") for c in columns])
+    met = side(1).join(side(2), ["term", "b1", "b2"]).filter("file_id1 < file_id2 AND least(own1, own2) = b1 AND greatest(own1, own2) = b2")
+    if apart:
+        met = met.filter(f"{apart}1 <> {apart}2")
+    met = met.groupBy(F.col("file_id1").alias("id1"), F.col("file_id2").alias("id2"))
     met = met.agg(F.sum(F.col("u1") * F.col("u2")).alias("have"), F.min("after1").alias("a1"), F.min("after2").alias("a2"), F.first("tail1").alias("t1"), F.first("tail2").alias("t2"))
     more = F.least(F.col("a1") * F.col("a2"), F.greatest(F.col("t1") * F.col("a2"), F.col("a1") * F.col("t2")))
-    pairs = met.filter(F.col("have") + more >= least - 1e-9).select("id1", "id2")
-    unit = units.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m")).join(heads.select("file_id", "class_size"), "file_id")
-    unit = cut(unit, "units")
-    side = lambda k: unit.select(F.col("file_id").alias(f"id{k}"), F.col("m").alias(f"m{k}"), F.col("class_size").alias(f"n{k}"))
-    measured = pairs.join(side(1), "id1").join(side(2), "id2")
+    return met.filter(F.col("have") + more >= least - 1e-9).select("id1", "id2")
+
+
+def _measured(pairs: DataFrame, profiles: _Profiles) -> DataFrame:
+    """id1, id2, sim, n1, n2 of the pairs that reach the threshold."""
+    side = lambda k: profiles.units.select(F.col("file_id").alias(f"id{k}"), F.col("m").alias(f"m{k}"), F.col("class_size").alias(f"n{k}"))
+    rows = pairs.join(side(1), "id1").join(side(2), "id2")
     dot = F.aggregate(F.map_entries("m1"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(F.col("m2"), e["key"]), F.lit(0.0)))
-    return measured.select("id1", "id2", dot.alias("sim"), "n1", "n2").filter(F.round("sim", 9) >= least)
+    return rows.select("id1", "id2", dot.alias("sim"), "n1", "n2").filter(F.round("sim", 9) >= profiles.least)
+
+
+def similar_pairs(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """id1, id2, sim, n1, n2: pairs of classes with cosine of at least `least`; files of one class are alike and need no pair."""
+    profiles = _profiles(classes, least)
+    return _measured(_met(profiles.rare, least), profiles)
+
+
+def similar_links(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """Some of similar_pairs(), as many as connect all that they connect.
+
+    First each profile is measured with the first profile of each of its rare terms only, which is enough for most groups of near
+    copies, whatever their size. Then only profiles of different components are matched, in the terms that more than one component has.
+    """
+    profiles, spark = _profiles(classes, least), classes.sparkSession
+    salted = profiles.rare.withColumn("_salt", salt(spark, "file_id"))
+    led = group_totals(salted, ["term"], "_salt", leader=("min", "file_id")).filter("file_id <> leader")
+    first = cut(_measured(led.select(F.col("leader").alias("id1"), F.col("file_id").alias("id2")).distinct(), profiles), "links")
+    roots = connected_components(first.select(F.col("id1").alias("src"), F.col("id2").alias("dst")))
+    placed = salted.join(roots.withColumnRenamed("id", "file_id"), "file_id", "left").withColumn("component", F.coalesce("component", "file_id"))
+    mixed = group_totals(placed, ["term"], "_salt", low=("min", "component"), high=("max", "component")).filter("low <> high").drop("low", "high", "_salt")
+    return first.unionByName(_measured(_met(cut(mixed, "mixed"), least, "component"), profiles))
+
+
+def profile_sums(classes: DataFrame, clusters: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """cluster_id, total, k: over the pairs of files of different classes of a cluster whose cosine is at least `least`, the sum of the
+    cosines and their number.
+
+    The pairs are not made: a cluster's profiles are cut to blocks, and each pair of blocks is a product that sends two numbers.
+    """
+    heads = classes.filter("file_id = class_id").select("class_id", F.filter("profile", lambda p: p["score"] != 0).alias("profile"))
+    sizes = clusters.groupBy("cluster_id").agg(F.ceil(F.count("*") / PRODUCT).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
+    rows = clusters.select("class_id", "class_size", "cluster_id").withColumn("_salt", salt(classes.sparkSession, "class_id"))
+    rows = lookup(rows, sizes.select("cluster_id", "blocks"), ["cluster_id"], "_salt").join(heads, "class_id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster_id", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", F.col("class_size").alias("n"), F.col("profile.term").alias("term"), F.col("profile.score").alias("score"))
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        b1, b2 = frame["b1"].iloc[0], frame["b2"].iloc[0]
+        size = frame["term"].map(len).to_numpy()
+        names, number = pd.factorize(np.concatenate(frame["term"].to_numpy()))[::-1]
+        matrix = np.zeros((len(frame), len(names)))
+        matrix[np.repeat(np.arange(len(frame)), size), number] = np.concatenate(frame["score"].to_numpy())
+        matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
+        first, second = (frame["own"] == b1).to_numpy(), (frame["own"] == b2).to_numpy()
+        n = frame["n"].to_numpy(np.float64)
+        sim = matrix[first] @ matrix[second].T
+        times = n[first][:, None] * n[second][None, :] * (np.round(sim, 9) >= least)
+        if b1 == b2:
+            times = np.triu(times, 1)
+        return pd.DataFrame({"cluster_id": frame["cluster_id"].head(1), "total": (times * sim).sum(), "k": times.sum()})
+
+    sums = rows.groupBy("cluster_id", "b1", "b2").applyInPandas(add, "cluster_id long, total double, k double")
+    return sums.groupBy("cluster_id").agg(F.sum("total").alias("total"), F.sum("k").alias("k"))
 
 
 def file_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:

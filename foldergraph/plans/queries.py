@@ -353,14 +353,14 @@ _CLUSTERS = f"{_PAIRS}, nodes AS (SELECT file_id AS id FROM h), {_components('e4
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT q.file_id, cluster_id, CAST(n_files AS BIGINT) AS n_files FROM sized JOIN q USING (class_id) WHERE n_files >= 3")
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = _content_classes(spark, sf_dir)
-    found = cl.class_clusters(classes, si.similar_pairs(classes))
+    found = cl.class_clusters(classes, si.similar_links(classes))
     return classes.select("file_id", "class_id").join(found.select("class_id", "cluster_id", "n_files"), "class_id").select("file_id", "cluster_id", "n_files")
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT CAST(n_files AS BIGINT) AS n_files, count(DISTINCT cluster_id) AS n_components FROM sized GROUP BY 1")
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = _content_classes(spark, sf_dir)
-    found = cl.class_clusters(classes, si.similar_pairs(classes), 1).select("cluster_id", "n_files").distinct()
+    found = cl.class_clusters(classes, si.similar_links(classes), 1).select("cluster_id", "n_files").distinct()
     return found.groupBy("n_files").agg(F.count("*").alias("n_components"))
 
 
@@ -372,8 +372,7 @@ last AS (SELECT * FROM sized WHERE n_files BETWEEN 3 AND 50 UNION ALL SELECT * F
 @query(f"WITH RECURSIVE {_SUB} SELECT q.file_id, class_id, cluster_id, CAST(n_files AS BIGINT) AS n_files FROM last JOIN q USING (class_id)")
 def subclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = _content_classes(spark, sf_dir)
-    pairs = cut(si.similar_pairs(classes), "pairs")
-    found = cl.subclusters(classes, pairs, cl.class_clusters(classes, pairs)).select("class_id", "cluster_id", "n_files")
+    found = cl.subclusters(classes, cut(cl.class_clusters(classes, si.similar_links(classes)), "clusters")).select("class_id", "cluster_id", "n_files")
     return classes.select("file_id", "class_id").join(found, "class_id").select("file_id", "class_id", "cluster_id", "n_files")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldergraph.functions.values import MAX_FILES, MIN_FILES, MIN_SIMILARITY
+from foldergraph.functions.values import MAX_FILES, MIN_FILES, MIN_SIMILARITY, SUB_STEP
 from foldergraph.operators import clusters as cl
 from foldergraph.operators.folders import under_guard
 from foldergraph.operators.keywords import merged_entries, tfidf
-from foldergraph.operators.similarity import folder_coherence, orphan_files, profile_classes, similar_pairs
+from foldergraph.operators.similarity import folder_coherence, orphan_files, profile_classes, profile_sums, similar_links
 from foldergraph.operators.vectors import cluster_cohesion, dbscan
 from foldergraph.sources.shared import cut
 from foldergraph.sources.snapshots import Snapshots, dealt_by
@@ -33,13 +33,12 @@ def suggest_folders(files: DataFrame, guards: DataFrame, roots: list[str], min_s
     """rank, cluster_id, name, terms, preview, n_files, score of suggested folders over active files(file_id, name, extension, parent_dir, content)."""
     orphans, keywords, entries = orphaned(files, guards, roots, min_files)
     classes = cut(profile_classes(keywords.join(orphans.select("file_id"), "file_id", "left_semi")), "classes")
-    pairs = cut(similar_pairs(classes, min_similarity), "pairs")
-    found = cl.class_clusters(classes, pairs, min_files)
-    found = cut(cl.subclusters(classes, pairs, found, max_files, min_similarity + 0.15, min_files), "clusters")
-    members = cut(classes.select("file_id", "class_id").join(found.select("class_id", "cluster_id"), "class_id").select("cluster_id", "file_id"), "members")
+    found = cut(cl.class_clusters(classes, similar_links(classes, min_similarity), min_files), "clusters")
+    found = cut(cl.subclusters(classes, found, max_files, min_similarity + SUB_STEP, min_files), "clusters")
+    members = classes.select("file_id", "class_id").join(found.select("class_id", "cluster_id"), "class_id").select("cluster_id", "file_id")
     names = tfidf(entries.join(orphans.select("file_id"), "file_id", "left_semi"), orphans)
     sizes = found.select("cluster_id", "n_files").distinct()
-    out = sizes.join(cl.cluster_scores(found, pairs), "cluster_id").join(cl.cluster_terms(members, names), "cluster_id", "left").join(cl.cluster_preview(members, orphans), "cluster_id", "left")
+    out = sizes.join(cl.cluster_scores(found, profile_sums(classes, found, min_similarity)), "cluster_id").join(cl.cluster_terms(members, names), "cluster_id", "left").join(cl.cluster_preview(members, orphans), "cluster_id", "left")
     out = out.select("cluster_id", F.coalesce("name", F.lit("group")).alias("name"), F.coalesce("terms", F.lit("")).alias("terms"), "preview", "n_files", F.round("score", 6).alias("score"))
     return cl.ranked(out)
 

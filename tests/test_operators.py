@@ -30,9 +30,12 @@ def test_vectors(spark):
     assert out[0].n == pytest.approx([0.6, 0.8])
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("task_edges", [1 << 22, 3])
+def test_components_against_union_find(spark, monkeypatch, task_edges):
+    monkeypatch.setattr("foldergraph.operators.components.TASK_EDGES", task_edges)
     rnd = random.Random(1)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + k, 100 + k + 1) for k in range(30)]
+    rnd.shuffle(edges)
     root = {x: x for e in edges for x in e}
 
     def find(x):
@@ -44,7 +47,8 @@ def test_components_against_union_find(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     linked = {x for a, b in edges if a != b for x in (a, b)}
-    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    rows = spark.createDataFrame([*edges, (None, 3), (4, None), *edges[:5]], "src long, dst long").repartition(5)
+    got = dict(map(tuple, connected_components(rows).collect()))
     assert got == {x: find(x) for x in linked}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
@@ -76,7 +80,7 @@ def test_cluster_score_and_names(spark):
     pairs = spark.createDataFrame([(1, 2, 0.8, 1, 1), (2, 3, 0.6, 1, 1)], "id1 long, id2 long, sim double, n1 long, n2 long")
     found = clusters.class_clusters(classes, pairs)
     assert {(r.class_id, r.cluster_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 1)}
-    assert clusters.cluster_scores(found, pairs).head().score == pytest.approx(0.7)
+    assert clusters.cluster_scores(found, clusters.pair_sums(found, pairs)).head().score == pytest.approx(0.7)
     members = spark.createDataFrame([(1, 1), (1, 2)], "cluster_id long, file_id long")
     words = spark.createDataFrame([(1, "report", 5.0), (1, "financial", 1.0), (2, "report", 3.0), (2, "budget", 2.0)], "file_id long, term string, score double")
     out = clusters.cluster_terms(members, words).head()
