@@ -1,12 +1,10 @@
-"""Helpers that the operators share: row keys, null-safe joins, global ranks."""
+"""Helpers that the operators share: row keys, null-safe joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldergraph.sources.shared import cut, slices
-
 #: White space of the contracts: space and \x09-\x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,16 +22,3 @@ def same_row(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
     other = b.select(*[F.col(k).alias(f"_b_{k}") if k in keys else F.col(k) for k in b.columns])
     on = [a[k].eqNullSafe(other[f"_b_{k}"]) for k in keys]
     return a.join(other, on, how).drop(*[f"_b_{k}" for k in keys])
-
-
-def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """Number all rows from 0 in the given order: a range sort, then an offset for each range.
-
-    The numbered rows are written once, so that both readers see the same ranges.
-    """
-    spark = df.sparkSession
-    placed = df.repartitionByRange(slices(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = cut(placed.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
-    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
-    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.llm.common import NO_ID, WORD, text_key
+from foldergraph.operators.skew import rank_in_key
 from foldergraph.sources.shared import cut, slices
 
 #: Weights by a source's place in code-point order, repeating.
@@ -80,14 +81,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns; documents that it doesn't take are left out.
+    """The rows of docs(doc_id, text, source) as often as the mix takes them, with all their columns; documents that it doesn't take are left out.
 
-    Of repeated rows each stands for one row of the mix.
+    Of rows that repeat doc_id, text and source each stands for one row of the mix; where some of them are taken once more than the others,
+    it is those that are first in order of all their columns as JSON. Null doc_ids are told apart by their texts, a null text counts as
+    empty (and is taken with the epochs only), a null source is one of its own. Other columns may have any names; an empty table stays
+    empty.
     """
     keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("text_key"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source")]
     names = ["_doc", "text_key", "_source"]
-    times = mix(docs, **options).select(*keys, "times").groupBy(*names).agg(F.min("times").alias("least"), (F.sum("times") - F.min("times") * F.count("*")).alias("more")).filter("least + more > 0")  # they differ by one at most
+    times = mix(docs, **options).select(*keys, "times").groupBy(*names).agg(F.min("times").alias("least"), (F.sum("times") - F.min("times") * F.count("*")).alias("more"), F.count("*").alias("rows"))  # they differ by one at most
+    times = cut(times.filter("least + more > 0"), "times")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key().alias("text_key"), "source").select("row", *keys)
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))).join(times, names)
-    own = rows.withColumn("times", F.col("least") + (F.col("_n") <= F.col("more")).cast("long")).filter("times > 0")
+    alike = rows.join(times.withColumn("least", F.when((F.col("rows") == 1) | (F.col("more") == 0), F.col("least") + F.col("more")).otherwise(F.col("least"))), names)
+    own = alike.filter("least > 0").select("row", F.col("least").alias("times"))
+    # a place is needed only where repeated rows are not all taken equally often
+    uneven = times.filter("rows > 1 AND more > 0").select(*names, "more")
+    if not uneven.isEmpty():
+        placed = rank_in_key(rows.join(uneven, names).withColumn("_json", F.to_json("row")), names, ["_json"], "_n")
+        own = own.unionByName(placed.filter("_n < more").select("row", F.lit(1).cast("long").alias("times")))
     return own.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")

@@ -317,6 +317,8 @@ ENCODED = "doc_id string, text_key long, ids binary, nbest array<struct<score: d
 def encode(docs: DataFrame, path: str = MODEL, nbest: int = NBEST) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, text_key, ids (16 bits each), nbest, round_trip.
 
+    The scores are not the model's own, which are places in the order of its merges: a piece has the log probability of its place by
+    Zipf's law (see SHIFT), so ids are not always those that the library gives for this model; they decode to the same text.
     ids: the segmentation with the highest sum of piece scores, a space put before the text; characters without a piece become
     their bytes. nbest: up to so many best segmentations of the whole text, the best first, as edits of ids. round_trip: decoding
     gives the text back. Null counts as empty, which is a single space; repeated rows are encoded again; other columns are not carried.

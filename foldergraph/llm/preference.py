@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldergraph.llm.common import global_rank
-from foldergraph.operators.skew import lookup, salt
+from foldergraph.operators.skew import global_rank, lookup, salt
 from foldergraph.sources.shared import cut
 
 

@@ -8,6 +8,7 @@ before another word and after how many different ones.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,8 +157,8 @@ def split_pair(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 ANSWER, TABLE, TIMES = 0, 1, 2
 
 
-def counted_pairs(parts: DataFrame, buckets: int) -> DataFrame:
-    """kind, lang, g, k, data from chunks: ANSWER, how often other chunks have the pairs that chunk g sent to bucket k; TABLE, what a bucket adds to the
+def counted_pairs(parts: DataFrame, buckets: int, low: int = 0, high: int | None = None) -> DataFrame:
+    """Of the buckets from low to high: kind, lang, g, k, data from chunks: ANSWER, how often other chunks have the pairs that chunk g sent to bucket k; TABLE, what a bucket adds to the
     tables of the classes from k * RANGE on; TIMES, how many pairs occur once, twice, three and four times in a bucket."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +166,7 @@ def counted_pairs(parts: DataFrame, buckets: int) -> DataFrame:
             for g, lang, n, classes, words in frame[["g", "lang", "n", "classes", "words"]].itertuples(index=False):
                 mixed, times = np.unique(chunk_pairs(np.asarray(n, np.int64), classes, words), return_counts=True)
                 at = bucket_bounds(mixed, buckets)
-                out = [(lang, k, g, packed(np.diff(mixed[a:b].astype(np.int64), prepend=0)), packed(times[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
+                out = [(lang, k, g, packed(np.diff(mixed[a:b].astype(np.int64), prepend=0)), packed(times[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b and low <= k < (buckets if high is None else high)]
                 yield pd.DataFrame(out, columns=["lang", "k", "g", "pairs", "times"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -284,7 +285,9 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = cut(chunks(docs), "chunks")
     total, many = parts.agg(F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.count("*")).head()
-    found = cut(counted_pairs(parts, max(1, -(-total // BUCKET_WORDS))), "pairs")
+    buckets = max(1, -(-total // BUCKET_WORDS))
+    middle = buckets // 2  # half of the buckets at a time, so that half of the pairs are shuffled at once
+    found = functools.reduce(DataFrame.unionByName, [cut(counted_pairs(parts, buckets, a, b), "pairs") for a, b in ((0, middle), (middle, buckets)) if a < b])
     path, answers = new_dir(spark, "tables"), new_dir(spark, "answers")
     write(summed_tables(found.filter(F.col("kind") == TABLE)), path)
     # a chunk finds its answers in the folder of its part, so that chunks needn't be shuffled
@@ -351,7 +354,11 @@ def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -
 
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the quality rules keep, with all their columns."""
+    """The rows of docs(doc_id, text, lang) that the quality rules keep, with all their columns, whatever their names are.
+
+    Null and empty texts have fewer words than the rules ask for and go; null doc_ids are told apart by their texts, a null lang is one
+    of its own; rows that repeat doc_id, text and lang stay or go together; an empty table stays empty.
+    """
     kept = quality_rules(docs, **options).filter("kept").select("doc_id", "text_key", "lang").distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key().alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"))
     return same_row(keyed, kept, ["doc_id", "text_key", "lang"], "left_semi").select("row.*")

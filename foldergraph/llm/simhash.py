@@ -371,5 +371,10 @@ def simhash_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MOST_
 
 
 def near_dedup(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
-    """The same for components of near_groups: links by fingerprints that an exact check of the shingles' similarity confirms."""
+    """The rows of docs(doc_id, text) that stay, with all their columns: of each component of near_groups() the row of the smallest doc_id.
+
+    Texts without words, null among them, are one group; texts of fewer words than a shingle have their whole sequence for one. A
+    component without any doc_id keeps all its rows, rows that repeat the doc_id and text that stays stay with it; other columns may
+    have any names; an empty table stays empty.
+    """
     return _first_of_each(docs, near_groups(docs, words))

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from foldergraph.llm import periodic, toxicity, vector_codes
+from foldergraph.llm.mixing import mix, mixed_documents
 from foldergraph.llm.periodic import periodic_runs, runs_of, with_echo
 from foldergraph.llm.queries import op12_periodic_runs
 
@@ -255,3 +256,21 @@ def test_frequent_features_and_sample(spark):
     docs = spark.createDataFrame([(k, f"w{k}", 0, 0, "x", 0, 0) for k in range(300)], LABELLED)
     labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
     assert toxicity.sample(docs, labels, 20).count() == 20
+
+
+def test_repeated_rows_of_a_mix(spark):
+    """Rows alike in doc_id, text and source but not in the rest: which are taken doesn't depend on how the table is split."""
+    rows = [(7, "a b c", "s", k) for k in range(9)] + [(k, f"w{k} " * 3, "s" if k % 2 else "t", 0) for k in range(20, 60)] + [(None, None, None, 1), (None, "", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    taken = [sorted(map(repr, mixed_documents(docs.repartition(k)).collect())) for k in (1, 5)]
+    assert taken[0] == taken[1] and mixed_documents(docs).columns == docs.columns
+    want = {(r.doc_id, r.source): 0 for r in mix(docs).collect()}
+    for r in mix(docs).collect():
+        want[r.doc_id, r.source] += r.times
+    got = dict.fromkeys(want, 0)
+    for r in mixed_documents(docs).collect():
+        got[r.doc_id, r.source] += 1
+    assert got == want
+    own = [r.row for r in mixed_documents(docs).collect() if r.doc_id == 7]
+    assert len(own) > 0 and max(own.count(k) for k in range(9)) - min(own.count(k) for k in range(9)) <= 1
+    assert mixed_documents(docs.limit(0)).count() == 0
