@@ -39,21 +39,23 @@ def hashed_vector(texts: list[str], size: int = 64) -> list[list[float]]:
 
 def embed_batches(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]] = hashed_vector, batch: int = BATCH) -> DataFrame:
     """file_id, embedding, error of texts(file_id, text), `batch` a call. A call that fails, or returns another number, leaves its files with
-    a null embedding and says why."""
+    a null embedding and says why. Rows of one id are embedded each, a null text counts as an empty one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
                 try:
-                    vectors, error = embed(part["text"].tolist()), None
+                    vectors, error = embed([t or "" for t in part["text"]]), None
                     if len(vectors) != len(part):
                         error = f"{len(vectors)} vectors for {len(part)} texts"
                 except Exception as e:  # noqa: BLE001  an injected function may raise anything; its files get the message
                     error = str(e)[:500] or type(e).__name__
-                yield pd.DataFrame({"file_id": part["file_id"].to_numpy(), "embedding": [None] * len(part) if error else vectors, "error": error})
+                yield pd.DataFrame({"file_id": part["file_id"], "embedding": [None] * len(part) if error else list(vectors), "error": error})
 
-    return texts.mapInPandas(run, "file_id long, embedding array<float>, error string")
+    # ids as strings: pandas would make floats of longs beside nulls
+    rows = texts.select(F.col("file_id").cast("string").alias("file_id"), "text").mapInPandas(run, "file_id string, embedding array<float>, error string")
+    return rows.withColumn("file_id", F.col("file_id").cast("long"))
 
 
 def put_vectors(cache: DataFrame, vectors: DataFrame, model: str) -> DataFrame:

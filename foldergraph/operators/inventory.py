@@ -21,8 +21,11 @@ def upsert_scan(files: DataFrame, scan: DataFrame, as_of: Column) -> DataFrame:
 
     New paths get ids after the largest and wait for processing; a changed modification time makes a file stale and clears its error
     and indexing time; an unchanged file that wasn't active is active again; indexed_at is set once. Files not scanned stay as they are.
+    Of a path that the scan has twice the newest row counts (of equally new ones the one that a hash decides); rows without a path are left out.
     """
-    old, new = files.alias("o"), scan.alias("s")
+    newest = F.struct("modified_at", F.xxhash64(*SCANNED))
+    once = scan.filter("path IS NOT NULL").groupBy("path").agg(F.max_by(F.struct(*SCANNED, "modified_at"), newest).alias("row")).select("path", "row.*")
+    old, new = files.alias("o"), once.alias("s")
     both = old.join(new, F.col("o.path") == F.col("s.path"), "full")
     seen, known = F.col("s.path").isNotNull(), F.col("o.path").isNotNull()
     changed = seen & known & ~F.col("s.modified_at").eqNullSafe(F.col("o.modified_at"))
@@ -37,6 +40,7 @@ def upsert_scan(files: DataFrame, scan: DataFrame, as_of: Column) -> DataFrame:
         F.when(~changed & known, F.col("o.content_indexed_at")).alias("content_indexed_at"),
         F.when(~changed & known, F.col("o.processing_error")).alias("processing_error"),
     )
+    rows = cut(rows, "scanned")
     fresh = rows.filter("file_id IS NULL")
     largest = files.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("largest"))  # one row
     fresh = global_rank(fresh, ["path"], "_rank").crossJoin(F.broadcast(largest))

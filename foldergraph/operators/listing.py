@@ -98,3 +98,10 @@ def file_detail(files: DataFrame, comments: DataFrame, contents: DataFrame) -> D
     said = comments.select("file_id", F.col("content").alias("comment"))
     text = contents.select("file_id", F.nullif(F.col("content"), F.lit("")).alias("content"))
     return files.drop("content").join(said, "file_id", "left").join(text, "file_id", "left")
+
+
+def fetch_contents(keys: DataFrame, contents: DataFrame) -> DataFrame:
+    """file_id, content of every key(file_id): an empty text where contents has no row or a null one. Repeated keys give a row each, of
+    several contents of a file the greatest counts."""
+    one = contents.groupBy("file_id").agg(F.max("content").alias("content"))
+    return keys.select("file_id").join(one, "file_id", "left").select("file_id", F.coalesce("content", F.lit("")).alias("content"))

@@ -382,8 +382,11 @@ fc AS (SELECT folder, n_files, coalesce(sum(sim), 0) / (n_files * (n_files - 1))
 
 
 def _coherence_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(active files with their folders, keywords of all), each written once: texts are read for the entries alone."""
     files = files_view(spark, sf_dir)
-    return files.filter("status = 'active'").select("file_id", F.col("parent_dir").alias("folder")), kw.tfidf(kw.merged_entries(files), files)
+    narrow = cut(files.select("file_id", "status", F.col("parent_dir").alias("folder")), "files")
+    keywords = cut(kw.tfidf(cut(kw.merged_entries(files), "entries"), narrow), "keywords")
+    return narrow.filter("status = 'active'").select("file_id", "folder"), keywords
 
 
 @query(f"WITH {_MERGED}, {_COHERENT} SELECT folder, n_files, round(coherence, 6) AS coherence, round(coherence, 9) >= 0.15 AS coherent FROM fc")
@@ -411,7 +414,7 @@ a AS (SELECT * FROM f WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM guar
 orph AS (SELECT * FROM a WHERE parent_dir = '/watch' OR parent_dir IN (SELECT folder FROM fc WHERE round(coherence, 9) < 0.15)),
 k AS (SELECT k0.* FROM k0 WHERE file_id IN (SELECT file_id FROM orph)), {_CLASSES}, {_unit('kh', 'uh')}, {_sims('uh', 's')},
 e45 AS (SELECT a, b, sim, x.class_size AS n1, y.class_size AS n2 FROM s JOIN h x ON x.file_id = a JOIN h y ON y.file_id = b WHERE round(sim, 9) >= 0.45)"""
-_SUGGEST = (_SUGGEST + _SUB[len(_PAIRS) :]).replace("HAVING n_files >= 3", "HAVING n_files >= 2").replace("n_files BETWEEN 3 AND", "n_files BETWEEN 2 AND").replace("FROM again WHERE n_files >= 3", "FROM again WHERE n_files >= 2")
+_SUGGEST = _SUGGEST + _SUB[len(_PAIRS) :]
 _SUGGEST += f""", mem AS (SELECT q.file_id, q.class_id, cluster_id FROM last JOIN q USING (class_id)),
 fe AS (SELECT x.cluster_id, x.file_id AS fa, y.file_id AS fb, CASE WHEN x.class_id = y.class_id THEN 1.0 ELSE e.sim END AS sim FROM mem x JOIN mem y ON x.cluster_id = y.cluster_id AND x.file_id < y.file_id LEFT JOIN e45 e ON e.a = least(x.class_id, y.class_id) AND e.b = greatest(x.class_id, y.class_id) WHERE x.class_id = y.class_id OR e.sim IS NOT NULL),
 sc AS (SELECT cluster_id, avg(sim) AS score FROM fe GROUP BY 1),
@@ -422,7 +425,18 @@ pv AS (SELECT cluster_id, string_agg(name, ', ' ORDER BY file_id) AS preview FRO
 res AS (SELECT DISTINCT l.cluster_id, coalesce(nm.name, 'group') AS name, coalesce(terms, '') AS terms, preview, CAST(l.n_files AS BIGINT) AS n_files, round(coalesce(score, 0), 6) AS score FROM last l LEFT JOIN sc USING (cluster_id) LEFT JOIN nm USING (cluster_id) LEFT JOIN pv USING (cluster_id))"""
 
 
-@query(f"WITH RECURSIVE {_SUGGEST} SELECT *, CAST(row_number() OVER (ORDER BY score DESC, n_files DESC, cluster_id) AS INTEGER) AS rank FROM res")
+_OF_TWO = _SUGGEST.replace("HAVING n_files >= 3", "HAVING n_files >= 2").replace("n_files BETWEEN 3 AND", "n_files BETWEEN 2 AND").replace("FROM again WHERE n_files >= 3", "FROM again WHERE n_files >= 2")
+_RANKED = "SELECT *, CAST(row_number() OVER (ORDER BY score DESC, n_files DESC, cluster_id) AS INTEGER) AS rank FROM res"
+
+
+@query(f"WITH RECURSIVE {_SUGGEST} {_RANKED}")
+def suggestions_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the least number of files that a folder has by default."""
+    files = files_view(spark, sf_dir)
+    return suggest_folders(files.filter("status = 'active'"), _folder_guards(files, 2, "3"), [ROOT])
+
+
+@query(f"WITH RECURSIVE {_OF_TWO} {_RANKED}")
 def suggestions_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files_view(spark, sf_dir)
     return suggest_folders(files.filter("status = 'active'"), _folder_guards(files, 2, "3"), [ROOT], min_files=2)
@@ -764,6 +778,13 @@ def file_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.file_detail(files, comments, files.select("file_id", "content")).select("file_id", "name", "comment", F.sha2("content", 256).alias("content"))
 
 
+@query("SELECT doc_id AS file_id, sha256(CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(text, '') END) AS content FROM documents")
+def contents_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of all files, of which a third have none."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return li.fetch_contents(docs, docs.filter("file_id % 3 <> 0")).select("file_id", F.sha2("content", 256).alias("content"))
+
+
 #: (reply, whether it can be read, related, removed, name, description) by turns; what can't be read changes nothing.
 _REPLIES = (
     ('{"related": true, "removed": [1, 99, -1, null], "name": "New", "description": "n"}', True, True, [1, 99, -1], "New", "n"),

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from foldergraph.operators import folders, inventory, refine
+from foldergraph.operators import embeddings, folders, inventory, listing, refine
 from foldergraph.plans.suggest import save_suggestions, saved_suggestions
 from foldergraph.sources.files import scan_directory
 from foldergraph.sources.snapshots import Snapshots, dealt_by
@@ -135,3 +135,26 @@ def test_own_keywords(spark):
     got = {(r.suggestion_id, r.file_id, r.term): (round(r.score, 4), r.place) for r in refine.own_keywords(members, files).collect()}
     assert got == {(7, 1, "blue"): (1.0986, 1), (7, 1, "red"): (0.8109, 2), (7, 2, "green"): (1.0986, 1), (7, 2, "red"): (0.4055, 2), (8, 1, "red"): (1.3863, 1), (8, 1, "blue"): (0.6931, 2)}
     assert refine.own_keywords(members.limit(0), files).count() == 0 and refine.own_keywords(members, files.limit(0)).count() == 0
+
+
+def test_a_path_that_a_scan_has_twice(spark):
+    scan = spark.createDataFrame([("/a/x", "x", ".t", s, "/a", 1, d) for s, d in ((1, "2024-01-01"), (2, "2024-01-03"), (3, "2024-01-02"), (2, "2024-01-03"))] + [(None, "n", ".t", 9, "/a", 1, "2024-01-01"), ("/a/y", None, None, None, None, None, None)], "path string, name string, extension string, size long, parent_dir string, watched_dir_id long, d string")
+    scan = scan.withColumn("modified_at", F.to_timestamp("d")).drop("d")
+    files = spark.createDataFrame([], "file_id long, path string, name string, extension string, size long, parent_dir string, watched_dir_id long, modified_at timestamp, status string, processing_status string, indexed_at timestamp, content_indexed_at timestamp, processing_error string")
+    now = F.to_timestamp(F.lit("2025-01-01"))
+    out = inventory.upsert_scan(files, scan, now)
+    assert {(r.file_id, r.path, r.size) for r in out.collect()} == {(1, "/a/x", 2), (2, "/a/y", None)}
+    again = inventory.upsert_scan(out, scan.filter("path = '/a/x' AND size = 3"), now)
+    assert {(r.path, r.size, r.processing_status) for r in again.collect()} == {("/a/x", 3, "stale"), ("/a/y", None, "unprocessed")}
+    assert inventory.upsert_scan(files, scan.limit(0), now).count() == 0 and inventory.upsert_scan(out, scan.limit(0), now).count() == 2
+
+
+def test_contents_and_vectors_of_odd_ids(spark):
+    keys = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "file_id long")
+    contents = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (9, "c")], "file_id long, content string")
+    assert sorted(((r.file_id, r.content) for r in listing.fetch_contents(keys, contents).collect()), key=repr) == [(1, "b"), (1, "b"), (2, ""), (3, ""), (None, "")]
+    big = 2**60 + 1
+    texts = spark.createDataFrame([(big, "x"), (None, "yy"), (big, None)], "file_id long, text string").coalesce(1)
+    got = [(r.file_id, r.embedding) for r in embeddings.embed_batches(texts, lambda ts: [[float(len(t))] for t in ts]).collect()]
+    assert sorted(got, key=repr) == sorted([(big, [1.0]), (None, [2.0]), (big, [0.0])], key=repr)
+    assert embeddings.embed_batches(texts.limit(0)).count() == 0
