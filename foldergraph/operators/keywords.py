@@ -16,12 +16,15 @@ def top_terms(rows: DataFrame, n: int, key: str = "file_id") -> DataFrame:
     return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
 
 
-def term_frequency(contents: DataFrame, n: int = TOP_TERMS) -> DataFrame:
-    """file_id, term, score (count), place: the n most frequent terms of each content.
+def term_frequency(contents: DataFrame, n: int = TOP_TERMS, of: DataFrame | None = None) -> DataFrame:
+    """file_id, term, score (count), place: the n most frequent terms of each content; with `of`, of its files alone.
 
-    Contents are dealt by file_id once; counts and places go on without another shuffle.
+    Contents are dealt by file_id once; the join, counts and places go on without another shuffle of them.
     """
-    found = contents.select("file_id", "content").repartition("file_id").select("file_id", F.explode(terms(F.col("content"))).alias("term"))
+    found = contents.select("file_id", "content").repartition("file_id")
+    if of is not None:
+        found = found.join(of.select("file_id").distinct(), "file_id")  # a semi join would be moved below the dealing
+    found = found.select("file_id", F.explode(terms(F.col("content"))).alias("term"))
     return top_terms(found.groupBy("file_id", "term").agg(F.count("*").cast("double").alias("score")), n)
 
 
@@ -30,13 +33,13 @@ def content_entries(contents: DataFrame) -> DataFrame:
     return term_frequency(contents).select("file_id", "term", F.col("score").alias("tf"), F.lit(1).cast("long").alias("dup"))
 
 
-def merged_entries(files: DataFrame, n: int = TOP_TERMS) -> DataFrame:
-    """file_id, term, tf, dup from files(file_id, name, extension, content).
+def merged_entries(files: DataFrame, n: int = TOP_TERMS, contents: DataFrame | None = None) -> DataFrame:
+    """file_id, term, tf, dup from files(file_id, name, extension, content), or with their contents from contents(file_id, content).
 
     Content terms, name terms (1 each) and the extension's tag follow each other as one list. Up to n entries, a term's last entry
     gives tf; beyond, the n highest remain, in their order, and the last and so lowest of a term's gives it. dup: its entries.
     """
-    content = term_frequency(files).select("file_id", "term", "score", F.lit(0).alias("section"), F.col("place").alias("pos"))
+    content = (term_frequency(files) if contents is None else term_frequency(contents, of=files)).select("file_id", "term", "score", F.lit(0).alias("section"), F.col("place").alias("pos"))
     # names and tags are not dealt by file_id before the union: its parts would be coalesced apart from those of the contents
     names = files.select("file_id", F.posexplode(terms(stem(F.col("name")))).alias("pos", "term"))
     names = names.select("file_id", "term", F.lit(1.0).alias("score"), F.lit(1).alias("section"), "pos")

@@ -33,7 +33,7 @@ def profile_classes(keywords: DataFrame) -> DataFrame:
 
 
 class _Profiles(NamedTuple):
-    """Classes' profiles made ready for matching at a threshold, all of them written once.
+    """Classes' profiles made ready for matching at a threshold, from tables that are written once.
 
     rare(file_id, term, u, after, tail, df): the terms of a profile that are matched. Two profiles with a cosine of at least the threshold
     share a term so rare in the common order of terms that in both of them the terms from there on hold at least as much of the
@@ -55,9 +55,10 @@ def _profiles(classes: DataFrame, least: float) -> _Profiles:
     after = F.sqrt(F.coalesce(F.sum(F.col("u") * F.col("u")).over(own.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
     units = units.withColumns({"rest": rest, "after": after})
     tail = F.coalesce(F.max(F.when(F.col("rest") < least - 1e-9, F.col("rest"))).over(Window.partitionBy("file_id")), F.lit(0.0))
-    rare = cut(units.withColumn("tail", tail).filter(F.col("rest") >= least - 1e-9).select("file_id", "term", "u", "after", "tail", "df"), "rare")
-    unit = units.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m")).join(heads.select("file_id", "class_size"), "file_id")
-    return _Profiles(rare, cut(unit, "units"), least)
+    units = cut(units.withColumn("tail", tail), "units")
+    rare = units.filter(F.col("rest") >= least - 1e-9).select("file_id", "term", "u", "after", "tail", "df")
+    maps = units.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m")).join(heads.select("file_id", "class_size"), "file_id")
+    return _Profiles(rare, cut(maps, "maps"), least)
 
 
 def _met(rare: DataFrame, least: float, apart: str | None = None) -> DataFrame:
@@ -114,31 +115,40 @@ def profile_sums(classes: DataFrame, clusters: DataFrame, least: float = MIN_SIM
     """cluster_id, total, k: over the pairs of files of different classes of a cluster whose cosine is at least `least`, the sum of the
     cosines and their number.
 
-    The pairs are not made: a cluster's profiles are cut to blocks, and each pair of blocks is a product that sends two numbers.
+    The pairs are not made: a cluster's profiles are cut to blocks, and each pair of blocks is a product that sends two numbers. Clusters
+    of one block share a task's group with others, about PRODUCT profiles together.
     """
     heads = classes.filter("file_id = class_id").select("class_id", F.filter("profile", lambda p: p["score"] != 0).alias("profile"))
     sizes = clusters.groupBy("cluster_id").agg(F.ceil(F.count("*") / PRODUCT).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
+    packs = sizes.filter("blocks = 1").agg(F.greatest(F.ceil(F.sum("n") / PRODUCT), F.lit(1)).alias("packs"))  # one row
+    sizes = sizes.crossJoin(F.broadcast(packs)).select("cluster_id", "blocks", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster_id"), F.col("packs"))).alias("pack"))
     rows = clusters.select("class_id", "class_size", "cluster_id").withColumn("_salt", salt(classes.sparkSession, "class_id"))
-    rows = lookup(rows, sizes.select("cluster_id", "blocks"), ["cluster_id"], "_salt").join(heads, "class_id")
+    rows = lookup(rows, sizes, ["cluster_id"], "_salt").join(heads, "class_id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster_id", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", F.col("class_size").alias("n"), F.col("profile.term").alias("term"), F.col("profile.score").alias("score"))
+    alone = F.when(F.col("pack").isNull(), F.col("cluster_id")).alias("alone")
+    rows = rows.select("pack", alone, "cluster_id", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", F.col("class_size").alias("n"), F.col("profile.term").alias("term"), F.col("profile.score").alias("score"))
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        b1, b2 = frame["b1"].iloc[0], frame["b2"].iloc[0]
+        frame = frame.sort_values("cluster_id", kind="stable")
         size = frame["term"].map(len).to_numpy()
-        names, number = pd.factorize(np.concatenate(frame["term"].to_numpy()))[::-1]
-        matrix = np.zeros((len(frame), len(names)))
-        matrix[np.repeat(np.arange(len(frame)), size), number] = np.concatenate(frame["score"].to_numpy())
-        matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
-        first, second = (frame["own"] == b1).to_numpy(), (frame["own"] == b2).to_numpy()
-        n = frame["n"].to_numpy(np.float64)
-        sim = matrix[first] @ matrix[second].T
-        times = n[first][:, None] * n[second][None, :] * (np.round(sim, 9) >= least)
-        if b1 == b2:
-            times = np.triu(times, 1)
-        return pd.DataFrame({"cluster_id": frame["cluster_id"].head(1), "total": (times * sim).sum(), "k": times.sum()})
-
-    sums = rows.groupBy("cluster_id", "b1", "b2").applyInPandas(add, "cluster_id long, total double, k double")
+        number, score = pd.factorize(np.concatenate(frame["term"].to_numpy()))[0], np.concatenate(frame["score"].to_numpy())
+        own, n, b1, b2 = frame["own"].to_numpy(), frame["n"].to_numpy(np.float64), frame["b1"].iloc[0], frame["b2"].iloc[0]
+        ids, begin = np.unique(frame["cluster_id"].to_numpy(), return_index=True)
+        at, out = np.r_[0, np.cumsum(size)], []
+        for cluster_id, i, j in zip(ids.tolist(), begin.tolist(), [*begin[1:].tolist(), len(frame)]):
+            names, place = np.unique(number[at[i] : at[j]], return_inverse=True)
+            matrix = np.zeros((j - i, len(names)))
+            matrix[np.repeat(np.arange(j - i), size[i:j]), place] = score[at[i] : at[j]]
+            matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
+            first, second = own[i:j] == b1, own[i:j] == b2
+            sim = matrix[first] @ matrix[second].T
+            times = n[i:j][first][:, None] * n[i:j][second][None, :] * (np.round(sim, 9) >= least)
+            if b1 == b2:
+                times = np.triu(times, 1)
+            out.append((cluster_id, (times * sim).sum(), times.sum()))
+        return pd.DataFrame(out, columns=["cluster_id", "total", "k"])
+
+    sums = rows.groupBy("pack", "alone", "b1", "b2").applyInPandas(add, "cluster_id long, total double, k double")
     return sums.groupBy("cluster_id").agg(F.sum("total").alias("total"), F.sum("k").alias("k"))
 
 

@@ -18,11 +18,10 @@ from foldergraph.sources.snapshots import Snapshots, dealt_by
 def orphaned(files: DataFrame, guards: DataFrame, roots: list[str], least_files: int = MIN_FILES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(orphan files, keyword profiles and list entries of all unguarded files): what a suggestion run starts from.
 
-    Contents are read once, for the entries; all else goes on without them.
+    Guards are looked up once, without contents; these are read once, for the entries, and all else goes on without them.
     """
-    open_files = under_guard(files, guards).withColumn("folder", F.col("parent_dir"))
-    entries = cut(merged_entries(open_files), "entries")
-    narrow = cut(open_files.drop("content"), "files")
+    narrow = cut(under_guard(files.drop("content"), guards).withColumn("folder", F.col("parent_dir")), "files")
+    entries = cut(merged_entries(narrow, contents=files), "entries")
     keywords = cut(tfidf(entries, narrow), "keywords")
     folders = folder_coherence(narrow.select("file_id", "folder"), keywords, least=least_files)
     ids = orphan_files(narrow.select("file_id", "folder"), folders, roots)

@@ -58,3 +58,15 @@ def test_near_copies_give_as_many_links_as_profiles(spark):
     assert {r.n_files for r in found.collect()} == {n}
     score = clusters.cluster_scores(found, similarity.profile_sums(classes, found)).head().score
     assert score == pytest.approx(20 / 21)
+
+
+@pytest.mark.parametrize("product", [2, 10, 512])
+def test_sums_of_many_small_clusters(spark, monkeypatch, product):
+    monkeypatch.setattr(similarity, "PRODUCT", product)  # clusters of a block share groups, others of 2 rows a block don't
+    rows = [(10 * g + k, t, 1.0 + k * (t == "b")) for g in range(40) for k in range(1 + g % 5) for t in ("a", "b", f"g{g}", f"h{g}", f"i{g}")]
+    classes = similarity.profile_classes(spark.createDataFrame([(d, t if t > "c" else f"{t}{d // 10}", s) for d, t, s in rows], SCORES))
+    pairs = similarity.similar_pairs(classes)
+    found = clusters.class_clusters(classes, pairs, 1)
+    want = {r.cluster_id: (round(r.total, 6), r.k) for r in clusters.pair_sums(found, pairs).collect()}
+    assert len(want) == 32
+    assert {r.cluster_id: (round(r.total, 6), int(r.k)) for r in similarity.profile_sums(classes, found).collect()} == want

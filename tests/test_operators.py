@@ -62,6 +62,17 @@ def test_negative_idf_and_long_lists(spark):
     assert scores[1, "apple"] < 0
 
 
+def test_entries_of_contents_from_another_table(spark):
+    rows = [(1, "pear.txt", ".txt", "apple apple pear"), (2, None, None, None), (3, "a.b", ".b", ""), (4, "gone.md", ".md", "gone gone")]
+    files = spark.createDataFrame(rows, "file_id long, name string, extension string, content string")
+    own = files.filter("file_id < 4")
+    want = sorted(map(tuple, keywords.merged_entries(own).collect()))
+    assert (1, "apple", 2.0, 1) in want and (1, "pear", 1.0, 2) in want
+    contents = files.select("file_id", "content").unionByName(spark.createDataFrame([(None, "apple"), (9, "none of the files")], "file_id long, content string"))
+    assert sorted(map(tuple, keywords.merged_entries(own.drop("content"), contents=contents).collect())) == want
+    assert keywords.merged_entries(own.limit(0), contents=contents).count() == 0
+
+
 def test_similar_pairs_against_brute_force(spark):
     rnd = random.Random(3)
     rows = [(d, f"t{t}", rnd.choice([-0.5, 1.0, 2.0, 3.0])) for d in range(40) for t in rnd.sample(range(12), 4)]
