@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.functions.values import COHERENT, MIN_FILES, MIN_SIMILARITY
-from foldergraph.operators.components import connected_components
 from foldergraph.operators.skew import group_totals, lookup, salt
 from foldergraph.sources.shared import cut
 
-#: Profiles of a term that are joined with as many others under one key; profiles that a product compares with as many others.
-POSTING, PRODUCT = 2048, 512
+#: Profiles of a term that meet as many others in one group; rows of a group of rarer terms; pairs measured at once.
+POSTING, PACK, PRODUCT = 8192, 20000, 32768
+#: Rows of a term that are compared with all others of the term at once.
+WIDE = 64
 
 
 def unit_terms(keywords: DataFrame) -> DataFrame:
@@ -32,123 +33,175 @@ def profile_classes(keywords: DataFrame) -> DataFrame:
     return group_totals(rows, ["profile"], "_salt", class_id=("min", "file_id"), class_size=("count", "*")).drop("_salt")
 
 
-class _Profiles(NamedTuple):
-    """Classes' profiles made ready for matching at a threshold, from tables that are written once.
+def _postings(classes: DataFrame, least: float, clusters: DataFrame | None = None) -> DataFrame:
+    """pack, alone, b1, b2, own, t, file_id, n, cluster_id, k, h, w: a row for each term t of a class's profile on which it is matched.
 
-    rare(file_id, term, u, after, tail, df): the terms of a profile that are matched. Two profiles with a cosine of at least the threshold
-    share a term so rare in the common order of terms that in both of them the terms from there on hold at least as much of the
-    length. after: what the terms behind a term hold; tail: what those hold that are not matched. units(file_id, m, class_size): all terms.
+    h and w are the whole profile, rarest terms first, as hashes of 64 bits and parts of the unit vector; k is the place of t in it. Two
+    profiles with a cosine of at least the threshold have, from their rarest common term on, at least as much of their lengths, so only
+    terms up to there are matched. With clusters(class_id, cluster_id) only profiles of a cluster meet. All rows that meet have one
+    (pack, alone, b1, b2): a term of more than POSTING profiles is dealt to blocks, and each pair of blocks is a group of its own, the
+    other terms are dealt to packs of about PACK rows. So rows grow with the profiles, and no pair is written.
     """
+    spark = classes.sparkSession
+    heads = classes.filter("file_id = class_id").select("file_id", "class_size", "profile")
+    units = unit_terms(heads.select("file_id", F.explode("profile").alias("p")).select("file_id", "p.term", "p.score"))
+    own = heads.select("file_id", F.col("class_size").alias("n"))
+    if clusters is not None:
+        own = own.join(clusters.select(F.col("class_id").alias("file_id"), "cluster_id"), "file_id")
+    else:
+        own = own.withColumn("cluster_id", F.lit(0).cast("long"))
+    units = units.join(own, "file_id").select("file_id", "n", "cluster_id", F.xxhash64("cluster_id", "term").alias("h"), "u")
+    units = group_totals(units.withColumn("_salt", salt(spark, "file_id")), ["h"], "_salt", df=("count", "*"))
+    profile = F.array_sort(F.collect_list(F.struct("df", "h", "u"))).alias("p")
+    profiles = cut(units.groupBy("file_id", "n", "cluster_id").agg(profile), "profiles")
+    packs = (profiles.agg(F.sum(F.size("p"))).head()[0] or 0) // PACK + 1
+    rows = profiles.select("*", F.posexplode("p").alias("k", "e"))
+    rest = F.aggregate(F.slice("p", F.col("k") + 1, F.size("p")), F.lit(0.0), lambda a, x: a + x["u"] * x["u"])
+    rows = rows.filter((F.col("e.df") > 1) & (F.sqrt(rest) >= least - 1e-9))
+    rows = rows.withColumn("blocks", F.ceil(F.col("e.df") / POSTING).cast("int")).withColumn("own", F.pmod(F.xxhash64("file_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pack, alone = F.when(F.col("blocks") == 1, F.pmod("e.h", F.lit(packs))).alias("pack"), F.when(F.col("blocks") > 1, F.col("e.h")).alias("alone")
+    return rows.select(pack, alone, F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", F.col("e.h").alias("t"), "file_id", "n", "cluster_id", "k", F.col("p.h").alias("h"), F.col("p.u").alias("w"))
+
+
+_GROUP = ("pack", "alone", "b1", "b2")
+
+
+class _Group:
+    """A group of _postings() as arrays, rows in order of their terms."""
+
+    def __init__(self, frame: pd.DataFrame, least: float) -> None:
+        frame = frame.sort_values(["t", "file_id"], kind="stable")
+        self.least, self.ids, self.n = least, frame["file_id"].to_numpy(), frame["n"].to_numpy()
+        self.cluster, self.k, self.t = frame["cluster_id"].to_numpy(), frame["k"].to_numpy(), frame["t"].to_numpy()
+        b1, b2 = frame["b1"].iloc[0], frame["b2"].iloc[0]
+        self.sides = None if b1 == b2 else (np.flatnonzero(frame["own"] == b1), np.flatnonzero(frame["own"] == b2))
+        size = frame["h"].map(len).to_numpy()
+        place = np.arange(size.max())
+        there = place < size[:, None]
+        self.h, self.w = np.zeros(there.shape, np.int64), np.zeros(there.shape)
+        self.h[there], self.w[there] = np.concatenate(frame["h"].to_numpy()), np.concatenate(frame["w"].to_numpy())
+        self.u = self.w[np.arange(len(frame)), self.k]
+        self.after = np.sqrt((self.w * self.w * (place > self.k[:, None])).sum(1))
+
+    def _some(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all of i with all of j the pairs that may reach the threshold if t is their rarest common term."""
+        may = self.u[i][:, None] * self.u[j] + self.after[i][:, None] * self.after[j] >= self.least - 1e-9
+        if self.sides is None:
+            may &= i[:, None] < j
+        x, y = np.nonzero(may)
+        return i[x], j[y]
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows that may reach the threshold, not too many at once; of a term of many rows first those with its first row."""
+        if self.sides is not None:
+            i, j = self.sides
+            if len(i) and len(j):
+                yield self._some(i[:1], j)
+                for at in range(1, len(i), WIDE):
+                    yield self._some(i[at : at + WIDE], j)
+            return
+        ends = np.flatnonzero(np.r_[self.t[1:] != self.t[:-1], True]) + 1
+        begins = np.r_[0, ends[:-1]]
+        few = np.repeat(ends - begins <= WIDE, ends - begins)
+        left, step = np.flatnonzero(few), 1
+        while len(left := left[left + step < len(few)]):
+            left = left[self.t[left] == self.t[left + step]]
+            other = left + step
+            may = self.u[left] * self.u[other] + self.after[left] * self.after[other] >= self.least - 1e-9
+            yield left[may], other[may]
+            step += 1
+        for begin, end in zip(begins.tolist(), ends.tolist()):
+            if end - begin > WIDE:
+                rows = np.arange(begin, end)
+                yield self._some(rows[:1], rows)
+                for at in range(begin + 1, end, WIDE):
+                    yield self._some(np.arange(at, min(at + WIDE, end)), np.arange(at, end))
+
+    def measured(self, i: np.ndarray, j: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, cosine) of those at least at the threshold; with `once`, of those alone whose rarest common term is t."""
+        sim, new = np.zeros(len(i)), np.ones(len(i), bool)
+        other, weight, k = self.h[j], self.w[j], self.k[i]
+        for at in range(self.h.shape[1]):
+            same = self.h[i, at][:, None] == other
+            sim += self.w[i, at] * (same * weight).sum(1)
+            if once:
+                new &= (at >= k) | ~same.any(1)
+        new &= np.round(sim, 9) >= self.least
+        return i[new], j[new], sim[new]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, cosine) of every pair that reaches the threshold and whose rarest common term is t: each pair in one group, once."""
+        for i, j in self.candidates():
+            for at in range(0, len(i), PRODUCT):
+                yield self.measured(i[at : at + PRODUCT], j[at : at + PRODUCT], True)
+
+    def links(self) -> np.ndarray:
+        """id1, id2 of some of the pairs that reach the threshold, as many as connect all: those of one piece aren't measured."""
+        ids, node = np.unique(self.ids, return_inverse=True)
+        label, out = np.arange(len(ids)), []
+        for i, j in self.candidates():
+            for at in range(0, len(i), PRODUCT):
+                a, b = i[at : at + PRODUCT], j[at : at + PRODUCT]
+                apart = label[node[a]] != label[node[b]]
+                a, b, _ = self.measured(a[apart], b[apart], False)
+                if not len(a):
+                    continue
+                hung: dict[int, int] = {}  # of labels
+                for x, y, p, q in zip(node[a].tolist(), node[b].tolist(), label[node[a]].tolist(), label[node[b]].tolist()):
+                    while p in hung:
+                        p = hung[p]
+                    while q in hung:
+                        q = hung[q]
+                    if p != q:
+                        hung[max(p, q)] = min(p, q)
+                        out.append((x, y))
+                label[list(hung)] = list(hung.values())
+                while (label != label[label]).any():
+                    label = label[label]
+        return np.sort(ids[np.array(out, np.int64).reshape(-1, 2)], axis=1)
 
-    rare: DataFrame
-    units: DataFrame
-    least: float
 
+def similar_pairs(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """id1, id2, sim, n1, n2: pairs of classes with cosine of at least `least`; files of one class are alike and need no pair.
 
-def _profiles(classes: DataFrame, least: float) -> _Profiles:
-    spark = classes.sparkSession
-    heads = cut(classes.filter("file_id = class_id").select("file_id", "class_size", "profile"), "heads")
-    units = unit_terms(heads.select("file_id", F.explode("profile").alias("p")).select("file_id", "p.term", "p.score"))
-    units = group_totals(units.withColumn("_salt", salt(spark, "file_id")), ["term"], "_salt", df=("count", "*")).drop("_salt")
-    own = Window.partitionBy("file_id").orderBy("df", "term")
-    rest = F.sqrt(F.sum(F.col("u") * F.col("u")).over(own.rowsBetween(0, Window.unboundedFollowing)))
-    after = F.sqrt(F.coalesce(F.sum(F.col("u") * F.col("u")).over(own.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
-    units = units.withColumns({"rest": rest, "after": after})
-    tail = F.coalesce(F.max(F.when(F.col("rest") < least - 1e-9, F.col("rest"))).over(Window.partitionBy("file_id")), F.lit(0.0))
-    units = cut(units.withColumn("tail", tail), "units")
-    rare = units.filter(F.col("rest") >= least - 1e-9).select("file_id", "term", "u", "after", "tail", "df")
-    maps = units.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m")).join(heads.select("file_id", "class_size"), "file_id")
-    return _Profiles(rare, cut(maps, "maps"), least)
-
-
-def _met(rare: DataFrame, least: float, apart: str | None = None) -> DataFrame:
-    """id1, id2 of profiles that share a rare term and may reach the threshold; with `apart`, only of those that differ in that column.
-
-    What the matched terms add to the cosine, and what the terms behind the last of them can add at most, drops most pairs. A term of
-    many profiles is dealt to blocks of about POSTING of them, and each pair of blocks is a key of its own.
+    Each pair comes from the group of its rarest common term, so nothing is brought together afterwards.
     """
-    blocks = F.ceil(F.col("df") / POSTING).cast("int")
-    dealt = rare.withColumn("own", F.pmod(F.xxhash64("file_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")})
-    columns = ["file_id", "u", "after", "tail", "own", *([apart] if apart else [])]
-    side = lambda k: dealt.select("term", "b1", "b2", *[F.col(c).alias(f"{c}{k}") for c in columns])
-    met = side(1).join(side(2), ["term", "b1", "b2"]).filter("file_id1 < file_id2 AND least(own1, own2) = b1 AND greatest(own1, own2) = b2")
-    if apart:
-        met = met.filter(f"{apart}1 <> {apart}2")
-    met = met.groupBy(F.col("file_id1").alias("id1"), F.col("file_id2").alias("id2"))
-    met = met.agg(F.sum(F.col("u1") * F.col("u2")).alias("have"), F.min("after1").alias("a1"), F.min("after2").alias("a2"), F.first("tail1").alias("t1"), F.first("tail2").alias("t2"))
-    more = F.least(F.col("a1") * F.col("a2"), F.greatest(F.col("t1") * F.col("a2"), F.col("a1") * F.col("t2")))
-    return met.filter(F.col("have") + more >= least - 1e-9).select("id1", "id2")
-
-
-def _measured(pairs: DataFrame, profiles: _Profiles) -> DataFrame:
-    """id1, id2, sim, n1, n2 of the pairs that reach the threshold."""
-    side = lambda k: profiles.units.select(F.col("file_id").alias(f"id{k}"), F.col("m").alias(f"m{k}"), F.col("class_size").alias(f"n{k}"))
-    rows = pairs.join(side(1), "id1").join(side(2), "id2")
-    dot = F.aggregate(F.map_entries("m1"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(F.col("m2"), e["key"]), F.lit(0.0)))
-    return rows.select("id1", "id2", dot.alias("sim"), "n1", "n2").filter(F.round("sim", 9) >= profiles.least)
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        group = _Group(frame, least)
+        i, j, sim = (np.concatenate(x) for x in zip((np.zeros(0, int), np.zeros(0, int), np.zeros(0)), *group.pairs()))
+        turn = group.ids[i] > group.ids[j]
+        i, j = np.where(turn, j, i), np.where(turn, i, j)
+        return pd.DataFrame({"id1": group.ids[i], "id2": group.ids[j], "sim": sim, "n1": group.n[i], "n2": group.n[j]})
 
-def similar_pairs(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """id1, id2, sim, n1, n2: pairs of classes with cosine of at least `least`; files of one class are alike and need no pair."""
-    profiles = _profiles(classes, least)
-    return _measured(_met(profiles.rare, least), profiles)
+    return _postings(classes, least).groupBy(*_GROUP).applyInPandas(run, "id1 long, id2 long, sim double, n1 long, n2 long")
 
 
 def similar_links(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """Some of similar_pairs(), as many as connect all that they connect.
+    """id1, id2: some of similar_pairs(), as many as connect all that they connect, and at most as many as rows of _postings()."""
 
-    First each profile is measured with the first profile of each of its rare terms only, which is enough for most groups of near
-    copies, whatever their size. Then only profiles of different components are matched, in the terms that more than one component has.
-    """
-    profiles, spark = _profiles(classes, least), classes.sparkSession
-    salted = profiles.rare.withColumn("_salt", salt(spark, "file_id"))
-    led = group_totals(salted, ["term"], "_salt", leader=("min", "file_id")).filter("file_id <> leader")
-    first = cut(_measured(led.select(F.col("leader").alias("id1"), F.col("file_id").alias("id2")).distinct(), profiles), "links")
-    roots = connected_components(first.select(F.col("id1").alias("src"), F.col("id2").alias("dst")))
-    placed = salted.join(roots.withColumnRenamed("id", "file_id"), "file_id", "left").withColumn("component", F.coalesce("component", "file_id"))
-    mixed = group_totals(placed, ["term"], "_salt", low=("min", "component"), high=("max", "component")).filter("low <> high").drop("low", "high", "_salt")
-    return first.unionByName(_measured(_met(cut(mixed, "mixed"), least, "component"), profiles))
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_Group(frame, least).links(), columns=["id1", "id2"])
+
+    return _postings(classes, least).groupBy(*_GROUP).applyInPandas(run, "id1 long, id2 long")
 
 
 def profile_sums(classes: DataFrame, clusters: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     """cluster_id, total, k: over the pairs of files of different classes of a cluster whose cosine is at least `least`, the sum of the
-    cosines and their number.
-
-    The pairs are not made: a cluster's profiles are cut to blocks, and each pair of blocks is a product that sends two numbers. Clusters
-    of one block share a task's group with others, about PRODUCT profiles together.
-    """
-    heads = classes.filter("file_id = class_id").select("class_id", F.filter("profile", lambda p: p["score"] != 0).alias("profile"))
-    sizes = clusters.groupBy("cluster_id").agg(F.ceil(F.count("*") / PRODUCT).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
-    packs = sizes.filter("blocks = 1").agg(F.greatest(F.ceil(F.sum("n") / PRODUCT), F.lit(1)).alias("packs"))  # one row
-    sizes = sizes.crossJoin(F.broadcast(packs)).select("cluster_id", "blocks", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster_id"), F.col("packs"))).alias("pack"))
-    rows = clusters.select("class_id", "class_size", "cluster_id").withColumn("_salt", salt(classes.sparkSession, "class_id"))
-    rows = lookup(rows, sizes, ["cluster_id"], "_salt").join(heads, "class_id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    alone = F.when(F.col("pack").isNull(), F.col("cluster_id")).alias("alone")
-    rows = rows.select("pack", alone, "cluster_id", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", F.col("class_size").alias("n"), F.col("profile.term").alias("term"), F.col("profile.score").alias("score"))
+    cosines and their number. A group of _postings() sends two numbers a cluster, not its pairs."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("cluster_id", kind="stable")
-        size = frame["term"].map(len).to_numpy()
-        number, score = pd.factorize(np.concatenate(frame["term"].to_numpy()))[0], np.concatenate(frame["score"].to_numpy())
-        own, n, b1, b2 = frame["own"].to_numpy(), frame["n"].to_numpy(np.float64), frame["b1"].iloc[0], frame["b2"].iloc[0]
-        ids, begin = np.unique(frame["cluster_id"].to_numpy(), return_index=True)
-        at, out = np.r_[0, np.cumsum(size)], []
-        for cluster_id, i, j in zip(ids.tolist(), begin.tolist(), [*begin[1:].tolist(), len(frame)]):
-            names, place = np.unique(number[at[i] : at[j]], return_inverse=True)
-            matrix = np.zeros((j - i, len(names)))
-            matrix[np.repeat(np.arange(j - i), size[i:j]), place] = score[at[i] : at[j]]
-            matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
-            first, second = own[i:j] == b1, own[i:j] == b2
-            sim = matrix[first] @ matrix[second].T
-            times = n[i:j][first][:, None] * n[i:j][second][None, :] * (np.round(sim, 9) >= least)
-            if b1 == b2:
-                times = np.triu(times, 1)
-            out.append((cluster_id, (times * sim).sum(), times.sum()))
-        return pd.DataFrame(out, columns=["cluster_id", "total", "k"])
-
-    sums = rows.groupBy("pack", "alone", "b1", "b2").applyInPandas(add, "cluster_id long, total double, k double")
+        group = _Group(frame, least)
+        ids, place = np.unique(group.cluster, return_inverse=True)
+        total, k = np.zeros(len(ids)), np.zeros(len(ids))
+        for i, j, sim in group.pairs():
+            times = group.n[i].astype(np.float64) * group.n[j]
+            total += np.bincount(place[i], times * sim, len(ids))
+            k += np.bincount(place[i], times, len(ids))
+        return pd.DataFrame({"cluster_id": ids, "total": total, "k": k})[k > 0]
+
+    sums = _postings(classes, least, clusters).groupBy(*_GROUP).applyInPandas(add, "cluster_id long, total double, k double")
     return sums.groupBy("cluster_id").agg(F.sum("total").alias("total"), F.sum("k").alias("k"))
 
 

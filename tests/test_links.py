@@ -70,3 +70,22 @@ def test_sums_of_many_small_clusters(spark, monkeypatch, product):
     want = {r.cluster_id: (round(r.total, 6), r.k) for r in clusters.pair_sums(found, pairs).collect()}
     assert len(want) == 32
     assert {r.cluster_id: (round(r.total, 6), int(r.k)) for r in similarity.profile_sums(classes, found).collect()} == want
+
+
+@pytest.mark.parametrize("posting", [8192, 200])
+def test_frequent_terms_move_no_pairs(spark, monkeypatch, posting):
+    """Many profiles of the same few frequent terms: what is dealt out are rows of terms, not pairs, and each pair is there once."""
+    monkeypatch.setattr(similarity, "POSTING", posting)
+    rnd = random.Random(3)
+    rows = [(d, t, 1.0 + rnd.random()) for d in range(400) for t in rnd.sample(["und", "die", "der", "von", "ein"], 3)]
+    classes = similarity.profile_classes(spark.createDataFrame(rows, SCORES)).cache()
+    met = similarity._postings(classes, 0.45)
+    assert met.count() <= 400 * 3 * (1 if posting > 400 else 3)
+    profiles = {}
+    for d, t, s in rows:
+        profiles.setdefault(d, {})[t] = s
+    unit = {d: {t: s / sum(x * x for x in p.values()) ** 0.5 for t, s in p.items()} for d, p in profiles.items()}
+    want = {(a, b) for a in unit for b in unit if a < b and round(sum(u * unit[b].get(t, 0.0) for t, u in unit[a].items()), 9) >= 0.45}
+    got = [tuple(r) for r in similarity.similar_pairs(classes).select("id1", "id2").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert similarity.similar_links(classes).count() <= met.count()
