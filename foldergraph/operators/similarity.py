@@ -207,7 +207,7 @@ def profile_sums(classes: DataFrame, clusters: DataFrame, least: float = MIN_SIM
 
 def file_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """file_id, class_id, n_links of every file: links to files of its own class and to those of near classes."""
-    ends = pairs.select(F.col("id1").alias("class_id"), F.col("n2").alias("n")).unionByName(pairs.select(F.col("id2").alias("class_id"), F.col("n1").alias("n")))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("id1").alias("class_id"), F.col("n2").alias("n")), F.struct(F.col("id2").alias("class_id"), F.col("n1").alias("n")))).alias("e")).select("e.*")
     far = ends.groupBy("class_id").agg(F.sum("n").alias("far"))
     rows = classes.select("file_id", "class_id", "class_size").withColumn("_salt", salt(classes.sparkSession, "file_id"))
     heads = classes.filter("file_id = class_id").select("class_id").join(far, "class_id", "left")
