@@ -80,18 +80,19 @@ def apply_refinements(suggestions: DataFrame, members: DataFrame, replies: DataF
     return rows.select(*suggestions.columns), kept.select("suggestion_id", "file_id")
 
 
-def _listed(rows: DataFrame, mark: str, most: int) -> DataFrame:
-    """path, listed: the first `most` names of each path of rows(path, name), by name, joined."""
-    first = rank_in_key(rows.filter("path IS NOT NULL AND name IS NOT NULL").select("path", "name"), ["path"], ["name"], "i").filter(F.col("i") < most)
+def _listed(rows: DataFrame, mark: str, most: int | None) -> DataFrame:
+    """path, listed: the first `most` names (None: all) of each path of rows(path, name), by name, joined."""
+    first = rank_in_key(rows.filter("path IS NOT NULL AND name IS NOT NULL").select("path", "name"), ["path"], ["name"], "i")
+    first = first if most is None else first.filter(F.col("i") < most)
     names = F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"])
     return first.groupBy("path").agg(F.array_join(names, mark).alias("listed"))
 
 
-def folder_prompts(folders: DataFrame, tree: DataFrame, files: DataFrame, most: int = LIST_LIMIT) -> DataFrame:
+def folder_prompts(folders: DataFrame, tree: DataFrame, files: DataFrame, most: int | None = LIST_LIMIT) -> DataFrame:
     """path, prompt of folders(path, name, parent): what the folder holds, and what is above it.
 
-    tree(path, name, parent) tells the subfolders, files(parent_dir, name) the files; `most` names of either at most, the first by name,
-    since a prompt is one text. The folder above was left open by the walk, or the walk would have ended there.
+    tree(path, name, parent) tells the subfolders, files(parent_dir, name) the files; `most` names of either at most (None: all), the
+    first by name, since a prompt is one text. The folder above was left open by the walk, or the walk would have ended there.
     """
     asked = cut(folders.select("path", "name", "parent"), "asked")
     own = lambda rows, path: rows.select(normal_path(F.col(path)).alias("path"), "name").join(asked.select("path"), "path", "left_semi")
@@ -104,7 +105,7 @@ def folder_prompts(folders: DataFrame, tree: DataFrame, files: DataFrame, most:
     return rows.select("path", F.concat(F.lit("There is a folder named "), "name", F.lit(".\n"), above, held, ask).alias("prompt"))
 
 
-def prompted(tree: DataFrame, files: DataFrame, ask: Callable[[str], str], most: int = LIST_LIMIT) -> Callable[[DataFrame], DataFrame]:
+def prompted(tree: DataFrame, files: DataFrame, ask: Callable[[str], str], most: int | None = LIST_LIMIT) -> Callable[[DataFrame], DataFrame]:
     """A classifier of folders for walk_guards(): a prompt for each of the folders given, and what `ask` replies to it."""
     return lambda folders: classify_folders(folder_prompts(folders, tree, files, most), ask)
 

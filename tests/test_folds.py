@@ -224,3 +224,20 @@ def test_move_plans_equal_one_by_one(spark, seed):
     out = refine.move_plan(members, files, heads, spark.createDataFrame(there, "folder string, name string") if there else None)
     assert {(r.suggestion_id, r.file_id, r.new_name) for r in out.collect()} == want
     assert refine.move_plan(members.limit(0), files, heads).count() == 0
+
+
+def test_prompt_queries_name_all_of_a_folder(spark, tmp_path):
+    """The SQL of the queries knows no limit of names, so a folder of more than LIST_LIMIT files names them all."""
+    import hashlib
+
+    from foldergraph.plans.queries import QUERIES
+
+    names = [f"p{k:05}.html" for k in range(10_020)]
+    rows = [(k, f"https://a.org/x/{name}", "h") for k, name in enumerate(names)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.path: r.prompt for r in QUERIES["guard_prompt_classify"](spark, str(tmp_path)).collect()}
+    ask = 'Is what it holds one thing, such as the parts of a program or a project? Answer with JSON only: {"related": true, "reason": ""}'
+    path = max(got, key=len)
+    above = path.split("/")[-2]
+    prompt = f"There is a folder named x.\nThe folder above it, {above}, holds a mixture.\nFolders in it: none\nIts files, one a line:\n" + "\n".join(names) + f"\n{ask}"
+    assert got[path] == hashlib.md5(prompt.encode()).hexdigest()
