@@ -18,6 +18,8 @@ from foldergraph.sources.shared import cut
 BLOCK_ROWS = 4096
 #: Cells have about so many rows, as long as that takes no more pivots than are sent to all tasks.
 CELL_ROWS, PIVOTS = 1024, 1024
+#: Rows whose distances to a block or to all pivots are made at once; rows of a frame that is handed on; pairs that are measured at once.
+AT_ONCE, FRAME_ROWS, PAIRS = 256, 8192, 16384
 #: Distances by matrix products are this exact; what they let pass is measured.
 TOLERANCE = 1e-6
 
@@ -63,8 +65,9 @@ def in_cells(vectors: DataFrame, eps: float) -> DataFrame:
     others = [c for c in vectors.columns if c != "vec"]
 
     def homes(frame: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, np.ndarray | None]]:
-        for n, own in frame.groupby(frame["vec"].map(len)):
-            if n:
+        for n, all_of in frame.groupby(frame["vec"].map(len)):
+            for at in range(0, len(all_of) if n else 0, AT_ONCE):
+                own = all_of.iloc[at : at + AT_ONCE]
                 yield n, own, _far(_rows(own["vec"]), pivots[n]) if n in pivots else None
 
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +94,8 @@ def in_cells(vectors: DataFrame, eps: float) -> DataFrame:
                     middle = (far - far[np.arange(len(far)), home][:, None]) / (2 * apart)
                 near = (middle <= eps + TOLERANCE) & (np.sqrt(far) <= reached[first[n] : first[n] + far.shape[1]] + eps + TOLERANCE)
                 i, k = np.nonzero(near & (np.arange(far.shape[1]) < home[:, None]))
-                yield own.iloc[i].assign(cell=first[n] + k, home=False)
+                for at in range(0, len(i), FRAME_ROWS):  # a row may be a guest of all cells
+                    yield own.iloc[i[at : at + FRAME_ROWS]].assign(cell=first[n] + k[at : at + FRAME_ROWS], home=False)
 
     schema = f"cell long, home boolean, {', '.join(f'{c} {t}' for c, t in vectors.dtypes)}"
     rows = vectors.select("vec", *others).mapInPandas(deal, schema)
@@ -121,14 +125,28 @@ def in_blocks(cells: DataFrame) -> DataFrame:
 
 def _near(frame: pd.DataFrame, eps: float) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
     """(rows of the first side, of the second, which are near) of a group of in_blocks(); a row isn't near itself, a pair of one block is
-    there both ways."""
+    there both ways. What is held are the rows and a byte for each pair, however many are near."""
     first, second = frame[frame["first"]], frame[frame["second"]]
     for a, b in _by_length(first, second):
-        x, y = _rows(a["vec"]), _rows(b["vec"])
-        near = _far(x, y) <= eps * eps + TOLERANCE
-        i, j = np.nonzero(near)
-        near[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum(1)) <= eps
-        yield a, b, near & (a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :])
+        x, y, ia, ib = _rows(a["vec"]), _rows(b["vec"]), a["id"].to_numpy(), b["id"].to_numpy()
+        near = np.zeros((len(x), len(y)), bool)
+        for at in range(0, len(x), AT_ONCE):
+            own = near[at : at + AT_ONCE]
+            own[:] = (_far(x[at : at + AT_ONCE], y) <= eps * eps + TOLERANCE) & (ia[at : at + AT_ONCE, None] != ib)
+            i, j = np.nonzero(own)
+            for k in range(0, len(i), PAIRS):
+                p, q = i[k : k + PAIRS], j[k : k + PAIRS]
+                own[p, q] = np.sqrt(((x[at + p] - y[q]) ** 2).sum(1)) <= eps
+        yield a, b, near
+
+
+def _weighed(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(near @ b, a @ near) without a copy of the whole matrix as numbers."""
+    rows, columns = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    for at in range(0, len(a), AT_ONCE):
+        part = near[at : at + AT_ONCE].astype(np.float64)  # exact up to 2^53
+        rows[at : at + AT_ONCE], columns = part @ b, columns + (a[at : at + AT_ONCE] @ part).astype(np.int64)
+    return rows, columns
 
 
 _GROUP = ("cell", "kind", "b1", "b2")
@@ -140,14 +158,15 @@ def near_pairs(vectors: DataFrame, eps: float) -> DataFrame:
     ids are distinct, no vector is null; where many are equal, vector_classes() keeps one of them.
     """
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((2, 0), np.int64)]
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(frames)
         one = frame["first"].eq(frame["second"]).all()  # a block with itself has each pair twice
         for a, b, near in _near(frame, eps):
-            i, j = np.nonzero(near)
-            ids = np.stack([a["id"].to_numpy()[i], b["id"].to_numpy()[j]])
-            out.append(ids[:, ids[0] < ids[1]] if one else np.sort(ids, axis=0))
-        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["id1", "id2"])
+            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+            for at in range(0, len(ia), AT_ONCE):  # handed on by parts, as all rows of two blocks may be near
+                i, j = np.nonzero(near[at : at + AT_ONCE])
+                ids = np.stack([ia[at + i], ib[j]])
+                yield pd.DataFrame((ids[:, ids[0] < ids[1]] if one else np.sort(ids, axis=0)).T, columns=["id1", "id2"])
 
     return in_blocks(in_cells(vectors.select("id", "vec"), eps)).groupBy(*_GROUP).applyInPandas(pairs, "id1 long, id2 long")
 
@@ -187,9 +206,10 @@ def near_counts(blocks: DataFrame, eps: float) -> DataFrame:
         out = [pd.DataFrame({"id": np.zeros(0, np.int64), "around": np.zeros(0, np.int64)})]
         one = frame["first"].eq(frame["second"]).all()
         for a, b, near in _near(frame, eps):
-            out.append(pd.DataFrame({"id": a["id"], "around": near @ b["n"].to_numpy()}))
+            rows, columns = _weighed(near, a["n"].to_numpy(), b["n"].to_numpy())
+            out.append(pd.DataFrame({"id": a["id"], "around": rows}))
             if not one:
-                out.append(pd.DataFrame({"id": b["id"], "around": near.T @ a["n"].to_numpy()}))
+                out.append(pd.DataFrame({"id": b["id"], "around": columns}))
         found = pd.concat(out)
         return found[found["around"] > 0]
 

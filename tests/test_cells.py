@@ -1,8 +1,10 @@
 """Near vectors and DBSCAN by cells against all pairs and the sequential rule."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,22 @@ def test_empty_and_single(spark):
     none = spark.createDataFrame([], POINTS)
     assert ve.near_pairs(none, 1.0).count() == 0 and ve.dbscan(none, 1.0).count() == 0
     assert ve.near_pairs(spark.createDataFrame([(1, [0.0])], POINTS), 1.0).count() == 0
+
+
+def test_dealing_and_measuring_take_little_memory(spark, monkeypatch):
+    """Rows that are guests of every cell are handed on by parts, and pairs are measured by parts: no frame or product grows with them."""
+    rnd = np.random.default_rng(4)
+    frame = pd.DataFrame({"id": np.arange(2000), "vec": list(rnd.normal(size=(2000, 64)) * 0.05), "first": True, "second": True})
+    tracemalloc.start()
+    (_, _, near), = ve._near(frame, 10.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert near.sum() == 2000 * 1999 and peak < 100e6  # the differences of all near pairs alone are 2 GB
+    n = rnd.integers(1, 9, 2000)
+    rows, columns = ve._weighed(near, n, n)
+    assert (rows == n.sum() - n).all() and (columns == rows).all()
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in zip(range(2000), frame["vec"])], POINTS).coalesce(1)
+    monkeypatch.setattr(ve, "CELL_ROWS", 20)
+    cells = ve.in_cells(points, 10.0)
+    sizes = cells.groupBy("id", "home").count().filter("home").agg(F.sum("count"), F.max("count")).head()
+    assert tuple(sizes) == (2000, 1) and cells.count() > 2000 * 40
