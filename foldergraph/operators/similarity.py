@@ -168,12 +168,13 @@ def similar_pairs(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFram
     Each pair comes from the group of its rarest common term, so nothing is brought together afterwards.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        group = _Group(frame, least)
-        i, j, sim = (np.concatenate(x) for x in zip((np.zeros(0, int), np.zeros(0, int), np.zeros(0)), *group.pairs()))
-        turn = group.ids[i] > group.ids[j]
-        i, j = np.where(turn, j, i), np.where(turn, i, j)
-        return pd.DataFrame({"id1": group.ids[i], "id2": group.ids[j], "sim": sim, "n1": group.n[i], "n2": group.n[j]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = _Group(pd.concat(frames), least)
+        for i, j, sim in group.pairs():  # handed on by parts, as a group may have pairs by the million
+            if len(i):
+                turn = group.ids[i] > group.ids[j]
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+                yield pd.DataFrame({"id1": group.ids[i], "id2": group.ids[j], "sim": sim, "n1": group.n[i], "n2": group.n[j]})
 
     return _postings(classes, least).groupBy(*_GROUP).applyInPandas(run, "id1 long, id2 long, sim double, n1 long, n2 long")
 
