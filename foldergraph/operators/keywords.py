@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.functions.text import extension_tag, stem, terms
-from foldergraph.functions.values import TAG_SCORE, TOP_PROFILE, TOP_TERMS
+from foldergraph.functions.values import STOPWORDS, TAG_SCORE, TOP_PROFILE, TOP_TERMS
 from foldergraph.operators.skew import group_totals, salt
 
 
@@ -16,16 +21,42 @@ def top_terms(rows: DataFrame, n: int, key: str = "file_id") -> DataFrame:
     return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
 
 
+def _counted(n: int) -> Callable[[Column], Column]:
+    """terms() of an array of texts, counted: term, score of the n most frequent, in order; on a tie the smaller term."""
+    word, no_term, out = re.compile("[a-zA-Z0-9]+"), frozenset(STOPWORDS), pa.struct([("term", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("array<struct<term string, score double>>")
+    def count(texts: pa.Array) -> pa.Array:
+        ends, found, scores = [0], [], []
+        for row in texts:
+            seen, own = Counter(), Counter()
+            for text in row:
+                seen.update(word.findall(text.as_py()))
+            for w, k in seen.items():
+                if len(w) >= 3 and not w.isdecimal() and (low := w.lower()) not in no_term:
+                    own[low] += k
+            best = sorted(own.items(), key=lambda x: (-x[1], x[0]))[:n]
+            found += [w for w, _ in best]
+            scores += [float(k) for _, k in best]
+            ends.append(len(found))
+        rows = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64())], fields=list(out))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    return count
+
+
 def term_frequency(contents: DataFrame, n: int = TOP_TERMS, of: DataFrame | None = None) -> DataFrame:
     """file_id, term, score (count), place: the n most frequent terms of each content; with `of`, of its files alone.
 
-    Contents are dealt by file_id once; the join, counts and places go on without another shuffle of them.
+    Contents are dealt by file_id once; the join, counts and places go on without another shuffle of them. A file's terms are counted
+    by themselves: what a task holds are its texts, not a table of the terms of all its files.
     """
     found = contents.select("file_id", "content").repartition("file_id")
     if of is not None:
         found = found.join(of.select("file_id").distinct(), "file_id")  # a semi join would be moved below the dealing
-    found = found.select("file_id", F.explode(terms(F.col("content"))).alias("term"))
-    return top_terms(found.groupBy("file_id", "term").agg(F.count("*").cast("double").alias("score")), n)
+    found = found.groupBy("file_id").agg(F.collect_list("content").alias("texts"))  # one text, if ids aren't repeated
+    found = found.select("file_id", F.posexplode(_counted(n)(F.col("texts"))).alias("at", "e"))
+    return found.select("file_id", "e.term", "e.score", (F.col("at") + 1).alias("place"))
 
 
 def content_entries(contents: DataFrame) -> DataFrame:

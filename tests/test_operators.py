@@ -315,3 +315,12 @@ def test_folder_replies(spark):
 
     out = {r.path: (r.guarded, r.reason) for r in refine.classify_folders(prompts, ask).collect()}
     assert out == {"/0": (True, "r"), "/1": (False, ""), "/2": (False, "reply not understood"), "/3": (False, "gone")}
+
+
+def test_terms_are_counted_without_a_table_of_all_files(spark, capsys):
+    """Each file's terms are counted by themselves: no aggregate is keyed by term, and rows of one id count as one file."""
+    rows = [(1, "Alpha beta, ALPHA the 123 ab a1b"), (1, "beta gamma alpha"), (2, None), (3, "xKelvin zeta-zeta")]
+    found = keywords.term_frequency(spark.createDataFrame(rows, "file_id long, content string"), 3)
+    assert {tuple(r) for r in found.collect()} == {(1, "alpha", 3.0, 1), (1, "beta", 2.0, 2), (1, "a1b", 1.0, 3), (3, "zeta", 2.0, 1), (3, "elvin", 1.0, 2)}
+    found.explain()
+    assert not any("Aggregate(" in line and "term" in line for line in capsys.readouterr().out.splitlines())
