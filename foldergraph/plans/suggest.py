@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foldergraph.functions.values import MAX_FILES, MIN_FILES, MIN_SIMILARITY, SUB_STEP
 from foldergraph.operators import clusters as cl
 from foldergraph.operators.folders import under_guard
-from foldergraph.operators.keywords import merged_entries, tfidf
+from foldergraph.operators.keywords import merged_entries, profiles, tfidf
 from foldergraph.operators.similarity import folder_coherence, orphan_files, profile_classes, profile_sums, similar_links
 from foldergraph.operators.vectors import cluster_cohesion, dbscan
 from foldergraph.sources.shared import cut
@@ -21,8 +21,7 @@ def orphaned(files: DataFrame, guards: DataFrame, roots: list[str], least_files:
     Guards are looked up once, without contents; these are read once, for the entries, and all else goes on without them.
     """
     narrow = cut(under_guard(files.drop("content"), guards).withColumn("folder", F.col("parent_dir")), "files")
-    entries = cut(merged_entries(narrow, contents=files), "entries")
-    keywords = cut(tfidf(entries, narrow), "keywords")
+    entries, keywords = profiles(merged_entries(narrow, contents=files), narrow)
     folders = folder_coherence(narrow.select("file_id", "folder"), keywords, least=least_files)
     ids = orphan_files(narrow.select("file_id", "folder"), folders, roots)
     return cut(narrow.join(ids, "file_id", "left_semi"), "orphans"), keywords, entries

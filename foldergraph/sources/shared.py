@@ -10,6 +10,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a task of a job that says how many it deals.
+ROWS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,21 +35,32 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, path: str, by: tuple[str, ...] = (), codec: str = "zstd") -> None:
-    """Write df, in folders by the values of `by`. The shuffle files of the job go once the table is there."""
+def _small_tasks(rows: int) -> dict[str, str]:
+    """Settings of a job whose largest shuffle has `rows` rows: its tasks get more, not larger, as the rows do."""
+    return {"spark.sql.shuffle.partitions": str(max(1, -(-rows // ROWS))), "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m", "spark.sql.files.maxPartitionBytes": "8m"}
+
+
+def write(df: DataFrame, path: str, by: tuple[str, ...] = (), codec: str = "zstd", rows: int | None = None) -> None:
+    """Write df, in folders by the values of `by`. The shuffle files of the job go once the table is there.
+
+    With `rows`, about how many the job's largest shuffle has, tasks are as many as leave ROWS to each.
+    """
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({} if rows is None else _small_tasks(rows))
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", codec).partitionBy(*by).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back, so that later jobs don't depend on executors' shuffle files."""
+def cut(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back, so that later jobs don't depend on executors' shuffle files; `rows` as in write()."""
     path = new_dir(df.sparkSession, name)
-    write(df, path, codec=codec)
+    write(df, path, codec=codec, rows=rows)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from foldergraph.functions import vectors as vec
 from foldergraph.operators import clusters, embeddings, folders, inventory, keywords, refine, similarity
 from foldergraph.operators.components import connected_components
 from foldergraph.operators.vectors import dbscan
+from foldergraph.sources import shared
 from foldergraph.sources.files import extract_directory, scan_directory
 
 
@@ -324,3 +325,34 @@ def test_terms_are_counted_without_a_table_of_all_files(spark, capsys):
     assert {tuple(r) for r in found.collect()} == {(1, "alpha", 3.0, 1), (1, "beta", 2.0, 2), (1, "a1b", 1.0, 3), (3, "zeta", 2.0, 1), (3, "elvin", 1.0, 2)}
     found.explain()
     assert not any("Aggregate(" in line and "term" in line for line in capsys.readouterr().out.splitlines())
+
+
+def test_tasks_get_more_not_larger(spark, monkeypatch):
+    """A job that says how many rows it deals has a task for each ROWS of them, and leaves the session's settings as they were."""
+    monkeypatch.setattr(shared, "ROWS", 100)
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(k, None) for k in keys]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(3000).groupBy((F.col("id") * 7).alias("k")).agg(F.count("*").alias("n")).withColumn("task", F.spark_partition_id())
+        tasks = [shared.cut(rows, "rows", rows=n).select("task").distinct().count() for n in (1500, 3000, 0)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks == [15, 30, 1] and [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_profiles_make_each_list_by_itself(spark, capsys, monkeypatch):
+    """No window or sort holds the entries of a task's files; lists longer than n, repeated ids and many small tasks give the same rows."""
+    rows = [(1, "data_one.txt", ".txt", "one two two data data DATA"), (1, "text.txt", ".txt", None), (2, None, None, None), (3, "aaa bbb aaa", "pdf", "aaa ccc ccc")]
+    files = spark.createDataFrame(rows, "file_id long, name string, extension string, content string")
+    entries = keywords.merged_entries(files, 3)
+    assert {tuple(r) for r in entries.collect()} == {(1, "text", 5.0, 2), (1, "data", 3.0, 1), (3, "document", 5.0, 1), (3, "ccc", 2.0, 1), (3, "aaa", 1.0, 1)}
+    assert {tuple(r) for r in keywords.merged_entries(files.filter("file_id = 3")).collect()} == {(3, "document", 5.0, 1), (3, "ccc", 2.0, 1), (3, "aaa", 1.0, 3), (3, "bbb", 1.0, 1)}
+    entries.explain()
+    assert not any(word in capsys.readouterr().out for word in ("Window", "Union"))
+    monkeypatch.setattr(shared, "ROWS", 2)
+    many = [(i, f"note{i % 7}.md", ".md", f"word{i % 5} word{i % 11} other") for i in range(60)]
+    files = spark.createDataFrame(many, files.schema)
+    made, found = keywords.profiles(keywords.merged_entries(files), files, 3)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, keywords.merged_entries(files).collect()))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, keywords.tfidf(made, files, 3).collect())) and found.count() == 180
