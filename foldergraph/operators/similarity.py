@@ -218,7 +218,8 @@ def file_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 def folder_coherence(files: DataFrame, keywords: DataFrame, coherent: float = COHERENT, least: int = MIN_FILES) -> DataFrame:
     """folder, n_files, coherence, coherent for folders of at least `least` files(file_id, folder).
 
-    The mean cosine of all pairs comes from the sum of the unit profiles: |sum|^2 holds each pair twice, and each profile once.
+    The mean cosine of all pairs comes from the sum of the unit profiles: |sum|^2 holds each pair twice, and each profile once. The
+    result is written, by tasks that get more, not larger, as the keywords do; these are counted first and so best a written table.
     """
     sizes = files.groupBy("folder").agg(F.count("*").alias("n_files")).filter(F.col("n_files") >= least)
     members = lookup(files.select("file_id", "folder").withColumn("_salt", salt(files.sparkSession, "file_id")), sizes.select("folder"), ["folder"], "_salt").drop("_salt")
@@ -227,7 +228,8 @@ def folder_coherence(files: DataFrame, keywords: DataFrame, coherent: float = CO
     sums = own.groupBy("folder", "term").agg(F.sum("u").alias("s")).groupBy("folder").agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
     rows = sizes.join(sums, "folder", "left").join(full, "folder", "left")
     mean = F.coalesce((F.col("sq") - F.col("m")) / (F.col("n_files") * (F.col("n_files") - 1)), F.lit(0.0))
-    return rows.select("folder", "n_files", mean.alias("coherence"), (F.round(mean, 9) >= coherent).alias("coherent"))
+    rows = rows.select("folder", "n_files", mean.alias("coherence"), (F.round(mean, 9) >= coherent).alias("coherent"))
+    return cut(rows, "coherence", rows=keywords.count())
 
 
 def folder_outliers(files: DataFrame, keywords: DataFrame, folders: DataFrame, coherent: float = COHERENT) -> DataFrame:
@@ -237,7 +239,8 @@ def folder_outliers(files: DataFrame, keywords: DataFrame, folders: DataFrame, c
     own = unit_terms(keywords).join(members, "file_id").withColumn("_salt", salt(files.sparkSession, "file_id"))
     near = group_totals(own, ["folder", "term"], "_salt", s=("sum", "u")).groupBy("file_id").agg((F.sum(F.col("u") * F.col("s")) - 1).alias("others"))
     mean = F.coalesce("others", F.lit(0.0)) / (F.col("n_files") - 1)
-    return members.join(near, "file_id", "left").select("folder", "file_id", mean.alias("mean_sim")).filter(F.round("mean_sim", 9) < coherent)
+    out = members.join(near, "file_id", "left").select("folder", "file_id", mean.alias("mean_sim")).filter(F.round("mean_sim", 9) < coherent)
+    return cut(out, "outliers", rows=keywords.count())
 
 
 def orphan_files(files: DataFrame, folders: DataFrame, roots: list[str]) -> DataFrame:
