@@ -22,7 +22,8 @@ def cluster_prompts(members: DataFrame, files: DataFrame, keywords: DataFrame, n
     """cluster_id, prompt: the cluster's files, numbered in order of id, with folder and first n keywords.
 
     A prompt is one text for a model: it names the first `most` files of a cluster and how many more there are. Files of which nothing
-    is known are left out, a null name or folder is written as an empty one.
+    is known are left out, a null name or folder is written as an empty one. The prompts are written, by tasks that get more, not
+    larger, as the keywords do; these are counted first and so best a written table.
     """
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n_files"))
     first = rank_in_key(members.select("cluster_id", "file_id"), ["cluster_id"], ["file_id"], "i").filter(F.col("i") < most)
@@ -34,7 +35,8 @@ def cluster_prompts(members: DataFrame, files: DataFrame, keywords: DataFrame, n
     more = F.when(F.col("n_files") > most, F.concat(F.lit("\nand "), (F.col("n_files") - most).cast("string"), F.lit(" more"))).otherwise("")
     ask = 'Do these files belong together?\nFiles:\n{}\nAnswer with JSON only: {{"related": true, "removed": [], "name": "", "description": ""}}'
     head, tail = ask.format("\0").split("\0")
-    return rows.groupBy("cluster_id").agg(lines.alias("lines")).join(sizes, "cluster_id").select("cluster_id", F.concat(F.lit(head), "lines", more, F.lit(tail)).alias("prompt"))
+    prompts = rows.groupBy("cluster_id").agg(lines.alias("lines")).join(sizes, "cluster_id").select("cluster_id", F.concat(F.lit(head), "lines", more, F.lit(tail)).alias("prompt"))
+    return cut(prompts, "prompts", rows=keywords.count())
 
 
 def parsed_reply(raw: Column) -> Column:
