@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.functions.text import base_name, normal_path, safe_name, stem
-from foldergraph.functions.values import LIST_LIMIT, TOP_PROFILE
+from foldergraph.functions.values import LIST_LIMIT, TOP_PROFILE, TOP_TERMS
 from foldergraph.operators.keywords import content_entries
 from foldergraph.operators.skew import lookup, rank_in_key, salt
 from foldergraph.sources.shared import cut
@@ -132,14 +132,18 @@ def classify_folders(prompts: DataFrame, ask: Callable[[str], str]) -> DataFrame
 
 
 def own_keywords(members: DataFrame, files: DataFrame, n: int = TOP_PROFILE) -> DataFrame:
-    """suggestion_id, file_id, term, score, place: TF-IDF of each suggestion's files within the suggestion alone, from their contents."""
-    entries = content_entries(files).join(members.select("suggestion_id", "file_id"), "file_id")
+    """suggestion_id, file_id, term, score, place: TF-IDF of each suggestion's files within the suggestion alone, from their contents.
+
+    Members, entries and result are written; tasks get more, not larger, as the files do.
+    """
+    members = cut(members.select("suggestion_id", "file_id"), "members")
+    entries = cut(content_entries(files).join(members, "file_id"), "entries", rows=files.count() * TOP_TERMS)
     df = entries.groupBy("suggestion_id", "term").agg(F.sum("dup").alias("df"))
     sizes = members.groupBy("suggestion_id").agg(F.count("*").alias("n_files"))
     rows = entries.join(df, ["suggestion_id", "term"]).join(sizes, "suggestion_id")
     rows = rows.select("suggestion_id", "file_id", "term", (F.col("tf") * F.log(F.col("n_files") / F.col("df"))).alias("score"))
     best = Window.partitionBy("suggestion_id", "file_id").orderBy(F.round("score", 9).desc(), "term")
-    return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
+    return cut(rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n), "keywords", rows=entries.count())
 
 
 EXTENSION = r"(\.[^./]*)$"

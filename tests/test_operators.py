@@ -356,3 +356,21 @@ def test_profiles_make_each_list_by_itself(spark, capsys, monkeypatch):
     made, found = keywords.profiles(keywords.merged_entries(files), files, 3)
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, keywords.merged_entries(files).collect()))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, keywords.tfidf(made, files, 3).collect())) and found.count() == 180
+
+
+def test_jobs_on_keywords_say_how_many_rows_they_deal(spark, monkeypatch):
+    """Coherence, outliers, prompts and keywords within suggestions have tasks by their keywords or entries, with the same rows."""
+    said, made = [], shared._small_tasks
+    monkeypatch.setattr(shared, "_small_tasks", lambda rows: said.append(rows) or made(rows))
+    monkeypatch.setattr(shared, "ROWS", 2)
+    files = spark.createDataFrame([(i, f"n{i}", "/a", "aaa bbb" if i < 3 else "ccc ddd") for i in range(4)], "file_id long, name string, parent_dir string, content string")
+    words = spark.createDataFrame([(i, t, 1.0, k) for i in range(4) for k, t in enumerate(("aaa", "bbb") if i < 3 else ("ccc", "ddd"), 1)], "file_id long, term string, score double, place int")
+    placed = files.select("file_id", F.col("parent_dir").alias("folder"))
+    found = similarity.folder_coherence(placed, words, 0.9)
+    assert [(r.folder, r.n_files, round(r.coherence, 9), r.coherent) for r in found.collect()] == [("/a", 4, 0.5, False)] and said == [8]
+    assert {r.file_id: round(r.mean_sim, 9) for r in similarity.folder_outliers(placed, words, found, 0.5).collect()} == {3: 0.0} and said == [8, 8]
+    members = files.select(F.lit(1).alias("cluster_id"), "file_id")
+    prompt = refine.cluster_prompts(members, files, words).head().prompt
+    assert prompt.split("\n")[2:6] == [f"{i + 1}. n{i} (in /a): {'aaa, bbb' if i < 3 else 'ccc, ddd'}" for i in range(4)] and said == [8, 8, 8]
+    own = refine.own_keywords(members.withColumnRenamed("cluster_id", "suggestion_id"), files, 1)
+    assert {(r.file_id, r.term) for r in own.collect()} == {(0, "aaa"), (1, "aaa"), (2, "aaa"), (3, "ccc")} and said == [8, 8, 8, 400, 8]
