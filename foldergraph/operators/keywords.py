@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foldergraph.functions.text import extension_tag, stem, terms
 from foldergraph.functions.values import STOPWORDS, TAG_SCORE, TOP_PROFILE, TOP_TERMS
 from foldergraph.operators.skew import group_totals, salt
-from foldergraph.sources.shared import cut
+from foldergraph.sources.shared import cut, dealt
 
 
 def top_terms(rows: DataFrame, n: int, key: str = "file_id") -> DataFrame:
@@ -81,21 +81,22 @@ def _merged(n: int) -> Callable[[Column, Column, Column], Column]:
     return merge
 
 
-def term_frequency(contents: DataFrame, n: int = TOP_TERMS) -> DataFrame:
-    """file_id, term, score (count), place: the n most frequent terms of each content.
+def term_frequency(contents: DataFrame, n: int = TOP_TERMS, n_files: int | None = None) -> DataFrame:
+    """file_id, term, score (count), place: the n most frequent terms of each content. n_files: how many contents there are, if known.
 
-    Contents are dealt by file_id once. A file's terms are counted by themselves: what a task holds are its texts, not a table of the
-    terms of all its files.
+    Contents are dealt by file_id once, to tasks that get more, not larger, as the files do. A file's terms are counted by themselves:
+    what a task holds are its texts, not a table of the terms of all its files.
     """
-    found = contents.select("file_id", "content").repartition("file_id")
+    n_files = contents.count() if n_files is None else n_files
+    found = dealt(contents.select("file_id", "content"), "file_id", n_files * n)
     found = found.groupBy("file_id").agg(F.collect_list("content").alias("texts"))  # one text, if ids aren't repeated
     found = found.select("file_id", F.posexplode(_counted(n)(F.col("texts"))).alias("at", "e"))
     return found.select("file_id", "e.term", "e.score", (F.col("at") + 1).alias("place"))
 
 
-def content_entries(contents: DataFrame) -> DataFrame:
-    """file_id, term, tf, dup from content alone."""
-    return term_frequency(contents).select("file_id", "term", F.col("score").alias("tf"), F.lit(1).cast("long").alias("dup"))
+def content_entries(contents: DataFrame, n_files: int | None = None) -> DataFrame:
+    """file_id, term, tf, dup from content alone; n_files as in term_frequency()."""
+    return term_frequency(contents, n_files=n_files).select("file_id", "term", F.col("score").alias("tf"), F.lit(1).cast("long").alias("dup"))
 
 
 def merged_entries(files: DataFrame, n: int = TOP_TERMS, contents: DataFrame | None = None) -> DataFrame:

@@ -137,7 +137,8 @@ def own_keywords(members: DataFrame, files: DataFrame, n: int = TOP_PROFILE) ->
     Members, entries and result are written; tasks get more, not larger, as the files do.
     """
     members = cut(members.select("suggestion_id", "file_id"), "members")
-    entries = cut(content_entries(files).join(members, "file_id"), "entries", rows=files.count() * TOP_TERMS)
+    n_files = files.count()
+    entries = cut(content_entries(files, n_files).join(members, "file_id"), "entries", rows=n_files * TOP_TERMS)
     df = entries.groupBy("suggestion_id", "term").agg(F.sum("dup").alias("df"))
     sizes = members.groupBy("suggestion_id").agg(F.count("*").alias("n_files"))
     rows = entries.join(df, ["suggestion_id", "term"]).join(sizes, "suggestion_id")

@@ -35,9 +35,13 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // ROWS))
+
+
 def _small_tasks(rows: int) -> dict[str, str]:
     """Settings of a job whose largest shuffle has `rows` rows: its tasks get more, not larger, as the rows do."""
-    return {"spark.sql.shuffle.partitions": str(max(1, -(-rows // ROWS))), "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m", "spark.sql.files.maxPartitionBytes": "8m"}
+    return {"spark.sql.shuffle.partitions": str(_tasks(rows)), "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m", "spark.sql.files.maxPartitionBytes": "8m"}
 
 
 def write(df: DataFrame, path: str, by: tuple[str, ...] = (), codec: str = "zstd", rows: int | None = None) -> None:
@@ -75,3 +79,9 @@ def recut(df: DataFrame, old: DataFrame, name: str) -> DataFrame:
 
 def slices(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df dealt by key to the session's shuffle partitions, or to more where `rows`, what comes of df, are over ROWS a partition."""
+    n = _tasks(rows)
+    return df.repartition(n, key) if n > slices(df.sparkSession) else df.repartition(key)

@@ -341,6 +341,17 @@ def test_tasks_get_more_not_larger(spark, monkeypatch):
     assert tasks == [15, 30, 1] and [spark.conf.get(k, None) for k in keys] == before
 
 
+def test_contents_are_dealt_to_more_tasks_as_there_are_more(spark, monkeypatch):
+    """Counting terms takes a task for each ROWS of the terms that there may be, whoever reads them; fewer go to the session's partitions."""
+    monkeypatch.setattr(shared, "ROWS", 100)
+    rows = spark.createDataFrame([(i, f"word{i % 3} WORD{i % 3} other{i % 5}") for i in range(60)] + [(0, "word0"), (None, "none none")], "file_id long, content string")
+    found = keywords.term_frequency(rows, 50)
+    assert found.rdd.getNumPartitions() == 31 and max(found.groupBy(F.spark_partition_id()).agg(F.count("*")).toPandas().iloc[:, 1]) < 30
+    assert keywords.term_frequency(rows, 50, n_files=200).rdd.getNumPartitions() == 100
+    want = {(i, t, s, p) for i in range(60) for t, s, p in ((f"word{i % 3}", 2.0 + (i == 0), 1), (f"other{i % 5}", 1.0, 2))} | {(None, "none", 2.0, 1)}
+    assert {tuple(r) for r in found.collect()} == want and {tuple(r) for r in keywords.term_frequency(rows, 2).collect()} == want
+
+
 def test_profiles_make_each_list_by_itself(spark, capsys, monkeypatch):
     """No window or sort holds the entries of a task's files; lists longer than n, repeated ids and many small tasks give the same rows."""
     rows = [(1, "data_one.txt", ".txt", "one two two data data DATA"), (1, "text.txt", ".txt", None), (2, None, None, None), (3, "aaa bbb aaa", "pdf", "aaa ccc ccc")]
