@@ -34,7 +34,7 @@ def suggest_folders(files: DataFrame, guards: DataFrame, roots: list[str], min_s
     found = cut(cl.class_clusters(classes, similar_links(classes, min_similarity), min_files), "clusters")
     found = cut(cl.subclusters(classes, found, max_files, min_similarity + SUB_STEP, min_files), "clusters")
     members = classes.select("file_id", "class_id").join(found.select("class_id", "cluster_id"), "class_id").select("cluster_id", "file_id")
-    names = tfidf(entries.join(orphans.select("file_id"), "file_id", "left_semi"), orphans)
+    names = cut(tfidf(entries.join(orphans.select("file_id"), "file_id", "left_semi"), orphans), "names", rows=entries.count())
     sizes = found.select("cluster_id", "n_files").distinct()
     out = sizes.join(cl.cluster_scores(found, profile_sums(classes, found, min_similarity)), "cluster_id").join(cl.cluster_terms(members, names), "cluster_id", "left").join(cl.cluster_preview(members, orphans), "cluster_id", "left")
     out = out.select("cluster_id", F.coalesce("name", F.lit("group")).alias("name"), F.coalesce("terms", F.lit("")).alias("terms"), "preview", "n_files", F.round("score", 6).alias("score"))

@@ -9,7 +9,7 @@ from foldergraph.functions import vectors as vec
 from foldergraph.operators import clusters, embeddings, folders, inventory, keywords, refine, similarity
 from foldergraph.operators.components import connected_components
 from foldergraph.operators.vectors import dbscan
-from foldergraph.plans import queries
+from foldergraph.plans import queries, suggest
 from foldergraph.sources import shared
 from foldergraph.sources.files import extract_directory, scan_directory
 
@@ -364,6 +364,17 @@ def test_document_frequencies_are_counted_by_more_tasks_as_there_are_more(spark,
     assert said == [6300] and {tuple(r) for r in found.collect()} == {("word0", 20), ("word1", 21), ("word2", 21), ("none", 1)} | {(f"other{k}", 12) for k in range(5)}
 
 
+def test_suggestions_rank_terms_by_tasks_for_all_entries(spark, monkeypatch):
+    """The terms that name suggestions are ranked by a job that says how many entries it deals."""
+    said, made = {}, suggest.cut
+    monkeypatch.setattr(suggest, "cut", lambda df, name, **how: said.update({name: how}) or made(df, name, **how))
+    rows = [(i, f"{i}.zzz", ".zzz", "/r", "apple banana cherry" if i < 3 else f"word{i} other{i}") for i in range(5)]
+    files = spark.createDataFrame(rows, "file_id long, name string, extension string, parent_dir string, content string")
+    guards = spark.createDataFrame([], "path string, guarded boolean, reason string, source string")
+    found = suggest.suggest_folders(files, guards, ["/r"], min_files=2).collect()
+    assert [(r.n_files, r.terms) for r in found] == [(3, "apple, banana, cherry")] and said["names"] == {"rows": 13}
+
+
 def test_profiles_make_each_list_by_itself(spark, capsys, monkeypatch):
     """No window or sort holds the entries of a task's files; lists longer than n, repeated ids and many small tasks give the same rows."""
     rows = [(1, "data_one.txt", ".txt", "one two two data data DATA"), (1, "text.txt", ".txt", None), (2, None, None, None), (3, "aaa bbb aaa", "pdf", "aaa ccc ccc")]
