@@ -18,21 +18,22 @@ from foldergraph.sources.shared import cut
 REPLY = "related boolean, removed array<long>, name string, description string, reason string"
 
 
-def cluster_prompts(members: DataFrame, files: DataFrame, keywords: DataFrame, n: int = 5, most: int = LIST_LIMIT) -> DataFrame:
+def cluster_prompts(members: DataFrame, files: DataFrame, keywords: DataFrame, n: int = 5, most: int | None = None) -> DataFrame:
     """cluster_id, prompt: the cluster's files, numbered in order of id, with folder and first n keywords.
 
-    A prompt is one text for a model: it names the first `most` files of a cluster and how many more there are. Files of which nothing
-    is known are left out, a null name or folder is written as an empty one. The prompts are written, by tasks that get more, not
-    larger, as the keywords do; these are counted first and so best a written table.
+    A prompt is one text for a model and names all files of a cluster; with `most` (None: all) the first so many, and how many more there
+    are. Files of which nothing is known are left out, a null name or folder is written as an empty one. The prompts are written, by
+    tasks that get more, not larger, as the keywords do; these are counted first and so best a written table.
     """
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n_files"))
-    first = rank_in_key(members.select("cluster_id", "file_id"), ["cluster_id"], ["file_id"], "i").filter(F.col("i") < most)
+    first = rank_in_key(members.select("cluster_id", "file_id"), ["cluster_id"], ["file_id"], "i")
+    first = first if most is None else first.filter(F.col("i") < most)
     words = keywords.filter(F.col("place") <= n).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), ", ").alias("words"))
     rows = first.join(files.select("file_id", "name", "parent_dir"), "file_id").join(words, "file_id", "left")
     text = lambda c: F.coalesce(c, F.lit(""))
     line = F.concat((F.col("i") + 1).cast("string"), F.lit(". "), text("name"), F.lit(" (in "), text("parent_dir"), F.lit("): "), text("words"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\n")
-    more = F.when(F.col("n_files") > most, F.concat(F.lit("\nand "), (F.col("n_files") - most).cast("string"), F.lit(" more"))).otherwise("")
+    more = F.lit("") if most is None else F.when(F.col("n_files") > most, F.concat(F.lit("\nand "), (F.col("n_files") - most).cast("string"), F.lit(" more"))).otherwise("")
     ask = 'Do these files belong together?\nFiles:\n{}\nAnswer with JSON only: {{"related": true, "removed": [], "name": "", "description": ""}}'
     head, tail = ask.format("\0").split("\0")
     prompts = rows.groupBy("cluster_id").agg(lines.alias("lines")).join(sizes, "cluster_id").select("cluster_id", F.concat(F.lit(head), "lines", more, F.lit(tail)).alias("prompt"))

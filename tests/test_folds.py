@@ -191,6 +191,16 @@ def test_prompts_name_the_first_of_many(spark):
     assert "\n1. f000 (in /r/a): w\n2. f001 (in /r/a): \nand 48 more\n" in prompt
 
 
+def test_prompts_of_clusters_name_all_files(spark):
+    """Without a limit given, a cluster of more than LIST_LIMIT files names them all, as the SQL of refine_prompt does."""
+    n = 10_020
+    members = spark.range(n).selectExpr("1L AS cluster_id", "id AS file_id")
+    files = spark.range(n).selectExpr("id AS file_id", "'/r' AS parent_dir", "concat('f', id) AS name")
+    words = spark.createDataFrame([(0, "w", 1), (n - 1, "last", 2)], "file_id long, term string, place int")
+    lines = refine.cluster_prompts(members, files, words).head().prompt.split("\n")
+    assert lines[2:-1] == [f"{k + 1}. f{k} (in /r): {'w' if k == 0 else 'last' if k == n - 1 else ''}" for k in range(n)]
+
+
 def test_coherent_folders_stand_for_a_model(spark):
     files = spark.createDataFrame([(1, "/r/a"), (2, "/r/a"), (3, "/r/a/"), (4, "/r/b"), (5, "/r/b"), (6, "/r/b"), (7, "/r/c")], "file_id long, folder string")
     words = spark.createDataFrame([(k, "same" if k < 4 else f"t{k}", 1.0) for k in range(1, 8)], "file_id long, term string, score double")
