@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,14 @@ from pyspark.sql import functions as F
 
 from foldergraph.functions.values import COHERENT, MIN_FILES, MIN_SIMILARITY
 from foldergraph.operators.skew import group_totals, lookup, salt
-from foldergraph.sources.shared import cut
+from foldergraph.sources.shared import cut, slices
 
-#: Profiles of a term that meet as many others in one group; rows of a group of rarer terms; pairs measured at once.
-POSTING, PACK, PRODUCT = 8192, 20000, 32768
-#: Rows of a term that are compared with all others of the term at once.
-WIDE = 64
+#: Profiles of a term that meet as many others in one group; rows of a group of rarer terms; pairs measured at once, and handed on.
+POSTING, PACK, PRODUCT, MEASURED = 8192, 20000, 4096, 1 << 17
+#: Rows of a term that are compared with all others of the term at once; a term of so many rows at most goes without bounds by columns.
+WIDE, FEW = 64, 32
+#: Columns of the bounds; numbers of a table of profiles by terms.
+COLUMNS, TABLE = 126, 1 << 21
 
 
 def unit_terms(keywords: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def _postings(classes: DataFrame, least: float, clusters: DataFrame | None = Non
     profiles with a cosine of at least the threshold have, from their rarest common term on, at least as much of their lengths, so only
     terms up to there are matched. With clusters(class_id, cluster_id) only profiles of a cluster meet. All rows that meet have one
     (pack, alone, b1, b2): a term of more than POSTING profiles is dealt to blocks, and each pair of blocks is a group of its own, the
-    other terms are dealt to packs of about PACK rows. So rows grow with the profiles, and no pair is written.
+    other terms are dealt to packs of about PACK rows. So rows grow with the profiles, and no pair is written. They are dealt by group.
     """
     spark = classes.sparkSession
     heads = classes.filter("file_id = class_id").select("file_id", "class_size", "profile")
@@ -61,7 +64,8 @@ def _postings(classes: DataFrame, least: float, clusters: DataFrame | None = Non
     rows = rows.withColumn("blocks", F.ceil(F.col("e.df") / POSTING).cast("int")).withColumn("own", F.pmod(F.xxhash64("file_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pack, alone = F.when(F.col("blocks") == 1, F.pmod("e.h", F.lit(packs))).alias("pack"), F.when(F.col("blocks") > 1, F.col("e.h")).alias("alone")
-    return rows.select(pack, alone, F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", F.col("e.h").alias("t"), "file_id", "n", "cluster_id", "k", F.col("p.h").alias("h"), F.col("p.u").alias("w"))
+    rows = rows.select(pack, alone, F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", F.col("e.h").alias("t"), "file_id", "n", "cluster_id", "k", F.col("p.h").alias("h"), F.col("p.u").alias("w"))
+    return rows.repartition(max(slices(spark), 2 * packs), *_GROUP)  # groups are few and unlike, so tasks of many would be unlike too
 
 
 _GROUP = ("pack", "alone", "b1", "b2")
@@ -77,78 +81,132 @@ class _Group:
         b1, b2 = frame["b1"].iloc[0], frame["b2"].iloc[0]
         self.sides = None if b1 == b2 else (np.flatnonzero(frame["own"] == b1), np.flatnonzero(frame["own"] == b2))
         size = frame["h"].map(len).to_numpy()
-        place = np.arange(size.max())
-        there = place < size[:, None]
+        self.place = np.arange(size.max())
+        there = self.place < size[:, None]
+        _, code, times = np.unique(np.concatenate(frame["h"].to_numpy()), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1)
+        self.terms = int(number[-1])  # numbered from 1; 0 is none, or a term that no other row has
         self.h, self.w = np.zeros(there.shape, np.int64), np.zeros(there.shape)
-        self.h[there], self.w[there] = np.concatenate(frame["h"].to_numpy()), np.concatenate(frame["w"].to_numpy())
+        self.h[there], self.w[there] = np.where(times > 1, number, 0)[code], np.concatenate(frame["w"].to_numpy())
         self.u = self.w[np.arange(len(frame)), self.k]
-        self.after = np.sqrt((self.w * self.w * (place > self.k[:, None])).sum(1))
-
-    def _some(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of all of i with all of j the pairs that may reach the threshold if t is their rarest common term."""
-        may = self.u[i][:, None] * self.u[j] + self.after[i][:, None] * self.after[j] >= self.least - 1e-9
-        if self.sides is None:
-            may &= i[:, None] < j
-        x, y = np.nonzero(may)
-        return i[x], j[y]
-
-    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows that may reach the threshold, not too many at once; of a term of many rows first those with its first row."""
+        self.after = np.sqrt((self.w * self.w * (self.place > self.k[:, None])).sum(1))
+        self.held = max(1, min(WIDE, TABLE // (self.terms + 1)))
+        self.table = np.zeros((self.held, self.terms + 1))
+
+    def _columns(self, h: np.ndarray, shared: bool) -> tuple[np.ndarray, int, int]:
+        """(the column of each of h, columns, how many of them one term has alone): 0 for terms that no two rows have. Most frequent terms
+        have a column alone; where there are more than COLUMNS, the others share half of these if `shared`, and else have column 0."""
+        term, code, times = np.unique(h, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        order = order[(times[order] > 1) & (term[order] > 0)]
+        alone = len(order) if len(order) <= COLUMNS else COLUMNS // 2 if shared else COLUMNS
+        place = np.arange(len(order))
+        column, width = np.zeros(len(term), np.int64), 1 + (COLUMNS if shared and alone < len(order) else alone)
+        column[order] = 1 + np.where(place < alone, place, alone + (place - alone) % (COLUMNS - COLUMNS // 2) if shared else -1)
+        return column[code.reshape(h.shape)], width, alone
+
+    def _bounds(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two vectors for each of the rows of a term t: the product of the first of one and the second of another is at least their cosine
+        if t is their rarest common term, and may be far below 0 if it isn't.
+
+        Terms after t that share a column count by their lengths. Rarer terms than t have a column alone, of opposite signs, or none.
+        """
+        later = self.place > self.k[rows][:, None]
+        column, width, alone = self._columns(np.where(later, self.h[rows], 0), True)
+        at = np.arange(len(rows))[:, None] * width + column
+        x = np.sqrt(np.bincount(at.ravel(), (self.w[rows] ** 2).ravel(), len(rows) * width)).astype(np.float32)
+        own = (column > 0) & (column <= alone)
+        x[at[own]] = self.w[rows][own]
+        x = x.reshape(-1, width)
+        x[:, 0] = self.u[rows]
+        column, width, _ = self._columns(np.where(self.place < self.k[rows][:, None], self.h[rows], 0), False)
+        rarer = np.zeros((len(rows), width), np.float32)
+        rarer[np.arange(len(rows))[:, None], column] = 8
+        rarer = rarer[:, 1:]
+        return np.hstack([x, rarer]), np.hstack([x, -rarer])
+
+    def _blocks(self, i: np.ndarray, j: np.ndarray, apart: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of all of i with all of j, rows of one term, the pairs that may reach the threshold; if i is j, each once."""
+        same = i is j
+        x, y = self._bounds(i if same else np.r_[i, j])
+        x, y = (x, y) if same else (x[: len(i)], y[len(i) :])
+        for at, end in itertools.pairwise([0, 1, *range(1 + WIDE, len(i), WIDE), len(i)]):  # first the pairs of one row
+            first = at if same else 0
+            may = x[at:end] @ y[first:].T >= self.least - 1e-4
+            if same:
+                may &= np.arange(at, end)[:, None] < np.arange(first, len(j))
+            if apart is not None:
+                may &= apart(i[at:end], j[first:])
+            a, b = np.nonzero(may)
+            yield i[at + a], j[first + b]
+
+    def candidates(self, apart: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows that may reach the threshold, not too many at once, by the first row; with apart(i, j) -> matrix, of those alone."""
         if self.sides is not None:
-            i, j = self.sides
-            if len(i) and len(j):
-                yield self._some(i[:1], j)
-                for at in range(1, len(i), WIDE):
-                    yield self._some(i[at : at + WIDE], j)
+            if all(map(len, self.sides)):
+                yield from self._blocks(*self.sides, apart)
             return
         ends = np.flatnonzero(np.r_[self.t[1:] != self.t[:-1], True]) + 1
         begins = np.r_[0, ends[:-1]]
-        few = np.repeat(ends - begins <= WIDE, ends - begins)
-        left, step = np.flatnonzero(few), 1
+        few = np.repeat(ends - begins <= FEW, ends - begins)
+        left, step, found = np.flatnonzero(few), 1, []
         while len(left := left[left + step < len(few)]):
             left = left[self.t[left] == self.t[left + step]]
             other = left + step
             may = self.u[left] * self.u[other] + self.after[left] * self.after[other] >= self.least - 1e-9
-            yield left[may], other[may]
+            found.append(np.stack([left[may], other[may]]))
             step += 1
+        found = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        yield tuple(found[:, np.argsort(found[0], kind="stable")])
         for begin, end in zip(begins.tolist(), ends.tolist()):
-            if end - begin > WIDE:
+            if end - begin > FEW:
                 rows = np.arange(begin, end)
-                yield self._some(rows[:1], rows)
-                for at in range(begin + 1, end, WIDE):
-                    yield self._some(np.arange(at, min(at + WIDE, end)), np.arange(at, end))
+                yield from self._blocks(rows, rows, apart)
 
     def measured(self, i: np.ndarray, j: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, cosine) of those at least at the threshold; with `once`, of those alone whose rarest common term is t."""
-        sim, new = np.zeros(len(i)), np.ones(len(i), bool)
-        other, weight, k = self.h[j], self.w[j], self.k[i]
-        for at in range(self.h.shape[1]):
-            same = self.h[i, at][:, None] == other
-            sim += self.w[i, at] * (same * weight).sum(1)
-            if once:
-                new &= (at >= k) | ~same.any(1)
-        new &= np.round(sim, 9) >= self.least
+        """(i, j, cosine) of those at least at the threshold; with `once`, of those alone whose rarest common term is t. i is in order."""
+        sim, at = np.zeros(len(i)), 0
+        while at < len(i):
+            low = i[at]
+            end = int(np.searchsorted(i, low + self.held))
+            rows = slice(low, low + self.held)
+            h, w = self.h[rows], self.w[rows]
+            own = np.arange(len(h))[:, None]
+            self.table[own, h] = np.where(self.place < self.k[rows][:, None], np.nan, w) if once else w  # a rarer term makes a pair none
+            self.table[:, 0] = 0
+            for a in range(at, end, PRODUCT):
+                p, q = i[a : min(a + PRODUCT, end)] - low, j[a : min(a + PRODUCT, end)]
+                there = self.table.ravel().take(self.h[q] + (p * self.table.shape[1])[:, None])
+                sim[a : a + len(p)] = np.einsum("ij,ij->i", there, self.w[q])
+            self.table[own, h] = 0
+            at = end
+        new = np.round(sim, 9) >= self.least  # not of NaN
         return i[new], j[new], sim[new]
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(i, j, cosine) of every pair that reaches the threshold and whose rarest common term is t: each pair in one group, once."""
         for i, j in self.candidates():
-            for at in range(0, len(i), PRODUCT):
-                yield self.measured(i[at : at + PRODUCT], j[at : at + PRODUCT], True)
+            for at in range(0, len(i), MEASURED):
+                yield self.measured(i[at : at + MEASURED], j[at : at + MEASURED], True)
 
     def links(self) -> np.ndarray:
         """id1, id2 of some of the pairs that reach the threshold, as many as connect all: those of one piece aren't measured."""
         ids, node = np.unique(self.ids, return_inverse=True)
         label, out = np.arange(len(ids)), []
-        for i, j in self.candidates():
+        piece = label[node]
+        for i, j in self.candidates(lambda i, j: piece[i][:, None] != piece[j]):
             for at in range(0, len(i), PRODUCT):
                 a, b = i[at : at + PRODUCT], j[at : at + PRODUCT]
-                apart = label[node[a]] != label[node[b]]
+                apart = np.flatnonzero(piece[a] != piece[b])
+                if not len(apart):
+                    continue
                 a, b, _ = self.measured(a[apart], b[apart], False)
                 if not len(a):
                     continue
+                _, first = np.unique(piece[a] * len(ids) + piece[b], return_index=True)  # of two pieces one pair says enough
+                a, b = a[first], b[first]
                 hung: dict[int, int] = {}  # of labels
-                for x, y, p, q in zip(node[a].tolist(), node[b].tolist(), label[node[a]].tolist(), label[node[b]].tolist()):
+                for x, y, p, q in zip(node[a].tolist(), node[b].tolist(), piece[a].tolist(), piece[b].tolist()):
                     while p in hung:
                         p = hung[p]
                     while q in hung:
@@ -157,8 +215,9 @@ class _Group:
                         hung[max(p, q)] = min(p, q)
                         out.append((x, y))
                 label[list(hung)] = list(hung.values())
-                while (label != label[label]).any():
-                    label = label[label]
+                while (label != (up := label[label])).any():
+                    label = up
+                piece = label[node]
         return np.sort(ids[np.array(out, np.int64).reshape(-1, 2)], axis=1)
 
 
@@ -206,15 +265,34 @@ def profile_sums(classes: DataFrame, clusters: DataFrame, least: float = MIN_SIM
     return sums.groupBy("cluster_id").agg(F.sum("total").alias("total"), F.sum("k").alias("k"))
 
 
-def file_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """file_id, class_id, n_links of every file: links to files of its own class and to those of near classes."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("id1").alias("class_id"), F.col("n2").alias("n")), F.struct(F.col("id2").alias("class_id"), F.col("n1").alias("n")))).alias("e")).select("e.*")
-    far = ends.groupBy("class_id").agg(F.sum("n").alias("far"))
+def link_counts(classes: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """class_id, far: to how many files of other classes a class is linked, of those that are. A group of _postings() sends a number for
+    each of its classes, not its pairs."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        group = _Group(frame, least)
+        far = np.zeros(len(group.ids))
+        for i, j, _ in group.pairs():
+            far += np.bincount(i, group.n[j], len(far)) + np.bincount(j, group.n[i], len(far))
+        return pd.DataFrame({"class_id": group.ids, "far": far.astype(np.int64)})[far > 0]
+
+    sums = _postings(classes, least).groupBy(*_GROUP).applyInPandas(add, "class_id long, far long")
+    return sums.groupBy("class_id").agg(F.sum("far").alias("far"))
+
+
+def linked_files(classes: DataFrame, far: DataFrame) -> DataFrame:
+    """file_id, class_id, n_links of every file: links to files of its own class, and far(class_id, far) to those of near classes."""
     rows = classes.select("file_id", "class_id", "class_size").withColumn("_salt", salt(classes.sparkSession, "file_id"))
     heads = classes.filter("file_id = class_id").select("class_id").join(far, "class_id", "left")
     return lookup(rows, heads, ["class_id"], "_salt").select("file_id", "class_id", (F.col("class_size") - 1 + F.coalesce("far", F.lit(0))).cast("long").alias("n_links"))
 
 
+def file_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """linked_files() by pairs of similar_pairs()."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("id1").alias("class_id"), F.col("n2").alias("n")), F.struct(F.col("id2").alias("class_id"), F.col("n1").alias("n")))).alias("e")).select("e.*")
+    return linked_files(classes, ends.groupBy("class_id").agg(F.sum("n").alias("far")))
+
+
 def folder_coherence(files: DataFrame, keywords: DataFrame, coherent: float = COHERENT, least: int = MIN_FILES) -> DataFrame:
     """folder, n_files, coherence, coherent for folders of at least `least` files(file_id, folder).
 

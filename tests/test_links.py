@@ -89,3 +89,30 @@ def test_frequent_terms_move_no_pairs(spark, monkeypatch, posting):
     got = [tuple(r) for r in similarity.similar_pairs(classes).select("id1", "id2").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert similarity.similar_links(classes).count() <= met.count()
+
+
+@pytest.mark.parametrize(("columns", "table", "posting"), [(126, 1 << 21, 8192), (4, 64, 8192), (6, 1, 90)])
+def test_bounds_leave_few_pairs_to_measure(spark, monkeypatch, columns, table, posting):
+    """Texts that share frequent words are near by dozens of terms at once: a pair is measured where its rarest one is, and hardly elsewhere."""
+    for name, value in (("COLUMNS", columns), ("TABLE", table), ("POSTING", posting), ("FEW", 3), ("WIDE", 7), ("PRODUCT", 50)):
+        monkeypatch.setattr(similarity, name, value)
+    rnd = random.Random(8)
+    common = [f"c{k}" for k in range(12)]
+    rows = [(d, t, 1.0 + rnd.random()) for d in range(200) for t in rnd.sample(common, 9)]
+    rows += [(d, f"r{rnd.randrange(60)}", rnd.choice([-1.0, 0.5, 3.0])) for d in range(200)] + [(d, f"only{d}", 2.0) for d in range(0, 200, 3)]
+    classes = similarity.profile_classes(spark.createDataFrame(rows, SCORES).dropDuplicates(["file_id", "term"])).cache()
+    unit = {r.file_id: {t: s for t, s in r.profile} for r in classes.collect()}
+    unit = {d: {t: s / sum(x * x for x in p.values()) ** 0.5 for t, s in p.items()} for d, p in unit.items()}
+    sims = {(a, b): sum(u * unit[b].get(t, 0.0) for t, u in unit[a].items()) for a in unit for b in unit if a < b}
+    for least in (0.45, 0.8):
+        pairs = similarity.similar_pairs(classes, least)
+        got = {(r.id1, r.id2): r.sim for r in pairs.collect()}
+        assert set(got) == {k for k, x in sims.items() if round(x, 9) >= least} and all(got[k] == pytest.approx(sims[k]) for k in got)
+        assert _components(similarity.similar_links(classes, least)) == _components(pairs)
+        links = {r.file_id: r.n_links for r in similarity.linked_files(classes, similarity.link_counts(classes, least)).collect()}
+        assert links == {r.file_id: r.n_links for r in similarity.file_links(classes, pairs).collect()}
+    groups = [similarity._Group(f, 0.45) for _, f in similarity._postings(classes, 0.45).toPandas().groupby(list(similarity._GROUP), dropna=False)]
+    near = sum(x >= 0.45 for x in sims.values())
+    if columns > 12:
+        assert sum(len(i) for g in groups for i, _ in g.candidates()) < 1.2 * near
+    assert max(g.table.size for g in groups) <= max(table, max(g.terms for g in groups) + 1)
