@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldergraph.functions.values import MIN_FILES
-from foldergraph.operators.components import connected_components
+from foldergraph.operators.components import connected_components, forest
 from foldergraph.operators.skew import global_rank, group_totals, lookup, salt
 from foldergraph.sources.shared import cut
 
-#: Rows that a task compares with as many others.
-BLOCK_ROWS = 4096
+#: Rows that a task compares with as many others: to bring a row there costs as much as to compare it with a thousand others.
+BLOCK_ROWS = 16384
 #: Cells have about so many rows, as long as that takes no more pivots than are sent to all tasks.
-CELL_ROWS, PIVOTS = 1024, 1024
+CELL_ROWS, PIVOTS = 8192, 1024
 #: Rows whose distances to a block or to all pivots are made at once; rows of a frame that is handed on; pairs that are measured at once.
 AT_ONCE, FRAME_ROWS, PAIRS = 256, 8192, 16384
 #: Distances by matrix products are this exact; what they let pass is measured.
@@ -123,29 +124,54 @@ def in_blocks(cells: DataFrame) -> DataFrame:
     return among.unionByName(hosts).unionByName(met).drop("h", "g", "own", "other")
 
 
-def _near(frame: pd.DataFrame, eps: float) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
+def _within(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of x, which of AT_ONCE rows from there on are near to which of y), by products as exact as numbers of 32 bits allow, if these
+    tell distances about eps apart, and else of 64; pairs that they leave open are measured."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    far_x, far_y = ~np.isfinite(xx), ~np.isfinite(yy)  # of no row within any number
+    slack = (x.shape[1] + 8) * (np.max(xx[~far_x], initial=0) + np.max(yy[~far_y], initial=0))
+    kind = np.float32 if slack * 2.0**-23 < eps * eps / 100 else np.float64
+    slack = slack * (2.0**-23 if kind is np.float32 else 2.0**-51) + TOLERANCE * eps * eps
+    one = np.ones((len(y), 1))
+    u = np.where(far_x[:, None], 0, np.c_[x, -xx / 2, one[:1].repeat(len(x), 0)]).astype(kind)
+    v = np.where(far_y[:, None], 0, np.c_[y, one, -yy / 2]).astype(kind).T  # u @ v: minus half the squared distance
+    for at in range(0, len(x), AT_ONCE):
+        close = u[at : at + AT_ONCE] @ v
+        near = close >= -(eps * eps - slack) / 2
+        open_ = np.flatnonzero((close >= -(eps * eps + slack) / 2) != near)
+        for k in range(0, len(open_), PAIRS):
+            i, j = np.divmod(open_[k : k + PAIRS], len(y))
+            near[i, j] = np.sqrt(((x[at + i] - y[j]) ** 2).sum(1)) <= eps
+        near[far_x[at : at + AT_ONCE]] = False
+        near[:, far_y] = False
+        yield at, near
+
+
+def _near(frame: pd.DataFrame, eps: float, most: int | None = None) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
     """(rows of the first side, of the second, which are near) of a group of in_blocks(); a row isn't near itself, a pair of one block is
-    there both ways. What is held are the rows and a byte for each pair, however many are near."""
+    there both ways. What is held are the rows and a byte for each pair, however many are near; with `most`, so many rows of the first
+    side come at once."""
     first, second = frame[frame["first"]], frame[frame["second"]]
     for a, b in _by_length(first, second):
-        x, y, ia, ib = _rows(a["vec"]), _rows(b["vec"]), a["id"].to_numpy(), b["id"].to_numpy()
-        near = np.zeros((len(x), len(y)), bool)
-        for at in range(0, len(x), AT_ONCE):
-            own = near[at : at + AT_ONCE]
-            own[:] = (_far(x[at : at + AT_ONCE], y) <= eps * eps + TOLERANCE) & (ia[at : at + AT_ONCE, None] != ib)
-            i, j = np.nonzero(own)
-            for k in range(0, len(i), PAIRS):
-                p, q = i[k : k + PAIRS], j[k : k + PAIRS]
-                own[p, q] = np.sqrt(((x[at + p] - y[q]) ** 2).sum(1)) <= eps
-        yield a, b, near
+        _, ia, ib = np.intersect1d(a["id"], b["id"], assume_unique=True, return_indices=True)
+        step, held, begin = len(a) if most is None else most, [], 0
+        for at, part in _within(_rows(a["vec"]), _rows(b["vec"]), eps):
+            own, end = (ia >= at) & (ia < at + len(part)), at + len(part)
+            part[ia[own] - at, ib[own]] = False
+            held.append(part)
+            if end - begin >= step or end == len(a):
+                yield a.iloc[begin:end], b, held[0] if len(held) == 1 else np.concatenate(held)
+                held, begin = [], end
 
 
 def _weighed(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(near @ b, a @ near) without a copy of the whole matrix as numbers."""
+    """(near @ b, a @ near) by the pairs that are near, not too many at once."""
     rows, columns = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     for at in range(0, len(a), AT_ONCE):
-        part = near[at : at + AT_ONCE].astype(np.float64)  # exact up to 2^53
-        rows[at : at + AT_ONCE], columns = part @ b, columns + (a[at : at + AT_ONCE] @ part).astype(np.int64)
+        part = near[at : at + AT_ONCE]
+        i, j = np.divmod(np.flatnonzero(part), part.shape[1])
+        rows[at : at + AT_ONCE] = np.bincount(i, b[j], len(part))  # exact up to 2^53
+        columns += np.bincount(j, a[at + i], len(b)).astype(np.int64)
     return rows, columns
 
 
@@ -161,12 +187,10 @@ def near_pairs(vectors: DataFrame, eps: float) -> DataFrame:
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.concat(frames)
         one = frame["first"].eq(frame["second"]).all()  # a block with itself has each pair twice
-        for a, b, near in _near(frame, eps):
-            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-            for at in range(0, len(ia), AT_ONCE):  # handed on by parts, as all rows of two blocks may be near
-                i, j = np.nonzero(near[at : at + AT_ONCE])
-                ids = np.stack([ia[at + i], ib[j]])
-                yield pd.DataFrame((ids[:, ids[0] < ids[1]] if one else np.sort(ids, axis=0)).T, columns=["id1", "id2"])
+        for a, b, near in _near(frame, eps, AT_ONCE):  # handed on by parts, as all rows of two blocks may be near
+            i, j = np.nonzero(near)
+            ids = np.stack([a["id"].to_numpy()[i], b["id"].to_numpy()[j]])
+            yield pd.DataFrame((ids[:, ids[0] < ids[1]] if one else np.sort(ids, axis=0)).T, columns=["id1", "id2"])
 
     return in_blocks(in_cells(vectors.select("id", "vec"), eps)).groupBy(*_GROUP).applyInPandas(pairs, "id1 long, id2 long")
 
@@ -179,38 +203,18 @@ def _by_length(first: pd.DataFrame, second: pd.DataFrame) -> Iterator[tuple[pd.D
             yield a, b[n]
 
 
-def _pieces(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece of each row, of each column) of a matrix that says which rows and columns are linked: what hangs together is a piece; a row
-    or column without links is one by itself. Every row and column is gone through once."""
-    rows, columns = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
-    piece = 0
-    for start in range(len(rows)):
-        if rows[start] >= 0:
-            continue
-        rows[start], todo = piece, np.array([start])
-        while len(todo):
-            new = np.flatnonzero(near[todo].any(0) & (columns < 0))
-            columns[new] = piece
-            todo = np.flatnonzero(near[:, new].any(1) & (rows < 0))
-            rows[todo] = piece
-        piece += 1
-    alone = columns < 0
-    columns[alone] = np.arange(piece, piece + alone.sum())
-    return rows, columns
-
-
 def near_counts(blocks: DataFrame, eps: float) -> DataFrame:
     """id, around: how many other rows (by their n) are within eps. A group sends a sum for each of its rows, not its pairs."""
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"id": np.zeros(0, np.int64), "around": np.zeros(0, np.int64)})]
         one = frame["first"].eq(frame["second"]).all()
-        for a, b, near in _near(frame, eps):
+        for a, b, near in _near(frame, eps, AT_ONCE):
             rows, columns = _weighed(near, a["n"].to_numpy(), b["n"].to_numpy())
             out.append(pd.DataFrame({"id": a["id"], "around": rows}))
             if not one:
                 out.append(pd.DataFrame({"id": b["id"], "around": columns}))
-        found = pd.concat(out)
+        found = pd.concat(out).groupby("id", as_index=False).sum()
         return found[found["around"] > 0]
 
     return blocks.groupBy(*_GROUP).applyInPandas(count, "id long, around long").groupBy("id").agg(F.sum("around").alias("around"))
@@ -221,20 +225,21 @@ def core_links(blocks: DataFrame, eps: float) -> DataFrame:
     each other row the least ids of the pieces that it is near to. A few rows for each row of a group, not its pairs."""
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "core": np.zeros(0, bool), "rep": np.zeros(0, np.int64)})]
-        for a, b, near in _near(frame, eps):
+        ids = np.unique(frame["id"])
+        label, edges = np.arange(len(ids)), [np.zeros((2, 0), np.int64)]  # the least node of each node's piece; (row that isn't core, core row)
+        for a, b, near in _near(frame, eps, AT_ONCE):
             ca, cb = a["core"].to_numpy(), b["core"].to_numpy()
-            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-            pa, pb = _pieces(near[np.ix_(ca, cb)])
-            ids, piece = np.r_[ia[ca], ib[cb]], np.r_[pa, pb]
-            least = np.full(piece.max(initial=-1) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, piece, ids)
-            out.append(pd.DataFrame({"id": ids, "core": True, "rep": least[piece]}))
-            for own, other, seen in ((ia[~ca], least[pb], near[np.ix_(~ca, cb)]), (ib[~cb], least[pa], near[np.ix_(ca, ~cb)].T)):
-                i, j = np.nonzero(seen)
-                out.append(pd.DataFrame({"id": own[i], "core": False, "rep": other[j]}).drop_duplicates())
-        found = pd.concat(out)
-        return found[~found["core"] | (found["id"] != found["rep"])].drop_duplicates()
+            na, nb = np.searchsorted(ids, a["id"]), np.searchsorted(ids, b["id"])
+            for at, end in itertools.pairwise((0, 1, 16, AT_ONCE)):  # what the first rows are near to hangs together before others are gone through
+                i, j = np.nonzero(near[at:end] & ca[at:end, None] & cb & (label[na[at:end]][:, None] != label[nb]))
+                node, least = forest(label[na[at + i]], label[nb[j]])
+                label[node] = least
+                label = label[label]
+            i, j = np.nonzero(near & (ca[:, None] != cb))  # fewer than min_pts for each row that isn't core
+            edges.append(np.where(ca[i], [nb[j], na[i]], [na[i], nb[j]]))
+        core = np.flatnonzero(label != np.arange(len(ids)))
+        own, other = np.unique(np.stack([(e := np.concatenate(edges, axis=1))[0], label[e[1]]]), axis=1)
+        return pd.DataFrame({"id": ids[np.r_[core, own]], "core": np.r_[np.ones(len(core), bool), np.zeros(len(own), bool)], "rep": ids[np.r_[label[core], other]]})
 
     return blocks.groupBy(*_GROUP).applyInPandas(link, "id long, core boolean, rep long")
 
@@ -254,8 +259,8 @@ def dbscan(vectors: DataFrame, eps: float, min_pts: int = 3, least: int = MIN_FI
     empty = F.size("vec") == 0  # near nothing, not even its like
     core = heads.select("id", F.when(empty, 1).otherwise(F.col("n")).alias("n")).join(degree, "id", "left")
     core = cut(core.filter(F.coalesce("around", F.lit(0)) + F.col("n") >= min_pts).select("id"), "core")
-    marked = cells.join(core.withColumn("core", F.lit(True)), "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
-    links = cut(core_links(in_blocks(cut(marked, "marked")), eps), "links")
+    marked = heads.join(core.withColumn("core", F.lit(True)), "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    links = cut(core_links(in_blocks(in_cells(cut(marked, "marked"), eps)), eps), "links")  # in cells anew, which moves fewer rows than to mark all guests
     roots = connected_components(links.filter("core").select(F.col("id").alias("src"), F.col("rep").alias("dst")))
     cores = cut(core.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("first_core")), "cores")
     border = links.filter("NOT core").join(cores.withColumnRenamed("id", "rep"), "rep").groupBy("id").agg(F.min("first_core").alias("first_core"))

@@ -105,3 +105,24 @@ def test_dealing_and_measuring_take_little_memory(spark, monkeypatch):
     cells = ve.in_cells(points, 10.0)
     sizes = cells.groupBy("id", "home").count().filter("home").agg(F.sum("count"), F.max("count")).head()
     assert tuple(sizes) == (2000, 1) and cells.count() > 2000 * 40
+
+
+def test_rows_near_to_no_cell_alone_move_little(spark):
+    """Vectors that no pivot tells apart meet all others: in large blocks, so that copies of a row are few."""
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(9000, 16))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x / np.sqrt((x * x).sum(1))[:, None])], POINTS)
+    assert ve.in_blocks(ve.in_cells(frame, 1.2)).count() <= 3 * 9000
+
+
+@pytest.mark.parametrize(("offset", "scale"), [(0.0, 1.0), (1e4, 1.0), (1e7, 1.0), (0.0, 1e-9)])
+def test_products_and_measures_agree(offset, scale):
+    """Far from the origin, where products of 32 bits, or of 64, can't tell distances, pairs are measured; rows that aren't finite are near none."""
+    rnd = np.random.default_rng(7)
+    x, y = (offset + np.round(rnd.normal(size=(n, 3)), 1) for n in (600, 700))
+    x[5, 1], y[7, 0] = np.inf, 1e300
+    x, y = x * scale, y * scale
+    with np.errstate(all="ignore"):
+        want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)) <= 0.5 * scale
+        got = np.concatenate([near for _, near in ve._within(x, y, 0.5 * scale)])
+    assert (got == want).all() and 0 < got.sum() < got.size / 4
