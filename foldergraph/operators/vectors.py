@@ -231,11 +231,15 @@ def core_links(blocks: DataFrame, eps: float) -> DataFrame:
             ca, cb = a["core"].to_numpy(), b["core"].to_numpy()
             na, nb = np.searchsorted(ids, a["id"]), np.searchsorted(ids, b["id"])
             for at, end in itertools.pairwise((0, 1, 16, AT_ONCE)):  # what the first rows are near to hangs together before others are gone through
-                i, j = np.nonzero(near[at:end] & ca[at:end, None] & cb & (label[na[at:end]][:, None] != label[nb]))
-                node, least = forest(label[na[at + i]], label[nb[j]])
+                part = near[at:end]
+                if np.count_nonzero(part) > part.size // 16:  # pairs of one piece aren't listed, if there are many
+                    part = part & (label[na[at:end]][:, None] != label[nb])
+                i, j = np.divmod(np.flatnonzero(part), len(nb))
+                both = ca[at + i] & cb[j]
+                node, least = forest(label[na[at + i[both]]], label[nb[j[both]]])
                 label[node] = least
                 label = label[label]
-            i, j = np.nonzero(near & (ca[:, None] != cb))  # fewer than min_pts for each row that isn't core
+            i, j = np.divmod(np.flatnonzero(near & (ca[:, None] != cb)) if not (ca.all() and cb.all()) else np.zeros(0, np.int64), len(nb))  # fewer than min_pts for each row that isn't core
             edges.append(np.where(ca[i], [nb[j], na[i]], [na[i], nb[j]]))
         core = np.flatnonzero(label != np.arange(len(ids)))
         own, other = np.unique(np.stack([(e := np.concatenate(edges, axis=1))[0], label[e[1]]]), axis=1)
